@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaflow.llm import quality
+from qaflow.llm import bpe, quality, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _ranks() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(_documents(spark, sf_dir), *_ranks())
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
 
-QUERIES = {"op6_quality": op6_quality}
+QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op4_simhash": op4_simhash,
+    "op6_quality": op6_quality,
+}
 
 ORACLE_SQL: dict[str, str] = {}
