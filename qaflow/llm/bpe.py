@@ -20,50 +20,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORD = 64
-
-
-class RankQueue:
-    """Priority queue over the ranks 0..n-1 with heaps of positions as buckets."""
-
-    def __init__(self, n_ranks: int) -> None:
-        self.buckets: list[list[int]] = [[] for _ in range(n_ranks)]
-        middle = n_ranks // _WORD + 1
-        self.low = [0] * middle
-        self.mid = [0] * (middle // _WORD + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if not bucket:
-            w, v = rank >> 6, rank >> 12
-            self.low[w] |= 1 << (rank & 63)
-            self.mid[v] |= 1 << (w & 63)
-            self.top |= 1 << v
-        heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The least rank's leftmost position, or None when empty."""
-        top = self.top
-        if not top:
-            return None
-        v = (top & -top).bit_length() - 1
-        m = self.mid[v]
-        w = (v << 6) + (m & -m).bit_length() - 1
-        x = self.low[w]
-        rank = (w << 6) + (x & -x).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            x &= x - 1
-            self.low[w] = x
-            if not x:
-                m &= m - 1
-                self.mid[v] = m
-                if not m:
-                    self.top = top & (top - 1)
-        return rank, position
-
 
 class Encoder:
     """Encoder and decoder for one rank file.
@@ -72,7 +28,7 @@ class Encoder:
     replaces the old one, so frequent pre-tokens stay.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 800_000) -> None:
         self.ranks = ranks
         self.size = max(ranks.values(), default=-1) + 1
         self.pieces = [b""] * self.size
@@ -81,7 +37,10 @@ class Encoder:
         self.longest = max(map(len, ranks), default=0)
         self.names = [str(i) for i in range(self.size)]
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(self.size)
+        # the rank queue: a heap of positions for each rank, and which 64-rank words and 64-word groups are filled
+        self.buckets: list[list[int]] = [[] for _ in range(self.size)]
+        self.low = [0] * (self.size // 64 + 1)
+        self.mid = [0] * (self.size // 4096 + 1)
         self.half = max(1, cache_size // 2)
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -94,37 +53,64 @@ class Encoder:
         return cls(ranks, pattern)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        """Ids of one pre-token. The queue's push and pop are written out in line, as this is the hot loop."""
+        get = self.ranks.get
+        if (whole := get(piece)) is not None:
             return (whole,)
-        n = len(piece)
+        n, longest, buckets, low, mid, top = len(piece), self.longest, self.buckets, self.low, self.mid, 0
         end = list(range(1, n + 1))  # a live position begins the symbol piece[position:end[position]]
         before = list(range(-1, n - 1))
-        pair: list[int | None] = [None] * n  # rank of the symbol at a position with the next one
-        push, pop, longest = self.queue.push, self.queue.pop, self.longest
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                pair[i] = r
-                push(r, i)
-        while (item := pop()) is not None:
-            rank, i = item
+        pair = [get(piece[i : i + 2]) for i in range(n - 1)]  # rank of the symbol at a position with the next one
+        pair.append(None)
+        for i, r in enumerate(pair):
+            if r is not None:
+                if bucket := buckets[r]:
+                    bucket.append(i)  # ascending positions are a heap
+                else:
+                    bucket.append(i)
+                    low[r >> 6] |= 1 << (r & 63)
+                    mid[r >> 12] |= 1 << (r >> 6 & 63)
+                    top |= 1 << (r >> 12)
+        while top:
+            # find-first-set down the three levels gives the least rank, its heap the leftmost position
+            v = (top & -top).bit_length() - 1
+            m = mid[v]
+            w = (v << 6) + (m & -m).bit_length() - 1
+            x = low[w]
+            rank = (w << 6) + (x & -x).bit_length() - 1
+            bucket = buckets[rank]
+            i = bucket.pop() if len(bucket) == 1 else heappop(bucket)
+            if not bucket:
+                low[w] = x = x & (x - 1)
+                if not x:
+                    mid[v] = m = m & (m - 1)
+                    if not m:
+                        top &= top - 1
             if pair[i] != rank:
-                continue
+                continue  # stale: a merge has changed or taken this symbol since
             j = end[i]
             k = end[i] = end[j]
             pair[j] = pair[i] = None
+            fresh = []
             if k < n:
                 before[k] = i
-                if end[k] - i <= longest and (r := ranks.get(piece[i : end[k]])) is not None:
+                if end[k] - i <= longest and (r := get(piece[i : end[k]])) is not None:
                     pair[i] = r
-                    push(r, i)
+                    fresh.append((r, i))
             if (h := before[i]) >= 0:
                 pair[h] = None
-                if k - h <= longest and (r := ranks.get(piece[h:k])) is not None:
+                if k - h <= longest and (r := get(piece[h:k])) is not None:
                     pair[h] = r
-                    push(r, h)
-        out, i = [], 0
+                    fresh.append((r, h))
+            for r, i in fresh:
+                if bucket := buckets[r]:
+                    heappush(bucket, i)
+                else:
+                    bucket.append(i)
+                    low[r >> 6] |= 1 << (r & 63)
+                    mid[r >> 12] |= 1 << (r >> 6 & 63)
+                    top |= 1 << (r >> 12)
+        ranks, out, i = self.ranks, [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
             i = end[i]
