@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaflow.llm import bpe, quality, simhash
+from qaflow.llm import bpe, langid, pii, quality, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def _ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_documents(spark, sf_dir), *_ranks())
 
@@ -30,6 +38,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
+    "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
     "op6_quality": op6_quality,
