@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from qaflow.llm import bpe, langid, pii, quality, simhash
+from qaflow.llm import bpe, langid, media, mixing, pii, quality, sharding, simhash, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,16 +34,38 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest_texts(_documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_documents(spark, sf_dir)).select("doc_id", "source", "slot", "shard", "shard_name")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    lines = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.withColumn("headers", lines)
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
     "op4_simhash": op4_simhash,
+    "op5_interleaved": op5_interleaved,
     "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
+    "op8_sharding": op8_sharding,
+    "op9_warc": op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
