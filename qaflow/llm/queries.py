@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaflow.llm import bpe, langid, media, mixing, pii, quality, sharding, simhash, warc
+from qaflow.llm import bpe, langid, media, mixing, paragraphs, pii, quality, sharding, simhash, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", lines)
 
 
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_pii": op2_pii,
@@ -66,6 +70,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
+    "op10_paragraphs": op10_paragraphs,
 }
 
 ORACLE_SQL: dict[str, str] = {}
