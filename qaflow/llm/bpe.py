@@ -19,6 +19,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Encoder:
@@ -173,7 +174,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     name ``ids`` is replaced. ``path`` must exist on every executor, as the installed vocabularies do.
     """
     kept = [c for c in docs.columns if c != ids]
-    schema = docs.select(*kept).schema.add(ids, "array<int>")
+    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         encoder = _encoder(path, pattern)
