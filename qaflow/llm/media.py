@@ -187,25 +187,30 @@ def resolve(seqs: DataFrame, media: DataFrame, key: str = "page_id") -> DataFram
 def store_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, html, digest, media): each text as a PNG, and a page that refers to it by the digest of its payload."""
 
+    def made(ids, html, digests, media):
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, html, digests, media), kinds)], ["doc_id", "html", "digest", "media"])
+
     def run(batches):
         for batch in batches:
-            ids, html, digests, media = [], [], [], []
+            out: tuple[list, ...] = ([], [], [], [])
+            size = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = text.as_py() or b""
                 payload = padded(raw)
                 digest = hashlib.sha256(payload + len(raw).to_bytes(8, "big")).hexdigest()
-                ids.append(doc)
-                digests.append(digest)
-                media.append(to_png(payload, len(raw)))
-                html.append(
+                page = (
                     f'<article><h1>Document {"" if doc is None else doc}</h1><figure><img src="sha256:{digest}" alt="text">'
                     f"<figcaption>{len(raw)} bytes</figcaption></figure></article>"
                 )
-                if sum(map(len, media[-64:])) > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(html), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "html", "digest", "media"])
-                    ids, html, digests, media = [], [], [], []
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(html), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "html", "digest", "media"])
+                for column, value in zip(out, (doc, page, digest, to_png(payload, len(raw)))):
+                    column.append(value)
+                size += len(out[3][-1])
+                if size > 2 << 20:  # the output's batches stay small however long the texts
+                    yield made(*out)
+                    out, size = ([], [], [], []), 0
+            if out[0]:
+                yield made(*out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, html string, digest string, media binary")
@@ -244,5 +249,6 @@ def digest_texts(docs: DataFrame) -> DataFrame:
     written once to the shared folder and read back from there.
     """
     stored = materialize(store_texts(docs), "media")
-    found = resolve(sequences(stored, "doc_id"), probe(stored), "doc_id").where("kind = 'media'")
+    probed = materialize(probe(stored), "probes")  # a table of its own, so that adaptive execution can split a hot digest's join
+    found = resolve(sequences(stored, "doc_id"), probed, "doc_id").where("kind = 'media'")
     return found.select("doc_id", *_PROBE[1:], "position", "caption")
