@@ -36,6 +36,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_small(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "inner", most: int = 100_000) -> DataFrame:
+    """Join ``rows`` with a ``table`` of few distinct keys, any of which may hold a large share of the rows.
+
+    ``table`` is already written, so counting it is cheap. Up to ``most`` rows it is broadcast and the rows
+    stay where they are. Beyond that, rows are dealt over as many salts as there are shuffle partitions,
+    and the table is repeated for each, so that no key meets in one task.
+    """
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), keys, how)
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return dealt.join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps, which it does once the driver has collected its garbage."""
     gc.collect()

@@ -14,13 +14,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaflow.llm.common import let, packed, unit_hash, unpacked
+from qaflow.llm.common import join_small, let, materialize, packed, unit_hash, unpacked
 
 #: Poisson means above this are split into equal parts of at most this, each drawn with its own hash.
 PART = 8.0
 #: P(X > 48) is below 1e-20 for a mean of 8, less than the resolution of the hashed numbers.
 _TERMS = 48
-SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -69,14 +68,10 @@ def poisson_steps(mean: Column) -> Column:
 
 
 def with_counts(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """(row, doc_key, copies): each packed input row with its drawn count.
-
-    Rates join on the source with the source spread over salts, since one source may hold a third of
-    all rows; the table of rates has a row for each source.
-    """
-    table = rates(docs, config).select("source_key", "rate").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """(row, doc_key, copies): each packed input row with its drawn count. The table of rates has a row for each source."""
+    table = materialize(rates(docs, config).select("source_key", "rate"), "rates")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = packed(docs, key.alias("doc_key"), _source_key(), F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("salt"))
+    rows = packed(docs, key.alias("doc_key"), _source_key(), F.xxhash64("doc_id", "text").alias("spread"))
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
     drawn = let(
         poisson_steps(F.col("rate") / parts),
@@ -88,7 +83,7 @@ def with_counts(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
         ),
     )
     copies = F.aggregate(drawn, F.lit(0).cast("long"), lambda n, x: n + x)
-    return rows.join(table, ["source_key", "salt"]).select("row", "doc_key", copies.alias("copies"))
+    return join_small(rows, table, ["source_key"], F.col("spread")).select("row", "doc_key", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, config: MixConfig = MixConfig(), label: bool = True) -> DataFrame:

@@ -13,11 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaflow.llm.common import let, materialize, packed, unpacked
+from qaflow.llm.common import join_small, let, materialize, packed, unpacked
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
-SALTS = 64
 _POS_BITS = 28
 
 
@@ -213,11 +212,9 @@ def _verdict(rules: QualityRules) -> Column:
 
 def _judged(docs: DataFrame, rules: QualityRules) -> DataFrame:
     measured = materialize(measure(docs), "quality")
-    limits = fences(materialize(sketch(measured), "sketch"), rules)
-    # a source may hold a third of the rows: its rows are dealt over SALTS keys, and each small row of fences repeated as often
-    salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = measured.select("*", *_keys(), F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(salted, ["lang_key", "source_key", "salt"], "left").withColumn("kept", _verdict(rules))
+    limits = materialize(fences(materialize(sketch(measured), "sketch"), rules), "fences")
+    rows = measured.select("*", *_keys())
+    return join_small(rows, limits, ["lang_key", "source_key"], F.col("text_key"), "left").withColumn("kept", _verdict(rules))
 
 
 def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:

@@ -233,7 +233,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = materialize(classes(docs), "classes")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
     best = found.groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("rows"))
-    marked = found.join(best.where("rows > 1"), "root").select("doc_id", "text_key", rank.eqNullSafe(F.col("best")).alias("first"))
+    best = materialize(best.where("rows > 1"), "best")  # a table of its own, so that adaptive execution can split a large class's join
+    marked = found.join(best, "root").select("doc_id", "text_key", rank.eqNullSafe(F.col("best")).alias("first"))
     doc_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("doc_key")
     gone = marked.where("NOT first").select(doc_key, "text_key").distinct()
     repeated = not marked.where("first").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
