@@ -22,8 +22,9 @@ def context_docs(c: Column, kind: T.DataType) -> Column:
         title, body = c["title"], c["sentences"] if "sentences" in kind.names else c["sentence"]
         inner = kind["sentences" if "sentences" in kind.names else "sentence"].dataType.elementType
         n = F.least(F.size(title), F.size(body))
-        pairs = F.arrays_zip(F.slice(title, F.lit(1), n).alias("t"), F.slice(body, F.lit(1), n).alias("s"))
-        docs = F.transform(pairs, lambda p: F.struct(text(p["0"]).alias("title"), sentences(p["1"], inner).alias("sentences")))
+        docs = F.transform(
+            F.slice(title, F.lit(1), n), lambda t, i: F.struct(text(t).alias("title"), sentences(F.get(body, i), inner).alias("sentences"))
+        )
         return F.coalesce(F.when(n > 0, docs), _none())
     fields = kind.elementType.fields
     title_name, body_name = fields[0].name, fields[1].name
@@ -39,8 +40,9 @@ def supporting_pairs(c: Column, kind: T.DataType) -> Column:
     """array<struct<title, sent_id>> of a struct of arrays or an array of pairs; ids that are no integers are dropped."""
     if isinstance(kind, T.StructType):
         n = F.least(F.size(c["title"]), F.size(c["sent_id"]))
-        zipped = F.arrays_zip(F.slice(c["title"], F.lit(1), n), F.slice(c["sent_id"], F.lit(1), n))
-        pairs = F.transform(zipped, lambda p: F.struct(text(p["0"]).alias("title"), p["1"].try_cast("int").alias("sent_id")))
+        pairs = F.transform(
+            F.slice(c["title"], F.lit(1), n), lambda t, i: F.struct(text(t).alias("title"), F.get(c["sent_id"], i).try_cast("int").alias("sent_id"))
+        )
         pairs = F.when(n > 0, pairs)
     else:
         a, b = (f.name for f in kind.elementType.fields[:2])

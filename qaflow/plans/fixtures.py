@@ -9,6 +9,9 @@ from qaflow.functions.strings import IDK
 from qaflow.operators.splits import split_rows
 
 
+_LOW = "abcdefghijklmnopqrstuvwxyz"  # capitals of ASCII letters only, on which both engines agree
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -145,7 +148,7 @@ def outputs(spark: SparkSession, sf_dir: str, templates: list[str]) -> DataFrame
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     qa = qa_pairs(spark, sf_dir)
     k = F.pmod(F.col("turn") + F.col("conv_id"), F.lit(4))
-    prediction = F.when(k == 0, F.col("answer")).when(k == 1, F.concat(F.upper("answer"), F.lit("!"))).when(k == 2, F.col("query")).otherwise("")
+    prediction = F.when(k == 0, F.col("answer")).when(k == 1, F.concat(F.translate("answer", _LOW, _LOW.upper()), F.lit("!"))).when(k == 2, F.col("query")).otherwise("")
     return qa.select(
         "conv_id", "turn", F.col("answer").alias("gold"), prediction.alias("prediction"),
         F.when(F.col("turn") == 0, "first").when(F.col("turn") < 3, "early").otherwise("late").alias("type"),
@@ -193,7 +196,7 @@ classed AS (SELECT * FROM everything WHERE query <> '' AND answer <> '')""",
   SELECT d.doc_id // 10 AS grp, d.doc_id, 'doc_' || d.doc_id AS title, d.lang, string_split(d.text, chr(10)) AS sentences, coalesce(l.quality, 0) AS quality
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""",
     "preds": """preds AS (
-  SELECT conv_id, turn, answer AS gold, CASE (turn + conv_id) % 4 WHEN 0 THEN answer WHEN 1 THEN upper(answer) || '!' WHEN 2 THEN query ELSE '' END AS prediction,
+  SELECT conv_id, turn, answer AS gold, CASE (turn + conv_id) % 4 WHEN 0 THEN answer WHEN 1 THEN translate(answer, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '!' WHEN 2 THEN query ELSE '' END AS prediction,
     CASE WHEN turn = 0 THEN 'first' WHEN turn < 3 THEN 'early' ELSE 'late' END AS type,
     CASE WHEN conv_id % 5 <> 0 THEN 'level' || (conv_id % 3) END AS level FROM qa)""",
 }
