@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +38,14 @@ def token_f1(prediction: Column, gold: Column, normalize=normalize_answer) -> Co
     return F.element_at(F.transform(F.array(F.struct(p.alias("p"), g.alias("g"))), of), 1)
 
 
-@F.pandas_udf("string")
-def to_nfd(values):
+def to_nfd(c: Column) -> Column:
     """Canonical decomposition, which Spark has no function for."""
-    return values.map(lambda s: None if s is None else unicodedata.normalize("NFD", s))
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda s: None if s is None else unicodedata.normalize("NFD", s))
+
+    return run(c)
 
 
 def normalize_answer_nfd(c: Column) -> Column:

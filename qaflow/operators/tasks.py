@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +22,14 @@ def task_key(*parts: Column) -> Column:
     return F.sha2(joined.cast("binary"), 256)
 
 
-@F.pandas_udf("string")
-def _blake(joined):
-    return joined.map(lambda s: hashlib.blake2b(s.encode("utf-8", "ignore"), digest_size=16).hexdigest())
-
-
 def compat_task_key(*parts: Column) -> Column:
     """The same parts under 128-bit blake2b, for outputs that carry such keys."""
-    return _blake(F.concat(*[x for p in parts for x in (F.coalesce(p, F.lit("")), F.lit("\x1f"))]))
+
+    @F.pandas_udf("string")
+    def run(joined: pd.Series) -> pd.Series:
+        return joined.map(lambda s: hashlib.blake2b(s.encode("utf-8", "ignore"), digest_size=16).hexdigest())
+
+    return run(F.concat(*[x for p in parts for x in (F.coalesce(p, F.lit("")), F.lit("\x1f"))]))
 
 
 def with_key(df: DataFrame) -> DataFrame:
