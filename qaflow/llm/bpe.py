@@ -29,7 +29,7 @@ class Encoder:
     replaces the old one, so frequent pre-tokens stay.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 800_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 600_000) -> None:
         self.ranks = ranks
         self.size = max(ranks.values(), default=-1) + 1
         self.pieces = [b""] * self.size

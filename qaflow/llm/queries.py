@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaflow.llm import bpe, langid, media, mixing, paragraphs, pii, quality, sharding, simhash, warc
+from qaflow.llm.oracles import ORACLE_SQL  # noqa: F401  registered beside the queries
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +73,3 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_paragraphs": op10_paragraphs,
 }
-
-ORACLE_SQL: dict[str, str] = {}
