@@ -29,17 +29,16 @@ class Encoder:
     replaces the old one, so frequent pre-tokens stay.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 600_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 800_000) -> None:
         self.ranks = ranks
         self.size = max(ranks.values(), default=-1) + 1
         self.pieces = [b""] * self.size
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
-        self.longest = max(map(len, ranks), default=0)
         self.names = [str(i) for i in range(self.size)]
         self.split = regex.compile(pattern).findall
-        # the rank queue: a heap of positions for each rank, and which 64-rank words and 64-word groups are filled
-        self.buckets: list[list[int]] = [[] for _ in range(self.size)]
+        self.twos = [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
+        # the rank queue's bitmaps: which ranks of a word of 64, and which words of a group of 64, have filled buckets
         self.low = [0] * (self.size // 64 + 1)
         self.mid = [0] * (self.size // 4096 + 1)
         self.half = max(1, cache_size // 2)
@@ -58,17 +57,20 @@ class Encoder:
         get = self.ranks.get
         if (whole := get(piece)) is not None:
             return (whole,)
-        n, longest, buckets, low, mid, top = len(piece), self.longest, self.buckets, self.low, self.mid, 0
+        n, low, mid, top = len(piece), self.low, self.mid, 0
+        buckets: dict[int, list[int]] = {}  # the filled buckets: a heap of positions for each rank
+        at = buckets.get
         end = list(range(1, n + 1))  # a live position begins the symbol piece[position:end[position]]
         before = list(range(-1, n - 1))
-        pair = [get(piece[i : i + 2]) for i in range(n - 1)]  # rank of the symbol at a position with the next one
+        twos = self.twos
+        pair = [twos[a << 8 | b] for a, b in zip(piece, piece[1:])]  # rank of the symbol at a position with the next one
         pair.append(None)
         for i, r in enumerate(pair):
             if r is not None:
-                if bucket := buckets[r]:
+                if bucket := at(r):
                     bucket.append(i)  # ascending positions are a heap
                 else:
-                    bucket.append(i)
+                    buckets[r] = [i]
                     low[r >> 6] |= 1 << (r & 63)
                     mid[r >> 12] |= 1 << (r >> 6 & 63)
                     top |= 1 << (r >> 12)
@@ -80,8 +82,11 @@ class Encoder:
             x = low[w]
             rank = (w << 6) + (x & -x).bit_length() - 1
             bucket = buckets[rank]
-            i = bucket.pop() if len(bucket) == 1 else heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
                 low[w] = x = x & (x - 1)
                 if not x:
                     mid[v] = m = m & (m - 1)
@@ -92,25 +97,28 @@ class Encoder:
             j = end[i]
             k = end[i] = end[j]
             pair[j] = pair[i] = None
-            fresh = []
             if k < n:
                 before[k] = i
-                if end[k] - i <= longest and (r := get(piece[i : end[k]])) is not None:
-                    pair[i] = r
-                    fresh.append((r, i))
-            if (h := before[i]) >= 0:
-                pair[h] = None
-                if k - h <= longest and (r := get(piece[h:k])) is not None:
-                    pair[h] = r
-                    fresh.append((r, h))
-            for r, i in fresh:
-                if bucket := buckets[r]:
-                    heappush(bucket, i)
-                else:
-                    bucket.append(i)
-                    low[r >> 6] |= 1 << (r & 63)
-                    mid[r >> 12] |= 1 << (r >> 6 & 63)
-                    top |= 1 << (r >> 12)
+                pair[i] = r = get(piece[i : end[k]])
+                if r is not None:
+                    if bucket := at(r):
+                        heappush(bucket, i)
+                    else:
+                        buckets[r] = [i]
+                        low[r >> 6] |= 1 << (r & 63)
+                        mid[r >> 12] |= 1 << (r >> 6 & 63)
+                        top |= 1 << (r >> 12)
+            h = before[i]
+            if h >= 0:
+                pair[h] = r = get(piece[h:k])
+                if r is not None:
+                    if bucket := at(r):
+                        heappush(bucket, h)
+                    else:
+                        buckets[r] = [h]
+                        low[r >> 6] |= 1 << (r & 63)
+                        mid[r >> 12] |= 1 << (r >> 6 & 63)
+                        top |= 1 << (r >> 12)
         ranks, out, i = self.ranks, [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])

@@ -28,7 +28,7 @@ def test_very_long_pretokens():
     rng = random.Random(3)
     for text in ("a" * 20_000, " " * 20_000, "".join(rng.choice("abcdet") for _ in range(20_000))):
         assert ENCODER.encode(text) == REFERENCE.encode_ordinary(text)
-    assert not any(ENCODER.buckets) and not any(ENCODER.low) and not any(ENCODER.mid)  # the queue ends empty
+    assert not any(ENCODER.low) and not any(ENCODER.mid)  # the queue ends empty
 
 
 def test_digests(spark):
