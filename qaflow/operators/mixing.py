@@ -77,6 +77,6 @@ def feasible_target(df: DataFrame, mixtures: dict[str, dict[str, float]], fracti
     sizes = ratios.join(counts, "example_type", "left").groupBy("mixture").agg(
         F.floor(F.min(F.coalesce("n", F.lit(0)) / F.col("ratio"))).cast("long").alias("feasible")
     )
-    least = sizes.agg(F.min("feasible").alias("least"))
-    target = F.least(F.greatest(F.floor(F.col("least") * fraction), F.lit(1)), F.lit(most)).cast("long")
-    return sizes.withColumn("k", F.lit(1)).join(least.withColumn("k", F.lit(1)), "k").select("mixture", "feasible", target.alias("target"))
+    least = sizes.agg(F.min("feasible")).first()[0] or 0
+    target = min(max(int(least * fraction), 1), most)
+    return sizes.select("mixture", "feasible", F.lit(target).cast("long").alias("target"))

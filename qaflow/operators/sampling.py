@@ -33,9 +33,20 @@ def hash_bucket(hashed: Column) -> Column:
 
 
 def range_bucket(df: DataFrame, column: str, n: int = 64) -> Column:
-    """A bucket number that grows with a numeric column; the bounds are approximate quantiles, so buckets are of like size."""
-    bounds = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    return F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<long>"), lambda b: b <= F.col(column))) if bounds else F.lit(0)
+    """One of about n * n bucket numbers that grow with an integer column.
+
+    ``n`` approximate quantiles cut the range into parts of like size, and each part is cut into ``n`` of
+    equal width, so that buckets stay small where values cluster too.
+    """
+    found = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10_000), F.min(column), F.max(column)).first()
+    if found[1] is None:
+        return F.lit(0)
+    bounds = sorted({int(found[1]), *map(int, found[0]), int(found[2]) + 1})
+    edges = F.lit(bounds).cast("array<long>")
+    part = F.size(F.filter(edges, lambda b: b <= F.col(column))) - 1
+    low, high = F.get(edges, part), F.get(edges, part + 1)
+    within = F.floor((F.col(column) - low) * n / (high - low)).cast("int")
+    return F.coalesce(part * n + F.least(within, F.lit(n - 1)), F.lit(-1))
 
 
 def exact_rank(df: DataFrame, order: list[Column], bucket: Column, by: tuple[str, ...] = (), name: str = "rnk") -> DataFrame:
@@ -109,9 +120,13 @@ def sample_classes(df: DataFrame, keys: list[str], wanted: dict[str, int], seed:
     if not replace:
         return ranked.where(F.col("rnk") <= F.coalesce(F.element_at(limits, F.col(by)), F.lit(0))).withColumnRenamed("rnk", "draw")
     sizes = ranked.groupBy(by).agg(F.count("*").alias("size"))
-    draws = sizes.select(by, "size", F.explode(F.sequence(F.lit(1), F.element_at(limits, F.col(by)))).alias("draw")).where("draw >= 1")
+    spark = df.sparkSession
+    draws = None
+    for c, n in wanted.items():  # a distributed range for each of the few classes
+        more = spark.range(1, n + 1).select(F.lit(c).alias(by), F.col("id").alias("draw"))
+        draws = more if draws is None else draws.unionByName(more)
     pick = F.pmod(hash_int(seeded([F.col(by), F.col("draw")], seed)), F.col("size")) + 1
-    return draws.select(by, F.col("draw").cast("long").alias("draw"), pick.alias("rnk")).join(ranked, [by, "rnk"]).select(*df.columns, "draw")
+    return draws.join(sizes, by).select(by, "draw", pick.alias("rnk")).join(ranked, [by, "rnk"]).select(*df.columns, "draw")
 
 
 def cycled_quota(df: DataFrame, keys: list[str], quota: int, seed: int) -> DataFrame:
