@@ -39,17 +39,18 @@ class MixConfig:
 
 def rates(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """(source_key, n_rows, rate): one row per source, a null source being one of its own."""
-    sizes = docs.groupBy(_source_key()).agg(F.count("*").alias("n_rows"))
+    sizes = materialize(docs.groupBy(_source_key()).agg(F.count("*").alias("n_rows")), "sizes")
     if config.weights:
         named = F.create_map(*[F.lit(x) for k, w in config.weights.items() for x in ("=" + k, float(w))])
         weight = F.coalesce(F.element_at(named, F.col("source_key")), F.lit(float(config.other)))
     else:
         weight = F.pow(F.col("n_rows").cast("double"), F.lit(config.temper))
     weighed = sizes.select("source_key", "n_rows", weight.alias("w"))
-    total = weighed.agg(F.sum("w").alias("w_all"), F.sum("n_rows").alias("n_all"))  # a single row, joined on a constant
-    joined = weighed.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
-    rate = F.when(F.col("w_all") > 0, F.lit(config.size) * F.col("n_all") * F.col("w") / F.col("w_all") / F.col("n_rows"))
-    return joined.select("source_key", "n_rows", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    w_all, n_all = weighed.agg(F.sum("w"), F.sum("n_rows")).first()  # two numbers
+    if not w_all:
+        return weighed.select("source_key", "n_rows", F.lit(0.0).alias("rate"))
+    rate = F.lit(config.size) * F.lit(float(n_all)) * F.col("w") / F.lit(float(w_all)) / F.col("n_rows")
+    return weighed.select("source_key", "n_rows", rate.alias("rate"))
 
 
 def _source_key() -> Column:
