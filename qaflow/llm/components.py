@@ -37,9 +37,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             if not moved:
                 break
         if labels is None:
-            roots = live.select(F.col("v").alias("node")).join(hook.select(F.col("u").alias("node")), "node", "left_anti")
+            ends = live.select(F.col("v").alias("node")).distinct()  # before the join, as one node may end very many edges
+            roots = ends.join(hook.select(F.col("u").alias("node")), "node", "left_anti")
             labels = hook.select(F.col("u").alias("node"), F.col("p").alias("root")).unionByName(
-                roots.distinct().select("node", F.col("node").alias("root"))
+                roots.select("node", F.col("node").alias("root"))
             )
         else:
             labels = labels.join(hook.select(F.col("u").alias("root"), "p"), "root", "left").select(
