@@ -17,7 +17,7 @@ def _quality(rules: QualityRules = QualityRules()) -> str:
     names = ", ".join(f"'{k}'" for k in values)
     cells = ", ".join(values.values())
     least = " ".join(f"WHEN '{k}' THEN {n}" for k, n, _ in rules.metrics)
-    low = " ".join(f"WHEN '{k}' THEN q1 - spread" for k, _, lower in rules.metrics if lower)
+    low = ", ".join(f"'{k}'" for k, _, lower in rules.metrics if lower)
     quartiles = lambda name, keys: f"""{name} AS (SELECT {keys}, sum(n) AS total,
   min(bin) FILTER (cum * 4 >= total_n) AS q1, min(bin) FILTER (cum * 4 >= total_n * 3) AS q3
   FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY {keys}) AS total_n
@@ -32,7 +32,7 @@ m AS (SELECT d.rid, doc_id, lang_key, source_key, len(words)::BIGINT AS n_words,
   length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines FROM d JOIN w USING (rid) LEFT JOIN repeats r USING (rid)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-long AS (SELECT rid, lang_key, source_key, base_failed, unnest([{names}]) AS metric, unnest([{cells}]) AS v FROM judged),
+long AS (SELECT rid, lang_key, source_key, base_failed, n_words, unnest([{names}]) AS metric, unnest([{cells}]) AS v FROM judged),
 sketch AS (SELECT lang_key, source_key, metric, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS bin, count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL),
 {quartiles("own", "lang_key, source_key, metric")},
 {quartiles("by_lang", "lang_key, metric")},
@@ -41,8 +41,8 @@ picked AS (SELECT o.lang_key, o.source_key, o.metric, CASE WHEN o.total >= {rule
   CASE WHEN o.total >= {rules.min_docs} THEN o.q3 WHEN l.total >= {rules.min_docs} THEN l.q3 ELSE e.q3 END AS q3
   FROM own o JOIN by_lang l ON l.lang_key = o.lang_key AND l.metric = o.metric JOIN every e ON e.metric = o.metric),
 spread AS (SELECT *, greatest(q3 - q1, CASE metric {least} END) * {rules.reach} AS spread FROM picked),
-fences AS (SELECT lang_key, source_key, metric, q3 + spread AS hi, CASE metric {low} END AS lo FROM spread),
-bad AS (SELECT DISTINCT rid FROM long JOIN fences USING (lang_key, source_key, metric) WHERE v > hi OR v < lo)
+bad AS (SELECT DISTINCT rid FROM long JOIN spread USING (lang_key, source_key, metric)
+  WHERE (v - q3) * n_words > spread * (n_words + {rules.short_words}) OR metric IN ({low}) AND (q1 - v) * n_words > spread * (n_words + {rules.short_words}))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM judged"""
 
 

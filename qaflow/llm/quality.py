@@ -24,14 +24,16 @@ _POS_BITS = 28
 class QualityRules:
     """Parameters: fences lie ``reach`` spreads outside the quartiles of a group.
 
-    The spread of a group is its interquartile range, at least ``least_spread`` of the metric. A group
+    The spread of a group is its interquartile range, at least ``least_spread`` of the metric. Since means of
+    few words vary more, the fences of a document of n words lie (n + ``short_words``) / n times as far. A group
     with fewer than ``min_docs`` documents uses its language's sketch, or that of all documents.
     """
 
     reach: int = 4
     min_docs: int = 30
+    short_words: int = 20
     #: metric: (least spread, has a lower fence). Word length is in hundredths, the rest are per mille.
-    metrics: tuple = (("word_len", 40, True), ("symbols", 30, False), ("dup_lines", 60, False), ("repeats", 30, False))
+    metrics: tuple = (("word_len", 40, True), ("symbols", 30, False), ("dup_lines", 100, False), ("repeats", 50, False))
 
 
 def _neighbours_equal(sorted_items: Column, key) -> Column:
@@ -182,7 +184,7 @@ def _quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketches: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Lower and upper fence of each metric for each (lang_key, source_key), from the narrowest sketch that is large enough."""
+    """Quartiles and spread of each metric for each (lang_key, source_key), from the narrowest sketch that is large enough."""
     own = _quartiles(sketches, ["lang_key", "source_key", "metric"])
     lang = _quartiles(sketches, ["lang_key", "metric"])
     every = _quartiles(sketches, ["metric"])
@@ -191,22 +193,21 @@ def fences(sketches: DataFrame, rules: QualityRules = QualityRules()) -> DataFra
     pick = lambda c: F.when(F.col("o_total") >= rules.min_docs, F.col(f"o_{c}")).when(F.col("l_total") >= rules.min_docs, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
     q = all_.select("lang_key", "source_key", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
     out = []
-    for name, least, lower in rules.metrics:
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * rules.reach
+    for name, least, _ in rules.metrics:
         mine = F.col("metric") == name
-        out.append(F.max(F.when(mine, F.col("q3") + spread)).alias(f"hi_{name}"))
-        if lower:
-            out.append(F.max(F.when(mine, F.col("q1") - spread)).alias(f"lo_{name}"))
+        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * rules.reach
+        out += [F.max(F.when(mine, c)).alias(f"{k}_{name}") for k, c in (("q1", F.col("q1")), ("q3", F.col("q3")), ("spread", spread))]
     return q.groupBy("lang_key", "source_key").agg(*out)
 
 
 def _verdict(rules: QualityRules) -> Column:
     ok = F.lit(True)
+    width = F.col("n_words") + rules.short_words
     for name, _, lower in rules.metrics:
-        value = F.expr(METRIC_SQL[name])
-        ok = ok & F.coalesce(value <= F.col(f"hi_{name}"), F.lit(True))
+        value, spread = F.expr(METRIC_SQL[name]), F.col(f"spread_{name}") * width
+        ok = ok & F.coalesce((value - F.col(f"q3_{name}")) * F.col("n_words") <= spread, F.lit(True))
         if lower:
-            ok = ok & F.coalesce(value >= F.col(f"lo_{name}"), F.lit(True))
+            ok = ok & F.coalesce((F.col(f"q1_{name}") - value) * F.col("n_words") <= spread, F.lit(True))
     return ~F.col("base_failed") & ok
 
 
