@@ -115,12 +115,22 @@ def _bucket(n: int) -> int:
     return next((i for i, most in enumerate(_BUCKETS) if n <= most), len(_BUCKETS))
 
 
+def _ruled_out(word: str) -> int:
+    """Bits of the kinds that fail their check: card by the check digit (13 digits or more), ip by a part over 255."""
+    core = word.strip(_EDGE)
+    digits = re.sub("[^0-9]", "", core)
+    card = len(digits) >= 13 and not _luhn(digits)
+    ip = bool(m := _IP.fullmatch(core)) and not all(map(_small, m.group().split(".")))
+    return card << KINDS.index("card") + 1 | ip << KINDS.index("ip") + 1
+
+
 class Graph:
     """Nodes and edges of one or more documents; ``spans`` holds each node's token and document."""
 
     def __init__(self) -> None:
         self.features: list[list[int]] = []
         self.label: list[int] = []
+        self.banned: list[int] = []  # bits of kinds that a token's own digits rule out
         self.spans: list[tuple[int, int, int, int]] = []  # document, token number, start, end
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
@@ -159,6 +169,7 @@ class Graph:
                 + [_INDEX[f"digits{_bucket(counts[n])}"], _INDEX[f"run{_bucket(runs[n])}"], _INDEX[f"before{near(i - 1)}"], _INDEX[f"after{near(i + 1)}"]]
             )
             self.label.append(kind)
+            self.banned.append(_ruled_out(word))
             self.spans.append((doc, i, start, end))
             if n and nodes[n - 1] == i - 1:
                 self.chain.append((first + n - 1, first + n))
@@ -232,6 +243,9 @@ def marginals(graph: Graph, model: dict[str, np.ndarray], rounds: int = 10) -> n
     y = np.array(graph.label)
     given = np.flatnonzero(y)
     unary[given, y[given]] += 50.0
+    for i, bits in enumerate(graph.banned):
+        for kind in range(1, unary.shape[1]) if bits and not y[i] else ():
+            unary[i, kind] -= 50.0 * (bits >> kind & 1)
     chain, skip = _edge_arrays(graph)
     source = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
     target = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])

@@ -64,6 +64,13 @@ def test_field_spreads_a_found_number():
     assert found == [("phone", "415-555-2665")]
 
 
+def test_failed_checks_rule_a_kind_out():
+    text = "number 5927243074273351 and 4915864153225946 and 300.1.2.3 " + "word " * 50 + "5927243074273351 again"
+    (base, added) = pii.find([text], trained())[0]
+    assert base == brute(text) and [len(x) for x in base] == [0, 0, 1, 0]
+    assert not added[pii.KINDS.index("card")] and not added[pii.KINDS.index("ip")]
+
+
 def test_message_passing_is_exact_on_a_chain():
     rng = np.random.default_rng(2)
     graph = pii.Graph()
