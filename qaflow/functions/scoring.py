@@ -27,13 +27,14 @@ def token_f1(prediction: Column, gold: Column, normalize=normalize_answer) -> Co
     p, g = split(prediction), split(gold)
 
     def of(tokens):
-        same = bag_overlap(tokens["p"], tokens["g"])
-        precision, recall = same / F.size(tokens["p"]), same / F.size(tokens["g"])
-        return (
-            F.when((F.size(tokens["p"]) == 0) & (F.size(tokens["g"]) == 0), 1.0)
-            .when((F.size(tokens["p"]) == 0) | (F.size(tokens["g"]) == 0) | (same == 0), 0.0)
-            .otherwise(2 * precision * recall / (precision + recall))
-        )
+        # the overlap is bound once: inside a higher-order function each use would count anew
+        counted = F.array(bag_overlap(tokens["p"], tokens["g"]))
+        return F.element_at(F.transform(counted, lambda same: rate(same, F.size(tokens["p"]), F.size(tokens["g"]))), 1)
+
+    def rate(same, n_p, n_g):
+        precision, recall = same / n_p, same / n_g
+        empty = F.when((n_p == 0) & (n_g == 0), 1.0).when((n_p == 0) | (n_g == 0) | (same == 0), 0.0)
+        return empty.otherwise(2 * precision * recall / (precision + recall))
 
     return F.element_at(F.transform(F.array(F.struct(p.alias("p"), g.alias("g"))), of), 1)
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The white space that Python's str.strip and str.split know, as a regex class body.
 WS = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACE = f"[{WS}]"
+#: The same characters as text: trimming looks at the ends only, where a regex would scan the whole text.
+_TRIMMED = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Line ends of str.splitlines.
 _LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 _SPECIAL = "<\\|[^>]+?\\|>"
@@ -39,11 +41,11 @@ def text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(text(c), f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text(c), F.lit(_TRIMMED))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(text(c), f"{_SPACE}+$", "")
+    return F.rtrim(text(c), F.lit(_TRIMMED))
 
 
 def strip_chars(c: Column, chars: str) -> Column:
