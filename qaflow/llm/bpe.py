@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qaflow.llm.common import text_blocks
+
 
 class Encoder:
     """Encoder and decoder for one rank file.
@@ -29,7 +29,7 @@ class Encoder:
     replaces the old one, so frequent pre-tokens stay.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 800_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 600_000) -> None:
         self.ranks = ranks
         self.size = max(ranks.values(), default=-1) + 1
         self.pieces = [b""] * self.size
@@ -149,6 +149,10 @@ class Encoder:
             out.append(ids)
         return list(chain.from_iterable(out))
 
+    def rest(self) -> None:
+        """Between tasks only the young generation is kept, so that a waiting worker holds little memory."""
+        self.old = {}
+
     def decode(self, ids) -> bytes:
         """Bytes of a sequence of ids."""
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -163,18 +167,6 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def _blocks(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch whose texts stay near ``most_bytes``, so that outputs stay small too."""
-    start = size = 0
-    for i, n in enumerate(x.as_py() or 0 for x in pa.compute.binary_length(texts)):
-        size += n
-        if size > most_bytes:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Every row of ``docs`` with its ids as ``array<int>`` in a new last column ``ids``.
 
@@ -188,10 +180,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
         encoder = _encoder(path, pattern)
         for batch in batches:
             place = batch.schema.get_field_index(text)
-            for a, b in _blocks(batch.column(place)):
+            for a, b in text_blocks(batch.column(place)):
                 part = batch.slice(a, b - a)
                 encoded = [encoder.encode(t) if t else [] for t in part.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(encoded, pa.list_(pa.int32()))], [*kept, ids])
+        encoder.rest()
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -206,7 +199,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         encoder = _encoder(path, pattern)
         for batch in batches:
-            for a, b in _blocks(batch.column(1)):
+            for a, b in text_blocks(batch.column(1)):
                 part = batch.slice(a, b - a)
                 counts, ids_sha, text_sha = [], [], []
                 for t in part.column(1).to_pylist():
@@ -218,6 +211,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        encoder.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,18 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def text_blocks(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch whose texts stay near ``most_bytes``, so that Python holds few of them at a time."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
+        if size > most_bytes:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it many times inside ``body`` (higher-order bodies are inlined otherwise)."""
     return F.element_at(F.transform(F.array(value), body), 1)

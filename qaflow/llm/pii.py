@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qaflow.llm.common import text_blocks
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Possessive forms of the contract's patterns: the same leftmost matches in linear time.
@@ -344,7 +346,7 @@ def detect(docs: DataFrame, config: CrfConfig = CrfConfig(), model: str | None =
 
     def run(batches):
         weights = _load(model)
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in text_blocks(b.column(1))):
             found = find(batch.column(1).to_pylist(), weights, config)
             columns = [batch.column(0)]
             columns += [pa.array([len(b[k]) for b, _ in found], pa.int64()) for k in range(4)]
@@ -378,7 +380,7 @@ def redact(docs: DataFrame, config: CrfConfig = CrfConfig(), model: str | None =
 
     def run(batches):
         weights = _load(model)
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in text_blocks(b.column(place))):
             texts = batch.column(place).to_pylist()
             new = [masked(t, [x + y for x, y in zip(b, a)]) for t, (b, a) in zip(texts, find(texts, weights, config))]
             columns = list(batch.columns)
