@@ -29,7 +29,7 @@ class Encoder:
     replaces the old one, so frequent pre-tokens stay.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 600_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 800_000) -> None:
         self.ranks = ranks
         self.size = max(ranks.values(), default=-1) + 1
         self.pieces = [b""] * self.size
@@ -46,11 +46,11 @@ class Encoder:
         self.old: dict[str, tuple[int, ...]] = {}
 
     @classmethod
-    def from_file(cls, path: str, pattern: str) -> Encoder:
+    def from_file(cls, path: str, pattern: str, cache_size: int = 800_000) -> Encoder:
         """Read lines of a base64 piece and its rank."""
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-        return cls(ranks, pattern)
+        return cls(ranks, pattern, cache_size)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token. The queue's push and pop are written out in line, as this is the hot loop."""
@@ -158,16 +158,17 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, int], Encoder] = {}
 
 
-def _encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder.from_file(path, pattern)
-    return _ENCODERS[path, pattern]
+def _encoder(*key) -> Encoder:
+    """One encoder per worker process and setting."""
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder.from_file(*key)
+    return _ENCODERS[key]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", cache_size: int = 400_000) -> DataFrame:
     """Every row of ``docs`` with its ids as ``array<int>`` in a new last column ``ids``.
 
     Null and empty texts give an empty array. Other columns pass through unchanged; a column of the
@@ -177,7 +178,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches):
-        encoder = _encoder(path, pattern)
+        encoder = _encoder(path, pattern, cache_size)
         for batch in batches:
             place = batch.schema.get_field_index(text)
             for a, b in text_blocks(batch.column(place)):
@@ -189,7 +190,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digest_documents(docs: DataFrame, path: str, pattern: str, cache_size: int = 800_000) -> DataFrame:
     """Encode, decode the ids again, and return one row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Digests are lowercase hex: of the decimal ids joined by commas, and of the decoded bytes. Null and
@@ -197,7 +198,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches):
-        encoder = _encoder(path, pattern)
+        encoder = _encoder(path, pattern, cache_size)
         for batch in batches:
             for a, b in text_blocks(batch.column(1)):
                 part = batch.slice(a, b - a)
@@ -211,7 +212,6 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
-        encoder.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
