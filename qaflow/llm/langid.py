@@ -22,7 +22,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LangConfig:
-    """``per_lang`` rows for each of the ``max_langs`` most frequent languages, at most ``train_docs`` in all, are fitted."""
+    """``per_lang`` rows for each of the ``max_langs`` most frequent languages, at most ``train_docs`` in all, are fitted.
+
+    Where ``train_docs`` doesn't allow that, every language has the same quota, and what rare ones leave goes to the others.
+    """
 
     buckets: int = 1 << 15
     orders: tuple = (1, 2, 3)
@@ -188,6 +191,27 @@ def document_frequencies(texts: DataFrame, config: LangConfig = LangConfig()) ->
     return int(seen[-1]), seen[:-1]
 
 
+def quota(counts: list[int], config: LangConfig = LangConfig()) -> int:
+    """The most rows for each language, up to ``per_lang``, with which all languages together keep to ``train_docs``."""
+    left = config.train_docs
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) > left:  # this language and the more frequent ones share what is left
+            return min(config.per_lang, max(1, left // (len(counts) - i)))
+        left -= n
+    return config.per_lang
+
+
+def draw(rows: DataFrame, counts: dict[str, int], config: LangConfig = LangConfig()) -> DataFrame:
+    """The training sample (text, lang): all rows of languages within the quota, then rows of the others in equal shares."""
+    most = quota(list(counts.values()), config)
+    shares = {k: min(1.0, 1.25 * most / n) for k, n in counts.items()}
+    by_lang = lambda of: F.element_at(F.create_map(*[F.lit(x) for k in counts for x in (k, of(k))]), F.col("lang"))
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("langid")), 11).cast("double") / F.lit(float(1 << 53))
+    drawn = rows.select("text", "lang", u.alias("u"), by_lang(shares.get).alias("share")).where("u < share")
+    rank = F.when(by_lang(lambda k: counts[k] <= most), 0.0).otherwise(F.col("u") / F.col("share"))
+    return drawn.orderBy(rank, "u", "lang").limit(config.train_docs).select("text", "lang")
+
+
 def fit(labelled: DataFrame, config: LangConfig = LangConfig()) -> LangModel:
     """Learn from the ``text`` and non-null ``lang`` of ``labelled`` (which also needs ``doc_id`` to draw the sample).
 
@@ -201,10 +225,7 @@ def fit(labelled: DataFrame, config: LangConfig = LangConfig()) -> LangModel:
         return LangModel([], np.zeros(0), np.zeros((1, 0)), 1.0)
     total, seen = document_frequencies(rows, config)
     idf = np.log((1 + total) / (1 + seen)) + 1
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.25 * config.per_lang / r["count"]))])
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("langid")), 11).cast("double") / F.lit(float(1 << 53))
-    drawn = rows.select("text", "lang", u.alias("u")).where(F.col("u") < F.element_at(share, F.col("lang")))
-    sample = drawn.orderBy("u", "lang").limit(config.train_docs).select("text", "lang").repartition(1)
+    sample = draw(rows, {r["lang"]: r["count"] for r in counts}, config).repartition(1)
     number = {k: i for i, k in enumerate(labels)}
 
     def run(batches):

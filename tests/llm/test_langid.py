@@ -29,6 +29,25 @@ def test_held_out_accuracy_and_fold(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_rare_languages_keep_their_rows(spark):
+    """With more languages than the sample has room for, rare ones keep all rows and frequent ones share the rest."""
+    counts = {f"l{k}": 40 if k in (3, 7) else 600 for k in range(10)}
+    rows = [(i, f"text {i}", lang) for i, lang in enumerate(k for k, n in counts.items() for _ in range(n))]
+    config = langid.LangConfig(per_lang=100, train_docs=400)
+    sample = langid.draw(spark.createDataFrame(rows, "doc_id long, text string, lang string"), counts, config)
+    found = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert sum(found.values()) == 400 and found["l3"] == found["l7"] == 40
+    assert all(20 <= found[k] <= 60 for k, n in counts.items() if n == 600)
+
+
+def test_quota():
+    config = langid.LangConfig()
+    assert langid.quota([10_000_000] * 4, config) == 800
+    assert langid.quota([10_000_000] * 8 + [50_000, 5_000], config) == 600
+    assert langid.quota([2000] * 8 + [50], config) == (6000 - 50) // 8
+    assert langid.quota([7], config) == 800
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     rows = corpus(200)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
