@@ -3,9 +3,11 @@
 Base spans come from the four patterns. The field then labels every token that holds a digit or "@"
 (all other tokens carry no evidence and are fixed to "none"). Neighbouring tokens share a chain
 potential; repeated tokens, and tokens whose digits end alike, share a skip potential however far apart
-they are, each occurrence with the next one, so a value repeated n times costs n edges. Base spans
-clamp their tokens; loopy sum-product message passing spreads them, so another spelling of a number
-found once is found throughout the document.
+they are: each occurrence is linked with a hub, the first one that meets a base span of a kind (one hub
+for each kind found), else the first of all. So the evidence of a base span is one link away, any two
+occurrences are two links apart, and a value repeated n times costs about n edges. Base spans
+clamp their tokens; loopy sum-product message passing, run until its messages settle, spreads them, so
+another spelling of a number found once is found throughout the document.
 
 Weights are learned by pseudo-likelihood on a bounded sample of documents, with base spans as labels
 and the plus sign and brackets of some hidden, so that context and number shape carry weight too.
@@ -144,7 +146,7 @@ class Graph:
         if not nodes:
             return
         marks = sorted((s, e, k + 1) for k, spans in enumerate(base) for s, e in spans)
-        first, place, latest = len(self.spans), 0, {}
+        first, place, alike = len(self.spans), 0, {}
         words = [text[s:e] for s, e in (tokens[i] for i in nodes)]
         counts = [sum(c in "0123456789" for c in w) for w in words]
         runs = list(counts)
@@ -181,9 +183,18 @@ class Graph:
             if counts[n] >= 7:
                 keys.add(re.sub("[^0-9]", "", word)[-7:])
             for key in keys:
-                if key in latest and (not self.skip or self.skip[-1] != (latest[key], first + n)):
-                    self.skip.append((latest[key], first + n))
-                latest[key] = first + n
+                alike.setdefault(key, []).append(first + n)
+        links: dict[tuple[int, int], None] = {}  # ordered, each pair once
+        for found in alike.values():
+            hubs: dict[int, int] = {}  # by kind
+            for n in found:
+                if self.label[n]:
+                    hubs.setdefault(self.label[n], n)
+            for n in found:
+                for hub in hubs.values() or found[:1]:
+                    if n != hub:
+                        links[min(n, hub), max(n, hub)] = None
+        self.skip.extend(links)
 
     def matrix(self) -> np.ndarray:
         x = np.zeros((len(self.features), len(_NAMES)))
@@ -237,31 +248,61 @@ def train(graph: Graph, config: CrfConfig = CrfConfig()) -> dict[str, np.ndarray
     return model
 
 
+#: Message passing of a document ends when no message of it changes by more (natural logarithms).
+_SETTLED = 1e-4
+
+
 def marginals(graph: Graph, model: dict[str, np.ndarray], rounds: int = 10) -> np.ndarray:
-    """Label probabilities of each node by loopy sum-product with damping; labelled nodes are clamped."""
+    """Label probabilities of each node by loopy sum-product with damping; labelled nodes are clamped.
+
+    A document's messages are passed until they settle, for ``rounds`` rounds at least. Steps halve every hundred
+    rounds, so messages that swing settle too. A document's result doesn't depend on the others in the graph.
+    """
     unary = np.zeros((len(graph.features), model["node"].shape[1]))
     for i, on in enumerate(graph.features):
         unary[i] = model["node"][on].sum(0)
     y = np.array(graph.label)
     given = np.flatnonzero(y)
-    unary[given, y[given]] += 50.0
+    # a hub hears many messages, so evidence has to outweigh any number of them
+    unary[given] = -1e9
+    unary[given, y[given]] = 0.0
     for i, bits in enumerate(graph.banned):
         for kind in range(1, unary.shape[1]) if bits and not y[i] else ():
-            unary[i, kind] -= 50.0 * (bits >> kind & 1)
+            unary[i, kind] -= 1e9 * (bits >> kind & 1)
     chain, skip = _edge_arrays(graph)
     source = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
     target = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
     if len(source):
         c, s = len(chain), len(skip)
         back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
-        pair = np.concatenate([np.repeat(m[None], n, 0) for m, n in ((model["chain"], c), (model["chain"].T, c), (model["skip"], s), (model["skip"].T, s))])
-        sent = np.zeros((len(source), unary.shape[1]))
-        for _ in range(rounds):
+        factors = [np.exp(m) for m in (model["chain"], model["chain"].T, model["skip"], model["skip"].T)]
+        sort = np.repeat(np.arange(4), (c, c, s, s))
+        docs = np.array([x[0] for x in graph.spans], np.int64) if graph.spans else np.zeros(len(unary), np.int64)
+        doc = docs[source]
+        every = np.zeros((len(source), unary.shape[1]))
+        at, to, sent = np.arange(len(source)), target, every
+        turn, step = 0, 0.5
+        while len(at):
             belief = unary.copy()
-            np.add.at(belief, target, sent)
-            new = _log_sum((belief[source] - sent[back])[:, :, None] + pair, 1)
-            sent = 0.5 * sent + 0.5 * (new - new.max(1, keepdims=True))
-        np.add.at(unary, target, sent)
+            np.add.at(belief, to, sent)
+            x = belief[source] - sent[back]
+            x = np.exp(x - x.max(1, keepdims=True))
+            cuts = np.searchsorted(sort, np.arange(5))
+            new = np.log(np.concatenate([x[i:j] @ f for i, j, f in zip(cuts[:-1], cuts[1:], factors)]))
+            change = step * (new - new.max(1, keepdims=True) - sent)
+            sent = sent + change
+            turn += 1
+            step = 0.5 ** (1 + turn // 100)
+            if turn < rounds:
+                continue
+            live = np.zeros(docs.max() + 1, bool)
+            live[doc[np.abs(change).max(1) > _SETTLED]] = True
+            keep = live[doc]
+            if not keep.all():
+                every[at[~keep]] = sent[~keep]
+                back = (np.cumsum(keep) - 1)[back[keep]]
+                at, to, source, sent, sort, doc = at[keep], to[keep], source[keep], sent[keep], sort[keep], doc[keep]
+        np.add.at(unary, target, every)
     return np.exp(unary - _log_sum(unary, 1)[:, None])
 
 

@@ -64,6 +64,31 @@ def test_field_spreads_a_found_number():
     assert found == [("phone", "415-555-2665")]
 
 
+def test_evidence_reaches_every_repeat():
+    text = "Call +1 (415) 555-2665 now. " + ("word " * 30 + "code 4155552665 then ") * 40
+    graph = pii.Graph()
+    graph.add(0, text, pii.base_spans(text))
+    model = {"node": np.zeros((len(pii._NAMES), 5)), "chain": np.zeros((5, 5)), "skip": 4.0 * np.eye(5)}
+    p = pii.marginals(graph, model)
+    repeats = [n for n, (_, _, s, e) in enumerate(graph.spans) if text[s:e] == "4155552665"]
+    assert len(repeats) == 40 and p[repeats, pii.KINDS.index("phone") + 1].min() > 0.9
+
+
+def test_messages_settle_in_long_documents():
+    """A run of digit tokens carries evidence along the chain beyond ten tokens, and other documents in the graph change nothing."""
+    text = "a@b.co " + " ".join(f"x{k}" for k in range(30))
+    other = "mail a@b.co or 10.1.2.3 5"
+    model = {"node": np.zeros((len(pii._NAMES), 5)), "chain": 6.0 * np.eye(5), "skip": np.zeros((5, 5))}
+    alone, both = pii.Graph(), pii.Graph()
+    alone.add(0, text, pii.base_spans(text))
+    both.add(0, text, pii.base_spans(text))
+    both.add(1, other, pii.base_spans(other))
+    p = pii.marginals(alone, model)
+    exact = 0.2 + 0.8 * ((np.exp(6.0) - 1) / (np.exp(6.0) + 4)) ** np.arange(1, 31)
+    assert np.abs(p[-30:, pii.KINDS.index("email") + 1] - exact).max() < 1e-3
+    assert (pii.marginals(both, model)[: len(p)] == p).all()
+
+
 def test_failed_checks_rule_a_kind_out():
     text = "number 5927243074273351 and 4915864153225946 and 300.1.2.3 " + "word " * 50 + "5927243074273351 again"
     (base, added) = pii.find([text], trained())[0]
