@@ -27,6 +27,40 @@ def test_every_passage_of_51_words_shares_a_block():
         assert set(a.ids().tolist()) & set(b.ids().tolist())
 
 
+def keys_of(cut):
+    number, keys = cut.band_keys(CONFIG)
+    return [set(keys[number == i].tolist()) for i in range(len(cut.first))]
+
+
+def test_blocks_and_runs_have_all_bands():
+    rng = random.Random(6)
+    met = 0
+    for k in range(100):
+        words = prose(rng, 20)
+        a, b = (keys_of(P.Cut(" ".join(w).encode(), CONFIG)) for w in (words, words[:-1] + ["edit%d" % k]))
+        met += bool(a[0] & b[0])  # 15 of 17 shingles in common
+    assert met >= 95
+
+
+def test_edited_passage_inside_lines_is_found():
+    """Copies of 100 words with one word of them changed, in other text: a run of both is similar enough and meets in a band."""
+    rng = random.Random(7)
+    met = 0
+    for _ in range(100):
+        passage = prose(rng, 100)
+        other = passage[:50] + ["edited"] + passage[51:]
+        a, b = (P.Cut(" ".join(prose(rng, 60) + w + prose(rng, 60)).encode(), CONFIG) for w in (passage, other))
+        sets = [[set(c.shingles[i : j - CONFIG.shingle + 1].tolist()) for i, j in zip(c.first, c.last)] for c in (a, b)]
+        ka, kb = keys_of(a), keys_of(b)
+        ids = [c.ids().tolist() for c in (a, b)]
+        met += any(
+            ids[0][i] != ids[1][j] and exact(sets[0][i], sets[1][j]) >= 0.8 and ka[i] & kb[j]
+            and a.first[i] < 110 <= a.last[i] - 1
+            for i in range(1, len(ka)) for j in range(1, len(kb))
+        )
+    assert met >= 70
+
+
 def test_positions_are_code_points():
     rng = random.Random(2)
     text = "é" + " ß ".join(prose(rng, 80)) + "\n日本 " + "  ".join(prose(rng, 40))
