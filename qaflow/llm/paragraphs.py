@@ -156,11 +156,16 @@ class Cut:
             keys = _mix(keys * np.uint64(0xC2B2AE3D27D4EB4F) + least[:, row])
         return np.tile(np.arange(n), bands), keys.ravel().view(np.int64)
 
-    def chars(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each paragraph in code points of the text."""
+    def word_chars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each word in code points of the text."""
         points = np.zeros(len(self.raw) + 1, np.int64)
         np.cumsum((self.raw & 0xC0) != 0x80, out=points[1:])
-        return points[self.begin[self.first]], points[self.end[self.last - 1]]
+        return points[self.begin], points[self.end]
+
+    def chars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each paragraph in code points of the text."""
+        starts, ends = self.word_chars()
+        return starts[self.first], ends[self.last - 1]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -343,11 +348,84 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, config: ParagraphConfig = P
     return _texts(docs).join(lists, "doc_id").select("text", "want").mapInArrow(run, "uid long, size long, shingles binary")
 
 
+def _placed(text: bytes, spans: list[int], config: ParagraphConfig):
+    """The text's cut, and for each span that begins and ends with words of it (number, first word, last word + 1)."""
+    cut = Cut(text, config)
+    if not len(cut.first):
+        return cut, []
+    starts, ends = cut.word_chars()
+    a, b = np.array(spans, np.int64) >> 32, np.array(spans, np.int64) & ((1 << 32) - 1)
+    i = np.minimum(np.searchsorted(starts, a), len(starts) - 1)
+    j = np.minimum(np.searchsorted(ends, b), len(ends) - 1)
+    ok = np.flatnonzero((starts[i] == a) & (ends[j] == b))
+    return cut, [(k, int(i[k]), int(j[k]) + 1) for k in ok.tolist()]
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading items are equal."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def surroundings(docs: DataFrame, flagged: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
+    """(component_id, before, after): hashes of the ``winnow`` words on each side of the kept occurrence, nearest first."""
+
+    def run(batches):
+        for batch in batches:
+            for text, want in zip(batch.column(0), batch.column(1).to_pylist()):
+                cut, placed = _placed(text.as_py(), [w["span"] for w in want], config)
+                if placed:
+                    before = [cut.words[max(0, i - config.winnow) : i][::-1].tobytes() for _, i, _ in placed]
+                    after = [cut.words[j : j + config.winnow].tobytes() for _, _, j in placed]
+                    roots = [want[k]["component_id"] for k, _, _ in placed]
+                    yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["component_id", "before", "after"])
+
+    heads = flagged.select("component_id", "keeper").distinct()
+    lists = heads.groupBy(F.col("keeper.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("component_id", F.col("keeper.span").alias("span"))).alias("want"))
+    found = _texts(docs).join(lists, "doc_id").select("text", "want").mapInArrow(run, "component_id long, before binary, after binary")
+    return found.groupBy("component_id").agg(F.min(F.struct("before", "after")).alias("around"))  # a doc_id may have several rows
+
+
+def extensions(docs: DataFrame, hits: DataFrame, around: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
+    """(doc_id, component_id, span, wide): removed spans, and what they become with the words beside them that equal those of the kept occurrence.
+
+    Blocks of a common passage begin at most ``winnow`` words apart and from its ends, so ``winnow`` words on each side
+    close all gaps. If several rows share a doc_id, the words on which all of them agree are taken.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for doc, text, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                cut, placed = _placed(text.as_py(), [w["span"] for w in want], config)
+                if not placed:
+                    continue
+                starts, ends = cut.word_chars()
+                out = []
+                for k, i, j in placed:
+                    w = want[k]
+                    left = _agree(cut.words[max(0, i - config.winnow) : i][::-1], np.frombuffer(w["before"], np.uint64))
+                    right = _agree(cut.words[j : j + config.winnow], np.frombuffer(w["after"], np.uint64))
+                    a = int(starts[i - left])
+                    if w["keeper"]["doc_id"] == doc:  # a later repeat in the document that keeps the first
+                        a = min(int(starts[i]), max(a, w["keeper"]["span"] & ((1 << 32) - 1)))
+                    out.append((w["component_id"], w["span"], a, int(ends[j + right - 1])))
+                roots, spans, a, b = (pa.array(x, pa.int64()) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(out), pa.int64()), roots, spans, a, b], ["doc_id", "component_id", "span", "a", "b"])
+
+    each = hits.where("removed").join(around, "component_id")
+    cells = F.struct("component_id", "span", "keeper", F.col("around.before").alias("before"), F.col("around.after").alias("after"))
+    lists = each.groupBy("doc_id").agg(F.collect_list(cells).alias("want"))
+    made = _texts(docs).join(lists, "doc_id").select("doc_id", "text", "want").mapInArrow(run, "doc_id long, component_id long, span long, a long, b long")
+    return made.groupBy("doc_id", "component_id", "span").agg((F.shiftleft(F.max("a"), 32).bitwiseOR(F.min("b"))).alias("wide"))
+
+
 def repeated(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
     """One row per occurrence of a paragraph that repeats, exactly or nearly, across documents.
 
     Columns: component_id (of its component, a number), first_doc_id (the document whose occurrence
-    stays), doc_id, start and end (code points), removed. Repeats within one document alone are left.
+    stays), doc_id, start and end (code points), removed. Removed spans reach over the neighbouring words that
+    equal those of the occurrence that stays, so all of a common passage is listed. Repeats within one document alone are left.
     Rows whose doc_id or text is null are left alone, as nothing could name them; texts shorter than
     ``block`` words have no paragraphs. Repeated rows of one doc_id each give their occurrences.
     Other columns are ignored; an empty table gives an empty result.
@@ -368,17 +446,26 @@ def repeated(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> Da
     free_shuffles(spark)
     roots = connected_components(verified_links(collided, sets, config))
     rooted = kept.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    spread = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.max("last_doc").alias("last_doc")).where("keeper.doc_id < last_doc")
-    flagged = materialize(rooted.select("uid", "root").join(spread, "root").select("uid", F.col("root").alias("component_id"), "keeper"), "flagged")
+    spread = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.min_by("uid", F.struct("first", "uid")).alias("kept_uid"), F.max("last_doc").alias("last_doc")).where("keeper.doc_id < last_doc")
+    flagged = materialize(rooted.select("uid", "root").join(spread, "root").select("uid", F.col("root").alias("component_id"), "keeper", (F.col("uid") == F.col("kept_uid")).alias("same")), "flagged")
+    free_shuffles(spark)
+    # no aggregate on top, so that adaptive execution can split a passage that very many documents share
+    # overlapping runs of one document are similar to each other: where the first occurrence stays, only its equals after it go
+    again = F.col("same") & (F.shiftright("span", 32) >= F.col("keeper.span").bitwiseAND(F.lit((1 << 32) - 1)))
+    removed = ((F.col("doc_id") != F.col("keeper.doc_id")) | again).alias("removed")
+    hits = materialize(found.join(flagged, "uid").select("component_id", "keeper", "doc_id", "span", removed), "hits")
+    free_shuffles(spark)
+    around = materialize(surroundings(docs, flagged, config), "surroundings")
+    wide = materialize(extensions(docs, hits, around, config), "extensions")
     free_shuffles(spark)
-    rows = found.join(flagged, "uid")  # no aggregate on top, so that adaptive execution can split a passage that very many documents share
+    rows = hits.join(wide, ["doc_id", "component_id", "span"], "left").withColumn("wide", F.coalesce("wide", "span"))
     return rows.select(
         "component_id",
         F.col("keeper.doc_id").alias("first_doc_id"),
         "doc_id",
-        F.shiftright("span", 32).cast("int").alias("start"),
-        F.col("span").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"),
-        (F.struct("doc_id", "span") != F.col("keeper")).alias("removed"),
+        F.shiftright("wide", 32).cast("int").alias("start"),
+        F.col("wide").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"),
+        "removed",
     )
 
 

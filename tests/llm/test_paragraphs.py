@@ -169,3 +169,16 @@ def test_planted_passages_and_clean_documents(spark):
     texts = dict(docs)
     assert all(cleaned[i] == texts[i] for i in texts if i not in (11, 29, 50))
     assert len(cleaned[11].split()) <= 175 - 20 and len(cleaned[11]) < len(texts[11]) and len(cleaned[50]) < len(texts[50])
+
+
+def test_the_whole_passage_is_removed(spark):
+    rng = random.Random(9)
+    docs, own = [], {}
+    passage = {60: prose(rng, 60), 150: prose(rng, 150)}
+    for i in range(12):
+        own[i] = prose(rng, 100)
+        at = rng.randrange(1, 100)
+        docs.append((i, " ".join(own[i][:at] + passage[(60, 150)[i % 2]] + own[i][at:])))
+    cleaned = {r["doc_id"]: r["text"].split() for r in P.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(len(cleaned[i]) == 100 + (60, 150)[i] for i in (0, 1))
+    assert all(len(own[i]) - 12 <= len(cleaned[i]) <= len(own[i]) for i in range(2, 12))
