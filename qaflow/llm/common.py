@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,17 +27,74 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Lets Spark delete a query's shuffle files as soon as the query ends; results read from them are in tables by then.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str, *partitions: str) -> None:
+    """Write ``df`` as Parquet and drop the shuffle files that this took."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_root(spark)}/qaflow/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
-    This cuts lineage: a lost executor costs a re-read of the table, not a recomputation.
+    This cuts lineage: a lost executor costs a re-read of the table, not a recomputation. Tables that a
+    returned DataFrame still reads stay; steps whose tables can go use ``Scratch``.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/qaflow/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, label)
+    write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder, which can be dropped when used up.
+
+    Dropping overwrites a table with an empty one, which works on any file system that Spark writes to.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.held: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        write_table(df, path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(table)] = (table, path)
+        return table
+
+    def write_kinds(self, df: DataFrame, label: str, *kinds: str) -> list[DataFrame]:
+        """One job that writes a table for each value of the column ``kind``."""
+        path = new_path(self.spark, label)
+        write_table(df, path, "kind")
+        tables = []
+        for kind in kinds:
+            table = self.spark.read.schema(df.schema).parquet(path).where(F.col("kind") == kind).drop("kind")
+            self.held[id(table)] = (table, f"{path}/kind={kind}")
+            tables.append(table)
+        return tables
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            df, path = self.held.pop(id(table))
+            self.spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+
+
 def join_small(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "inner", most: int = 100_000) -> DataFrame:
     """Join ``rows`` with a ``table`` of few distinct keys, any of which may hold a large share of the rows.
 
@@ -54,12 +110,6 @@ def join_small(rows: DataFrame, table: DataFrame, keys: list[str], spread: Colum
     return dealt.join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps, which it does once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_blocks(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts stay near ``most_bytes``, so that Python holds few of them at a time."""
     start = size = 0

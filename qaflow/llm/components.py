@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaflow.llm.common import materialize
+from qaflow.llm.common import Scratch
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,24 +18,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     are ignored; an empty edge table gives an empty result. Hot nodes only meet aggregates with
     partial sums and equi-joins that adaptive execution may split.
     """
-    live = materialize(
+    scratch = Scratch(edges.sparkSession)
+    live = scratch.write(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
     labels = None
     while not live.isEmpty():
-        hook = materialize(live.groupBy("u").agg(F.min("v").alias("p")), "hook")
+        hook = scratch.write(live.groupBy("u").agg(F.min("v").alias("p")), "hook")
         while True:
             up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            hook = materialize(
+            jumped = scratch.write(
                 hook.join(up, "p", "left").select(
                     "u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")
                 ),
                 "jump",
             )
-            moved = not hook.where("moved").isEmpty()
-            hook = hook.select("u", "p")
-            if not moved:
+            scratch.drop(hook)
+            hook = jumped
+            if hook.where("moved").isEmpty():
                 break
+        last = labels
         if labels is None:
             ends = live.select(F.col("v").alias("node")).distinct()  # before the join, as one node may end very many edges
             roots = ends.join(hook.select(F.col("u").alias("node")), "node", "left_anti")
@@ -46,14 +48,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             labels = labels.join(hook.select(F.col("u").alias("root"), "p"), "root", "left").select(
                 "node", F.coalesce("p", "root").alias("root")
             )
-        labels = materialize(labels, "labels")
+        labels = scratch.write(labels, "labels")
         one = hook.select("u", F.col("p").alias("pu"))
         two = hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         moved_edges = live.join(one, "u").join(two, "v", "left").select("pu", F.coalesce("pv", "v").alias("pv"))
-        live = materialize(
+        left = scratch.write(
             moved_edges.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).where("u <> v").distinct(),
             "edges",
         )
+        scratch.drop(live, hook, *([] if last is None else [last]))
+        live = left
     if labels is None:
         return live.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    scratch.drop(live)
     return labels

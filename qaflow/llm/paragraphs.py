@@ -1,27 +1,30 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-Paragraphs are of three kinds, all of at least ``block`` words. Lines are the natural ones. Since a passage
-may stand anywhere within longer lines, there are also blocks of exactly ``block`` words that begin at
-words picked by winnowing (the least shingle hash among ``winnow`` positions in a row). The choice depends
-on nearby words only, so any passage of ``winnow + block - 1`` words (51 by default) has a whole block that is
-cut alike wherever the passage stands. An edit within a block takes it far below the threshold, so there are also
-runs of ``run`` words that begin at the same words and are still similar after one.
-
-Paragraphs of equal words share an id. MinHash values of their five-word shingles are banded; paragraphs
-that collide in a band are compared by exact Jaccard similarity of their shingle sets; linked ones form
-components. In a component that spans documents the first occurrence stays and the others are removals.
+Paragraphs are of three kinds. Lines are the natural ones: a line of at least ``line`` words, or shorter lines in a
+row that have as many together. Since a passage may stand anywhere within longer lines, there are also blocks of
+exactly ``block`` words that begin at words picked by winnowing (the least shingle hash among ``winnow`` positions
+in a row). The choice depends on nearby words only, so any passage of ``winnow + block - 1`` words (51 by default) has
+a whole block that is cut alike wherever the passage stands. An edit within a block takes it far below the
+threshold, so there are also runs of ``run`` words that begin at the same words and are still similar after one. A text
+shorter than a block is one paragraph if it has a shingle.
+
+Paragraphs of equal words share an id. MinHash values of their five-word shingles are banded, with the same bands
+for all kinds; paragraphs that collide in a band are compared by exact Jaccard similarity of their shingle sets; linked
+ones form components. In a component that spans documents the first occurrence stays and the others are removals.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from qaflow.llm.common import free_shuffles, materialize, packed
+from qaflow.llm.common import Scratch, packed
 from qaflow.llm.components import connected_components
 
 
@@ -35,20 +38,22 @@ def bands_for(threshold: float, rows: int, recall: float) -> int:
 
 @dataclass(frozen=True)
 class ParagraphConfig:
-    """With the defaults, nine bands of four values find a pair of paragraphs at 0.8 with probability 0.991, one at 0.9 with 0.9999.
+    """With the defaults, six bands of three values find a pair of paragraphs at 0.8 with probability 0.982, one at 0.9 with 0.9996.
 
     Blocks are short, so an edit within one takes it far below the threshold; they are there for passages
-    that repeat word by word. A run of 50 words has 46 shingles, so one edit leaves a similarity of 0.804. ``most`` different
+    that repeat word by word. A run of 50 words has 46 shingles, so one edit leaves a similarity of 0.804. ``line`` may be as
+    low as ``shingle``; then boilerplate lines of a few words are found as well. ``most`` different
     paragraphs with ``most_shingles`` shingles are compared in one task; larger buckets are compared block by block.
     """
 
     block: int = 20
+    line: int = 20
     run: int = 50
     winnow: int = 32
     shingle: int = 5
     threshold: float = 0.8
-    rows: int = 4
-    recall: float = 0.99
+    rows: int = 3
+    recall: float = 0.98
     most: int = 1024
     most_shingles: int = 4 << 20
 
@@ -111,21 +116,33 @@ class Cut:
         n = len(self.begin)
         self.first = self.last = np.zeros(0, np.int64)
         self.shingles = np.zeros(0, np.uint64)
-        if n < config.block:
+        if n < config.shingle:
             return
         self.words = _range_hash(raw.astype(np.uint64) + np.uint64(1), self.begin, self.end)
         at = np.arange(n - config.shingle + 1)
         self.shingles = _range_hash(self.words, at, at + config.shingle)
+        if n < config.block:
+            self.lines, self.first, self.last = 1, np.zeros(1, np.int64), np.full(1, n, np.int64)
+            return
         starts = self._anchors(self.shingles[: n - config.block + 1], config.winnow)
-        breaks = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(raw == 10, out=breaks[1:])
+        first, last = self._natural(n, config.line)
+        self.lines = len(first)  # lines come first, then blocks, then runs
+        runs = starts[starts + config.run <= n]
+        self.first = np.concatenate([first, starts, runs])
+        self.last = np.concatenate([last, starts + config.block, runs + config.run])
+
+    def _natural(self, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word ranges of the lines that have ``least`` words, and of shorter lines in a row that have them together."""
+        breaks = np.zeros(len(self.raw) + 1, np.int64)
+        np.cumsum(self.raw == 10, out=breaks[1:])
         turn = np.flatnonzero(breaks[self.begin[1:]] > breaks[self.end[:-1]]) + 1
         first, last = np.concatenate([[0], turn]), np.concatenate([turn, [n]])
-        long = last - first > config.block
-        self.lines = int(long.sum())  # lines come first, then blocks, then runs
-        runs = starts[starts + config.run <= n]
-        self.first = np.concatenate([first[long], starts, runs])
-        self.last = np.concatenate([last[long], starts + config.block, runs + config.run])
+        long = last - first >= least
+        opens = np.ones(len(first), bool)
+        opens[1:] = long[1:] | long[:-1]
+        first, last = first[opens], np.append(first[opens][1:], n)
+        whole = last - first >= least
+        return first[whole], last[whole]
 
     @staticmethod
     def _anchors(keys: np.ndarray, winnow: int) -> np.ndarray:
@@ -142,19 +159,17 @@ class Cut:
         """One number per paragraph; equal words give equal numbers."""
         return _range_hash(self.words, self.first, self.last).view(np.int64) if len(self.first) else np.zeros(0, np.int64)
 
-    def band_keys(self, config: ParagraphConfig) -> tuple[np.ndarray, np.ndarray]:
-        """(paragraph numbers, keys): for each band of a paragraph a key of its least hashed shingles."""
+    def band_keys(self, config: ParagraphConfig) -> np.ndarray:
+        """For each band (row) and paragraph (column) a key of its least hashed shingles."""
         n, bands, rows = len(self.first), config.bands, config.rows
         bounds = np.stack([self.first, self.last - config.shingle + 1], 1).ravel()
         values = np.zeros(len(self.shingles) + 1, np.uint64)
-        least = np.zeros((bands, rows, n), np.uint64)
+        keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], n, 1)
         for i in range(bands * rows):
             np.multiply(self.shingles, _ODD[i], out=values[:-1])
-            least[i // rows, i % rows] = np.minimum.reduceat(values, bounds)[::2]
-        keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], n, 1)
-        for row in range(rows):
-            keys = _mix(keys * np.uint64(0xC2B2AE3D27D4EB4F) + least[:, row])
-        return np.tile(np.arange(n), bands), keys.ravel().view(np.int64)
+            least = np.minimum.reduceat(values, bounds)[::2]
+            keys[i // rows] = _mix(keys[i // rows] * np.uint64(0xC2B2AE3D27D4EB4F) + least)
+        return keys.view(np.int64)
 
     def word_chars(self) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each word in code points of the text."""
@@ -169,23 +184,55 @@ class Cut:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, text): ``version`` is a hash of the text, which tells rows of one doc_id apart."""
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text")
     )
 
 
-def occurrences(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
-    """(uid, doc_id, span): every paragraph of every text; ``span`` is its start * 2^32 + end in code points."""
+#: Rows of both tables that one pass over the texts gives; ``kind`` tells them apart.
+_OCCURRENCE = "uid long, doc_id long, version long, span long"
+
+
+def _signature(config: ParagraphConfig) -> str:
+    return ", ".join(["uid long", *[f"k{i} long" for i in range(config.bands)]])
+
+
+def cut_texts(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
+    """Rows of two kinds, from one pass over the texts.
+
+    ``occurrences``: (uid, doc_id, version, span) for every paragraph of every text; ``span`` is its start * 2^32 + end
+    in code points. ``signatures``: (uid, k0, k1, ...) with the band keys of paragraphs. A task gives a paragraph's signature
+    once (again only after a million others), so a passage that all documents share makes few rows a task.
+    """
+    names = ["kind", "uid", "doc_id", "version", "span", *[f"k{i}" for i in range(config.bands)]]
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 cut = Cut(text.as_py(), config)
-                if len(cut.first):
-                    a, b = cut.chars()
-                    yield pa.RecordBatch.from_arrays([pa.array(cut.ids()), pa.array(np.full(len(a), doc, np.int64)), pa.array((a << 32) | b)], ["uid", "doc_id", "span"])
+                n = len(cut.first)
+                if not n:
+                    continue
+                ids = cut.ids()
+                a, b = cut.chars()
+                none = [pa.nulls(n, pa.int64())] * config.bands
+                cells = [pa.array(["occurrences"] * n), pa.array(ids), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, version, np.int64)), pa.array((a << 32) | b)]
+                yield pa.RecordBatch.from_arrays([*cells, *none], names)
+                new = [i for i, x in enumerate(ids.tolist()) if x not in seen]
+                if not new:
+                    continue
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                seen.update(ids[new].tolist())
+                keys = cut.band_keys(config)[:, new]
+                m = len(new)
+                cells = [pa.array(["signatures"] * m), pa.array(ids[new]), *[pa.nulls(m, pa.int64())] * 3]
+                yield pa.RecordBatch.from_arrays([*cells, *[pa.array(k) for k in keys]], names)
 
-    return _texts(docs).mapInArrow(_gathered(run), "uid long, doc_id long, span long")
+    schema = "kind string, " + _OCCURRENCE + ", " + _signature(config).partition(", ")[2]
+    return _texts(docs).mapInArrow(_gathered(run), schema)
 
 
 def _gathered(run, rows: int = 20_000):
@@ -205,32 +252,6 @@ def _gathered(run, rows: int = 20_000):
     return joined
 
 
-def band_rows(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
-    """(key, uid): the band keys of paragraphs. A task gives a paragraph once, so a passage that all documents share makes a row a task."""
-
-    def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for text in batch.column(0):
-                cut = Cut(text.as_py(), config)
-                if not len(cut.first):
-                    continue
-                ids = cut.ids()
-                new = [i for i, x in enumerate(ids.tolist()) if x not in seen]
-                if not new:
-                    continue
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                seen.update(ids[new].tolist())
-                fresh = np.zeros(len(ids), bool)
-                fresh[new] = True
-                number, keys = cut.band_keys(config)
-                kept = fresh[number]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(ids[number[kept]])], ["key", "uid"])
-
-    return _texts(docs).select("text").mapInArrow(_gathered(run), "key long, uid long")
-
-
 def collisions(rows: DataFrame) -> DataFrame:
     """(key, uid) of the buckets that hold different paragraphs, each pair once."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -326,9 +347,9 @@ def verified_links(collided: DataFrame, shingles: DataFrame, config: ParagraphCo
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
-    """(uid, size, shingles) of the ``wanted`` (uid, doc_id) paragraphs; shingles are sorted distinct 64-bit hashes as bytes.
+    """(uid, size, shingles) of the ``wanted`` (uid, doc_id, version) paragraphs; shingles are sorted distinct 64-bit hashes as bytes.
 
-    A doc_id that several rows share may give a paragraph twice, which does no harm in ``verified_links``.
+    Repeated rows may give a paragraph twice, which does no harm in ``verified_links``.
     """
 
     def run(batches):
@@ -344,8 +365,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, config: ParagraphConfig = P
             sizes = pa.array([len(b) // 8 for b in blobs], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), sizes, pa.array(blobs, pa.binary())], ["uid", "size", "shingles"])
 
-    lists = wanted.groupBy("doc_id").agg(F.collect_set("uid").alias("want"))
-    return _texts(docs).join(lists, "doc_id").select("text", "want").mapInArrow(run, "uid long, size long, shingles binary")
+    lists = wanted.groupBy("doc_id", "version").agg(F.collect_set("uid").alias("want"))
+    return _texts(docs).join(lists, ["doc_id", "version"]).select("text", "want").mapInArrow(run, "uid long, size long, shingles binary")
 
 
 def _placed(text: bytes, spans: list[int], config: ParagraphConfig):
@@ -368,36 +389,70 @@ def _agree(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def surroundings(docs: DataFrame, flagged: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
-    """(component_id, before, after): hashes of the ``winnow`` words on each side of the kept occurrence, nearest first."""
+_LOW = (1 << 32) - 1
+
+
+def _low(span: str):
+    return F.col(span).bitwiseAND(F.lit(_LOW))
+
+
+def _high(span: str):
+    return F.shiftright(span, 32)
+
+
+def chains(hits: DataFrame) -> DataFrame:
+    """Occurrences of one text that touch and lie as their kept ones do, as one passage each.
+
+    Columns: doc_id, version, keeper_id, keeper_version, removed, component_id (the least), a and b (code points), ka and kb (of the
+    kept passage). Paragraphs overlap many times over, so there are far fewer passages than occurrences.
+    """
+    starts = hits.select("*", _high("span").alias("a"), _low("span").alias("b"), _high("keeper_span").alias("ka"), _low("keeper_span").alias("kb"))
+    # what stays is listed where it is; what goes is aligned with the occurrence that stays
+    apart = F.when(F.col("removed"), F.col("a") - F.col("ka")).otherwise(0)
+    keys = ["doc_id", "version", "keeper_id", "keeper_version", "removed", "apart"]
+    order = Window.partitionBy(*keys).orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = starts.withColumn("apart", apart).withColumn("opens", F.when(F.col("a") <= reach, 0).otherwise(1))
+    numbered = opened.withColumn("chain", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = [F.min("component_id").alias("component_id"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("ka").alias("ka"), F.max("kb").alias("kb")]
+    return numbered.groupBy(*keys, "chain").agg(*ends).drop("chain", "apart")
+
+
+def surroundings(docs: DataFrame, passages: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
+    """(keeper_id, keeper_version, ka, kb, before, after): hashes of the ``winnow`` words on each side of kept passages, nearest first."""
 
     def run(batches):
         for batch in batches:
-            for text, want in zip(batch.column(0), batch.column(1).to_pylist()):
-                cut, placed = _placed(text.as_py(), [w["span"] for w in want], config)
+            for doc, version, text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                spans = [w["ka"] << 32 | w["kb"] for w in want]
+                cut, placed = _placed(text.as_py(), spans, config)
                 if placed:
                     before = [cut.words[max(0, i - config.winnow) : i][::-1].tobytes() for _, i, _ in placed]
                     after = [cut.words[j : j + config.winnow].tobytes() for _, _, j in placed]
-                    roots = [want[k]["component_id"] for k, _, _ in placed]
-                    yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["component_id", "before", "after"])
+                    ka, kb = ([want[k][c] for k, _, _ in placed] for c in ("ka", "kb"))
+                    cells = [[doc] * len(placed), [version] * len(placed), ka, kb]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cells], pa.array(before, pa.binary()), pa.array(after, pa.binary())], names)
 
-    heads = flagged.select("component_id", "keeper").distinct()
-    lists = heads.groupBy(F.col("keeper.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("component_id", F.col("keeper.span").alias("span"))).alias("want"))
-    found = _texts(docs).join(lists, "doc_id").select("text", "want").mapInArrow(run, "component_id long, before binary, after binary")
-    return found.groupBy("component_id").agg(F.min(F.struct("before", "after")).alias("around"))  # a doc_id may have several rows
+    names = ["keeper_id", "keeper_version", "ka", "kb", "before", "after"]
+    heads = passages.where("removed").select(*names[:4]).distinct()
+    lists = heads.groupBy(F.col("keeper_id").alias("doc_id"), F.col("keeper_version").alias("version")).agg(F.collect_list(F.struct("ka", "kb")).alias("want"))
+    found = _texts(docs).join(lists, ["doc_id", "version"]).select("doc_id", "version", "text", "want")
+    schema = "keeper_id long, keeper_version long, ka long, kb long, before binary, after binary"
+    return found.mapInArrow(run, schema).dropDuplicates(names[:4])
 
 
-def extensions(docs: DataFrame, hits: DataFrame, around: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
-    """(doc_id, component_id, span, wide): removed spans, and what they become with the words beside them that equal those of the kept occurrence.
+def extended(docs: DataFrame, passages: DataFrame, around: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
+    """(doc_id, version, keeper_id, component_id, a, b): removed passages with the words beside them that equal those of the kept passage.
 
     Blocks of a common passage begin at most ``winnow`` words apart and from its ends, so ``winnow`` words on each side
-    close all gaps. If several rows share a doc_id, the words on which all of them agree are taken.
+    close all gaps. Repeated rows give a passage once.
     """
+    names = ["doc_id", "version", "keeper_id", "component_id", "a", "b"]
 
     def run(batches):
         for batch in batches:
-            for doc, text, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                cut, placed = _placed(text.as_py(), [w["span"] for w in want], config)
+            for doc, version, text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                cut, placed = _placed(text.as_py(), [w["a"] << 32 | w["b"] for w in want], config)
                 if not placed:
                     continue
                 starts, ends = cut.word_chars()
@@ -407,72 +462,84 @@ def extensions(docs: DataFrame, hits: DataFrame, around: DataFrame, config: Para
                     left = _agree(cut.words[max(0, i - config.winnow) : i][::-1], np.frombuffer(w["before"], np.uint64))
                     right = _agree(cut.words[j : j + config.winnow], np.frombuffer(w["after"], np.uint64))
                     a = int(starts[i - left])
-                    if w["keeper"]["doc_id"] == doc:  # a later repeat in the document that keeps the first
-                        a = min(int(starts[i]), max(a, w["keeper"]["span"] & ((1 << 32) - 1)))
-                    out.append((w["component_id"], w["span"], a, int(ends[j + right - 1])))
-                roots, spans, a, b = (pa.array(x, pa.int64()) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(out), pa.int64()), roots, spans, a, b], ["doc_id", "component_id", "span", "a", "b"])
+                    if (w["keeper_id"], w["keeper_version"]) == (doc, version):  # a later repeat in the text that keeps the first
+                        a = min(int(starts[i]), max(a, w["kb"]))
+                    out.append((doc, version, w["keeper_id"], w["component_id"], a, int(ends[j + right - 1])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)
 
-    each = hits.where("removed").join(around, "component_id")
-    cells = F.struct("component_id", "span", "keeper", F.col("around.before").alias("before"), F.col("around.after").alias("after"))
-    lists = each.groupBy("doc_id").agg(F.collect_list(cells).alias("want"))
-    made = _texts(docs).join(lists, "doc_id").select("doc_id", "text", "want").mapInArrow(run, "doc_id long, component_id long, span long, a long, b long")
-    return made.groupBy("doc_id", "component_id", "span").agg((F.shiftleft(F.max("a"), 32).bitwiseOR(F.min("b"))).alias("wide"))
+    # no aggregate on top, so that adaptive execution can split a passage that very many documents share
+    each = passages.where("removed").join(around, ["keeper_id", "keeper_version", "ka", "kb"])
+    cells = F.struct("component_id", "keeper_id", "keeper_version", "a", "b", "kb", "before", "after")
+    lists = each.groupBy("doc_id", "version").agg(F.collect_list(cells).alias("want"))
+    made = _texts(docs).join(lists, ["doc_id", "version"]).select("doc_id", "version", "text", "want")
+    return made.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
 def repeated(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
-    """One row per occurrence of a paragraph that repeats, exactly or nearly, across documents.
-
-    Columns: component_id (of its component, a number), first_doc_id (the document whose occurrence
-    stays), doc_id, start and end (code points), removed. Removed spans reach over the neighbouring words that
-    equal those of the occurrence that stays, so all of a common passage is listed. Repeats within one document alone are left.
-    Rows whose doc_id or text is null are left alone, as nothing could name them; texts shorter than
-    ``block`` words have no paragraphs. Repeated rows of one doc_id each give their occurrences.
-    Other columns are ignored; an empty table gives an empty result.
+    """One row per passage: paragraphs that repeat, exactly or nearly, across documents, joined where they touch.
+
+    Columns: component_id (of its component, a number; the least where several are joined), first_doc_id (the document whose
+    occurrence stays), doc_id, text_key (a hash of the text), start and end (code points), removed. Removed spans reach
+    over the neighbouring words that equal those of the occurrence that stays, so all of a common passage is listed.
+    Repeats within one doc_id alone are left. Rows whose doc_id or text is null are left alone, as nothing could name
+    them; texts of fewer words than a shingle have no paragraphs. Repeated rows give their passages once. Other columns are ignored; an empty
+    table gives an empty result.
     """
-    spark = docs.sparkSession
-    collided = materialize(collisions(band_rows(docs, config)), "collided")
-    free_shuffles(spark)
+    scratch = Scratch(docs.sparkSession)
+    cuts, signatures = scratch.write_kinds(cut_texts(docs, config), "cuts", "occurrences", "signatures")
+    found = cuts.select("uid", "doc_id", "version", "span")
+    # one band at a time, so that only one band's keys are on disk twice
+    bands = [scratch.write(collisions(signatures.select(F.col(f"k{i}").alias("key"), "uid")), "collided") for i in range(config.bands)]
+    scratch.drop(signatures)
+    collided = reduce(DataFrame.unionByName, bands)
     near = collided.select("uid").distinct().withColumn("near", F.lit(True))
-    found = materialize(occurrences(docs, config), "occurrences")
-    groups = found.groupBy("uid").agg(
-        F.min(F.struct("doc_id", "span")).alias("first"), F.max("doc_id").alias("last_doc")
-    )
+    groups = found.groupBy("uid").agg(F.min(F.struct("doc_id", "version", "span")).alias("first"), F.max("doc_id").alias("last_doc"))
     kept = groups.join(near, "uid", "left").where("near OR first.doc_id < last_doc")
-    kept = materialize(kept.select("uid", "first", "last_doc", F.coalesce("near", F.lit(False)).alias("near")), "paragraphs")
-    free_shuffles(spark)
-    sets = shingle_sets(docs, kept.where("near").select("uid", F.col("first.doc_id").alias("doc_id")), config)
-    sets = materialize(sets, "shingles")
-    free_shuffles(spark)
-    roots = connected_components(verified_links(collided, sets, config))
+    kept = scratch.write(kept.select("uid", "first", "last_doc", F.coalesce("near", F.lit(False)).alias("near")), "paragraphs")
+    sets = scratch.write(shingle_sets(docs, kept.where("near").select("uid", "first.doc_id", "first.version"), config), "shingles")
+    links = scratch.write(verified_links(collided, sets, config), "links")
+    scratch.drop(sets, *bands)
+    roots = connected_components(links)
     rooted = kept.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    spread = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.min_by("uid", F.struct("first", "uid")).alias("kept_uid"), F.max("last_doc").alias("last_doc")).where("keeper.doc_id < last_doc")
-    flagged = materialize(rooted.select("uid", "root").join(spread, "root").select("uid", F.col("root").alias("component_id"), "keeper", (F.col("uid") == F.col("kept_uid")).alias("same")), "flagged")
-    free_shuffles(spark)
-    # no aggregate on top, so that adaptive execution can split a passage that very many documents share
-    # overlapping runs of one document are similar to each other: where the first occurrence stays, only its equals after it go
-    again = F.col("same") & (F.shiftright("span", 32) >= F.col("keeper.span").bitwiseAND(F.lit((1 << 32) - 1)))
-    removed = ((F.col("doc_id") != F.col("keeper.doc_id")) | again).alias("removed")
-    hits = materialize(found.join(flagged, "uid").select("component_id", "keeper", "doc_id", "span", removed), "hits")
-    free_shuffles(spark)
-    around = materialize(surroundings(docs, flagged, config), "surroundings")
-    wide = materialize(extensions(docs, hits, around, config), "extensions")
-    free_shuffles(spark)
-    rows = hits.join(wide, ["doc_id", "component_id", "span"], "left").withColumn("wide", F.coalesce("wide", "span"))
-    return rows.select(
+    rooted = scratch.write(rooted.select("uid", "root", "first", "last_doc"), "rooted")
+    scratch.drop(links, kept)
+    head = F.min_by("uid", F.struct("first", "uid")).alias("kept_uid")
+    spread = rooted.groupBy("root").agg(F.min("first").alias("keeper"), head, F.max("last_doc").alias("last_doc")).where("keeper.doc_id < last_doc")
+    keeper = [F.col(f"keeper.{x}").alias(y) for x, y in (("doc_id", "keeper_id"), ("version", "keeper_version"), ("span", "keeper_span"))]
+    same = (F.col("uid") == F.col("kept_uid")).alias("same")
+    flagged = scratch.write(rooted.select("uid", "root").join(spread, "root").select("uid", F.col("root").alias("component_id"), *keeper, same), "flagged")
+    scratch.drop(rooted)
+    # overlapping runs of one text are similar to each other: in the document whose occurrence stays, only its equals after it go
+    again = F.col("same") & ((F.col("version") != F.col("keeper_version")) | (_high("span") >= _low("keeper_span")))
+    removed = ((F.col("doc_id") != F.col("keeper_id")) | again).alias("removed")
+    # no aggregate on this join, so that adaptive execution can split a passage that very many documents share
+    hits = found.join(flagged, "uid").select("component_id", *[f"keeper_{x}" for x in ("id", "version", "span")], "doc_id", "version", "span", removed)
+    passages = scratch.write(chains(hits), "passages")
+    scratch.drop(cuts, flagged)
+    around = scratch.write(surroundings(docs, passages, config), "surroundings")
+    wide = extended(docs, passages, around, config).withColumn("removed", F.lit(True))
+    stay = passages.where("NOT removed").select("doc_id", "version", "keeper_id", "component_id", "a", "b", "removed")
+    return wide.unionByName(stay).select(
         "component_id",
-        F.col("keeper.doc_id").alias("first_doc_id"),
+        F.col("keeper_id").alias("first_doc_id"),
         "doc_id",
-        F.shiftright("wide", 32).cast("int").alias("start"),
-        F.col("wide").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"),
+        F.col("version").alias("text_key"),
+        F.col("a").cast("int").alias("start"),
+        F.col("b").cast("int").alias("end"),
         "removed",
     )
 
 
 def remove(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
-    """The rows of ``docs`` with removals cut out of ``text``; overlapping removals are cut once, other columns are kept."""
-    spans = repeated(docs, config).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-    joined = packed(docs, F.col("doc_id").cast("long").alias("doc_id")).join(spans, "doc_id", "left")
+    """The rows of ``docs`` with removals cut out of ``text``; overlapping removals are cut once, other columns are kept.
+
+    Cuts are named by doc_id and text, so a doc_id that several texts share does no harm; repeated rows are all cut
+    alike. Rows with a null doc_id or text, texts without removals and an empty table pass through. A text may become empty.
+    """
+    cuts = F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts")
+    spans = repeated(docs, config).where("removed").groupBy("doc_id", "text_key").agg(cuts)
+    keyed = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    joined = keyed.join(spans, ["doc_id", "text_key"], "left")
     text = F.col("row").getField("text")
     # acc: the text so far and where the last cut ended
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))

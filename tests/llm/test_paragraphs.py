@@ -28,8 +28,7 @@ def test_every_passage_of_51_words_shares_a_block():
 
 
 def keys_of(cut):
-    number, keys = cut.band_keys(CONFIG)
-    return [set(keys[number == i].tolist()) for i in range(len(cut.first))]
+    return [set(k) for k in cut.band_keys(CONFIG).T.tolist()]
 
 
 def test_blocks_and_runs_have_all_bands():
@@ -61,6 +60,70 @@ def test_edited_passage_inside_lines_is_found():
     assert met >= 70
 
 
+def collide(a, b):
+    """Whether the whole-text paragraphs of two texts meet in a band, and their exact similarity."""
+    x, y = (P.Cut(" ".join(w).encode(), CONFIG) for w in (a, b))
+    sets = [set(c.shingles.tolist()) for c in (x, y)]
+    return bool(keys_of(x)[0] & keys_of(y)[0]), exact(*sets)
+
+
+@pytest.mark.parametrize("words", [20, 50, 200])
+@pytest.mark.parametrize("level", [0.8, 0.9])
+def test_recall_of_each_kind(words, level):
+    """Blocks, runs and lines: pairs by brute force at a similarity of just the level or more, found in at least 0.9 of cases."""
+    rng = random.Random(words * 10 + int(level * 10))
+    met = tried = 0
+    while tried < 200:
+        base = prose(rng, words)
+        other = list(base)
+        for _ in range(rng.randint(1, max(1, words // 40))):
+            other[rng.choice([0, 1, len(other) - 1, rng.randrange(len(other))])] = "edit%d" % rng.randrange(10_000)
+        hit, similarity = collide(base, other)
+        if not level <= similarity < level + 0.1 - 1e-9 and not (level == 0.9 and similarity >= 0.9):
+            if words == 20 and level == 0.9:  # no edit leaves a block so similar: equal ones share an id
+                return
+            continue
+        tried += 1
+        met += hit
+    assert met >= 0.9 * tried
+
+
+def test_short_lines_in_a_row_are_one_paragraph():
+    rng = random.Random(8)
+    long = prose(rng, 40)
+    short = [prose(rng, 9) for _ in range(3)]
+    text = "\n".join(" ".join(x) for x in [long, *short, long, prose(rng, 7)])
+    cut = P.Cut(text.encode(), CONFIG)
+    natural = list(zip(cut.first[: cut.lines].tolist(), cut.last[: cut.lines].tolist()))
+    assert natural == [(0, 40), (40, 67), (67, 107)]
+    each = P.Cut(text.encode(), P.ParagraphConfig(line=5))
+    assert each.lines == 6
+    assert P.Cut(b"just six words in one text", CONFIG).lines == 1 and not len(P.Cut(b"no shingle here", CONFIG).first)
+
+
+def test_short_lines_that_repeat(spark):
+    rng = random.Random(10)
+    docs = [(i, " ".join(prose(rng, 60)) + "\nthe same nine words at the end of it\n" + " ".join(prose(rng, 60))) for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert P.repeated(df).count() == 0
+    cleaned = P.remove(df, P.ParagraphConfig(line=5)).collect()
+    assert {r["doc_id"] for r in cleaned if "nine words" in r["text"]} == {0}
+    assert all(len(r["text"].split()) == 120 for r in cleaned if r["doc_id"])
+
+
+def test_texts_that_share_a_doc_id(spark):
+    rng = random.Random(11)
+    passage, own = prose(rng, 80), [prose(rng, 90) for _ in range(3)]
+    docs = [(3, " ".join(own[0] + passage)), (5, " ".join(own[1][:30] + passage + own[1][30:])), (5, " ".join(own[2])), (5, " ".join(own[2]))]
+    cleaned = sorted((r["doc_id"], r["text"]) for r in P.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert cleaned == sorted([(3, docs[0][1]), (5, cleaned_text(docs[1][1], passage)), (5, docs[2][1]), (5, docs[2][1])])
+
+
+def cleaned_text(text, passage):
+    before, after = text.split(" ".join(passage))
+    return before + after
+
+
 def test_positions_are_code_points():
     rng = random.Random(2)
     text = "é" + " ß ".join(prose(rng, 80)) + "\n日本 " + "  ".join(prose(rng, 40))
