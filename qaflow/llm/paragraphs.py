@@ -8,9 +8,9 @@ a whole block that is cut alike wherever the passage stands. An edit within a bl
 threshold, so there are also runs of ``run`` words that begin at the same words and are still similar after one. A text
 shorter than a block is one paragraph if it has a shingle.
 
-Paragraphs of equal words share an id. MinHash values of their five-word shingles are banded, with the same bands
-for all kinds; paragraphs that collide in a band are compared by exact Jaccard similarity of their shingle sets; linked
-ones form components. In a component that spans documents the first occurrence stays and the others are removals.
+Paragraphs of equal words share an id; blocks are compared by it alone. MinHash values of the five-word shingles of lines and
+runs are banded; those of a kind that collide in a band are compared by exact Jaccard similarity of their shingle sets;
+linked ones form components. In a component that spans documents the first occurrence stays and the others are removals.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ class ParagraphConfig:
     """With the defaults, six bands of three values find a pair of paragraphs at 0.8 with probability 0.982, one at 0.9 with 0.9996.
 
     Blocks are short, so an edit within one takes it far below the threshold; they are there for passages
-    that repeat word by word. A run of 50 words has 46 shingles, so one edit leaves a similarity of 0.804. ``line`` may be as
+    that repeat word by word, and equal ones are always found. A run of 50 words has 46 shingles, so one edit leaves a similarity of 0.804. ``line`` may be as
     low as ``shingle``; then boilerplate lines of a few words are found as well. ``most`` different
     paragraphs with ``most_shingles`` shingles are compared in one task; larger buckets are compared block by block.
     """
@@ -62,6 +62,7 @@ class ParagraphConfig:
         return bands_for(self.threshold, self.rows, self.recall)
 
 
+_LOW = (1 << 32) - 1
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -112,7 +113,7 @@ class Cut:
         turns = np.flatnonzero(edge[1:] != edge[:-1])
         self.begin, self.end = turns[::2], turns[1::2]
         self.raw = raw
-        self.lines = 0
+        self.lines = self.blocks = 0
         n = len(self.begin)
         self.first = self.last = np.zeros(0, np.int64)
         self.shingles = np.zeros(0, np.uint64)
@@ -126,7 +127,7 @@ class Cut:
             return
         starts = self._anchors(self.shingles[: n - config.block + 1], config.winnow)
         first, last = self._natural(n, config.line)
-        self.lines = len(first)  # lines come first, then blocks, then runs
+        self.lines, self.blocks = len(first), len(starts)  # lines come first, then blocks, then runs
         runs = starts[starts + config.run <= n]
         self.first = np.concatenate([first, starts, runs])
         self.last = np.concatenate([last, starts + config.block, runs + config.run])
@@ -159,17 +160,18 @@ class Cut:
         """One number per paragraph; equal words give equal numbers."""
         return _range_hash(self.words, self.first, self.last).view(np.int64) if len(self.first) else np.zeros(0, np.int64)
 
-    def band_keys(self, config: ParagraphConfig) -> np.ndarray:
-        """For each band (row) and paragraph (column) a key of its least hashed shingles."""
-        n, bands, rows = len(self.first), config.bands, config.rows
-        bounds = np.stack([self.first, self.last - config.shingle + 1], 1).ravel()
+    def band_keys(self, config: ParagraphConfig) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the lines and runs, and for each band (row) and each of them (column) a key of its least hashed shingles and its kind."""
+        number = np.concatenate([np.arange(self.lines), np.arange(self.lines + self.blocks, len(self.first))])
+        bounds = np.stack([self.first[number], self.last[number] - config.shingle + 1], 1).ravel()
         values = np.zeros(len(self.shingles) + 1, np.uint64)
-        keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], n, 1)
-        for i in range(bands * rows):
+        kind = (number >= self.lines).astype(np.uint64)
+        keys = np.arange(2, 2 * config.bands + 2, 2, dtype=np.uint64)[:, None] + kind
+        for i in range(config.bands * config.rows if len(number) else 0):
             np.multiply(self.shingles, _ODD[i], out=values[:-1])
             least = np.minimum.reduceat(values, bounds)[::2]
-            keys[i // rows] = _mix(keys[i // rows] * np.uint64(0xC2B2AE3D27D4EB4F) + least)
-        return keys.view(np.int64)
+            keys[i // config.rows] = _mix(keys[i // config.rows] * np.uint64(0xC2B2AE3D27D4EB4F) + least)
+        return number, keys.view(np.int64)
 
     def word_chars(self) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each word in code points of the text."""
@@ -190,49 +192,43 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-#: Rows of both tables that one pass over the texts gives; ``kind`` tells them apart.
-_OCCURRENCE = "uid long, doc_id long, version long, span long"
-
-
-def _signature(config: ParagraphConfig) -> str:
-    return ", ".join(["uid long", *[f"k{i} long" for i in range(config.bands)]])
-
-
 def cut_texts(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
-    """Rows of two kinds, from one pass over the texts.
+    """Rows of two kinds, told apart by ``kind``, from one pass over the texts.
 
     ``occurrences``: (uid, doc_id, version, span) for every paragraph of every text; ``span`` is its start * 2^32 + end
-    in code points. ``signatures``: (uid, k0, k1, ...) with the band keys of paragraphs. A task gives a paragraph's signature
-    once (again only after a million others), so a passage that all documents share makes few rows a task.
+    in code points. ``signatures``: (uid, version, span, k0, k1, ...) with the band keys of lines and runs; here ``version``
+    stands for doc_id and text. A task gives a paragraph's signature once (again only after a million others), so a passage
+    that all documents share makes few rows a task.
     """
     names = ["kind", "uid", "doc_id", "version", "span", *[f"k{i}" for i in range(config.bands)]]
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for doc, version, place, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 cut = Cut(text.as_py(), config)
                 n = len(cut.first)
                 if not n:
                     continue
                 ids = cut.ids()
                 a, b = cut.chars()
-                none = [pa.nulls(n, pa.int64())] * config.bands
-                cells = [pa.array(["occurrences"] * n), pa.array(ids), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, version, np.int64)), pa.array((a << 32) | b)]
-                yield pa.RecordBatch.from_arrays([*cells, *none], names)
-                new = [i for i, x in enumerate(ids.tolist()) if x not in seen]
-                if not new:
+                spans = (a << 32) | b
+                cells = [["occurrences"] * n, ids, np.full(n, doc, np.int64), np.full(n, version, np.int64), spans]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cells), *[pa.nulls(n, pa.int64())] * config.bands], names)
+                number, keys = cut.band_keys(config)
+                own = ids[number]
+                new = np.array([i for i, x in enumerate(own.tolist()) if x not in seen], np.int64)
+                m = len(new)
+                if not m:
                     continue
                 if len(seen) > 1 << 20:
                     seen.clear()
-                seen.update(ids[new].tolist())
-                keys = cut.band_keys(config)[:, new]
-                m = len(new)
-                cells = [pa.array(["signatures"] * m), pa.array(ids[new]), *[pa.nulls(m, pa.int64())] * 3]
-                yield pa.RecordBatch.from_arrays([*cells, *[pa.array(k) for k in keys]], names)
+                seen.update(own[new].tolist())
+                cells = [pa.array(["signatures"] * m), pa.array(own[new]), pa.nulls(m, pa.int64()), pa.array(np.full(m, place, np.int64)), pa.array(spans[number[new]])]
+                yield pa.RecordBatch.from_arrays([*cells, *[pa.array(k) for k in keys[:, new]]], names)
 
-    schema = "kind string, " + _OCCURRENCE + ", " + _signature(config).partition(", ")[2]
-    return _texts(docs).mapInArrow(_gathered(run), schema)
+    placed = _texts(docs).select("doc_id", "version", F.xxhash64("doc_id", "version").alias("place"), "text")
+    return placed.mapInArrow(_gathered(run), ", ".join(["kind string", *[f"{c} long" for c in names[1:]]]))
 
 
 def _gathered(run, rows: int = 20_000):
@@ -253,37 +249,66 @@ def _gathered(run, rows: int = 20_000):
 
 
 def collisions(rows: DataFrame) -> DataFrame:
-    """(key, uid) of the buckets that hold different paragraphs, each pair once."""
+    """(key, uid) of the buckets that hold different paragraphs, each pair once, from (key, uid, version, span).
+
+    A run is similar to the next ones of its text, which says nothing about other texts. So a bucket is left out if all
+    its paragraphs overlap in one text, or, for copies, in the first and in the last of the texts named.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        # rows come sorted by (key, uid); ``tail`` is the not yet finished last key
-        tail_key = np.zeros(0, np.int64)
-        tail_uid = np.zeros(0, np.int64)
+        # rows come sorted by (key, uid, version); ``tail`` is the not yet finished last key
+        tail = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            key = np.concatenate([tail_key, batch.column(0).to_numpy()])
-            uid = np.concatenate([tail_uid, batch.column(1).to_numpy()])
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            done = int(np.searchsorted(key, key[-1]))
-            yield busy(key[:done], uid[:done])
-            tail_key, tail_uid = distinct(key[done:], uid[done:])
-        yield busy(tail_key, tail_uid)
-
-    def distinct(key, uid):
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (uid[1:] != uid[:-1])
-        return key[new], uid[new]
-
-    def busy(key, uid):
-        key, uid = distinct(key, uid)
-        same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
+            held = [np.concatenate([t, c.to_numpy()]) for t, c in zip(tail, batch.columns)]
+            done = int(np.searchsorted(held[0], held[0][-1]))
+            yield busy([x[:done] for x in held])
+            tail = outermost([x[done:] for x in held])
+        yield busy(tail)
+
+    def turns(*columns):
+        """Where any of the columns changes, with the start."""
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
+        return new
+
+    def outermost(held):
+        """The rows with the first and the last version of each (key, uid)."""
+        opens = turns(held[0], held[1])
+        keep = opens.copy()
+        keep[:-1] |= opens[1:]
+        keep[-1:] = True
+        return [x[keep] for x in held]
+
+    def busy(held):
+        key, uid, version, span = held
+        opens = turns(key, uid)
+        first = np.flatnonzero(opens)
+        if not len(first):
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(uid)], ["key", "uid"])
+        last = np.append(first[1:], len(key)) - 1
+        key, uid = key[first], uid[first]
+        bucket = np.flatnonzero(turns(key))
+        alone = np.ones(len(bucket), bool)
+        for at in (first, last):
+            where = version[at]
+            same = np.minimum.reduceat(where, bucket) == np.maximum.reduceat(where, bucket)
+            meet = np.maximum.reduceat(span[at] >> 32, bucket) < np.minimum.reduceat(span[at] & _LOW, bucket)
+            alone &= same & meet
+        sizes = np.diff(np.append(bucket, len(key)))
+        keep = np.repeat((sizes > 1) & ~alone, sizes)
         return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(uid[keep])], ["key", "uid"])
 
-    return rows.repartition(n, "key").sortWithinPartitions("key", "uid").mapInArrow(run, "key long, uid long")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "uid", "version").mapInArrow(run, "key long, uid long")
+
+
+def distinct_buckets(collided: DataFrame) -> DataFrame:
+    """The rows of ``collided`` without buckets that hold the same paragraphs as another one, as those of similar ones in several bands do."""
+    parts = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y")]
+    kept = collided.groupBy("key").agg(*parts).groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    return collided.join(kept.select("key"), "key", "left_semi")
 
 
 def jaccard_forest(ids: list[int], sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
@@ -389,9 +414,6 @@ def _agree(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-_LOW = (1 << 32) - 1
-
-
 def _low(span: str):
     return F.col(span).bitwiseAND(F.lit(_LOW))
 
@@ -489,16 +511,17 @@ def repeated(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> Da
     cuts, signatures = scratch.write_kinds(cut_texts(docs, config), "cuts", "occurrences", "signatures")
     found = cuts.select("uid", "doc_id", "version", "span")
     # one band at a time, so that only one band's keys are on disk twice
-    bands = [scratch.write(collisions(signatures.select(F.col(f"k{i}").alias("key"), "uid")), "collided") for i in range(config.bands)]
+    bands = [scratch.write(collisions(signatures.select(F.col(f"k{i}").alias("key"), "uid", "version", "span")), "collided") for i in range(config.bands)]
     scratch.drop(signatures)
-    collided = reduce(DataFrame.unionByName, bands)
+    collided = scratch.write(distinct_buckets(reduce(DataFrame.unionByName, bands)), "buckets")
+    scratch.drop(*bands)
     near = collided.select("uid").distinct().withColumn("near", F.lit(True))
     groups = found.groupBy("uid").agg(F.min(F.struct("doc_id", "version", "span")).alias("first"), F.max("doc_id").alias("last_doc"))
     kept = groups.join(near, "uid", "left").where("near OR first.doc_id < last_doc")
     kept = scratch.write(kept.select("uid", "first", "last_doc", F.coalesce("near", F.lit(False)).alias("near")), "paragraphs")
     sets = scratch.write(shingle_sets(docs, kept.where("near").select("uid", "first.doc_id", "first.version"), config), "shingles")
     links = scratch.write(verified_links(collided, sets, config), "links")
-    scratch.drop(sets, *bands)
+    scratch.drop(sets, collided)
     roots = connected_components(links)
     rooted = kept.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     rooted = scratch.write(rooted.select("uid", "root", "first", "last_doc"), "rooted")
