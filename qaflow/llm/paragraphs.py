@@ -510,8 +510,9 @@ def repeated(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> Da
     scratch = Scratch(docs.sparkSession)
     cuts, signatures = scratch.write_kinds(cut_texts(docs, config), "cuts", "occurrences", "signatures")
     found = cuts.select("uid", "doc_id", "version", "span")
-    # one band at a time, so that only one band's keys are on disk twice
-    bands = [scratch.write(collisions(signatures.select(F.col(f"k{i}").alias("key"), "uid", "version", "span")), "collided") for i in range(config.bands)]
+    # two bands at a time, so that only their keys are on disk twice
+    pairs = [[F.col(f"k{j}") for j in range(i, min(i + 2, config.bands))] for i in range(0, config.bands, 2)]
+    bands = [scratch.write(collisions(signatures.select(F.explode(F.array(*ks)).alias("key"), "uid", "version", "span")), "collided") for ks in pairs]
     scratch.drop(signatures)
     collided = scratch.write(distinct_buckets(reduce(DataFrame.unionByName, bands)), "buckets")
     scratch.drop(*bands)
