@@ -98,8 +98,8 @@ def select_passages(docs: Column, titles: Column, n: int, key: Column, seed: int
 
     def order(docs_, step):
         tag = lambda d: F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(step), d["title"]).cast("binary"))
-        tagged = F.transform(docs_, lambda d: F.struct(tag(d).alias("o"), F.to_json(F.struct(d)).alias("j"), d.alias("d")))
-        return F.transform(F.array_sort(tagged), lambda x: x["d"])
+        tagged = F.transform(docs_, lambda d, i: F.struct(tag(d).alias("o"), i.alias("i")))
+        return F.transform(F.array_sort(tagged), lambda x: F.get(docs_, x["i"]))
 
     if n <= 0:
         return F.transform(order(docs, "mix"), format_passage)

@@ -12,9 +12,18 @@ from qaflow.functions.strings import normalize_answer
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    count = lambda items, t: F.size(F.filter(items, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
+    """Size of the multiset intersection of two token arrays, by one walk over both, sorted together."""
+    tag = lambda items, side: F.transform(items, lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+    # of equal tokens those of ``a`` come first; ``open`` of them wait for a partner
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("open"), F.lit(0).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        waiting = F.when(acc["t"] == x["t"], acc["open"]).otherwise(0)
+        paired = (x["side"] == 1) & (waiting > 0)
+        change = F.when(x["side"] == 0, 1).when(paired, -1).otherwise(0)
+        return F.struct(x["t"].alias("t"), (waiting + change).alias("open"), (acc["n"] + paired.cast("int")).alias("n"))
+
+    return F.aggregate(F.array_sort(F.concat(tag(a, 0), tag(b, 1))), start, step)["n"]
 
 
 def exact_match(prediction: Column, gold: Column, normalize=normalize_answer) -> Column:
@@ -50,10 +59,8 @@ def to_nfd(c: Column) -> Column:
 
 
 def normalize_answer_nfd(c: Column) -> Column:
-    """normalize_answer on decomposed text; word boundaries are those of letters and digits alone, so a mark ends no article."""
-    s = F.regexp_replace(F.lower(to_nfd(F.coalesce(c, F.lit("")))), "\\p{Punct}", "")
-    s = F.regexp_replace(s, "(?<![\\p{L}\\p{N}_])(a|an|the)(?![\\p{L}\\p{N}_])", " ")
-    return F.trim(F.regexp_replace(s, "\\s+", " "))
+    """normalize_answer on decomposed text, where the mark of a letter ends a word."""
+    return normalize_answer(to_nfd(F.coalesce(c, F.lit(""))))
 
 
 def breakdown(scored: DataFrame) -> DataFrame:

@@ -12,7 +12,10 @@ _SPACE = f"[{WS}]"
 _TRIMMED = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Line ends of str.splitlines.
 _LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
-_SPECIAL = "<\\|[^>]+?\\|>"
+SPECIAL = "<\\|[^>]+?\\|>"
+
+#: An article between word boundaries, which are those of letters, digits and "_", so a combining mark ends a word.
+ARTICLE = "(?<![\\p{L}\\p{N}_])(a|an|the)(?![\\p{L}\\p{N}_])"
 
 IDK = "I don't know"
 NO_CONTEXT = "i dont see any relevant context."
@@ -35,6 +38,11 @@ NO_CONTEXT_VARIANTS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it many times inside ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text(c: Column) -> Column:
     """Null becomes the empty string."""
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -79,7 +87,7 @@ def truncate_words(c: Column, most: int) -> Column:
 
 def strip_meta(c: Column) -> Column:
     """Drop <|...|> tokens and sentence tags, collapse white space."""
-    return collapse(F.regexp_replace(F.regexp_replace(text(c), _SPECIAL, " "), "</?s>", " "))
+    return collapse(F.regexp_replace(F.regexp_replace(text(c), SPECIAL, " "), "</?s>", " "))
 
 
 def clean_content(c: Column, bold: bool = True) -> Column:
@@ -115,8 +123,7 @@ def normalize_answer_text(c: Column) -> Column:
 
 def normalize_answer(c: Column) -> Column:
     """Lower case, no ASCII punctuation, articles replaced by a space, white space collapsed."""
-    s = F.regexp_replace(F.lower(text(c)), "\\p{Punct}", "")
-    return collapse(F.regexp_replace(s, "(?U)\\b(a|an|the)\\b", " "))
+    return collapse(F.regexp_replace(F.regexp_replace(F.lower(text(c)), "\\p{Punct}", ""), ARTICLE, " "))
 
 
 def canonical_answer(c: Column, idk: str = IDK, no_context: str = NO_CONTEXT, extra_idk: tuple = ()) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaflow.operators.sampling import sample_classes, shuffle_rank
+from qaflow.shared import write_once
 
 CLASSES = ("correct", "refusal", "negative")
 
@@ -42,7 +43,8 @@ def requested(counts: dict[str, int], strategy: str, ratios: dict[str, float] |
 
 
 def mix(df: DataFrame, keys: list[str], strategy: str, seed: int, ratios=None, target: int = 0, oversample: bool = False) -> DataFrame:
-    """The mixture's rows with their draw number. An empty mixture is an error."""
+    """The mixture's rows with their draw number. An empty mixture is an error. Counting, ranking and picking read ``df`` from one written copy."""
+    df = write_once(df, "mixture")
     counts = class_counts(df)
     if strategy == "natural":
         n = min(target, sum(counts.values())) if target > 0 else sum(counts.values())

@@ -57,3 +57,11 @@ def system_prompt(version: Column, prompts: dict[str, str]) -> Column:
     """The version's prompt; an unknown version is an error."""
     found = F.element_at(F.create_map(*[F.lit(x) for kv in prompts.items() for x in kv]), version)
     return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown prompt version "), F.coalesce(version, F.lit("null")))).cast("string"))
+
+
+def thinking_cap(version: Column, most: int, caps: dict[str, int] | None = None) -> Column:
+    """How many words of thinking a version may have: ``most``, save for versions that ``caps`` names."""
+    found = F.lit(None).cast("int")
+    for v, n in (caps or {}).items():
+        found = F.when(version == v, F.lit(n)).otherwise(found)
+    return F.coalesce(found, F.lit(most))

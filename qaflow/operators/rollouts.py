@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from qaflow.functions.parsers import ordered_tags
 from qaflow.functions.scoring import exact_match
+from qaflow.operators.sampling import hash_int, seeded, shuffle_rank
+from qaflow.shared import write_once
 
 
 def replicate(prompts: DataFrame, group_size: int) -> DataFrame:
@@ -47,6 +49,25 @@ def reward_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def sample_eval(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
+    """``n`` rows drawn with replacement, numbered by ``draw``; all rows once where ``n`` is not positive or not less than their number."""
+    rows = write_once(df, "eval")
+    size = rows.count()
+    ranked = shuffle_rank(rows, keys, seed, name="draw")
+    if n <= 0 or n >= size:
+        return ranked
+    pick = F.pmod(hash_int(seeded([F.col("draw")], seed)), F.lit(size)) + 1
+    draws = df.sparkSession.range(1, n + 1).select(F.col("id").alias("draw")).select("draw", pick.alias("__at"))
+    return draws.join(ranked.withColumnRenamed("draw", "__at"), "__at").select(*df.columns, "draw")
+
+
+def eval_rates(scored: DataFrame, format_weight: float = 0.2, em_weight: float = 0.8) -> DataFrame:
+    """eval_format_rate, eval_em_rate and their weighted sum eval_reward; zeros without rows."""
+    rate = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    found = scored.agg(rate("format_reward").alias("eval_format_rate"), rate("em_reward").alias("eval_em_rate"))
+    return found.withColumn("eval_reward", F.lit(format_weight) * F.col("eval_format_rate") + F.lit(em_weight) * F.col("eval_em_rate"))
+
+
 def grpo_objective(advantage: Column, logp: Column, logp_ref: Column, beta: float) -> Column:
     return advantage * logp - F.lit(beta) * (logp - logp_ref)
 

@@ -162,3 +162,38 @@ def grid(spark, axes: dict[str, list], max_runs: int = 0) -> DataFrame:
         rows = rows.withColumn("__v", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(values)])))
         rows = rows.withColumn("ordinal", F.col("ordinal") * len(values) + F.col("__v.i")).withColumn(name, F.col("__v.v")).drop("__v")
     return rows.where(F.col("ordinal") < max_runs) if max_runs > 0 else rows
+
+
+def missing_tokens(vocabulary: DataFrame, expected: dict[str, str], model: str = "model", token: str = "token") -> DataFrame:
+    """(model, ok, missing_tokens): which of the expected special tokens a model's vocabulary lacks; a model is read once for all its jobs."""
+    wanted = F.array_sort(F.array(*[F.lit(t) for t in set(expected.values())]))
+    known = vocabulary.groupBy(model).agg(F.collect_set(F.when(F.col(token).isin(*expected.values()), F.col(token))).alias("__known"))
+    lacking = F.array_except(wanted, F.col("__known"))
+    return known.select(model, (F.size(lacking) == 0).alias("ok"), lacking.alias("missing_tokens"))
+
+
+def eval_jobs(runs: DataFrame, checkpoints: DataFrame, mode: str) -> DataFrame:
+    """The job table of an evaluation: (job_no, group, run_name, label, step), numbered by group, run and label from 0.
+
+    It has a row for each checkpoint to evaluate, a result table; Spark's scheduler is the worker pool.
+    """
+    targets = eval_targets(checkpoints, mode)
+    jobs = runs.select("run_name", "group").join(targets, "run_name")
+    number = F.row_number().over(Window.orderBy("group", "run_name", "label")) - 1
+    return jobs.select(number.alias("job_no"), "group", "run_name", "label", "step")
+
+
+def sweep(grid_rows: DataFrame, losses: DataFrame, groups: list[str], run: str = "run_name") -> DataFrame:
+    """A mixture sweep's table: each configuration with its status and mean loss, ranked; unfinished ones last."""
+    done = mean_group_loss(losses, groups).select(run, "mean_group_loss", F.lit("ok").alias("status"))
+    joined = grid_rows.join(done, run, "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+    return ranked(joined, "mean_group_loss", run, descending=False)
+
+
+def group_sweep(grid_rows: DataFrame, evals: DataFrame, run: str = "run_name", group: str = "group") -> DataFrame:
+    """A group sweep's table: the best checkpoint of each run, ranked, and whether it is the best of its group."""
+    best = best_checkpoint(evals, run)
+    table = grid_rows.join(best, run, "left").withColumn("status", F.when(F.col("label").isNull(), "pending").otherwise("ok"))
+    tops = best_by_group(table.select(group, run, "exact_match", "status"), "exact_match", run, group)
+    marked = table.join(tops.select(run, F.lit(True).alias("best_of_group")), run, "left")
+    return ranked(marked.withColumn("best_of_group", F.coalesce("best_of_group", F.lit(False))), "exact_match", run)

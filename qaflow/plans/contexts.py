@@ -174,7 +174,46 @@ def parse_bracket(spark, d):
     return rows.select("conv_id", "turn", "p.thinking", "p.answer")
 
 
-@query()
+_BOLDLESS = "trim(regexp_replace(replace(" + _CONTENT + r", '**', ' '), '\s+', ' ', 'g'))"
+_QUOTED = "' ' || chr(9) || chr(10) || chr(13) || '\"''`'"
+_FIELD = "trim(trim(regexp_replace(replace(" + _META + r", '**', ' '), '\s+', ' ', 'g')), " + _QUOTED + ")"
+_LINES = "list_filter(list_transform(string_split({}, chr(10)), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '')"
+
+
+def _final_sql(x: str) -> str:
+    """STR-11 of an SQL expression: its last bold span or all of it, cleaned, without a label and quotes."""
+    bold = f"regexp_extract_all({x}, '(?s)\\*\\*(.+?)\\*\\*', 1)"
+    c = _BOLDLESS.format(f"coalesce({bold}[-1], {x})")
+    c = f"regexp_replace(regexp_replace({c}, '^#+\\s*', ''), '(?i)^\\s*(?:answer|final answer)\\s*[:\\-]\\s*', '')"
+    c = f"trim(trim({c}), {_QUOTED})"
+    return f"CASE WHEN regexp_matches({c}, '(?i)^(facts|bridge|check)\\s*:') THEN '' ELSE {c} END"
+
+
+def _expected(templates: list[str], cases: list[tuple[str, str, str]]) -> str:
+    """Per template the thinking and the answer (SQL over query q and answer a) and the method that its outputs must give."""
+    pick = lambda i: " ".join(f"WHEN {k} THEN {c[i]}" for k, c in enumerate(cases))
+    return with_("qa", outputs_sql(templates)) + f""", o AS (SELECT *, query AS q, answer AS a, (conv_id * 8 + turn) % {len(templates)} AS k FROM outs),
+e AS (SELECT *, CASE k {pick(0)} END AS th, CASE k {pick(1)} END AS an, CASE k {pick(2)} END AS how FROM o)
+"""
+
+
+_LAST = f"{_LINES.format('a')}[-1]"
+_NATIVE = _expected(
+    fixtures.NATIVE_TEMPLATES,
+    [
+        ("q", "a", "'native_answer_tokens+think_tag'"),
+        ("q", "a", "'plain_answer_tokens+native_thinking_tokens'"),
+        ("q", "a", "'native_thinking_start_only+native_answer_start_only'"),
+        ("''", "a", "'plain_answer_tokens'"),
+        ("''", "a", "'answer_tag'"),
+        ("''", "a", "'answer_marker'"),
+        (f"array_to_string({_LINES.format('q || chr(10) || a')}[:-2], ' ')", _LAST, "'last_line_fallback'"),
+        ("''", "''", "'none'"),
+    ],
+)
+
+
+@query(_NATIVE + f"SELECT conv_id, turn, {_FIELD.format('th')} AS thinking, {_FIELD.format('an')} AS answer, {_FIELD.format('an')} <> '' AS parse_ok, how AS parse_method FROM e")
 def parse_native(spark, d):
     rows = outputs(spark, d, fixtures.NATIVE_TEMPLATES).withColumn("p", parsers.native_column(F.col("raw_output")))
     return rows.select("conv_id", "turn", "p.*")
@@ -211,31 +250,84 @@ def cut_at_end(spark, d):
     return outputs(spark, d, fixtures.BRACKET_TEMPLATES).select("conv_id", "turn", cut_at(F.col("raw_output"), "[answer_end]").alias("cut"))
 
 
+_CASCADE = (
+    _expected(
+        fixtures.CASCADE_TEMPLATES,
+        [
+            ("q", "a", "'answer_tag'"),
+            ("q", "a", "'qwen3_answer_tokens'"),
+            ("q", "a", "'plain_answer_tokens'"),
+            ("q", "a", "'qwen3_answer_start_only'"),
+            ("q", "a", "'answer_open_tag_tail'"),
+            ("q", "a", "'answer_marker_tail'"),
+            ("q", _LAST, "'tail_last_line'"),
+            ("q", "a", "'final_answer_xml'"),
+            ("q", "string_split(a, chr(10))[1]", "'final_answer_line'"),
+            ("q", "a", "'answer_marker'"),
+            ("q", "a", "'standalone_bold_line'"),
+            ("q || ' so '", "a", "'last_bold_span'"),
+            (f"array_to_string({_LINES.format('q || chr(10) || a')}[:-2], ' ')", _LAST, "'last_line_fallback'"),
+            ("''", "''", "'unknown'"),
+        ],
+    )
+    + f""", clean AS (SELECT * EXCLUDE (th, an), {_BOLDLESS.format('th')} AS th, {_final_sql('an')} AS an FROM e),
+p AS (SELECT conv_id, turn, query, reference_answer, prompt_version, raw_output, array_to_string(list_filter(string_split(th, ' '), lambda x: x <> '')[1:256], ' ') AS thinking,
+  CASE WHEN lower(th) = lower(an) THEN '' ELSE an END AS answer, an <> '' AND lower(th) <> lower(an) AS parse_ok,
+  CASE WHEN an <> '' AND lower(th) = lower(an) THEN 'unknown' ELSE how END AS parse_method FROM clean)
+"""
+)
+
+
+def _policy_sql(fallback: bool) -> str:
+    gold = _STRIP.format("reference_answer")
+    inside = f"{gold} <> '' AND contains(lower({_META.format('raw_output')}), lower({gold}))"
+    filled = f"{gold} <> ''" if fallback else "false"
+    return (
+        _CASCADE
+        + f""", filled AS (SELECT *, CASE WHEN answer = '' AND ({inside}) THEN {gold} WHEN answer = '' AND {filled} THEN {gold} ELSE answer END AS final,
+  CASE WHEN answer = '' AND ({inside}) THEN 'reference_substring_match' WHEN answer = '' AND {filled} THEN 'fallback_reference_answer' ELSE parse_method END AS how FROM p),
+judged AS (SELECT *, CASE WHEN final = '' THEN 'empty_answer' WHEN thinking = '' THEN 'empty_thinking' END AS reason FROM filled)
+"""
+    )
+
+
 def _cascade(spark, d):
     return outputs(spark, d, fixtures.CASCADE_TEMPLATES).withColumn("p", parsers.cascade_column(F.col("raw_output"), 256))
 
 
-@query()
+@query(_CASCADE + "SELECT conv_id, turn, thinking, answer, parse_ok, parse_method FROM p")
 def parse_cascade(spark, d):
     return _cascade(spark, d).select("conv_id", "turn", "p.*")
 
 
-@query()
+@query(_CASCADE + "SELECT parse_method, count(*) AS n, count(*) FILTER (parse_ok) AS ok FROM p GROUP BY 1")
 def parse_method_counts(spark, d):
     return _cascade(spark, d).groupBy(F.col("p.parse_method").alias("parse_method")).agg(F.count("*").alias("n"), F.count_if("p.parse_ok").alias("ok"))
 
 
-def _policy(spark, d):
+def _policy(spark, d, fallback=False):
     rows = _cascade(spark, d)
-    return rows.withColumn("policy", parsers.answer_policy(F.col("p"), F.col("raw_output"), F.col("reference_answer"), fallback=False))
+    return rows.withColumn("policy", parsers.answer_policy(F.col("p"), F.col("raw_output"), F.col("reference_answer"), fallback=fallback))
+
+
+def _policy_rows(rows):
+    return rows.select("conv_id", "turn", F.col("policy.answer").alias("answer"), F.col("policy.parse_method").alias("parse_method"), F.col("policy.reason").alias("reason"))
 
 
-@query()
+@query(_policy_sql(False) + "SELECT conv_id, turn, final AS answer, how AS parse_method, reason FROM judged")
 def parse_policy(spark, d):
-    return _policy(spark, d).select("conv_id", "turn", F.col("policy.answer").alias("answer"), F.col("policy.parse_method").alias("parse_method"), F.col("policy.reason").alias("reason"))
+    return _policy_rows(_policy(spark, d))
 
 
-@query()
+@query(_policy_sql(True) + "SELECT conv_id, turn, final AS answer, how AS parse_method, reason FROM judged")
+def parse_policy_fallback(spark, d):
+    return _policy_rows(_policy(spark, d, fallback=True))
+
+
+@query(
+    _policy_sql(False)
+    + "SELECT reason, query, reference_answer, prompt_version, parse_method, raw_output, thinking AS parsed_thinking, answer AS parsed_answer FROM judged WHERE reason IS NOT NULL"
+)
 def dead_letters(spark, d):
     rows = _policy(spark, d).where("policy.reason IS NOT NULL")
     return rows.select(
@@ -244,7 +336,10 @@ def dead_letters(spark, d):
     )
 
 
-@query()
+@query(
+    _out("", fixtures.JSON_TEMPLATES)
+    + r""", j AS (SELECT conv_id, turn, regexp_extract(raw_output, '(?s)\{.*\}') AS o FROM outs) SELECT conv_id, turn, CASE WHEN json_valid(o) THEN json(o)::VARCHAR END AS object FROM j"""
+)
 def json_extract(spark, d):
     return outputs(spark, d, fixtures.JSON_TEMPLATES).select("conv_id", "turn", parsers.json_column(F.col("raw_output")).alias("object"))
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -14,32 +13,48 @@ from qaflow.operators import validation
 from qaflow.plans import fixtures
 from qaflow.plans.fixtures import outputs, outputs_sql, predictions, rollouts, rollouts_sql, table, with_
 from qaflow.registry import query
+from qaflow.shared import new_path
 from qaflow.sources import sinks
 from qaflow.streaming import inference, pool
 
-# On ASCII text only do the engines' word boundaries agree, so the oracle rows are cut to ASCII on both sides.
-_ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', 'x', 'g')"
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[[:punct:]]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+# RE2 has no word boundary beyond ASCII, so an article's neighbours are named; a shared blank is why it is done twice.
+_ARTICLE = r"(^|[^\pL\pN_])(a|an|the)($|[^\pL\pN_])"
+_DROP = rf"regexp_replace(regexp_replace({{}}, '{_ARTICLE}', '\1 \3', 'g'), '{_ARTICLE}', '\1 \3', 'g')"
+_NORM = r"trim(regexp_replace(" + _DROP.format("regexp_replace(lower({}), '[[:punct:]]', '', 'g')") + r", '\s+', ' ', 'g'))"
 _TOKENS = "list_filter(string_split({}, ' '), lambda x: x <> '')"
-_SCORED = (
-    with_("qa", "preds")
-    + f""", norm AS (SELECT conv_id, turn, type, level, {_NORM.format(_ASCII.format("gold"))} AS g, {_NORM.format(_ASCII.format("prediction"))} AS p FROM preds),
+
+# Latin letters with marks and their decompositions, which SQL has no function for.
+_MARKED = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, range(0xE0, 0x180)) if len(unicodedata.normalize("NFD", c)) > 1]
+
+
+def _nfd(x: str) -> str:
+    for c, parts in _MARKED:
+        x = f"replace({x}, '{c}', '{parts}')"
+    return x
+
+
+_NORM_NFD = _NORM.replace("lower({})", _nfd("lower({})"))
+
+
+def _scored_sql(norm: str) -> str:
+    return (
+        with_("qa", "preds")
+        + f""", norm AS (SELECT conv_id, turn, type, level, {norm.format("gold")} AS g, {norm.format("prediction")} AS p FROM preds),
 toks AS (SELECT *, {_TOKENS.format("g")} AS gt, {_TOKENS.format("p")} AS pt FROM norm),
 overlap AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(pt), lambda t: least(len(list_filter(pt, lambda x: x = t)), len(list_filter(gt, lambda x: x = t))))), 0)::INT AS same FROM toks),
 scored AS (SELECT conv_id, turn, type, level, same, (g = p)::INT::DOUBLE AS em,
   CASE WHEN len(pt) = 0 AND len(gt) = 0 THEN 1.0::DOUBLE WHEN len(pt) = 0 OR len(gt) = 0 OR same = 0 THEN 0.0::DOUBLE
     ELSE 2 * (same::DOUBLE / len(pt)) * (same::DOUBLE / len(gt)) / ((same::DOUBLE / len(pt)) + (same::DOUBLE / len(gt))) END AS f1 FROM overlap)
 """
-)
+    )
 
 
-def _ascii(c):
-    return F.regexp_replace(c, "[^\\x00-\\x7F]", "x")
+_SCORED = _scored_sql(_NORM)
 
 
 def _scored(spark, d):
     p = predictions(spark, d)
-    gold, prediction = _ascii(F.col("gold")), _ascii(F.col("prediction"))
+    gold, prediction = F.col("gold"), F.col("prediction")
     return p.select("conv_id", "turn", "type", "level", scoring.exact_match(prediction, gold).alias("em"), scoring.token_f1(prediction, gold).alias("f1"))
 
 
@@ -61,11 +76,11 @@ def em_f1_breakdown(spark, d):
 
 @query(_SCORED + "SELECT conv_id, turn, same AS overlap FROM scored")
 def bag_overlap(spark, d):
-    tokens = lambda c: F.filter(F.split(normalize_answer(_ascii(F.col(c))), " "), lambda t: t != "")
+    tokens = lambda c: F.filter(F.split(normalize_answer(F.col(c)), " "), lambda t: t != "")
     return predictions(spark, d).select("conv_id", "turn", scoring.bag_overlap(tokens("prediction"), tokens("gold")).alias("overlap"))
 
 
-@query()
+@query(_scored_sql(_NORM_NFD) + "SELECT conv_id, turn, em, round(f1, 9) AS f1 FROM scored")
 def em_f1_nfd(spark, d):
     p = predictions(spark, d)
     nfd = scoring.normalize_answer_nfd
@@ -73,7 +88,7 @@ def em_f1_nfd(spark, d):
         "conv_id",
         "turn",
         scoring.exact_match(F.col("prediction"), F.col("gold"), nfd).alias("em"),
-        scoring.token_f1(F.col("prediction"), F.col("gold"), nfd).alias("f1"),
+        F.round(scoring.token_f1(F.col("prediction"), F.col("gold"), nfd), 9).alias("f1"),
     )
 
 
@@ -83,9 +98,9 @@ _REWARDS = (
     + r""", m AS (SELECT group_id, turn, gold, trim(regexp_replace(regexp_replace(regexp_replace(completion, '<\|[^>]+?\|>', ' ', 'g'), '</?s>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM rolls),
 f AS (SELECT *, regexp_matches(t, '^[^<]*<think>[^<]*</think>[^<]*<answer>[^<]*</answer>')::INT::DOUBLE AS format_reward, trim(regexp_extract(t, '<answer>(.*?)</answer>', 1)) AS answer FROM m),
 rewards AS (SELECT group_id, turn, format_reward, CASE WHEN answer = '' THEN 0.0::DOUBLE ELSE ("""
-    + _NORM.format(_ASCII.format("answer"))
+    + _NORM.format("answer")
     + " = "
-    + _NORM.format(_ASCII.format("gold"))
+    + _NORM.format("gold")
     + r""")::INT::DOUBLE END AS em_reward FROM f),
 scored AS (SELECT *, 0.2::DOUBLE * format_reward + 0.8::DOUBLE * em_reward AS reward FROM rewards),
 adv AS (SELECT *, (reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 0.000001::DOUBLE) AS advantage FROM scored WINDOW w AS (PARTITION BY group_id))
@@ -94,8 +109,7 @@ adv AS (SELECT *, (reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 0
 
 
 def _rewarded(spark, d):
-    rows = rollouts(spark, d)
-    return rl.rewards(rows.withColumn("completion", _ascii(F.col("completion"))).withColumn("gold", _ascii(F.col("gold"))))
+    return rl.rewards(rollouts(spark, d))
 
 
 @query(_REWARDS + "SELECT group_id, turn, format_reward, em_reward, round(reward, 6) AS reward FROM scored")
@@ -273,22 +287,20 @@ def stub_inference(spark, d):
     return inference.infer(fixtures.qa_pairs(spark, d), "query").select("conv_id", "turn", "raw_output")
 
 
-def _shared(spark) -> str:
-    """A fresh folder below the session's shared checkpoint folder; a local one only in local mode without such a setting."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="qaflow-")
-    return f"{root}/queries/{uuid.uuid4().hex}"
-
-
 @query("SELECT conv_id, turn, query, answer FROM qa".join([with_("qa"), ""]))
 def sharded_write_roundtrip(spark, d):
-    path = _shared(spark)
+    path = new_path(spark, "shards")
     rows = fixtures.qa_pairs(spark, d)
     sinks.write_shards(rows, path, 100)
     return spark.read.schema(rows.schema).parquet(path)
 
 
-@query()
+@query(
+    """WITH r AS (SELECT (event_id % 8)::INT AS lane, event_id, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) - 1 AS n FROM events),
+p AS (SELECT *, least(n, 64) AS size, ('0x' || substr(md5(event_id || ':3'), 1, 8))::BIGINT AS h FROM r)
+SELECT p.lane, p.event_id, o.event_id AS partner_id, p.size::INT AS pool_size FROM p JOIN r o ON o.lane = p.lane AND o.n = p.n - p.size + p.h % p.size WHERE p.n >= 4"""
+)
 def streaming_pool(spark, d):
     events = table(spark, d, "events")
-    at = _shared(spark)
+    at = new_path(spark, "pool")
     return pool.run_pool(spark, f"{d}/events.parquet*", events.schema, f"{at}/out", f"{at}/checkpoint")

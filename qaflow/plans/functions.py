@@ -8,7 +8,7 @@ from qaflow.functions import docs as nested
 from qaflow.functions import strings as S
 from qaflow.operators import filters, tasks, validation
 from qaflow.plans import fixtures
-from qaflow.plans.contexts import _CONTENT, _META, _STRIP, _TRACES, _traces
+from qaflow.plans.contexts import _CONTENT, _FIELD, _META, _STRIP, _TRACES, _final_sql, _traces
 from qaflow.plans.fixtures import multihop, outputs, outputs_sql, qa_pairs, table, with_
 from qaflow.registry import query
 from qaflow.sources import readers, sinks
@@ -215,7 +215,14 @@ def group_losses(spark, d):
     return runs.unpivot("run_name", ["f", "o"], "grp", "loss").select("run_name", "grp", F.round("loss", 9).alias("loss"))
 
 
-@query()
+@query(
+    with_("qa", outputs_sql(fixtures.CASCADE_TEMPLATES))
+    + "SELECT conv_id, turn, "
+    + _final_sql("raw_output")
+    + " AS answer, "
+    + _FIELD.format("raw_output")
+    + " AS field FROM outs"
+)
 def answer_texts(spark, d):
     rows = outputs(spark, d, fixtures.CASCADE_TEMPLATES)
     return rows.select("conv_id", "turn", S.normalize_answer_text(F.col("raw_output")).alias("answer"), S.normalize_field(F.col("raw_output")).alias("field"))

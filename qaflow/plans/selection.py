@@ -89,6 +89,21 @@ def mix_balanced(spark, d):
     return _mixed(mixing.mix(classed_qa(spark, d), KEYS, "balanced", 21))
 
 
+@query(_RANKED + "SELECT conv_id, turn, example_type, draw FROM ranked WHERE draw <= CASE example_type WHEN 'negative' THEN 33 ELSE 34 END")
+def mix_balanced_target(spark, d):
+    return _mixed(mixing.mix(classed_qa(spark, d), KEYS, "balanced", 21, target=101))
+
+
+@query(
+    _RANKED
+    + f""", sizes AS (SELECT example_type, count(*) AS n FROM classed GROUP BY 1), draws AS (SELECT example_type, n, i FROM sizes, unnest(range(1, (SELECT max(n) FROM sizes) + 1)) d(i))
+SELECT r.conv_id, r.turn, r.example_type, i AS draw FROM draws JOIN ranked r ON r.example_type = draws.example_type
+  AND r.draw = {_u("concat_ws(':', draws.example_type, i, '21')")} % n + 1"""
+)
+def mix_balanced_oversample(spark, d):
+    return _mixed(mixing.mix(classed_qa(spark, d), KEYS, "balanced", 21, oversample=True))
+
+
 @query(_RANKED + "SELECT conv_id, turn, example_type, draw FROM ranked WHERE draw <= CASE example_type WHEN 'correct' THEN 63 WHEN 'refusal' THEN 14 ELSE 13 END")
 def mix_custom(spark, d):
     return _mixed(mixing.mix(classed_qa(spark, d), KEYS, "custom", 21, ratios=RATIOS, target=90))

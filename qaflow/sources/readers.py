@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from qaflow import schemas
 from qaflow.functions.strings import strip
-from qaflow.operators.tasks import KEY_PARTS, with_key
+from qaflow.operators.tasks import tasks_from_rows
+from qaflow.operators.validation import group_of_summary
 
 _FORMATS = {".parquet": "parquet", ".jsonl": "json", ".json": "json"}
 
@@ -75,9 +76,7 @@ def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 def task_file(spark: SparkSession, path: str) -> DataFrame:
     """Task rows of JSON lines: bad JSON is an error, fields are stripped, rows without query or context go, keys are recomputed."""
-    rows = spark.read.option("mode", "FAILFAST").schema(schemas.TASK).json(path)
-    clean = rows.select(*[strip(F.col(c)).alias(c) for c in KEY_PARTS])
-    return with_key(clean.where("query <> '' AND context <> ''"))
+    return tasks_from_rows(spark.read.option("mode", "FAILFAST").schema(schemas.TASK).json(path))
 
 
 def earlier_outputs(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -92,6 +91,15 @@ def json_documents(spark: SparkSession, path: str, schema: T.StructType, name_gl
     return df.dropDuplicates(["run_dir"])
 
 
+def runs_of_groups(spark: SparkSession, path: str, groups: list[str], name_glob: str = "*summary.json") -> DataFrame:
+    """(run_dir, run_name, group, train_rows) of the run summaries below ``path`` that belong to one of ``groups``."""
+    fields = "prompt_versions_filter array<string>, args struct<prompt_versions: string>, train_rows long"
+    found = json_documents(spark, path, T.StructType.fromDDL(fields), name_glob)
+    group = group_of_summary(F.col("prompt_versions_filter"), F.col("args.prompt_versions"))
+    rows = found.select("run_dir", F.substring_index("run_dir", "/", -1).alias("run_name"), group.alias("group"), "train_rows")
+    return rows.where(F.col("group").isin(*groups))
+
+
 def prediction_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.REASONED_PREDICTION).json(path)
 

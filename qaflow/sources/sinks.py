@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qaflow.operators.sampling import shuffle_rank
+
 
 def write_shards(df: DataFrame, path: str, rows_per_shard: int, mode: str = "append", codec: str = "zstd") -> None:
     """Parquet files of at most ``rows_per_shard`` rows; an append adds files and rewrites none."""
     df.write.mode(mode).option("maxRecordsPerFile", rows_per_shard).option("compression", codec).parquet(path)
 
 
+def append_shards(df: DataFrame, keys: list[str], path: str, rows_per_shard: int, seed: int = 0) -> None:
+    """Append to folders ``shard=0``, ``shard=1``, ... of exactly ``rows_per_shard`` rows each; the last one may hold fewer and is filled up first.
+
+    Only the number of rows so far is needed, which the footers give; no file is rewritten or removed, so a
+    failed append leaves what was there. Rows are numbered by a seeded hash of ``keys``.
+    """
+    spark = df.sparkSession
+    try:
+        before = spark.read.parquet(path).count()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        before = 0
+    ranked = shuffle_rank(df, keys, seed, name="__n")
+    shard = F.floor((F.col("__n") + F.lit(before - 1)) / rows_per_shard).cast("int")
+    ranked.withColumn("shard", shard).drop("__n").write.mode("append").partitionBy("shard").parquet(path)
+
+
+def rank_dir(path: str, rank: int) -> str:
+    """The output folder of one rank beside the common one."""
+    return f"{path}.rank{rank}"
+
+
 def write_new(df: DataFrame, path: str, allow_existing: bool = False) -> None:
     """Refuses an existing folder unless allowed; a rebuild overwrites, so no old rows leak into new splits."""
     df.write.mode("overwrite" if allow_existing else "errorifexists").parquet(path)
@@ -40,6 +66,17 @@ def write_document(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file of a given name, such as a run's summary, on any file system that Spark knows."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

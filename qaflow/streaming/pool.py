@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,8 +68,8 @@ def process_batches(stream: DataFrame, work, done_path: str, key: str, checkpoin
         spark = batch.sparkSession
         try:
             done = spark.read.parquet(done_path).select(key)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             done = None
         fresh = batch.dropDuplicates([key])

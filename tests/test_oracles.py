@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables; the others must run and give rows."""
+"""Every query against its SQL in DuckDB on the smallest tables."""
 
 import os
 
@@ -37,6 +37,5 @@ def test_equals_sql(spark, duck, name):
     assert found == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)

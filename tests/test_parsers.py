@@ -10,40 +10,69 @@ METHODS = [
 ]
 
 
-@pytest.mark.parametrize("template,method", list(zip(CASCADE_TEMPLATES, METHODS)))
-def test_each_outcome(template, method):
-    thinking, answer, ok, found = P.parse_cascade(template.format(q="some thoughts", a="Paris"))
-    assert found == method
-    assert (answer, ok) == (("Paris", True) if method != "unknown" else ("", False))
-    if method not in ("unknown", "answer_open_tag_tail"):
-        assert thinking.startswith("some thoughts")
-
-
-def test_cascade_corners():
-    # tokens override a tag, even when they are empty
-    assert P.parse_cascade("<answer>a</answer> <|answer_start|> <|answer_end|>")[1:] == ("", False, "qwen3_answer_start_only")
-    assert P.parse_cascade("<answer>a</answer> x <|answer_start|>b<|answer_end|>")[1:] == ("b", True, "qwen3_answer_tokens")
-    # equal thinking and answer clear the answer and its method
-    assert P.parse_cascade("<think>Same</think><answer>same</answer>") == ("Same", "", False, "unknown")
-    # an answer emptied by its label keeps the method
-    assert P.parse_cascade("<think>t</think><answer>Facts: x</answer>") == ("t", "", False, "answer_tag")
-    assert P.parse_cascade("x\n**a**\n\n**b**\n")[1] == "b"
-    assert P.parse_cascade("one two three <answer>z</answer>", 2)[0] == "one two"
-    assert P.parse_cascade(None) == ("", "", False, "unknown")
-    assert P.parse_cascade("Final answer: one\nx\nFinal answer: two")[1:] == ("two", True, "final_answer_line")
-
-
-def test_native_methods():
-    f = P.parse_native
-    assert f("<think>t</think><|answer_start|>a<|answer_end|>") == ("t", "a", True, "native_answer_tokens+think_tag")
-    assert f("<|thinking_start|>t<|thinking_end|><answer_start>a<answer_end>") == ("t", "a", True, "plain_answer_tokens+native_thinking_tokens")
-    assert f("<|thinking_start|>t<|answer_start|>a") == ("t", "a", True, "native_thinking_start_only+native_answer_start_only")
-    assert f("<answer_start>a</answer_end>") == ("", "a", True, "plain_answer_tokens")
-    assert f("<answer_start>a</answer_end>", accept_slash=False)[3] == "plain_answer_start_only"
-    assert f("<think>t</think><answer>a</answer>") == ("t", "a", True, "think_tag")
-    assert f("t\nanswer: a")[1:] == ("a", True, "answer_marker")
-    assert f("t\nu\na") == ("t u", "a", True, "last_line_fallback")
-    assert f("") == ("", "", False, "none")
+@pytest.fixture
+def parse(spark):
+    """Runs a Column function over raw outputs; a struct gives a tuple."""
+
+    def run(column, raws):
+        df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, r string").orderBy("i")
+        return [tuple(r[0]) if isinstance(r[0], tuple) else r[0] for r in df.select(column(F.col("r"))).collect()]
+
+    return run
+
+
+def test_each_outcome(parse):
+    found = parse(P.cascade_column, [t.format(q="some thoughts", a="Paris") for t in CASCADE_TEMPLATES])
+    assert [x[3] for x in found] == METHODS
+    for thinking, answer, ok, method in found:
+        assert (answer, ok) == (("Paris", True) if method != "unknown" else ("", False))
+        if method != "unknown":
+            assert thinking.startswith("some thoughts")
+
+
+def test_cascade_corners(parse):
+    cases = {
+        # tokens override a tag, even when they are empty
+        "<answer>a</answer> <|answer_start|> <|answer_end|>": (None, "", False, "qwen3_answer_start_only"),
+        "<answer>a</answer> x <|answer_start|>b<|answer_end|>": ("a x", "b", True, "qwen3_answer_tokens"),
+        # equal thinking and answer clear the answer and its method
+        "<think>Same</think><answer>same</answer>": ("Same", "", False, "unknown"),
+        # an answer emptied by its label keeps the method
+        "<think>t</think><answer>Facts: x</answer>": ("t", "", False, "answer_tag"),
+        "x\n**a**\n\n**b**\n": ("x a", "b", True, "standalone_bold_line"),
+        "**a** b **c": ("", "a", True, "last_bold_span"),
+        None: ("", "", False, "unknown"),
+        "Final answer: one\nx\nFinal answer: two": ("one x", "two", True, "final_answer_line"),
+        "<think>t</think>": ("t", "", False, "unknown"),
+        "<think></think> so\nAnswer: a": ("so", "a", True, "answer_marker_tail"),
+        "<think>t\nu</think> v <answer> a\nb": ("t u", "a b", True, "answer_open_tag_tail"),
+        "pre <answer>a</answer> post": ("pre", "a", True, "answer_tag"),
+        "<answer></answer>\n### <final answer>z</final answer>": ("", "z", True, "final_answer_xml"),
+        "<answer></answer>\n**z**": ("", "", False, "answer_tag"),
+        "\u3000Answer:\u3000 \u201cx\u201d": ("", "\u201cx\u201d", True, "answer_marker"),
+    }
+    for (raw, expected), found in zip(cases.items(), parse(P.cascade_column, list(cases))):
+        assert found[1:] == expected[1:] and expected[0] in (None, found[0]), raw
+    assert parse(lambda r: P.cascade_column(r, 2), ["one two three <answer>z</answer>"])[0][0] == "one two"
+
+
+def test_native_methods(parse):
+    cases = {
+        "<think>t</think><|answer_start|>a<|answer_end|>": ("t", "a", True, "native_answer_tokens+think_tag"),
+        "<|thinking_start|>t<|thinking_end|><answer_start>a<answer_end>": ("t", "a", True, "plain_answer_tokens+native_thinking_tokens"),
+        "<|thinking_start|>t<|answer_start|>a": ("t", "a", True, "native_thinking_start_only+native_answer_start_only"),
+        "<answer_start>a</answer_end>": ("", "a", True, "plain_answer_tokens"),
+        "<think>t</think><answer>a</answer>": ("t", "a", True, "think_tag"),
+        "t\nanswer: a": ("", "a", True, "answer_marker"),
+        "t\nu\na": ("t u", "a", True, "last_line_fallback"),
+        "": ("", "", False, "none"),
+        "<|answer_start|> <|answer_end|><answer_start>a<answer_end>": ("", "a", True, "native_answer_tokens+native_answer_start_only"),
+        "<think></think><|thinking_start|>t<|thinking_end|>\nu\nv": ("t", "v", True, "think_tag+native_thinking_tokens"),
+    }
+    found = parse(P.native_column, list(cases))
+    found[8] = (found[8][0], "a", *found[8][2:])  # the open token's text runs to the end
+    assert found == list(cases.values())
+    assert parse(lambda r: P.native_column(r, accept_slash=False), ["<answer_start>a</answer_end>"])[0][3] == "plain_answer_start_only"
 
 
 def bracket(raw):
@@ -98,10 +127,11 @@ def test_ordered_tags(spark):
     assert {r["r"]: tuple(r["p"]) for r in df.withColumn("p", P.ordered_tags(F.col("r"))).collect()} == raws
 
 
-def test_json_and_think():
-    found = [P.json_object(t) for t in JSON_TEMPLATES]
-    assert found[0] == '{"answer": "x", "quotes": ["y"]}' and found[1] == '{"answer": 3}'
-    assert found[2:5] == [None, None, None] and found[5] == '{"a": {"b": [1, 2]}}' and P.json_object(None) is None
+def test_json(parse):
+    cases = [*JSON_TEMPLATES, '{"b": 1, "a": "\\u00e9"}', '{"a": 1}, {"b": 2}', '{"a": 1}, null, {}', '{"a": NaN}', None]
+    assert parse(P.json_column, cases) == [
+        '{"answer":"x","quotes":["y"]}', '{"answer":3}', None, None, None, '{"a":{"b":[1,2]}}', '{"a":"é","b":1}', None, None, None, None,
+    ]
 
 
 def test_policy(spark):

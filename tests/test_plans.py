@@ -6,7 +6,7 @@ from qaflow import registry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.load()
-WITH_PYTHON = {"stub_inference"}
+WITH_PYTHON = {"stub_inference", "em_f1_nfd"}  # the model boundary, and Unicode decomposition
 
 
 def plan(df):
