@@ -27,6 +27,8 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Lets a task write a few partitions of a table side by side instead of sorting its rows by partition first.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 #: Lets Spark delete a query's shuffle files as soon as the query ends; results read from them are in tables by then.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -34,16 +36,16 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def write_table(df: DataFrame, path: str, *partitions: str) -> None:
     """Write ``df`` as Parquet and drop the shuffle files that this took."""
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true", _WRITERS: "4"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         writer = df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")  # two files fewer for each table
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -38,7 +38,7 @@ def bands_for(threshold: float, rows: int, recall: float) -> int:
 
 @dataclass(frozen=True)
 class ParagraphConfig:
-    """With the defaults, six bands of three values find a pair of paragraphs at 0.8 with probability 0.982, one at 0.9 with 0.9996.
+    """With the defaults, five bands of three values find a pair of paragraphs at 0.8 with probability 0.972, one at 0.9 with 0.9985.
 
     Blocks are short, so an edit within one takes it far below the threshold; they are there for passages
     that repeat word by word, and equal ones are always found. A run of 50 words has 46 shingles, so one edit leaves a similarity of 0.804. ``line`` may be as
@@ -53,7 +53,7 @@ class ParagraphConfig:
     shingle: int = 5
     threshold: float = 0.8
     rows: int = 3
-    recall: float = 0.98
+    recall: float = 0.97
     most: int = 1024
     most_shingles: int = 4 << 20
 
@@ -103,23 +103,36 @@ def _range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-class Cut:
-    """A text's words, their hashes and shingles, and its paragraphs as word ranges [first, last)."""
+class Words:
+    """A text's words as byte ranges, and their hashes."""
 
-    def __init__(self, text: bytes, config: ParagraphConfig) -> None:
+    def __init__(self, text: bytes) -> None:
         raw = np.frombuffer(text.lower(), np.uint8)
         edge = np.ones(len(raw) + 2, bool)
         np.take(_IS_SPACE, raw, out=edge[1:-1])
         turns = np.flatnonzero(edge[1:] != edge[:-1])
         self.begin, self.end = turns[::2], turns[1::2]
         self.raw = raw
+        self.words = _range_hash(raw.astype(np.uint64) + np.uint64(1), self.begin, self.end)
+
+    def chars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each word in code points of the text."""
+        points = np.zeros(len(self.raw) + 1, np.int64)
+        np.cumsum((self.raw & 0xC0) != 0x80, out=points[1:])
+        return points[self.begin], points[self.end]
+
+
+class Cut(Words):
+    """The words' shingles, and the text's paragraphs as word ranges [first, last)."""
+
+    def __init__(self, text: bytes, config: ParagraphConfig) -> None:
+        super().__init__(text)
         self.lines = self.blocks = 0
-        n = len(self.begin)
+        n = len(self.words)
         self.first = self.last = np.zeros(0, np.int64)
         self.shingles = np.zeros(0, np.uint64)
         if n < config.shingle:
             return
-        self.words = _range_hash(raw.astype(np.uint64) + np.uint64(1), self.begin, self.end)
         at = np.arange(n - config.shingle + 1)
         self.shingles = _range_hash(self.words, at, at + config.shingle)
         if n < config.block:
@@ -163,26 +176,25 @@ class Cut:
     def band_keys(self, config: ParagraphConfig) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the lines and runs, and for each band (row) and each of them (column) a key of its least hashed shingles and its kind."""
         number = np.concatenate([np.arange(self.lines), np.arange(self.lines + self.blocks, len(self.first))])
-        bounds = np.stack([self.first[number], self.last[number] - config.shingle + 1], 1).ravel()
-        values = np.zeros(len(self.shingles) + 1, np.uint64)
         kind = (number >= self.lines).astype(np.uint64)
         keys = np.arange(2, 2 * config.bands + 2, 2, dtype=np.uint64)[:, None] + kind
-        for i in range(config.bands * config.rows if len(number) else 0):
-            np.multiply(self.shingles, _ODD[i], out=values[:-1])
-            least = np.minimum.reduceat(values, bounds)[::2]
-            keys[i // config.rows] = _mix(keys[i // config.rows] * np.uint64(0xC2B2AE3D27D4EB4F) + least)
+        if not len(number):
+            return number, keys.view(np.int64)
+        bounds = np.stack([self.first[number], self.last[number] - config.shingle + 1], 1).ravel()
+        shingles = np.append(self.shingles, np.uint64(0))  # a bound may be the end
+        at_once = max(1, (1 << 21) // (len(shingles) * config.rows))
+        for i in range(0, config.bands, at_once):
+            j = min(i + at_once, config.bands)
+            values = shingles * _ODD[i * config.rows : j * config.rows, None]
+            least = np.minimum.reduceat(values, bounds, axis=1)[:, ::2].reshape(j - i, config.rows, -1)
+            for row in range(config.rows):
+                keys[i:j] = _mix(keys[i:j] * np.uint64(0xC2B2AE3D27D4EB4F) + least[:, row])
         return number, keys.view(np.int64)
 
-    def word_chars(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each word in code points of the text."""
-        points = np.zeros(len(self.raw) + 1, np.int64)
-        np.cumsum((self.raw & 0xC0) != 0x80, out=points[1:])
-        return points[self.begin], points[self.end]
-
-    def chars(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each paragraph in code points of the text."""
-        starts, ends = self.word_chars()
-        return starts[self.first], ends[self.last - 1]
+    def spans(self) -> np.ndarray:
+        """Start * 2^32 + end of each paragraph in code points of the text."""
+        starts, ends = self.chars()
+        return (starts[self.first] << 32) | ends[self.last - 1]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -204,48 +216,60 @@ def cut_texts(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> D
 
     def run(batches):
         seen: set[int] = set()
+        occurrences, signatures = _Rows(4), _Rows(3 + config.bands)
+
+        def tables(least):
+            if len(occurrences) > least:
+                n, (uid, doc, version, span) = occurrences.taken()
+                yield pa.RecordBatch.from_arrays([pa.repeat("occurrences", n), uid, doc, version, span, *[pa.nulls(n, pa.int64())] * config.bands], names)
+            if len(signatures) > least:
+                n, (uid, version, span, *keys) = signatures.taken()
+                yield pa.RecordBatch.from_arrays([pa.repeat("signatures", n), uid, pa.nulls(n, pa.int64()), version, span, *keys], names)
+
         for batch in batches:
             for doc, version, place, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 cut = Cut(text.as_py(), config)
                 n = len(cut.first)
                 if not n:
                     continue
-                ids = cut.ids()
-                a, b = cut.chars()
-                spans = (a << 32) | b
-                cells = [["occurrences"] * n, ids, np.full(n, doc, np.int64), np.full(n, version, np.int64), spans]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cells), *[pa.nulls(n, pa.int64())] * config.bands], names)
+                ids, spans = cut.ids(), cut.spans()
+                occurrences.add(n, ids, doc, version, spans)
                 number, keys = cut.band_keys(config)
                 own = ids[number]
                 new = np.array([i for i, x in enumerate(own.tolist()) if x not in seen], np.int64)
-                m = len(new)
-                if not m:
+                if not len(new):
                     continue
                 if len(seen) > 1 << 20:
                     seen.clear()
                 seen.update(own[new].tolist())
-                cells = [pa.array(["signatures"] * m), pa.array(own[new]), pa.nulls(m, pa.int64()), pa.array(np.full(m, place, np.int64)), pa.array(spans[number[new]])]
-                yield pa.RecordBatch.from_arrays([*cells, *[pa.array(k) for k in keys[:, new]]], names)
+                signatures.add(len(new), own[new], place, spans[number[new]], *keys[:, new])
+                yield from tables(20_000)
+        yield from tables(0)
 
     placed = _texts(docs).select("doc_id", "version", F.xxhash64("doc_id", "version").alias("place"), "text")
-    return placed.mapInArrow(_gathered(run), ", ".join(["kind string", *[f"{c} long" for c in names[1:]]]))
+    return placed.mapInArrow(run, ", ".join(["kind string", *[f"{c} long" for c in names[1:]]]))
+
 
+class _Rows:
+    """Columns of 64-bit numbers, gathered text by text."""
 
-def _gathered(run, rows: int = 20_000):
-    """Joins the small batches of ``run`` into ones of about ``rows`` rows."""
+    def __init__(self, columns: int) -> None:
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(columns)]
+        self.n = 0
 
-    def joined(batches):
-        held, n = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            n += batch.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+    def __len__(self) -> int:
+        return self.n
 
-    return joined
+    def add(self, n: int, *values) -> None:
+        """``n`` rows; a single number stands for a column of it."""
+        for column, v in zip(self.columns, values):
+            column.append(v if isinstance(v, np.ndarray) else np.full(n, v, np.int64))
+        self.n += n
+
+    def taken(self) -> tuple[int, list[pa.Array]]:
+        n, found = self.n, [pa.array(np.concatenate(c)) for c in self.columns]
+        self.__init__(len(self.columns))
+        return n, found
 
 
 def collisions(rows: DataFrame) -> DataFrame:
@@ -327,13 +351,29 @@ def jaccard_forest(ids: list[int], sets: list[np.ndarray], threshold: float) ->
             j = todo.pop()
             live = left[owner]
             common = np.bincount(owner[live], np.isin(values[live], sets[j]), minlength=len(sets))
-            near = np.flatnonzero(left & (common >= threshold * (sizes + sizes[j] - common) - 1e-9) & (common > 0))
+            near = np.flatnonzero(left & _similar(common, sizes, sizes[j], threshold))
             left[near] = False
             todo.extend(near.tolist())
             edges.extend((ids[i], ids[k]) for k in near.tolist() if ids[i] != ids[k])
     return edges
 
 
+def _similar(common, size, other, threshold):
+    return (common >= threshold * (size + other - common) - 1e-9) & (common > 0)
+
+
+def similar_pairs(ids: list[tuple[int, int]], sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """The similar ones of many pairs of sets, counted together: a number that both sets of a pair hold comes twice."""
+    sizes = np.array([(len(a), len(b)) for a, b in sets])
+    pair = np.repeat(np.arange(len(sets)), sizes.sum(1))
+    values = np.concatenate([x for both in sets for x in both])
+    order = np.lexsort((values, pair))
+    values, pair = values[order], pair[order]
+    twice = (values[1:] == values[:-1]) & (pair[1:] == pair[:-1])
+    common = np.bincount(pair[1:][twice], minlength=len(sets))
+    return [ids[k] for k in np.flatnonzero(_similar(common, sizes[:, 0], sizes[:, 1], threshold)).tolist()]
+
+
 def verified_links(collided: DataFrame, shingles: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
     """(a, b) among colliding paragraphs whose shingle sets are similar enough; the closure equals that of all similar pairs of a bucket."""
     parts = F.greatest(F.count("*") / config.most, F.sum("size") / config.most_shingles)
@@ -347,13 +387,23 @@ def verified_links(collided: DataFrame, shingles: DataFrame, config: ParagraphCo
     def run(batches):
         at, ids, sets = None, [], []
         edges: list = []
+        pairs: list = []
 
         def close():
             nonlocal ids, sets
-            if len(ids) > 1:
+            if len(ids) == 2 and ids[0] != ids[1]:
+                pairs.append((tuple(ids), tuple(sets)))
+                if len(pairs) >= 2000:
+                    compare()
+            elif len(ids) > 1:
                 edges.extend(jaccard_forest(ids, sets, config.threshold))
             ids, sets = [], []
 
+        def compare():
+            if pairs:
+                edges.extend(similar_pairs(*map(list, zip(*pairs)), config.threshold))
+                pairs.clear()
+
         for batch in batches:
             for task, uid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if task != at:
@@ -365,6 +415,7 @@ def verified_links(collided: DataFrame, shingles: DataFrame, config: ParagraphCo
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
                 edges.clear()
         close()
+        compare()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     rows = keyed.join(shingles.select("uid", "shingles"), "uid").select("task", "uid", "shingles")
@@ -394,17 +445,17 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, config: ParagraphConfig = P
     return _texts(docs).join(lists, ["doc_id", "version"]).select("text", "want").mapInArrow(run, "uid long, size long, shingles binary")
 
 
-def _placed(text: bytes, spans: list[int], config: ParagraphConfig):
-    """The text's cut, and for each span that begins and ends with words of it (number, first word, last word + 1)."""
-    cut = Cut(text, config)
-    if not len(cut.first):
-        return cut, []
-    starts, ends = cut.word_chars()
-    a, b = np.array(spans, np.int64) >> 32, np.array(spans, np.int64) & ((1 << 32) - 1)
+def _placed(text: bytes, spans: list[int]):
+    """The text's words, where they start and end, and for each span that begins and ends with words (number, first word, last word + 1)."""
+    cut = Words(text)
+    starts, ends = cut.chars()
+    if not len(starts):
+        return cut, starts, ends, []
+    a, b = np.array(spans, np.int64) >> 32, np.array(spans, np.int64) & _LOW
     i = np.minimum(np.searchsorted(starts, a), len(starts) - 1)
     j = np.minimum(np.searchsorted(ends, b), len(ends) - 1)
     ok = np.flatnonzero((starts[i] == a) & (ends[j] == b))
-    return cut, [(k, int(i[k]), int(j[k]) + 1) for k in ok.tolist()]
+    return cut, starts, ends, [(k, int(i[k]), int(j[k]) + 1) for k in ok.tolist()]
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> int:
@@ -425,19 +476,29 @@ def _high(span: str):
 def chains(hits: DataFrame) -> DataFrame:
     """Occurrences of one text that touch and lie as their kept ones do, as one passage each.
 
-    Columns: doc_id, version, keeper_id, keeper_version, removed, component_id (the least), a and b (code points), ka and kb (of the
-    kept passage). Paragraphs overlap many times over, so there are far fewer passages than occurrences.
+    Columns: doc_id, version, keeper_id, keeper_version, removed, same (its paragraphs equal the kept ones), component_id (the least),
+    a and b (code points), ka and kb (of the kept passage), open_left and open_right. Paragraphs overlap many times over, so
+    there are far fewer passages than occurrences. An end is open if no other removed passage of the text that is as much
+    the ``same`` goes on there.
     """
     starts = hits.select("*", _high("span").alias("a"), _low("span").alias("b"), _high("keeper_span").alias("ka"), _low("keeper_span").alias("kb"))
     # what stays is listed where it is; what goes is aligned with the occurrence that stays
     apart = F.when(F.col("removed"), F.col("a") - F.col("ka")).otherwise(0)
-    keys = ["doc_id", "version", "keeper_id", "keeper_version", "removed", "apart"]
+    keys = ["doc_id", "version", "keeper_id", "keeper_version", "removed", "same", "apart"]
+    ends = [F.min("component_id").alias("component_id"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("ka").alias("ka"), F.max("kb").alias("kb")]
+    joined = _islands(starts.withColumn("apart", apart), keys, 0).groupBy(*keys, "island").agg(*ends).drop("island", "apart")
+    text = ["doc_id", "version", "removed", "same"]
+    whole = Window.partitionBy(*text, "island")
+    is_open = lambda c, f: (F.col("removed") & (F.col(c) == f(c).over(whole)))
+    return _islands(joined, text, 1).select(*joined.columns, is_open("a", F.min).alias("open_left"), is_open("b", F.max).alias("open_right"))
+
+
+def _islands(spans: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Number the spans [a, b) of each key so that those ``gap`` characters or less apart share a number; a text's spans are as many as its words at most."""
     order = Window.partitionBy(*keys).orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = starts.withColumn("apart", apart).withColumn("opens", F.when(F.col("a") <= reach, 0).otherwise(1))
-    numbered = opened.withColumn("chain", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = [F.min("component_id").alias("component_id"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("ka").alias("ka"), F.max("kb").alias("kb")]
-    return numbered.groupBy(*keys, "chain").agg(*ends).drop("chain", "apart")
+    opened = spans.withColumn("__opens", F.when(F.col("a") <= reach + gap, 0).otherwise(1))
+    return opened.withColumn("island", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
 
 
 def surroundings(docs: DataFrame, passages: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
@@ -446,8 +507,7 @@ def surroundings(docs: DataFrame, passages: DataFrame, config: ParagraphConfig =
     def run(batches):
         for batch in batches:
             for doc, version, text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                spans = [w["ka"] << 32 | w["kb"] for w in want]
-                cut, placed = _placed(text.as_py(), spans, config)
+                cut, _, _, placed = _placed(text.as_py(), [w["ka"] << 32 | w["kb"] for w in want])
                 if placed:
                     before = [cut.words[max(0, i - config.winnow) : i][::-1].tobytes() for _, i, _ in placed]
                     after = [cut.words[j : j + config.winnow].tobytes() for _, _, j in placed]
@@ -456,7 +516,7 @@ def surroundings(docs: DataFrame, passages: DataFrame, config: ParagraphConfig =
                     yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cells], pa.array(before, pa.binary()), pa.array(after, pa.binary())], names)
 
     names = ["keeper_id", "keeper_version", "ka", "kb", "before", "after"]
-    heads = passages.where("removed").select(*names[:4]).distinct()
+    heads = passages.where("open_left OR open_right").select(*names[:4]).distinct()
     lists = heads.groupBy(F.col("keeper_id").alias("doc_id"), F.col("keeper_version").alias("version")).agg(F.collect_list(F.struct("ka", "kb")).alias("want"))
     found = _texts(docs).join(lists, ["doc_id", "version"]).select("doc_id", "version", "text", "want")
     schema = "keeper_id long, keeper_version long, ka long, kb long, before binary, after binary"
@@ -464,7 +524,7 @@ def surroundings(docs: DataFrame, passages: DataFrame, config: ParagraphConfig =
 
 
 def extended(docs: DataFrame, passages: DataFrame, around: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
-    """(doc_id, version, keeper_id, component_id, a, b): removed passages with the words beside them that equal those of the kept passage.
+    """(doc_id, version, keeper_id, component_id, a, b): removed passages with open ends, and the words beside them that equal those of the kept passage.
 
     Blocks of a common passage begin at most ``winnow`` words apart and from its ends, so ``winnow`` words on each side
     close all gaps. Repeated rows give a passage once.
@@ -474,15 +534,15 @@ def extended(docs: DataFrame, passages: DataFrame, around: DataFrame, config: Pa
     def run(batches):
         for batch in batches:
             for doc, version, text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                cut, placed = _placed(text.as_py(), [w["a"] << 32 | w["b"] for w in want], config)
+                cut, starts, ends, placed = _placed(text.as_py(), [w["a"] << 32 | w["b"] for w in want])
                 if not placed:
                     continue
-                starts, ends = cut.word_chars()
                 out = []
                 for k, i, j in placed:
                     w = want[k]
                     left = _agree(cut.words[max(0, i - config.winnow) : i][::-1], np.frombuffer(w["before"], np.uint64))
                     right = _agree(cut.words[j : j + config.winnow], np.frombuffer(w["after"], np.uint64))
+                    left, right = left * w["open_left"], right * w["open_right"]
                     a = int(starts[i - left])
                     if (w["keeper_id"], w["keeper_version"]) == (doc, version):  # a later repeat in the text that keeps the first
                         a = min(int(starts[i]), max(a, w["kb"]))
@@ -490,8 +550,8 @@ def extended(docs: DataFrame, passages: DataFrame, around: DataFrame, config: Pa
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)
 
     # no aggregate on top, so that adaptive execution can split a passage that very many documents share
-    each = passages.where("removed").join(around, ["keeper_id", "keeper_version", "ka", "kb"])
-    cells = F.struct("component_id", "keeper_id", "keeper_version", "a", "b", "kb", "before", "after")
+    each = passages.where("open_left OR open_right").join(around, ["keeper_id", "keeper_version", "ka", "kb"])
+    cells = F.struct("component_id", "keeper_id", "keeper_version", "a", "b", "kb", "open_left", "open_right", "before", "after")
     lists = each.groupBy("doc_id", "version").agg(F.collect_list(cells).alias("want"))
     made = _texts(docs).join(lists, ["doc_id", "version"]).select("doc_id", "version", "text", "want")
     return made.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
@@ -537,12 +597,12 @@ def repeated(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> Da
     again = F.col("same") & ((F.col("version") != F.col("keeper_version")) | (_high("span") >= _low("keeper_span")))
     removed = ((F.col("doc_id") != F.col("keeper_id")) | again).alias("removed")
     # no aggregate on this join, so that adaptive execution can split a passage that very many documents share
-    hits = found.join(flagged, "uid").select("component_id", *[f"keeper_{x}" for x in ("id", "version", "span")], "doc_id", "version", "span", removed)
+    hits = found.join(flagged, "uid").select("component_id", *[f"keeper_{x}" for x in ("id", "version", "span")], "doc_id", "version", "span", removed, "same")
     passages = scratch.write(chains(hits), "passages")
     scratch.drop(cuts, flagged)
     around = scratch.write(surroundings(docs, passages, config), "surroundings")
     wide = extended(docs, passages, around, config).withColumn("removed", F.lit(True))
-    stay = passages.where("NOT removed").select("doc_id", "version", "keeper_id", "component_id", "a", "b", "removed")
+    stay = passages.where("NOT (open_left OR open_right)").distinct().select("doc_id", "version", "keeper_id", "component_id", "a", "b", "removed")
     return wide.unionByName(stay).select(
         "component_id",
         F.col("keeper_id").alias("first_doc_id"),
