@@ -2,8 +2,8 @@
 
 Base spans come from the four patterns. The field then labels every token that holds a digit or "@"
 (all other tokens carry no evidence and are fixed to "none"). Neighbouring tokens share a chain
-potential; repeated tokens, and tokens whose digits end alike, share a skip potential however far apart
-they are: each occurrence is linked with a hub, the first one that meets a base span of a kind (one hub
+potential; repeated tokens, tokens whose digits end alike (also where a number is spread over several),
+and addresses of one name share a skip potential however far apart they are: each occurrence is linked with a hub, the first one that meets a base span of a kind (one hub
 for each kind found), else the first of all. So the evidence of a base span is one link away, any two
 occurrences are two links apart, and a value repeated n times costs about n edges. Base spans
 clamp their tokens; loopy sum-product message passing, run until its messages settle, spreads them, so
@@ -93,7 +93,7 @@ class CrfConfig:
     epochs: int = 150
     rate: float = 0.1
     l2: float = 1e-3
-    same: float = 4.0
+    same: float = 6.0
     hide: float = 0.3
     rounds: int = 10
     least: float = 0.9
@@ -177,11 +177,14 @@ class Graph:
             self.spans.append((doc, i, start, end))
             if n and nodes[n - 1] == i - 1:
                 self.chain.append((first + n - 1, first + n))
-            keys = set()
-            if len(plain := word.strip(_EDGE).lower()) >= 4:
+            keys = self._run_keys(words, counts, nodes, n)
+            plain = word.strip(_EDGE).lower()
+            if len(plain) >= 4 and (counts[n] >= 7 or any(c.isalpha() for c in plain)):  # few digits alone name nothing
                 keys.add(plain)
             if counts[n] >= 7:
                 keys.add(re.sub("[^0-9]", "", word)[-7:])
+            if len(local := plain.partition("@")[0]) >= 4 and "@" in plain:
+                keys.add(local)
             for key in keys:
                 alike.setdefault(key, []).append(first + n)
         links: dict[tuple[int, int], None] = {}  # ordered, each pair once
@@ -196,6 +199,20 @@ class Graph:
                         links[min(n, hub), max(n, hub)] = None
         self.skip.extend(links)
 
+    @staticmethod
+    def _run_keys(words: list[str], counts: list[int], nodes: list[int], n: int) -> set[str]:
+        """The last seven digits of a number that is spread over words in a row, of one to six digits each and without letters, which the word is part of."""
+        part = lambda i: 0 <= i < len(words) and counts[i] <= 6 and not any(c.isalpha() or c == "@" for c in words[i])
+        if not part(n):
+            return set()
+        first = last = n
+        while first > n - 19 and part(first - 1) and nodes[first - 1] == nodes[first] - 1:
+            first -= 1
+        while last < n + 19 and part(last + 1) and nodes[last + 1] == nodes[last] + 1:
+            last += 1
+        digits = re.sub("[^0-9]", "", "".join(words[first : last + 1]))
+        return {digits[-7:]} if last > first and 7 <= len(digits) <= 19 else set()
+
     def matrix(self) -> np.ndarray:
         x = np.zeros((len(self.features), len(_NAMES)))
         for i, on in enumerate(self.features):
@@ -378,7 +395,7 @@ def _load(model: str) -> dict[str, np.ndarray]:
 
 
 def detect(docs: DataFrame, config: CrfConfig = CrfConfig(), model: str | None = None) -> DataFrame:
-    """One row per document: doc_id, base counts by kind, base_sha256, spans (base and added), n_added.
+    """One row per document: doc_id, base counts by kind, base_sha256, spans (base and added), n_added, n_spans (all of them).
 
     Null and empty texts have no spans. Repeated rows give repeated rows; columns besides doc_id and
     text are ignored; an empty table gives an empty result (and a model without evidence).
@@ -394,10 +411,11 @@ def detect(docs: DataFrame, config: CrfConfig = CrfConfig(), model: str | None =
             columns.append(pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in found], pa.string()))
             columns.append(pa.array([listed([x + y for x, y in zip(b, a)]) for b, a in found], pa.string()))
             columns.append(pa.array([sum(map(len, a)) for _, a in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
+            columns.append(pa.array([sum(map(len, b)) + sum(map(len, a)) for b, a in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     )
 
 
@@ -415,7 +433,11 @@ def masked(text: str | None, spans: list[list[tuple[int, int]]]) -> str | None:
 
 
 def redact(docs: DataFrame, config: CrfConfig = CrfConfig(), model: str | None = None) -> DataFrame:
-    """The rows of ``docs`` with personal data in ``text`` masked; n_chars, where present, follows the new text."""
+    """The rows of ``docs`` with personal data in ``text`` masked; n_chars, where present, follows the new text.
+
+    Null and empty texts stay as they are; very long ones are masked whole; repeated rows are masked alike; columns of any
+    other name pass through; an empty table gives an empty result.
+    """
     model = model or fit(docs, config)
     place = docs.columns.index("text")
 
