@@ -33,8 +33,8 @@ _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write_table(df: DataFrame, path: str, *partitions: str) -> None:
-    """Write ``df`` as Parquet and drop the shuffle files that this took."""
+def write_table(df: DataFrame, path: str, *partitions: str, hashes: tuple[str, ...] = ()) -> None:
+    """Write ``df`` as Parquet and drop the shuffle files that this took. Columns named as ``hashes`` never repeat enough for a dictionary to pay."""
     spark = df.sparkSession
     settings = {_CLEANUP: "true", _WRITERS: "4"}
     before = {k: spark.conf.get(k, None) for k in settings}
@@ -42,6 +42,8 @@ def write_table(df: DataFrame, path: str, *partitions: str) -> None:
         spark.conf.set(k, v)
     try:
         writer = df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")  # two files fewer for each table
+        for column in hashes:
+            writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
     finally:
         for k, v in before.items():
@@ -78,10 +80,10 @@ class Scratch:
         self.held[id(table)] = (table, path)
         return table
 
-    def write_kinds(self, df: DataFrame, label: str, *kinds: str) -> list[DataFrame]:
+    def write_kinds(self, df: DataFrame, label: str, *kinds: str, hashes: tuple[str, ...] = ()) -> list[DataFrame]:
         """One job that writes a table for each value of the column ``kind``."""
         path = new_path(self.spark, label)
-        write_table(df, path, "kind")
+        write_table(df, path, "kind", hashes=hashes)
         tables = []
         for kind in kinds:
             table = self.spark.read.schema(df.schema).parquet(path).where(F.col("kind") == kind).drop("kind")

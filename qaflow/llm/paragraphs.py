@@ -362,16 +362,39 @@ def _similar(common, size, other, threshold):
     return (common >= threshold * (size + other - common) - 1e-9) & (common > 0)
 
 
-def similar_pairs(ids: list[tuple[int, int]], sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
-    """The similar ones of many pairs of sets, counted together: a number that both sets of a pair hold comes twice."""
-    sizes = np.array([(len(a), len(b)) for a, b in sets])
-    pair = np.repeat(np.arange(len(sets)), sizes.sum(1))
-    values = np.concatenate([x for both in sets for x in both])
-    order = np.lexsort((values, pair))
-    values, pair = values[order], pair[order]
-    twice = (values[1:] == values[:-1]) & (pair[1:] == pair[:-1])
-    common = np.bincount(pair[1:][twice], minlength=len(sets))
-    return [ids[k] for k in np.flatnonzero(_similar(common, sizes[:, 0], sizes[:, 1], threshold)).tolist()]
+#: Pairs that are compared together; their numbers take the bits that the shingle hashes leave.
+_PAIRS = 1 << 11
+
+
+def similar_pairs(first: list[np.ndarray], second: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Whether the sets of each of at most ``_PAIRS`` pairs are similar. All are counted together, by the upper 53 bits of the hashes: one that both sets of a pair hold comes twice."""
+    sizes = np.array([[len(x) for x in first], [len(x) for x in second]])
+    pair = np.repeat(np.tile(np.arange(len(first), dtype=np.uint64), 2), sizes.ravel())
+    keys = np.sort((pair << np.uint64(53)) | (np.concatenate([*first, *second]) >> np.uint64(11)))
+    twice = keys[1:][keys[1:] == keys[:-1]]
+    common = np.bincount((twice >> np.uint64(53)).astype(np.int64), minlength=len(first))
+    return _similar(common, sizes[0], sizes[1], threshold)
+
+
+def bucket_edges(buckets: list[tuple[list[int], list[np.ndarray]]], threshold: float) -> list[tuple[int, int]]:
+    """Edges of forests with the components of each bucket. Most buckets hold copies alone, so all are first compared with the bucket's first; others go on one by one."""
+    edges = []
+    stars = [(n, k) for n, (ids, _) in enumerate(buckets) for k in range(1, len(ids))]
+    alike = np.concatenate(
+        [
+            similar_pairs([buckets[n][1][0] for n, _ in part], [buckets[n][1][k] for n, k in part], threshold)
+            for part in (stars[i : i + _PAIRS] for i in range(0, len(stars), _PAIRS))
+        ]
+    )
+    at = 0
+    for ids, sets in buckets:
+        near = alike[at : at + len(ids) - 1]
+        at += len(ids) - 1
+        if near.all():
+            edges.extend((ids[0], x) for x in ids[1:] if x != ids[0])
+        elif len(ids) > 2:
+            edges.extend(jaccard_forest(ids, sets, threshold))
+    return edges
 
 
 def verified_links(collided: DataFrame, shingles: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
@@ -387,22 +410,21 @@ def verified_links(collided: DataFrame, shingles: DataFrame, config: ParagraphCo
     def run(batches):
         at, ids, sets = None, [], []
         edges: list = []
-        pairs: list = []
+        held: list = []
 
         def close():
             nonlocal ids, sets
-            if len(ids) == 2 and ids[0] != ids[1]:
-                pairs.append((tuple(ids), tuple(sets)))
-                if len(pairs) >= 2000:
-                    compare()
-            elif len(ids) > 1:
-                edges.extend(jaccard_forest(ids, sets, config.threshold))
+            if len(ids) > 1:
+                held.append((ids, sets))
             ids, sets = [], []
 
-        def compare():
-            if pairs:
-                edges.extend(similar_pairs(*map(list, zip(*pairs)), config.threshold))
-                pairs.clear()
+        def found(least):
+            if held and sum(len(x) for x, _ in held) > least:
+                edges.extend(bucket_edges(held, config.threshold))
+                held.clear()
+            if len(edges) > least:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+                edges.clear()
 
         for batch in batches:
             for task, uid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -411,12 +433,9 @@ def verified_links(collided: DataFrame, shingles: DataFrame, config: ParagraphCo
                     at = task
                 ids.append(uid)
                 sets.append(np.frombuffer(data.as_py(), np.uint64))
-            if len(edges) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
-                edges.clear()
+            yield from found(2 * _PAIRS)
         close()
-        compare()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+        yield from found(0)
 
     rows = keyed.join(shingles.select("uid", "shingles"), "uid").select("task", "uid", "shingles")
     return rows.repartition(n, "task").sortWithinPartitions("task", "uid").mapInArrow(run, "a long, b long")
@@ -481,7 +500,10 @@ def chains(hits: DataFrame) -> DataFrame:
     there are far fewer passages than occurrences. An end is open if no other removed passage of the text that is as much
     the ``same`` goes on there.
     """
-    starts = hits.select("*", _high("span").alias("a"), _low("span").alias("b"), _high("keeper_span").alias("ka"), _low("keeper_span").alias("kb"))
+    n = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one exchange serves all windows and aggregates below, since each of their keys includes these
+    dealt = hits.repartition(n, "doc_id", "version")
+    starts = dealt.select("*", _high("span").alias("a"), _low("span").alias("b"), _high("keeper_span").alias("ka"), _low("keeper_span").alias("kb"))
     # what stays is listed where it is; what goes is aligned with the occurrence that stays
     apart = F.when(F.col("removed"), F.col("a") - F.col("ka")).otherwise(0)
     keys = ["doc_id", "version", "keeper_id", "keeper_version", "removed", "same", "apart"]
@@ -568,7 +590,8 @@ def repeated(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> Da
     table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    cuts, signatures = scratch.write_kinds(cut_texts(docs, config), "cuts", "occurrences", "signatures")
+    hashes = ("uid", "span", *[f"k{i}" for i in range(config.bands)])
+    cuts, signatures = scratch.write_kinds(cut_texts(docs, config), "cuts", "occurrences", "signatures", hashes=hashes)
     found = cuts.select("uid", "doc_id", "version", "span")
     # two bands at a time, so that only their keys are on disk twice
     pairs = [[F.col(f"k{j}") for j in range(i, min(i + 2, config.bands))] for i in range(0, config.bands, 2)]
@@ -597,7 +620,8 @@ def repeated(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> Da
     again = F.col("same") & ((F.col("version") != F.col("keeper_version")) | (_high("span") >= _low("keeper_span")))
     removed = ((F.col("doc_id") != F.col("keeper_id")) | again).alias("removed")
     # no aggregate on this join, so that adaptive execution can split a passage that very many documents share
-    hits = found.join(flagged, "uid").select("component_id", *[f"keeper_{x}" for x in ("id", "version", "span")], "doc_id", "version", "span", removed, "same")
+    # and by hash tables of the few flagged ones, so that the many others needn't be sorted
+    hits = found.join(flagged.hint("shuffle_hash"), "uid").select("component_id", *[f"keeper_{x}" for x in ("id", "version", "span")], "doc_id", "version", "span", removed, "same")
     passages = scratch.write(chains(hits), "passages")
     scratch.drop(cuts, flagged)
     around = scratch.write(surroundings(docs, passages, config), "surroundings")

@@ -194,11 +194,18 @@ def test_links_equal_exact_similarity(spark):
 
 def test_pairs_counted_together():
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
-    sets = [(np.unique(base[i % 7 : 50]), np.unique(base[: 42 + i % 18])) for i in range(90)] + [(base[:1], base[1:2])]
-    ids = [(i, -i) for i in range(91)]
-    expected = [ids[i] for i, (a, b) in enumerate(sets) if exact(set(a.tolist()), set(b.tolist())) >= 0.8]
-    assert P.similar_pairs(ids, sets, 0.8) == expected and 0 < len(expected) < 91
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64) * np.uint64(2)
+    first = [np.unique(base[i % 7 : 50]) for i in range(90)] + [base[:1]]
+    second = [np.unique(base[: 42 + i % 18]) for i in range(90)] + [base[1:2]]
+    expected = [exact(set(a.tolist()), set(b.tolist())) >= 0.8 for a, b in zip(first, second)]
+    assert P.similar_pairs(first, second, 0.8).tolist() == expected and 0 < sum(expected) < 90
+    buckets = [(list(range(10 * i, 10 * i + 4)), [first[i], second[i], first[i + 1], second[i + 1]]) for i in range(0, 88, 2)]
+    edges = P.bucket_edges(buckets, 0.8)
+    for ids, sets in buckets:
+        mine = {frozenset(e) for e in edges if e[0] in ids}
+        forest = {frozenset(e) for e in P.jaccard_forest(ids, sets, 0.8)}
+        reach = lambda es, x: {x} | {y for e in es for y in e if x in e} | {z for e in es for f in es if x in e and e & f for z in f}
+        assert all(reach(mine, x) == reach(forest, x) for x in ids)
 
 
 @pytest.mark.parametrize("most", [1024, 4, -1024])
