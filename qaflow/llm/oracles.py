@@ -18,8 +18,10 @@ def _quality(rules: QualityRules = QualityRules()) -> str:
     cells = ", ".join(values.values())
     least = " ".join(f"WHEN '{k}' THEN {n}" for k, n, _ in rules.metrics)
     low = ", ".join(f"'{k}'" for k, _, lower in rules.metrics if lower)
+    tails = ", ".join(f"'{k}'" for k in rules.tails)
     quartiles = lambda name, keys: f"""{name} AS (SELECT {keys}, sum(n) AS total,
-  min(bin) FILTER (cum * 4 >= total_n) AS q1, min(bin) FILTER (cum * 4 >= total_n * 3) AS q3
+  min(bin) FILTER (cum * 4 >= total_n) AS q1, min(bin) FILTER (cum * 4 >= total_n * 3) AS q3,
+  min(bin + (1 << greatest(length(bin(bin)) - 5, 0)) - 1) FILTER (cum * 1000 >= total_n * {rules.tail}) AS top
   FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY {keys}) AS total_n
     FROM (SELECT {keys}, bin, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {keys})"""
     return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, 'null') AS lang_key, coalesce('=' || source, 'null') AS source_key, coalesce(text, '') AS t FROM documents),
@@ -38,9 +40,10 @@ sketch AS (SELECT lang_key, source_key, metric, (v >> greatest(length(bin(v)) -
 {quartiles("by_lang", "lang_key, metric")},
 {quartiles("every", "metric")},
 picked AS (SELECT o.lang_key, o.source_key, o.metric, CASE WHEN o.total >= {rules.min_docs} THEN o.q1 WHEN l.total >= {rules.min_docs} THEN l.q1 ELSE e.q1 END AS q1,
-  CASE WHEN o.total >= {rules.min_docs} THEN o.q3 WHEN l.total >= {rules.min_docs} THEN l.q3 ELSE e.q3 END AS q3
+  CASE WHEN o.total >= {rules.min_docs} THEN o.q3 WHEN l.total >= {rules.min_docs} THEN l.q3 ELSE e.q3 END AS q3,
+  CASE WHEN l.total >= {rules.min_docs} THEN l.top ELSE e.top END AS top
   FROM own o JOIN by_lang l ON l.lang_key = o.lang_key AND l.metric = o.metric JOIN every e ON e.metric = o.metric),
-spread AS (SELECT *, greatest(q3 - q1, CASE metric {least} END) * {rules.reach} AS spread FROM picked),
+spread AS (SELECT *, greatest(greatest(q3 - q1, CASE metric {least} END) * {rules.reach}, CASE WHEN metric IN ({tails}) THEN top - q3 ELSE 0 END) AS spread FROM picked),
 bad AS (SELECT DISTINCT rid FROM long JOIN spread USING (lang_key, source_key, metric)
   WHERE (v - q3) * n_words > spread * (n_words + {rules.short_words}) OR metric IN ({low}) AND (q1 - v) * n_words > spread * (n_words + {rules.short_words}))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM judged"""
@@ -57,22 +60,29 @@ counts AS (SELECT doc_id, count(*) AS copies FROM draws x JOIN steps s ON s.sour
 SELECT d.*, copy_no, {_UNIT.format("concat_ws(':', d.doc_id, 'order', '29', copy_no)")} AS mix_order
 FROM documents d JOIN counts c ON c.doc_id = d.doc_id, unnest(range(1, c.copies + 1)) r(copy_no)"""
 
-_WARC = r"""WITH bare AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM pages),
-keyed AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*', 0)), ':(80|443)$', ''), '^www[.]', '')
+_WARC = r"""WITH c AS (SELECT page_id AS p, url, coalesce(html, '') AS html, 'front ' || (page_id // 70) AS front FROM pages),
+r AS (SELECT p * 8 AS record_id, url, p AS ts, html AS body FROM c
+  UNION ALL SELECT p * 8 + 1, url, p + 400, html || 'changed' FROM c WHERE p % 4 = 2
+  UNION ALL SELECT p * 8 + 2, 'https://WWW.front.example.org:443/?utm_source=x#top', p, front FROM c WHERE p % 7 = 0),
+v AS (SELECT p * 8 + 3 AS record_id, url, p + 1 + (p * 7919) % 1000 AS ts, CASE WHEN p % 3 <> 0 THEN CASE WHEN p % 5 = 0 THEN 'W/' ELSE '' END || '"' || md5(html) || '"' END AS etag, 'day ' || length(html) AS day FROM c
+  UNION ALL SELECT p * 8 + 4, url, p + 500, NULL, NULL FROM c WHERE p % 5 = 1
+  UNION ALL SELECT p * 8 + 5, url, p - 3, '"' || md5(html) || '"', NULL FROM c WHERE p % 6 = 0
+  UNION ALL SELECT p * 8, url, p, '"' || md5(html) || '"', NULL FROM c WHERE p % 9 = 0
+  UNION ALL SELECT p * 8 + 6, 'http://front.example.org', p, '"' || md5(front) || '"', NULL FROM c WHERE p % 7 = 3
+  UNION ALL SELECT p * 8 + 7, NULL, p, '"' || md5(html) || '"', NULL FROM c WHERE p % 50 = 0),
+bare AS (SELECT DISTINCT url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM (SELECT url FROM r UNION ALL SELECT url FROM v) WHERE url IS NOT NULL),
+keyed AS (SELECT url, regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*', 0)), ':(80|443)$', ''), '^www[.]', '')
     || regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
   list_sort(list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z_]*|gclid|fbclid|ref)(=|$)'))) AS args FROM bare),
-p AS (SELECT page_id, path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url_key, '"' || md5(html) || '"' AS tag,
-  'day ' || length(html) AS day, sha256(html) AS digest FROM keyed),
-responses AS (SELECT page_id * 2 AS record_id, url_key, page_id AS ts, tag, day, digest FROM p),
-revisits AS (SELECT page_id * 2 + 1 AS record_id, url_key, page_id + 1 + (page_id * 7919) % 1000 AS ts,
-  CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 5 = 0 THEN 'W/' || tag ELSE tag END AS etag, day FROM p),
+urls AS (SELECT url, path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url_key FROM keyed),
+rk AS (SELECT r.*, url_key, '"' || md5(body) || '"' AS tag, 'day ' || length(body) AS day, sha256(body) AS digest, ts::HUGEINT * 1000000000000 + record_id AS at FROM r JOIN urls USING (url)),
+vk AS (SELECT v.*, url_key, row_number() OVER () AS n, ts::HUGEINT * 1000000000000 + record_id AS at FROM v LEFT JOIN urls USING (url)),
 matched AS (SELECT v.record_id, v.url_key, v.ts, r.record_id AS response_id, r.tag, r.digest, r.ts AS response_ts,
-  CASE WHEN r.record_id IS NULL THEN 'no_response' WHEN v.etag IS NOT NULL AND regexp_replace(v.etag, '^W/', '') = r.tag THEN 'resolved'
+  CASE WHEN r.record_id IS NULL THEN 'no_response' WHEN v.etag IS NULL AND v.day IS NULL THEN 'unverified' WHEN v.etag IS NOT NULL AND regexp_replace(v.etag, '^W/', '') = r.tag THEN 'resolved'
     WHEN v.etag IS NULL AND v.day = r.day THEN 'resolved' ELSE 'mismatch' END AS status
-  FROM revisits v LEFT JOIN responses r ON r.url_key = v.url_key AND (r.ts, r.record_id) < (v.ts, v.record_id)
-  QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC NULLS LAST, r.record_id DESC) = 1)
-SELECT record_id, url_key, ts, response_id, status, CASE WHEN status = 'resolved' THEN digest END AS payload_digest,
-  CASE WHEN status = 'resolved' THEN 'Cache-Control: max-age=60' || chr(10) || 'Content-Type: text/html' || chr(10) || 'ETag: ' || tag || chr(10) || 'date: ' || ts END AS headers
+  FROM vk v ASOF LEFT JOIN rk r ON r.url_key = v.url_key AND r.at < v.at)
+SELECT record_id, url_key, ts, response_id, status, CASE WHEN status IN ('resolved', 'unverified') THEN digest END AS payload_digest,
+  CASE WHEN status IN ('resolved', 'unverified') THEN 'Cache-Control: max-age=60' || chr(10) || 'Content-Type: text/html' || chr(10) || 'ETag: ' || tag || chr(10) || 'date: ' || ts END AS headers
 FROM matched"""
 
 ORACLE_SQL: dict[str, str] = {"op6_quality": _quality(), "op7_mixing": _MIXING, "op9_warc": _WARC}

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaflow.llm.common import join_small, let, materialize, packed, unpacked
+from qaflow.llm.common import join_small, let, materialize, unpacked
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -24,16 +24,20 @@ _POS_BITS = 28
 class QualityRules:
     """Parameters: fences lie ``reach`` spreads outside the quartiles of a group.
 
-    The spread of a group is its interquartile range, at least ``least_spread`` of the metric. Since means of
-    few words vary more, the fences of a document of n words lie (n + ``short_words``) / n times as far. A group
-    with fewer than ``min_docs`` documents uses its language's sketch, or that of all documents.
+    The spread of a group is its interquartile range, at least ``least_spread`` of the metric. Most documents have no
+    repeats at all, so quartiles say little of ``tails`` metrics: their fences lie no nearer than the quantile ``tail`` (per
+    mille) of the language, and reject that share of it at most. Since means of few words vary more, the fences of a document
+    of n words lie (n + ``short_words``) / n times as far. A group with fewer than ``min_docs`` documents uses its
+    language's sketch, or that of all documents.
     """
 
     reach: int = 4
     min_docs: int = 30
     short_words: int = 20
     #: metric: (least spread, has a lower fence). Word length is in hundredths, the rest are per mille.
-    metrics: tuple = (("word_len", 40, True), ("symbols", 30, False), ("dup_lines", 100, False), ("repeats", 50, False))
+    metrics: tuple = (("word_len", 40, True), ("symbols", 30, False), ("dup_lines", 25, False), ("repeats", 10, False))
+    tails: tuple = ("dup_lines", "repeats")
+    tail: int = 999
 
 
 def _neighbours_equal(sorted_items: Column, key) -> Column:
@@ -87,19 +91,15 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return let(words, of)
 
 
-def _doc_key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("doc_key")
-
-
 def _text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, packed: bool = False) -> DataFrame:
     """Counts per document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed.
 
     One row per input row with doc_id, lang and source kept as they are; other columns are not read.
-    Null text counts as empty. The text itself is not carried on.
+    Null text counts as empty. The text itself is not carried on, unless ``packed`` asks for the whole row as a struct ``row``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, WORD_GAP), "")
@@ -119,8 +119,10 @@ def measure(docs: DataFrame) -> DataFrame:
             lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")),
         ).alias("l"),
     )
-    rows = docs.select("doc_id", "lang", "source", _text_key(), counts.alias("c"))
+    whole = [F.struct("*").alias("row")] if packed else []
+    rows = docs.select("doc_id", "lang", "source", _text_key(), counts.alias("c"), *whole)
     out = rows.select(
+        *["row"][: len(whole)],
         "doc_id",
         "lang",
         "source",
@@ -164,38 +166,42 @@ def sketch(measured: DataFrame) -> DataFrame:
     )
 
 
-def _quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge sketches to ``keys`` and read the quartiles: the least bin that covers a quarter of the rows."""
+def _quartiles(sketches: DataFrame, keys: list[str], tail: int) -> DataFrame:
+    """Merge sketches to ``keys`` and read quantiles: the least bin that covers a quarter, or three, of the rows, and the end of that which covers ``tail`` per mille."""
     merged = sketches.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     bins = merged.groupBy(*keys).agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
 
-    def at(quarter: int) -> Column:
+    def at(share: int, of: int) -> Column:
         step = F.aggregate(
             "bins",
             F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("long").alias("q")),
             lambda acc, x: F.struct(
                 (acc["cum"] + x["n"]).alias("cum"),
-                F.coalesce(acc["q"], F.when((acc["cum"] + x["n"]) * 4 >= F.col("total") * quarter, x["bin"])).alias("q"),
+                F.coalesce(acc["q"], F.when((acc["cum"] + x["n"]) * of >= F.col("total") * share, x["bin"])).alias("q"),
             ),
         )
         return step["q"]
 
-    return bins.select(*keys, "total", at(1).alias("q1"), at(3).alias("q3"))
+    last = at(tail, 1000)
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(last)) - 5, F.lit(0)))
+    return bins.select(*keys, "total", at(1, 4).alias("q1"), at(3, 4).alias("q3"), (last + width - 1).alias("top"))
 
 
 def fences(sketches: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Quartiles and spread of each metric for each (lang_key, source_key), from the narrowest sketch that is large enough."""
-    own = _quartiles(sketches, ["lang_key", "source_key", "metric"])
-    lang = _quartiles(sketches, ["lang_key", "metric"])
-    every = _quartiles(sketches, ["metric"])
+    own = _quartiles(sketches, ["lang_key", "source_key", "metric"], rules.tail)
+    lang = _quartiles(sketches, ["lang_key", "metric"], rules.tail)
+    every = _quartiles(sketches, ["metric"], rules.tail)
     named = lambda df, p: df.select(*[F.col(c).alias(c if c.endswith("key") or c == "metric" else f"{p}_{c}") for c in df.columns])
     all_ = named(own, "o").join(named(lang, "l"), ["lang_key", "metric"]).join(named(every, "e"), "metric")
     pick = lambda c: F.when(F.col("o_total") >= rules.min_docs, F.col(f"o_{c}")).when(F.col("l_total") >= rules.min_docs, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
-    q = all_.select("lang_key", "source_key", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    top = F.when(F.col("l_total") >= rules.min_docs, F.col("l_top")).otherwise(F.col("e_top"))
+    q = all_.select("lang_key", "source_key", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"), top.alias("top"))
     out = []
     for name, least, _ in rules.metrics:
         mine = F.col("metric") == name
         spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * rules.reach
+        spread = F.greatest(spread, F.col("top") - F.col("q3")) if name in rules.tails else spread
         out += [F.max(F.when(mine, c)).alias(f"{k}_{name}") for k, c in (("q1", F.col("q1")), ("q3", F.col("q3")), ("spread", spread))]
     return q.groupBy("lang_key", "source_key").agg(*out)
 
@@ -211,8 +217,8 @@ def _verdict(rules: QualityRules) -> Column:
     return ~F.col("base_failed") & ok
 
 
-def _judged(docs: DataFrame, rules: QualityRules) -> DataFrame:
-    measured = materialize(measure(docs), "quality")
+def _with_verdict(measured: DataFrame, rules: QualityRules) -> DataFrame:
+    """The written rows of ``measured`` with ``kept``: sketches come from them, and the small table of fences is joined to them."""
     limits = materialize(fences(materialize(sketch(measured), "sketch"), rules), "fences")
     rows = measured.select("*", *_keys())
     return join_small(rows, limits, ["lang_key", "source_key"], F.col("text_key"), "left").withColumn("kept", _verdict(rules))
@@ -226,7 +232,7 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     own. An empty table gives an empty result; repeated rows are judged one by one; columns besides
     doc_id, text, lang and source are ignored.
     """
-    return _judged(docs, rules).select(
+    return _with_verdict(materialize(measure(docs), "quality"), rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
@@ -234,10 +240,8 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    The verdict depends on text, lang and source alone, so rejected rows are named by doc_id, a hash of
-    the text, lang and source, and taken out by an anti-join; repeated rows share their verdict and no
-    row is multiplied. Nulls and clashing names are handled as in ``judge``.
+    Rows are written once beside their counts, so that texts are counted once and never shuffled; each row's verdict is
+    its own, also among repeated ones. Nulls and clashing names are handled as in ``judge``.
     """
-    rejected = _judged(docs, rules).where("NOT kept").select(_doc_key(), "text_key", "lang_key", "source_key").distinct()
-    keyed = packed(docs, _doc_key(), _text_key(), *_keys())
-    return unpacked(keyed.join(rejected, ["doc_key", "text_key", "lang_key", "source_key"], "left_anti"), docs.columns)
+    counted = materialize(measure(docs, packed=True), "quality-rows")
+    return unpacked(_with_verdict(counted, rules).where("kept"), docs.columns)

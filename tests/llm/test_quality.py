@@ -52,3 +52,20 @@ def test_sketches_merge(spark):
     halves = quality.sketch(measured.where("doc_id < 20")).union(quality.sketch(measured.where("doc_id >= 20")))
     merged = halves.groupBy("lang_key", "source_key", "metric", "bin").sum("n")
     assert {tuple(r) for r in merged.collect()} == whole
+
+
+def test_only_repeats_reject(spark):
+    """In a language whose documents have next to no repeated words, one with 15 % of them goes, though the base rule keeps it."""
+    words = lambda seed, n: " ".join(f"{w}{i * 7919 % 9973}" for i, w in enumerate(prose(seed, n).split()))
+    docs = [(i, words(i, 100), "en", "s") for i in range(2000)]
+    body = words(5000, 100)
+    again = " ".join(body.split()[:8])
+    docs.append((9000, body + " x " + again, "en", "s"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    r = out[9000]
+    assert r["n_repeat_words"] == 16 and not r["base_failed"] and not r["kept"]
+    assert all(out[i]["kept"] for i in range(2000))
+    # where more of the language's documents are like it, they are no outliers
+    many = df.where("doc_id < 1000").union(df.where("doc_id = 9000").selectExpr("explode(sequence(20000, 20009)) AS doc_id", "text", "lang", "source"))
+    assert all(r["kept"] for r in quality.judge(many).collect())
