@@ -51,8 +51,9 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     - ``resolved``: its etag (weak comparison), or without one its last_modified, equals the response's;
     - ``mismatch``: it does not; response_id tells which was tried, payload and headers are null.
 
-    Earlier means a smaller (ts, record_id); a null ts sorts first. Repeated rows each get a row. Other
-    columns are ignored; empty tables give an empty result.
+    Earlier means a smaller (ts, record_id), so a revisit never sees a response with its own; a null ts sorts first. Of
+    responses with equal (ts, record_id) the one with the greatest etag, last_modified and payload_digest counts.
+    Repeated rows each get a row; null headers count as none. Other columns are ignored; empty tables give an empty result.
     """
     n = ranges or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = F.when(
@@ -70,7 +71,9 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     ends = known.groupBy("url_key", "range").agg(F.max("full").alias("end"))
     over = Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("url_key", "range", F.last("end", ignorenulls=True).over(over).alias("carried"))
-    inside = Window.partitionBy("url_key", "range").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    # among equals revisits come first, so that none sees a response of its own (ts, record_id)
+    order = ["ts", "record_id", F.col("kind") == "response", "etag", "last_modified", "payload_digest"]
+    inside = Window.partitionBy("url_key", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = known.withColumn("near", F.last("full", ignorenulls=True).over(inside)).where("kind = 'revisit'")
     joined = near.join(carried.where("carried IS NOT NULL"), ["url_key", "range"], "left").withColumn("found", F.coalesce("near", "carried"))
     lost = dealt.where("url_key IS NULL AND kind = 'revisit'")
@@ -96,25 +99,47 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """A capture history for the ``pages`` table: a full response of every page, and a later not-modified revisit of it.
+    """A capture history for the ``pages`` table, page p at time p.
 
-    The revisit comes 1 to 1,000 steps later; every third has only a date as validator, every fifth a
-    weak etag. Pages that share a canonical URL thus give mismatches, as a changed page does.
+    Each page has a full response; every fourth a second one with other content 400 steps later; and every seventh page is
+    a capture of one front page, whose content changes every 70 steps, so that a URL holds many captures. Revisits: one of
+    each page, 1 to 1,000 steps later, with a weak etag, a date alone, or both validators; of some pages one without validators, one
+    before the page's own capture, one with the same time and record_id as the response, and one without a URL; and many of the front page.
+    Null html counts as empty.
     """
     p = F.col("page_id")
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
-    date = F.concat(F.lit("day "), F.length(F.coalesce("html", F.lit(""))).cast("string"))
+    html = F.coalesce("html", F.lit(""))
+    tag = lambda c: F.concat(F.lit('"'), F.md5(c.cast("binary")), F.lit('"'))
+    day = lambda c: F.concat(F.lit("day "), F.length(c).cast("string"))
     header = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
-    response = F.struct(
-        (p * 2).alias("record_id"), p.alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"), date.alias("last_modified"),
-        F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("payload_digest"),
-        F.array(header("Content-Type", F.lit("text/html")), header("ETag", tag), header("Date", p.cast("string"))).alias("headers"),
-    )
+    none = F.lit(None).cast("string")
+
+    def response(when, number, url, at, body):
+        headers = F.array(header("Content-Type", F.lit("text/html")), header("ETag", tag(body)), header("Date", at.cast("string")))
+        return _record(when, p * 8 + number, url, at, "response", tag(body), day(body), F.sha2(body.cast("binary"), 256), headers)
+
+    def revisit(when, number, url, at, etag, modified):
+        headers = F.array(header("date", at.cast("string")), header("Set-Cookie", F.lit("s=1")), header("Cache-Control", F.lit("max-age=60")))
+        return _record(when, p * 8 + number, url, at, "revisit", etag, modified, none, headers)
+
+    url, always = F.col("url"), F.lit(True)
+    front = F.concat(F.lit("front "), F.floor(p / 70).cast("string"))
     later = p + 1 + F.pmod(p * 7919, F.lit(1000))
-    own = F.when(p % 3 == 0, F.lit(None).cast("string")).when(p % 5 == 0, F.concat(F.lit("W/"), tag)).otherwise(tag)
-    revisit = F.struct(
-        (p * 2 + 1).alias("record_id"), later.alias("ts"), F.lit("revisit").alias("kind"), own.alias("etag"), date.alias("last_modified"),
-        F.lit(None).cast("string").alias("payload_digest"),
-        F.array(header("date", later.cast("string")), header("Set-Cookie", F.lit("s=1")), header("Cache-Control", F.lit("max-age=60"))).alias("headers"),
-    )
-    return pages.select("url", F.explode(F.array(response, revisit)).alias("r")).select("url", "r.*")
+    own = F.when(p % 3 == 0, none).when(p % 5 == 0, F.concat(F.lit("W/"), tag(html))).otherwise(tag(html))
+    records = [
+        response(always, 0, url, p, html),
+        response(p % 4 == 2, 1, url, p + 400, F.concat(html, F.lit("changed"))),
+        response(p % 7 == 0, 2, F.lit("https://WWW.front.example.org:443/?utm_source=x#top"), p, front),
+        revisit(always, 3, url, later, own, day(html)),
+        revisit(p % 5 == 1, 4, url, p + 500, none, none),
+        revisit(p % 6 == 0, 5, url, p - 3, tag(html), none),
+        revisit(p % 9 == 0, 0, url, p, tag(html), none),
+        revisit(p % 7 == 3, 6, F.lit("http://front.example.org"), p, tag(front), none),
+        revisit(p % 50 == 0, 7, none, p, tag(html), none),
+    ]
+    return pages.select(F.explode(F.array_compact(F.array(*records))).alias("r")).select("r.*")
+
+
+def _record(when: Column, record_id: Column, url: Column, ts: Column, kind: str, etag: Column, modified: Column, digest: Column, headers: Column) -> Column:
+    fields = {"record_id": record_id, "url": url, "ts": ts, "kind": F.lit(kind), "etag": etag, "last_modified": modified, "payload_digest": digest, "headers": headers}
+    return F.when(when, F.struct(*[c.alias(k) for k, c in fields.items()]))

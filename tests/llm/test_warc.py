@@ -73,8 +73,38 @@ def test_only_permitted_headers_are_merged(spark):
     assert {(h["name"], h["value"]) for h in out["headers"]} == {("Content-Type", "text"), ("Set-Cookie", "keep"), ("date", "new"), ("ETag", '"t"')}
 
 
+@pytest.mark.parametrize("flip", [False, True])
+def test_equal_keys(spark, flip):
+    """A revisit doesn't see a response of its own (ts, record_id), whatever the order of the rows; of equal responses the greatest counts."""
+    rows = [
+        (1, "http://a/", 1, "response", "old", '"a"', None, [], 1), (5, "http://a/", 9, "response", "own", '"b"', None, [], 1), (5, "http://a/", 9, "revisit", None, '"a"', None, None, 1),
+        (5, "http://a/", 9, "response", "own2", '"c"', None, [], 1), (6, "http://a/", 9, "revisit", None, '"c"', None, [], 1), (5, "http://b/", 9, "response", "x", '"a"', None, [], 1),
+        (5, "http://b/", 9, "revisit", None, '"a"', None, [], 1), (5, "http://b/", 9, "revisit", None, '"a"', None, [], 1),
+    ]
+    df = spark.createDataFrame(rows[::-1] if flip else rows, SCHEMA).coalesce(1)
+    found = sorted((r["url_key"], r["record_id"], r["status"], r["payload_digest"]) for r in warc.resolve_revisits(df, 3).collect())
+    assert found == [("a", 5, "resolved", "old"), ("a", 6, "resolved", "own2"), ("b", 5, "no_response", None), ("b", 5, "no_response", None)]
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "http://a/", 1, "response", "s", '"t"', None, [], 7, 8, "n"), (2, "http://a/", 2, "revisit", None, '"t"', None, [], 7, 8, "n")]
+    df = spark.createDataFrame(rows, SCHEMA.replace("extra int", "full int, range int, near string"))
+    assert [(r["record_id"], r["response_id"]) for r in warc.resolve_revisits(df).collect()] == [(2, 1)]
+
+
+def test_history_of_pages_has_every_status(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    history = warc.records_of_pages(pages)
+    assert {r["status"] for r in warc.resolve_revisits(history).select("status").distinct().collect()} == {"no_response", "unverified", "resolved", "mismatch"}
+    rows = [tuple(r[c] for c in ("record_id", "url", "ts", "kind", "payload_digest", "etag", "last_modified", "headers")) for r in history.collect()]
+    keys = {r["url"]: r["k"] for r in history.select("url", warc.canonical_url(F.col("url")).alias("k")).distinct().collect()}
+    tied = {r[0] for r in rows if r[0] % 8 == 0 and r[3] == "revisit"}
+    found = {r["record_id"]: (r["status"], r["response_id"], r["payload_digest"]) for r in warc.resolve_revisits(history, 5).collect()}
+    assert tied and found == brute(rows, keys)
+
+
 def test_empty_and_null(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
     pages = spark.createDataFrame([(1, None, None), (2, "http://a/", None), (2, "http://a/", None)], "page_id long, url string, html string")
     out = warc.resolve_revisits(warc.records_of_pages(pages)).collect()
-    assert len(out) == 3 and {r["status"] for r in out if r["url_key"] is None} == {"no_response"}
+    assert {r["status"] for r in out if r["url_key"] is None} == {"no_response"} and len(out) == 3 + 1
