@@ -91,15 +91,18 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), label: bool = True) ->
     """Replicated rows in a global random order, with all columns of ``docs``.
 
     With ``label``, two columns follow: ``copy_no`` from 1, and ``mix_order``, the number in [0, 1) by
-    which the rows are ordered across partitions (an input column of either name is replaced). Counts
+    which the rows are ordered across partitions, then by doc_id and copy (an input column of either name is replaced). Counts
     depend on doc_id alone besides the source's rate: equal or null doc_ids of a source share a count.
     Null text and other nulls pass through; an empty table gives an empty result.
     """
     counted = with_counts(docs, config)
     copies = counted.where("copies > 0").select("row", "doc_key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy_no"))
     order = unit_hash(F.col("doc_key"), "order", str(config.seed), F.col("copy_no").cast("string"))
-    placed = copies.select("row", "copy_no", order.alias("mix_order"))
-    shuffled = placed.repartitionByRange(_width(docs), "mix_order", "copy_no").sortWithinPartitions("mix_order", "copy_no")
+    placed = copies.select("row", "doc_key", "copy_no", order.alias("mix_order"))
+    # the order is uniform in [0, 1), so parts of equal width hold like numbers of rows, and no pass is needed to find their bounds
+    n = _width(docs)
+    dealt = placed.repartitionById(n, F.floor(F.col("mix_order") * n).cast("int"))
+    shuffled = dealt.sortWithinPartitions("mix_order", "doc_key", "copy_no")
     if not label:
         return unpacked(shuffled, docs.columns)
     names = [c for c in docs.columns if c not in ("copy_no", "mix_order")]

@@ -48,6 +48,14 @@ def test_same_for_any_partitioning_and_globally_ordered(spark):
     assert order == sorted(order)
 
 
+def test_equal_orders_go_by_document(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "unit_hash", lambda *parts: F.lit(0.25))
+    out = [(r["doc_id"], r["copy_no"]) for r in mixing.mix(frame(spark, 30).repartition(5)).collect()]
+    assert out == sorted(out, key=lambda x: (str(x[0]), x[1])) and out
+
+
 def test_zero_weight_and_zero_total(spark):
     assert {r["source"] for r in mixing.mix(frame(spark), mixing.MixConfig(weights={"rare": 1}, other=0.0)).collect()} == {"rare"}
     assert mixing.mix(frame(spark), mixing.MixConfig(weights={"none": 1}, other=0.0)).count() == 0
