@@ -227,16 +227,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate class, all columns kept.
 
     The row with the least doc_id stays (null last; then the least text hash). Rows repeated with the
-    same doc_id and text stay once. Rows to drop are named by doc_id and text hash, so a doc_id that is
-    used for different texts does no harm.
+    same doc_id and text stay once. Rows are named by doc_id and text hash, so a doc_id that is used for different
+    texts does no harm. Null and empty texts are one class; an empty table gives an empty result.
     """
     found = materialize(classes(docs), "classes")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
-    best = found.groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("rows"))
-    best = materialize(best.where("rows > 1"), "best")  # a table of its own, so that adaptive execution can split a large class's join
-    marked = found.join(best, "root").select("doc_id", "text_key", rank.eqNullSafe(F.col("best")).alias("first"))
-    doc_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("doc_key")
-    gone = marked.where("NOT first").select(doc_key, "text_key").distinct()
-    repeated = not marked.where("first").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
-    left = packed(docs, doc_key, _text_key()).join(gone, ["doc_key", "text_key"], "left_anti")
-    return unpacked(left.dropDuplicates(["doc_key", "text_key"]) if repeated else left, docs.columns)
+    # by aggregation alone, so that a class of any size is combined before the shuffle
+    best = found.groupBy("root").agg(F.min(rank).alias("best"))
+    doc_key = lambda c: F.coalesce(c.cast("string"), F.lit("null")).alias("doc_key")
+    keys = materialize(best.select(doc_key(F.col("best.doc_id")), "best.text_key"), "kept")
+    repeated = not found.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
+    # the keys are one to a document: a hash table of a partition's keys spares sorting the texts
+    kept = packed(docs, doc_key(F.col("doc_id")), _text_key()).join(keys.hint("shuffle_hash"), ["doc_key", "text_key"], "left_semi")
+    return unpacked(kept.dropDuplicates(["doc_key", "text_key"]) if repeated else kept, docs.columns)
