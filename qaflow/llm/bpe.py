@@ -171,8 +171,8 @@ def _encoder(*key) -> Encoder:
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", cache_size: int = 400_000) -> DataFrame:
     """Every row of ``docs`` with its ids as ``array<int>`` in a new last column ``ids``.
 
-    Null and empty texts give an empty array. Other columns pass through unchanged; a column of the
-    name ``ids`` is replaced. ``path`` must exist on every executor, as the installed vocabularies do.
+    Null and empty texts give an empty array; very long ones are encoded whole. Repeated rows stay. Other columns pass
+    through unchanged; a column of the name ``ids`` is replaced. An empty table gives an empty result. ``path`` must exist on every executor, as the installed vocabularies do.
     """
     kept = [c for c in docs.columns if c != ids]
     schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
@@ -194,7 +194,8 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, cache_size: int =
     """Encode, decode the ids again, and return one row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Digests are lowercase hex: of the decimal ids joined by commas, and of the decoded bytes. Null and
-    empty texts have no tokens and the digests of nothing. Repeated rows give repeated rows.
+    empty texts have no tokens and the digests of nothing. Very long texts are encoded whole, in time that grows as n log n at
+    most. Repeated rows give repeated rows; other columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,16 +55,45 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/qaflow/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, read back, and where it is."""
+    path = new_path(df.sparkSession, label)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder, on whatever file system it is."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Paths of the tables that open ``temporary_tables`` blocks will delete, the innermost last.
+_TEMPORARY: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside the block are deleted at its end; what is to stay has to be written there by ``written``."""
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        for path in _TEMPORARY.pop():
+            delete_table(spark, path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
-    This cuts lineage: a lost executor costs a re-read of the table, not a recomputation. Tables that a
-    returned DataFrame still reads stay; steps whose tables can go use ``Scratch``.
+    This cuts lineage: a lost executor costs a re-read of the table, not a recomputation. The table stays, as a
+    returned DataFrame may read it, unless ``temporary_tables`` says otherwise; steps whose tables can go earlier use ``Scratch``.
     """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    write_table(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table, path = written(df, label)
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(path)
+    return table
 
 
 class Scratch:
@@ -73,30 +103,25 @@ class Scratch:
         self.spark = spark
         self.held: dict[int, tuple[DataFrame, str]] = {}
 
-    def write(self, df: DataFrame, label: str) -> DataFrame:
-        path = new_path(self.spark, label)
-        write_table(df, path)
-        table = self.spark.read.schema(df.schema).parquet(path)
+    def _hold(self, table: DataFrame, path: str) -> DataFrame:
         self.held[id(table)] = (table, path)
+        if _TEMPORARY:
+            _TEMPORARY[-1].append(path)
         return table
 
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        return self._hold(*written(df, label))
+
     def write_kinds(self, df: DataFrame, label: str, *kinds: str, hashes: tuple[str, ...] = ()) -> list[DataFrame]:
         """One job that writes a table for each value of the column ``kind``."""
         path = new_path(self.spark, label)
         write_table(df, path, "kind", hashes=hashes)
-        tables = []
-        for kind in kinds:
-            table = self.spark.read.schema(df.schema).parquet(path).where(F.col("kind") == kind).drop("kind")
-            self.held[id(table)] = (table, f"{path}/kind={kind}")
-            tables.append(table)
-        return tables
+        tables = [self.spark.read.schema(df.schema).parquet(path).where(F.col("kind") == kind).drop("kind") for kind in kinds]
+        return [self._hold(table, f"{path}/kind={kind}") for table, kind in zip(tables, kinds)]
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            _, path = self.held.pop(id(table))
-            sc = self.spark.sparkContext
-            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+            delete_table(self.spark, self.held.pop(id(table))[1])
 
 
 def join_small(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "inner", most: int = 100_000) -> DataFrame:

@@ -160,7 +160,11 @@ _ITEM = "struct<position:int,kind:string,text:string,src:string,digest:string,ca
 
 
 def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, items): one row per page, ``items`` the ordered structs; null or empty HTML gives an empty array."""
+    """(key, items): one row per page, ``items`` the ordered structs; null or empty HTML gives an empty array.
+
+    Repeated rows and keys give a row each; a null key stays null; other columns are ignored; an empty table gives an
+    empty result. A page is parsed as a whole, however long.
+    """
     keyed = pages.select(F.col(key).cast("long").alias(key), F.col(html).alias("html"))
 
     def run(batches):
@@ -175,8 +179,9 @@ def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
 def resolve(seqs: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per item, in ``position`` order within a page, with the columns of ``media`` for its digest (null for text and unknown digests).
 
-    ``media`` has one row per ``digest``. Items without one get a key of their own, so they cannot pile up
-    under a null; a digest that very many pages share is left to adaptive execution to split.
+    ``media`` has one row per ``digest``; its other columns may not be named like an item's. Items without a digest get a
+    key of their own, so they cannot pile up under a null; a digest that very many pages share is left to adaptive
+    execution to split. Pages without items give no rows; rows of repeated pages stay; empty tables give an empty result.
     """
     items = seqs.select(key, F.explode("items").alias("item")).select(key, "item.*")
     spread = F.concat(F.lit("none:"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":"), F.col("position").cast("string"))

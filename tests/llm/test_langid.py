@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -87,6 +88,85 @@ def test_ftrl_is_sparse_and_temperature_calibrates():
     assert abs(1 / (1 + np.exp(-4 / t)) - 0.7) < 0.01
 
 
+def plain_counts(text, buckets):
+    """Buckets of the n-grams of a text, one character and one step at a time."""
+    letters = [c if c.isalpha() else " " for c in " " + text.lower() + " "]
+    squeezed = [c for i, c in enumerate(letters) if c != " " or not i or letters[i - 1] != " "]
+    mask, out = 0xFFFFFFFF, [0] * buckets
+    multipliers = (2654435761, 2246822519, 3266489917, 668265263)
+    for n in (1, 2, 3):
+        for i in range(len(squeezed) - n + 1):
+            h = n
+            for k in range(n):
+                h = (h ^ ord(squeezed[i + k])) * multipliers[k] & mask
+                h ^= h >> 15
+            out[(h * multipliers[3] & mask) >> (32 - buckets.bit_length() + 1)] += 1
+    return out
+
+
+def test_counts_and_tfidf_equal_plain_python():
+    config = langid.LangConfig(buckets=256)
+    for text in ("Ab c", "é-ß 12 \u65e5\u672c x", " ".join(t for _, t, _ in corpus(3))):
+        counts = langid.ngram_counts(text, config)
+        assert counts.tolist() == plain_counts(text, 256)
+        idf = np.linspace(1, 3, 256)
+        at, values = langid.tfidf(counts, idf)
+        raw = {i: (1 + math.log(c)) * float(idf[i]) for i, c in enumerate(counts.tolist()) if c}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        assert dict(zip(at.tolist(), np.round(values, 12).tolist())) == {i: round(v / norm, 12) for i, v in raw.items()}
+
+
+def plain_ftrl(rows, y, classes, c):
+    """FTRL-proximal for multinomial logistic regression, a coordinate at a time."""
+    z = [[0.0] * classes for _ in range(c.buckets + 1)]
+    n = [[0.0] * classes for _ in range(c.buckets + 1)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= c.l1:
+            return 0.0
+        return -(z[i][k] - math.copysign(c.l1, z[i][k])) / ((c.beta + math.sqrt(n[i][k])) / c.alpha + c.l2)
+
+    for _ in range(c.epochs):
+        for (at, values), label in zip(rows, y):
+            cells = [*zip(at.tolist(), values.tolist()), (c.buckets, 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in cells for k in range(classes)}
+            scores = [sum(x * w[i, k] for i, x in cells) for k in range(classes)]
+            e = [math.exp(s - max(scores)) for s in scores]
+            for i, x in cells:
+                for k in range(classes):
+                    g = x * (e[k] / sum(e) - (k == label))
+                    sigma = (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / c.alpha
+                    z[i][k] += g - sigma * w[i, k]
+                    n[i][k] += g * g
+    return np.array([[weight(i, k) for k in range(classes)] for i in range(c.buckets + 1)])
+
+
+def test_ftrl_equals_plain_python():
+    rng = np.random.default_rng(3)
+    config = langid.LangConfig(buckets=16, epochs=2, l1=0.1, l2=0.05)
+    rows = [(np.unique(rng.integers(0, 16, 5)), rng.random(16)) for _ in range(60)]
+    rows = [(at, v[: len(at)]) for at, v in rows]
+    y = rng.integers(0, 3, 60).tolist()
+    found = langid.ftrl(rows, y, 3, config)
+    assert np.allclose(found, plain_ftrl(rows, y, 3, config)) and (found == 0).any()
+
+
+def test_twelve_unequal_languages(spark):
+    """With twelve languages, the rarest with 30 rows, every language is learned."""
+    rng = random.Random(6)
+    parts = {f"l{k:02}": [chr(0x61 + (k * 2 + j) % 26) + rng.choice("aeiou") + rng.choice(["", chr(0x3B1 + k)]) for j in range(8)] for k in range(12)}
+    sizes = {lang: 30 if k % 4 == 3 else 400 for k, lang in enumerate(parts)}
+    rows = []
+    for lang, n in sizes.items():
+        for _ in range(n):
+            rows.append((len(rows), " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(40)), lang))
+    config = langid.LangConfig(train_docs=600)
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), config).where("held_out").collect()
+    for lang in parts:
+        own = [r for r in out if rows[r["doc_id"]][2] == lang]
+        assert sum(r["lang_pred"] == lang for r in own) >= 0.9 * len(own), lang
+
+
 def test_model_round_trip():
     w = np.zeros((9, 2))
     w[3] = [1.5, -2.0]

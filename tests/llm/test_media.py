@@ -1,4 +1,8 @@
+import binascii
 import hashlib
+import html
+import math
+import re
 import zlib
 
 import pytest
@@ -52,16 +56,99 @@ def test_resolution_keeps_positions(spark):
     assert {(r["page_id"], r["position"]) for r in out if r["note"]} == {(1, 2), (2, 0)}
 
 
-def test_digests(spark):
-    texts = {r[0]: (r[1] or "").encode() for r in rows() if r[0] is not None}
-    out = media.digest_texts(documents(spark)).collect()
-    assert len(out) == len(rows())
+def decoded(png):
+    """Samples of an 8-bit greyscale PNG by the standard alone: chunks, zlib stream, and all five line filters."""
+    assert png[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, stream, width, height = 8, b"", 0, 0
+    while at < len(png):
+        size, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+        body = png[at + 8 : at + 8 + size]
+        assert int.from_bytes(png[at + 8 + size : at + 12 + size], "big") == binascii.crc32(png[at + 4 : at + 8 + size])
+        if kind == b"IHDR":
+            width, height = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert body[8:] == bytes([8, 0, 0, 0, 0])
+        elif kind == b"IDAT":
+            stream += body
+        at += 12 + size
+    lines, before = [], [0] * width
+    flat = zlib.decompressobj().decompress(stream)
+    assert len(flat) == height * (width + 1)
+    for y in range(height):
+        kind, line = flat[y * (width + 1)], []
+        for x, v in enumerate(flat[y * (width + 1) + 1 : (y + 1) * (width + 1)]):
+            left, up, corner = (line[x - 1] if x else 0), before[x], (before[x - 1] if x else 0)
+            p = left + up - corner
+            nearest = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+            line.append((v + (0, left, up, (left + up) // 2, nearest)[kind]) % 256)
+        lines.append(bytes(line))
+        before = line
+    return b"".join(lines)
+
+
+def described(payload):
+    """The feature string by plain arithmetic."""
+    n = len(payload)
+    mean = sum(payload) / n
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in payload) / n)
+    step = sum(abs(a - b) for a, b in zip(payload, payload[1:])) / (n - 1)
+    bins = [0] * 16
+    for x in payload:
+        bins[x // 16] += 1
+    return f"h={n // 64};mean={round(mean * 1000)};sd={round(deviation * 1000)};zero={payload.count(0)};step={round(step * 1000)};hist={'.'.join(map(str, bins))}"
+
+
+def check_digests(spark, docs, texts, n_rows):
+    stored = {r["digest"]: bytes(r["media"]) for r in media.store_texts(docs).collect()}
+    by_hash = {hashlib.sha256(m).hexdigest(): m for m in stored.values()}
+    out = media.digest_texts(docs).collect()
+    assert len(out) == n_rows
     for r in out:
         if r["doc_id"] is None:
             continue
         raw = texts[r["doc_id"]]
         payload = raw + bytes((-len(raw)) % 64 or (64 if not raw else 0))
-        png = media.to_png(payload, len(raw))
+        png = by_hash[r["media_sha256"]]
+        assert decoded(png) == payload
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest())
-        assert r["feature"] == media.features(payload) and r["caption"] == f"{len(raw)} bytes" and r["position"] == 1
+        assert (r["tail_crc32"], r["media_bytes"]) == (binascii.crc32(payload[-64:]), len(png))
+        assert r["feature"] == described(payload) and r["caption"] == f"{len(raw)} bytes" and r["position"] == 1
+
+
+def test_digests(spark):
+    texts = {r[0]: (r[1] or "").encode() for r in rows() if r[0] is not None}
+    check_digests(spark, documents(spark), texts, len(rows()))
+
+
+PAGES = "/root/testdata/sf0.001/pages.parquet"
+
+
+def test_digests_of_pages(spark):
+    pages = spark.read.parquet(PAGES).selectExpr("page_id AS doc_id", "html AS text").limit(12)
+    texts = {r["doc_id"]: r["text"].encode() for r in pages.collect()}
+    check_digests(spark, pages, texts, len(texts))
+
+
+def plain_words(page):
+    """Words in document order by regular expressions: no comments, scripts and styles; inline tags join, others part."""
+    page = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<(script|style)>.*?</\1>", " ", page)
+    page = re.sub(r"</?(?:a|b|i|em|span|title|head|meta|html)(?:\s[^>]*)?>", "", page)
+    return html.unescape(re.sub(r"<[^>]*>", " ", page)).split()
+
+
+def test_sequences_of_pages(spark):
+    """Real pages, with two media references put in: texts keep their order, references their places and captions."""
+    d, e = "a" * 64, "b" * 64
+    figure = f'<figure><img src="sha256:{d}" alt="x"><figcaption>The caption</figcaption></figure>'
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(PAGES).collect()}
+    marked = {k: h.replace("</h1>", "</h1>" + figure, 1).replace("<footer", f'<img src="sha256:{e}"><footer', 1) for k, h in pages.items()}
+    df = spark.createDataFrame(list(marked.items()), "page_id long, html string")
+    store = spark.createDataFrame([(d, "found")], "digest string, note string")
+    out = media.resolve(media.sequences(df), store).orderBy("page_id", "position").collect()
+    for k, h in pages.items():
+        items = [r for r in out if r["page_id"] == k]
+        assert [r["position"] for r in items] == list(range(len(items)))
+        assert " ".join(r["text"] for r in items if r["kind"] == "text").split() == plain_words(h)
+        assert [(r["digest"], r["caption"], r["note"]) for r in items if r["kind"] == "media"] == [(d, "The caption", "found"), (e, None, None)]
+        head = next(i for i, r in enumerate(items) if r["kind"] == "media")
+        before = " ".join(r["text"] for r in items[:head]).split()
+        assert before == plain_words(h[: h.index("</h1>")])
