@@ -350,7 +350,9 @@ def jaccard_forest(ids: list[int], sets: list[np.ndarray], threshold: float) ->
         while todo and left.any():
             j = todo.pop()
             live = left[owner]
-            common = np.bincount(owner[live], np.isin(values[live], sets[j]), minlength=len(sets))
+            known, asked = sets[j], values[live]
+            held = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+            common = np.bincount(owner[live], held, minlength=len(sets))
             near = np.flatnonzero(left & _similar(common, sizes, sizes[j], threshold))
             left[near] = False
             todo.extend(near.tolist())
@@ -364,6 +366,8 @@ def _similar(common, size, other, threshold):
 
 #: Pairs that are compared together; their numbers take the bits that the shingle hashes leave.
 _PAIRS = 1 << 11
+#: Buckets of more paragraphs are compared one by one, where a paragraph found similar need not be compared with all others.
+_SMALL = 16
 
 
 def similar_pairs(first: list[np.ndarray], second: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -377,23 +381,32 @@ def similar_pairs(first: list[np.ndarray], second: list[np.ndarray], threshold:
 
 
 def bucket_edges(buckets: list[tuple[list[int], list[np.ndarray]]], threshold: float) -> list[tuple[int, int]]:
-    """Edges of forests with the components of each bucket. Most buckets hold copies alone, so all are first compared with the bucket's first; others go on one by one."""
-    edges = []
-    stars = [(n, k) for n, (ids, _) in enumerate(buckets) for k in range(1, len(ids))]
-    alike = np.concatenate(
-        [
-            similar_pairs([buckets[n][1][0] for n, _ in part], [buckets[n][1][k] for n, k in part], threshold)
-            for part in (stars[i : i + _PAIRS] for i in range(0, len(stars), _PAIRS))
-        ]
-    )
-    at = 0
-    for ids, sets in buckets:
-        near = alike[at : at + len(ids) - 1]
-        at += len(ids) - 1
-        if near.all():
-            edges.extend((ids[0], x) for x in ids[1:] if x != ids[0])
-        elif len(ids) > 2:
+    """Edges of forests with the components of each bucket. The pairs of small buckets are compared together, large buckets one by one."""
+    edges: list[tuple[int, int]] = []
+    pairs = []
+    for n, (ids, sets) in enumerate(buckets):
+        if len(ids) > _SMALL:
             edges.extend(jaccard_forest(ids, sets, threshold))
+        else:
+            pairs.extend((n, i, k) for k in range(1, len(ids)) for i in range(k))
+    root = [list(range(len(ids))) for ids, _ in buckets]
+
+    def top(of: list[int], i: int) -> int:
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for at in range(0, len(pairs), _PAIRS):
+        part = pairs[at : at + _PAIRS]
+        alike = similar_pairs([buckets[n][1][i] for n, i, _ in part], [buckets[n][1][k] for n, _, k in part], threshold)
+        for j in np.flatnonzero(alike).tolist():
+            n, i, k = part[j]
+            a, b = top(root[n], i), top(root[n], k)
+            if a != b:
+                root[n][max(a, b)] = min(a, b)
+                ids = buckets[n][0]
+                if ids[i] != ids[k]:
+                    edges.append((ids[i], ids[k]))
     return edges
 
 
