@@ -156,6 +156,12 @@ def prompt_groups(spark, d):
     return rl.replicate(rollouts(spark, d).select("group_id", "turn"), 4).select("group_id", "turn", F.col("copy").cast("long").alias("copy"))
 
 
+@query(_REWARDS + "SELECT round(avg(format_reward), 6) AS eval_format_rate, round(avg(em_reward), 6) AS eval_em_rate, round(0.2::DOUBLE * avg(format_reward) + 0.8::DOUBLE * avg(em_reward), 6) AS eval_reward FROM scored")
+def eval_rates(spark, d):
+    s = rl.eval_rates(_rewarded(spark, d))
+    return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
+
+
 _MARKERS = {k: f"[{k}]" for k in ("thinking_start", "thinking_end", "answer_start", "answer_end")}
 _FORMATS = with_("qa", outputs_sql(fixtures.BRACKET_TEMPLATES)) + (
     """, g AS (SELECT prompt_version, raw_output AS r, CASE WHEN turn % 7 = 3 THEN '' ELSE query END AS th, answer AS an, CASE WHEN conv_id % 13 = 5 THEN NULL ELSE 1 END AS f1 FROM outs),
