@@ -124,14 +124,16 @@ class Scratch:
             delete_table(self.spark, self.held.pop(id(table))[1])
 
 
-def join_small(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "inner", most: int = 100_000) -> DataFrame:
+def join_small(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "inner", most: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
     """Join ``rows`` with a ``table`` of few distinct keys, any of which may hold a large share of the rows.
 
-    ``table`` is already written, so counting it is cheap. Up to ``most`` rows it is broadcast and the rows
-    stay where they are. Beyond that, rows are dealt over as many salts as there are shuffle partitions,
-    and the table is repeated for each, so that no key meets in one task.
+    ``table`` is already written and has numbers besides its keys, so counting it and its keys' bytes is cheap. Up to
+    ``most`` rows and ``most_bytes`` it is broadcast and the rows stay where they are. Beyond that, rows are dealt over as many
+    salts as there are shuffle partitions, and the table is repeated for each, so that no key meets in one task.
     """
-    if table.count() <= most:
+    width = 8 * len(table.columns)
+    n, size = table.agg(F.count("*"), F.sum(F.octet_length(F.concat_ws("", *keys)) + width)).first()
+    if n <= most and (size or 0) <= most_bytes:
         return rows.join(F.broadcast(table), keys, how)
     salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

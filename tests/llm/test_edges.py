@@ -1,13 +1,16 @@
 """Every operator and pipeline stage on awkward documents and on an empty table."""
 
+import hashlib
+
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from qaflow.llm import bpe, langid, media, mixing, paragraphs, pii, quality, sharding, simhash
+from qaflow.llm import bpe, langid, media, mixing, paragraphs, pii, quality, sharding, simhash, warc
 from tests.llm.cases import documents, empty, rows
 
+EMPTY = hashlib.sha256(b"").hexdigest()
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
 #: name: (operator, whether it returns one row for each input row)
@@ -26,9 +29,45 @@ OPERATORS = {
     "sharding": (sharding.place, True),
     "paragraphs": (paragraphs.repeated, False),
     "remove": (paragraphs.remove, True),
+    "warc": (lambda d: warc.resolve_revisits(warc.records_of_pages(d.selectExpr("doc_id AS page_id", "text AS url", "text AS html", "row"))), False),
+}
+
+#: What a null and an empty text give, by column; None stands for a row that goes.
+DEFINED = {
+    "langid": {"lang_pred": "und", "score": 0.0},
+    "pii": {"n_email": 0, "n_ip": 0, "n_card": 0, "n_phone": 0, "spans": "", "n_added": 0, "n_spans": 0},
+    "bpe": {"n_tokens": 0, "ids_sha256": EMPTY, "decoded_sha256": EMPTY},
+    "encode": {"token_ids": []},
+    "simhash": {"fingerprint": "0" * 16, "component_id": 0},
+    "media": {"n_bytes": 0, "payload_bytes": 64, "payload_sha256": hashlib.sha256(bytes(64)).hexdigest()},
+    "quality": {"n_words": 0, "base_failed": True, "kept": False},
+    "keep_good": None,
 }
 
 
+@pytest.mark.parametrize("name", DEFINED)
+def test_null_and_empty_texts(spark, name):
+    """Rows 0 (null) and 1 (empty) of the awkward documents, and all null rows."""
+    found = [r for r in OPERATORS[name][0](documents(spark)).collect() if r["doc_id"] in (0, 1)]
+    if DEFINED[name] is None:
+        assert not found
+        return
+    assert len(found) == 2
+    for r in found:
+        assert {k: r[k] for k in DEFINED[name]} == DEFINED[name]
+
+
+def test_repeated_rows_have_equal_results(spark):
+    """Rows 5, 6 and the copy of 5 hold one text, long enough for every operator."""
+    for name in ("langid", "pii", "bpe", "simhash", "media", "quality", "redact", "sharding"):
+        found = [{k: v for k, v in r.asDict(True).items() if k not in ("doc_id", "row", "lang", "source", "held_out")} for r in OPERATORS[name][0](documents(spark)).collect() if r["doc_id"] == 5]
+        assert len(found) == 2 and found[0] == found[1], name
+    kept = [r["doc_id"] for r in OPERATORS["keep_one"][0](documents(spark)).collect()]
+    assert kept.count(5) == 1 and 6 not in kept
+    cut = {r["doc_id"]: r["text"] for r in OPERATORS["remove"][0](documents(spark)).collect()}
+    assert cut[6] == "" and cut[5] == dict((r[0], r[1]) for r in rows())[5]
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_awkward_rows(spark, name):
     operator, whole = OPERATORS[name]
