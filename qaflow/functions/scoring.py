@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaflow.functions.strings import normalize_answer
+from qaflow.functions.strings import normalize_answer, strip
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
@@ -63,6 +63,15 @@ def normalize_answer_nfd(c: Column) -> Column:
     return normalize_answer(to_nfd(F.coalesce(c, F.lit(""))))
 
 
+def prediction_rows(df: DataFrame, gold: str, prediction: str, context: str, mode: str) -> DataFrame:
+    """Result rows: id, stripped answers, type and level ("unknown" where null), the context's length and its mode."""
+    known = lambda c: F.coalesce(c, F.lit("unknown")).alias(c)
+    return df.select(
+        "id", strip(F.col(gold)).alias("gold_answer"), strip(F.col(prediction)).alias("prediction"), known("type"), known("level"),
+        F.length(context).alias("context_chars"), F.lit(mode).alias("context_mode"),
+    )
+
+
 def breakdown(scored: DataFrame) -> DataFrame:
     """One pass over (type, level, em, f1): the total, each type and each level; null types and levels count as "unknown"."""
     named = scored.select(

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from qaflow import schemas
+from qaflow.functions import scoring
 from qaflow.operators import filters, rendering, rollouts, tasks, validation
 from qaflow.plans import fixtures
 from qaflow.plans.contexts import _BLOCK
@@ -14,6 +14,7 @@ from qaflow.plans.fixtures import classed_qa, multihop, qa_pairs, table, with_
 from qaflow.registry import query
 from qaflow.shared import new_path
 from qaflow.sources import readers, sinks
+from qaflow.streaming import inference, pool
 
 _CORPUS = "corpus AS (SELECT d.lang AS language, b.text AS query, d.text AS query_seed_text, 'u' || d.doc_id AS query_seed_url FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
 _STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -268,9 +269,38 @@ def merged_lines(spark, d):
     return spark.read.schema(rows.schema).json(f"{path}/shard*")
 
 
+@query("SELECT doc_id, length(text)::INT AS chars FROM documents WHERE doc_id % 2 = 0")
+def replayed_batches(spark, d):
+    """Micro-batches run twice from the start, as after a failure that lost the checkpoint: nothing is added twice."""
+    path, done = new_path(spark, "batches-in"), new_path(spark, "batches-out")
+    rows = table(spark, d, "documents").where("pmod(doc_id, 2) = 0").select("doc_id", "text")
+    rows.write.parquet(path)
+    for run in range(2):
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        work = lambda df: df.select("doc_id", F.length("text").alias("chars"))
+        pool.process_batches(stream, work, done, "doc_id", new_path(spark, f"batches-state{run}")).awaitTermination()
+    return spark.read.schema("doc_id long, chars int").parquet(done)
+
+
 # --- operators without a query elsewhere ---
 
 
+@query("SELECT unnest([true, false]) AS thinking, unnest([0.6::DOUBLE, 0.7::DOUBLE]) AS temperature, unnest([0.95::DOUBLE, 0.8::DOUBLE]) AS top_p, unnest([20, 20])::INT AS top_k")
+def sampling_defaults(spark, d):
+    found = [(mode, p.temperature, p.top_p, p.top_k) for mode in (True, False) for p in [inference.SamplingParams.for_mode(mode)]]
+    return spark.createDataFrame(found, "thinking boolean, temperature double, top_p double, top_k int")
+
+
+@query(
+    with_("qa", "preds")
+    + "SELECT conv_id || '-' || turn AS id, trim(gold) AS gold_answer, trim(prediction) AS prediction, coalesce(type, 'unknown') AS type, coalesce(level, 'unknown') AS level, length(gold)::INT AS context_chars, 'all' AS context_mode FROM preds"
+)
+def prediction_rows(spark, d):
+    return scoring.prediction_rows(
+        fixtures.predictions(spark, d).withColumns({"id": F.concat_ws("-", "conv_id", "turn"), "context": F.col("gold")}), "gold", "prediction", "context", "all"
+    )
+
+
 @query(
     with_("qa")
     + r"""SELECT conv_id, turn, CASE conv_id % 2 WHEN 0 THEN 'Be brief.' ELSE 'Think first.' END AS system, array_to_string(list_filter(regexp_split_to_array(trim(answer), '\s+'), lambda x: x <> '')[1:CASE conv_id % 2 WHEN 0 THEN 3 ELSE 8 END], ' ') AS thinking FROM qa"""
