@@ -41,12 +41,13 @@ def range_bucket(df: DataFrame, column: str, n: int = 64) -> Column:
     found = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10_000), F.min(column), F.max(column)).first()
     if found[1] is None:
         return F.lit(0)
-    bounds = sorted({int(found[1]), *map(int, found[0]), int(found[2]) + 1})
+    bounds = sorted({int(found[1]), *map(int, found[0]), min(int(found[2]) + 1, (1 << 63) - 1)})
     edges = F.lit(bounds).cast("array<long>")
     part = F.size(F.filter(edges, lambda b: b <= F.col(column))) - 1
-    low, high = F.get(edges, part), F.get(edges, part + 1)
-    within = F.floor((F.col(column) - low) * n / (high - low)).cast("int")
-    return F.coalesce(part * n + F.least(within, F.lit(n - 1)), F.lit(-1))
+    # in doubles, which no range of longs overflows; rounding keeps the order
+    low, high = F.get(edges, part).cast("double"), F.get(edges, part + 1).cast("double")
+    within = F.floor((F.col(column).cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * n).cast("int")
+    return F.coalesce(part * n + F.greatest(F.least(within, F.lit(n - 1)), F.lit(0)), F.lit(-1))
 
 
 def exact_rank(df: DataFrame, order: list[Column], bucket: Column, by: tuple[str, ...] = (), name: str = "rnk") -> DataFrame:

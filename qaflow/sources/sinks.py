@@ -14,19 +14,23 @@ def write_shards(df: DataFrame, path: str, rows_per_shard: int, mode: str = "app
     df.write.mode(mode).option("maxRecordsPerFile", rows_per_shard).option("compression", codec).parquet(path)
 
 
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet rows at ``path``, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def append_shards(df: DataFrame, keys: list[str], path: str, rows_per_shard: int, seed: int = 0) -> None:
     """Append to folders ``shard=0``, ``shard=1``, ... of exactly ``rows_per_shard`` rows each; the last one may hold fewer and is filled up first.
 
     Only the number of rows so far is needed, which the footers give; no file is rewritten or removed, so a
     failed append leaves what was there. Rows are numbered by a seeded hash of ``keys``.
     """
-    spark = df.sparkSession
-    try:
-        before = spark.read.parquet(path).count()
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        before = 0
+    before = 0 if (rows := existing(df.sparkSession, path)) is None else rows.count()
     ranked = shuffle_rank(df, keys, seed, name="__n")
     shard = F.floor((F.col("__n") + F.lit(before - 1)) / rows_per_shard).cast("int")
     ranked.withColumn("shard", shard).drop("__n").write.mode("append").partitionBy("shard").parquet(path)

@@ -211,3 +211,10 @@ def test_rendering(spark):
     assert one(rendering.system_prompt(F.lit("v1"), {"v1": "p"})) == "p"
     with pytest.raises(Exception, match="unknown prompt version"):
         one(rendering.system_prompt(F.lit("v9"), {"v1": "p"}))
+
+
+def test_ranks_of_keys_over_the_whole_range(spark):
+    keys = [-(1 << 63), -(1 << 63) + 1, -5, 0, 7, 1 << 40, (1 << 63) - 2, (1 << 63) - 1] + [k * 0x1234567890ABCDE for k in range(-7, 8)]
+    df = spark.createDataFrame([(k,) for k in sorted(set(keys), key=lambda k: k % 11)], "k long").repartition(3)
+    found = [r["k"] for r in synth.ordered(df, "k").orderBy("rn").collect()]
+    assert found == sorted(set(keys))
