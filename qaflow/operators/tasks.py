@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from qaflow.functions.strings import strip
 from qaflow.operators.sampling import round_robin, seeded
 from qaflow.schemas import require_columns
+from qaflow.shared import write_once
 
 VERSIONS = ("v1", "v2", "v3")
 KEY_PARTS = ["query", "context", "reference_answer", "prompt_version"]
@@ -82,8 +83,8 @@ def missing(tasks: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def plan(tasks: DataFrame, done: DataFrame, order: str, workers: int, seed: int) -> DataFrame:
-    """Distinct missing tasks dealt over workers in a seeded shuffle."""
-    return round_robin(missing(first_of_key(tasks, order), done), ["task_key"], workers, seed)
+    """Distinct missing tasks dealt over workers in a seeded shuffle; the anti-join is evaluated once for counting and ranking."""
+    return round_robin(write_once(missing(first_of_key(tasks, order), done), "missing"), ["task_key"], workers, seed)
 
 
 def by_worker(planned: DataFrame, workers: int) -> DataFrame:
