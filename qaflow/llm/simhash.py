@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaflow.llm.common import materialize, packed, unpacked
+from qaflow.llm.common import join_small, materialize, packed, unpacked
 from qaflow.llm.components import connected_components
 
 RADIUS = 4
@@ -201,21 +201,32 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = 4096) -> DataFrame:
     return edges.unionByName(found.where("a IS NOT NULL").select("a", "b"))
 
 
-def classes(docs: DataFrame, radius: int = RADIUS, most: int = 4096) -> DataFrame:
+def _spread_join(prints: DataFrame, named: DataFrame, hot: DataFrame) -> DataFrame:
+    """Join on the fingerprint. Rows of the ``hot`` ones (fp, salts) are dealt over their salts, and their names are repeated for each."""
+    spread = F.xxhash64("doc_id", "text_key", F.spark_partition_id())
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = join_small(prints, hot, ["fp"], spread, "left").withColumn("salt", F.pmod(spread, salts).cast("int")).drop("salts")
+    names = join_small(named, hot, ["fp"], F.xxhash64("fp"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1))).drop("salts")
+    return dealt.join(names, ["fp", "salt"]).drop("salt")
+
+
+def classes(docs: DataFrame, radius: int = RADIUS, most: int = 4096, hot: int = 1 << 20) -> DataFrame:
     """(doc_id, text_key, fp, root, component_id), one row per input row; ``root`` names the class.
 
     component_id is the least doc_id reachable over links, itself included. Null and empty texts have
     the fingerprint zero and link like any other. A null doc_id is a component's id only if all its
-    members' are null. Repeated rows stay; columns besides doc_id and text are ignored; an empty table
+    members' are null. A fingerprint of more than ``hot`` rows is joined in parts of about that size. Repeated rows stay; columns besides doc_id and text are ignored; an empty table
     gives an empty result.
     """
     prints = materialize(fingerprints(docs), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "nodes")
     roots = connected_components(links(nodes.select("fp"), radius, most))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    large = materialize(nodes.where(F.col("n") > hot).select("fp", F.ceil(F.col("n") / hot).cast("long").alias("salts")), "hot")
+    joined = prints.join(named, "fp") if large.isEmpty() else _spread_join(prints, named, large)
+    return joined.select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -58,6 +58,13 @@ def test_equals_brute_force(spark, most):
     assert {r["doc_id"]: r["component_id"] for r in found} == brute_classes(fps)
 
 
+def test_hot_fingerprints_are_joined_in_parts(spark):
+    rows = [(i, "one text that very many rows hold") for i in range(300)] + [(300 + i, f"text {i} {i * i} {i * 7}") for i in range(50)] + [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = lambda hot: sorted((str(r["doc_id"]), r["text_key"], r["fp"], r["component_id"]) for r in simhash.classes(df, hot=hot).collect())
+    assert found(7) == found(1 << 20) and len(found(7)) == len(rows)
+
+
 def test_masks_cover_the_radius():
     masks = simhash.covering_masks()
     rng = random.Random(1)
