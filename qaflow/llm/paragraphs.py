@@ -510,8 +510,8 @@ def chains(hits: DataFrame) -> DataFrame:
 
     Columns: doc_id, version, keeper_id, keeper_version, removed, same (its paragraphs equal the kept ones), component_id (the least),
     a and b (code points), ka and kb (of the kept passage), open_left and open_right. Paragraphs overlap many times over, so
-    there are far fewer passages than occurrences. An end is open if no other removed passage of the text that is as much
-    the ``same`` goes on there.
+    there are far fewer passages than occurrences. An end of a removed passage that is the ``same`` is open if no other such
+    passage of the text goes on there, and the text does.
     """
     n = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one exchange serves all windows and aggregates below, since each of their keys includes these
@@ -524,8 +524,9 @@ def chains(hits: DataFrame) -> DataFrame:
     joined = _islands(starts.withColumn("apart", apart), keys, 0).groupBy(*keys, "island").agg(*ends).drop("island", "apart")
     text = ["doc_id", "version", "removed", "same"]
     whole = Window.partitionBy(*text, "island")
-    is_open = lambda c, f: (F.col("removed") & (F.col(c) == f(c).over(whole)))
-    return _islands(joined, text, 1).select(*joined.columns, is_open("a", F.min).alias("open_left"), is_open("b", F.max).alias("open_right"))
+    is_open = lambda c, f: (F.col("removed") & F.col("same") & (F.col(c) == f(c).over(whole)))
+    open_left = is_open("a", F.min) & (F.col("a") > 0)
+    return _islands(joined, text, 1).select(*joined.columns, open_left.alias("open_left"), is_open("b", F.max).alias("open_right"))
 
 
 def _islands(spans: DataFrame, keys: list[str], gap: int) -> DataFrame:
