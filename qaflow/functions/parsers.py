@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from qaflow.functions.strings import (
+    SPACE,
     SPECIAL,
-    WS,
     between,
     clean_content,
     contains_answer,
@@ -130,25 +130,26 @@ def simple_output(raw: Column, max_words: int = 0) -> Column:
 # --- outputs whose format isn't known: tables of candidates, in order of preference ---
 
 
-class _Find:
-    """The first (or last) match of ``pattern`` in ``c``: its only group, and the text before and after it; null without one."""
+def _found(c: Column, pattern: str, body, last: bool = False) -> Column:
+    """``body`` of the first (or last) match of ``pattern`` in ``c``: a struct of its only group and the text before and after it. Null without a match.
 
-    def __init__(self, c: Column, pattern: str, last: bool = False) -> None:
-        p = F.lit(pattern)
-        at = -1 if last else 1
-        whole = F.try_element_at(F.regexp_extract_all(c, p, 0), F.lit(at))
-        self.value = F.try_element_at(F.regexp_extract_all(c, p, 1), F.lit(at))
-        pieces = F.split(c, pattern, -1)
-        if last:
-            head = F.length(c) - F.length(F.element_at(pieces, -1)) - F.length(whole)
-            self.before = F.when(self.value.isNotNull(), _head(c, head))
-        else:
-            self.before = F.when(self.value.isNotNull(), F.get(pieces, 0))
-            self.after = F.when(self.value.isNotNull(), _tail(c, F.length(self.before) + F.length(whole) + 1))
+    The matches are bound once, and only looked for where there is one; ``c`` should be a bound value too.
+    """
+    p = F.lit(pattern)
+    parts = F.struct(F.regexp_extract_all(c, p, 0).alias("whole"), F.regexp_extract_all(c, p, 1).alias("inner"), F.split(c, pattern, -1).alias("between"))
+    at = -1 if last else 1
+
+    def cut(m: Column) -> Column:
+        whole = F.element_at(m["whole"], at)
+        before = _head(c, F.length(c) - F.length(F.element_at(m["between"], -1)) - F.length(whole)) if last else F.get(m["between"], 0)
+        after = _tail(c, F.length(F.get(m["between"], 0)) + F.length(F.get(m["whole"], 0)) + 1)
+        return F.struct(F.element_at(m["inner"], at).alias("value"), before.alias("before"), after.alias("after"))
+
+    return F.when(c.rlike(pattern), let(parts, lambda m: let(cut(m), body)))
 
 
 #: How the output formats mark their parts. "." stops at a line feed only where (?s) is missing.
-_W = f"[{WS}]*"
+_W = f"{SPACE}*"
 _THINK = "(?is)<think>(.*?)</think>"
 _TAG = "(?is)<answer>(.*?)</answer>"
 _NATIVE = f"(?is)<\\|answer_start\\|>{_W}(.*?){_W}<\\|answer_end\\|>"
@@ -157,9 +158,9 @@ _PLAIN = f"(?is)<answer_start>{_W}(.*?){_W}<answer_end>"
 _PLAIN_SLASH = f"(?is)<answer_start>{_W}(.*?){_W}</?answer_end>"
 _PLAIN_OPEN = f"(?is)<answer_start>{_W}(.*)\\z"
 _TAG_OPEN = f"(?is)<answer>{_W}(.*)\\z"
-_MARKER = f"(?is)(?:^|\n){_W}(?:final[{WS}]+answer|answer){_W}[:\\-]{_W}(.+)"
+_MARKER = f"(?is)(?:^|\n){_W}(?:final{SPACE}+answer|answer){_W}[:\\-]{_W}(.+)"
 _FINAL_XML = f"(?is)###{_W}<final answer>{_W}(.*?){_W}</final answer>"
-_FINAL_LINE = f"(?id)(?:^|\n){_W}final[{WS}]+answer{_W}[:\\-]{_W}(.+)"
+_FINAL_LINE = f"(?id)(?:^|\n){_W}final{SPACE}+answer{_W}[:\\-]{_W}(.+)"
 _BOLD_LINE = f"(?s)(?:^|\n){_W}\\*\\*(.+?)\\*\\*{_W}(?=\n|\\z)"
 _BOLD = "(?s)\\*\\*(.+?)\\*\\*"
 _NATIVE_THINK = f"(?is)<\\|thinking_start\\|>{_W}(.*?){_W}<\\|thinking_end\\|>"
@@ -167,17 +168,17 @@ _NATIVE_THINK_OPEN = f"(?is)<\\|thinking_start\\|>{_W}(.*?){_W}(?=<\\|answer_sta
 
 
 def _candidate(name: str, value: Column, **more: Column) -> Column:
-    """A struct, null where ``value`` is null."""
-    fields = [strip(value).alias("value"), F.lit(name).alias("name"), *[c.alias(k) for k, c in more.items()]]
-    return F.when(value.isNotNull(), F.struct(*fields))
+    return F.struct(strip(value).alias("value"), F.lit(name).alias("name"), *[c.alias(k) for k, c in more.items()])
 
 
-def _parsed(thinking: Column, answer: Column, method: Column) -> Column:
-    return F.struct(thinking.alias("thinking"), answer.alias("answer"), (answer != "").alias("parse_ok"), method.alias("parse_method"))
+def _last_line(lines_: Column, body) -> Column:
+    """``body`` of the last line and of the ones before it, joined; null without lines."""
+    earlier = F.array_join(F.slice(lines_, F.lit(1), F.greatest(F.size(lines_) - 1, F.lit(0))), " ")
+    return F.when(F.size(lines_) > 0, body(F.try_element_at(lines_, F.lit(-1)), earlier))
 
 
-def _last_line_candidate(lines_: Column, name: str, **more: Column) -> Column:
-    return _candidate(name, F.try_element_at(lines_, F.lit(-1)), **more)
+def _parsed(thinking: Column, answer: Column, method: Column) -> Column:
+    return F.struct(thinking.alias("thinking"), answer.alias("answer"), (answer != "").alias("parse_ok"), method.alias("parse_method"))
 
 
 def cascade_column(raw: Column, max_words: int = 0) -> Column:
@@ -187,52 +188,52 @@ def cascade_column(raw: Column, max_words: int = 0) -> Column:
     from the left, and a group counts only while the answer is empty (or, for ``overrides``, at all). ``head`` is the text
     before a match: that of the raw output becomes the thinking at once, that of the plain text only if nothing else does.
     """
-    source = strip(F.regexp_replace(text(raw), "</?s>", " "))
+    no = F.lit("")
 
     def of_raw(r: Column) -> Column:
-        return let(strip(F.regexp_replace(r, SPECIAL, " ")), lambda t: of_texts(r, t))
+        return let(strip(F.regexp_replace(r, SPECIAL, " ")), lambda t: let(parts_of(t), lambda parts: fold(r, t, parts)))
 
-    def of_texts(r: Column, t: Column) -> Column:
-        think = _Find(t, _THINK)
-        tail = strip(think.after)
-        in_tail = lambda p: _Find(tail, p)
-        no = F.lit("")
-        till_tail = _head(t, F.length(t) - F.length(think.after))
+    def parts_of(t: Column) -> Column:
+        """What several groups look at: the thinking, the text up to its end and after it, the lines, and what an answer tag has before it."""
+        think = _found(t, _THINK, lambda m: F.struct(strip(m["value"]).alias("thought"), strip(m["after"]).alias("tail"), _head(t, F.length(t) - F.length(m["after"])).alias("till")))
+        return F.struct(think.alias("think"), lines(t).alias("lines"), _found(t, _TAG, lambda m: clean_content(m["before"])).alias("tag_head"))
+
+    def fold(r: Column, t: Column, parts: Column) -> Column:
+        tail, till = parts["think"]["tail"], parts["think"]["till"]
 
         def group(*choices: Column, overrides: bool = False, untagged: bool = False) -> Column:
             return F.struct(F.coalesce(*choices).alias("pick"), F.lit(overrides).alias("overrides"), F.lit(untagged).alias("untagged"))
 
-        def plain(name: str, found: _Find, now: Column = no, before: Column = no) -> Column:
-            return _candidate(name, found.value, now=now, head=F.concat(before, found.before))
+        def plain(name: str, pattern: str, last: bool = False, marks_thinking: bool = False) -> Column:
+            return _found(t, pattern, lambda m: _candidate(name, m["value"], now=clean_content(m["before"]) if marks_thinking else no, head=m["before"]), last)
+
+        def in_tail(name: str, pattern: str) -> Column:
+            return _found(tail, pattern, lambda m: _candidate(name, m["value"], now=no, head=F.concat(till, m["before"])))
 
         def tokens(name: str, pattern: str) -> Column:
-            found = _Find(r, pattern)
-            return _candidate(name, found.value, now=clean_content(found.before), head=no)
+            return _found(r, pattern, lambda m: _candidate(name, m["value"], now=clean_content(m["before"]), head=no))
 
-        marker = _Find(t, _MARKER)
-        rest = lines(t)
-        earlier = F.array_join(F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0))), " ")
         groups = [
-            group(plain("answer_tag", _Find(t, _TAG))),
+            group(plain("answer_tag", _TAG)),
             group(tokens("qwen3_answer_tokens", _NATIVE), overrides=True),
             group(tokens("plain_answer_tokens", _PLAIN)),
             group(tokens("qwen3_answer_start_only", _NATIVE_OPEN)),
             group(
-                plain("answer_open_tag_tail", in_tail(_TAG_OPEN), before=till_tail),
-                plain("answer_marker_tail", in_tail(_MARKER), before=till_tail),
-                _last_line_candidate(lines(tail), "tail_last_line", now=no, head=till_tail),
+                in_tail("answer_open_tag_tail", _TAG_OPEN),
+                in_tail("answer_marker_tail", _MARKER),
+                let(lines(tail), lambda x: _last_line(x, lambda line, _: _candidate("tail_last_line", line, now=no, head=till))),
             ),
-            group(plain("final_answer_xml", _Find(t, _FINAL_XML))),
-            group(plain("final_answer_line", _Find(t, _FINAL_LINE, last=True))),
+            group(plain("final_answer_xml", _FINAL_XML)),
+            group(plain("final_answer_line", _FINAL_LINE, last=True)),
             group(
-                plain("answer_marker", marker, now=clean_content(marker.before)),
-                plain("standalone_bold_line", _Find(t, _BOLD_LINE, last=True)),
-                plain("last_bold_span", _Find(t, _BOLD, last=True)),
+                plain("answer_marker", _MARKER, marks_thinking=True),
+                plain("standalone_bold_line", _BOLD_LINE, last=True),
+                plain("last_bold_span", _BOLD, last=True),
                 untagged=True,
             ),
-            group(_last_line_candidate(rest, "last_line_fallback", now=earlier, head=no), untagged=True),
+            group(_last_line(parts["lines"], lambda line, earlier: _candidate("last_line_fallback", line, now=earlier, head=no)), untagged=True),
         ]
-        tagged = t.rlike(_TAG)
+        tagged = parts["tag_head"].isNotNull()
 
         def step(best: Column, g: Column) -> Column:
             hit = g["pick"].isNotNull() & (g["overrides"] | (best["value"] == "")) & ~(g["untagged"] & tagged)
@@ -240,21 +241,20 @@ def cascade_column(raw: Column, max_words: int = 0) -> Column:
             now = F.when(hit & (best["now"] == ""), g["pick"]["now"]).otherwise(best["now"])
             return F.struct(put("value").alias("value"), put("name").alias("name"), now.alias("now"), put("head").alias("head"))
 
-        nothing = F.struct(no.alias("value"), no.alias("name"), F.coalesce(strip(think.value), no).alias("now"), no.alias("head"))
+        nothing = F.struct(no.alias("value"), no.alias("name"), F.coalesce(parts["think"]["thought"], no).alias("now"), no.alias("head"))
         best = F.aggregate(F.array(*groups), nothing, step)
-        first_head = F.when(tagged, clean_content(_Find(t, _TAG).before)).otherwise(no)
-        return let(best, lambda b: finish(b["value"], b["name"], clean_content(_or(b["now"], first_head, b["head"]))))
+        return let(best, lambda b: finish(b["value"], b["name"], clean_content(_or(b["now"], parts["tag_head"], b["head"]))))
 
     def finish(value: Column, name: Column, thinking: Column) -> Column:
         return let(F.struct(thinking.alias("t"), normalize_answer_text(value).alias("a")), lambda x: unless_equal(x["t"], x["a"], name))
 
     def unless_equal(thinking: Column, answer: Column, name: Column) -> Column:
         same = (answer != "") & (F.lower(thinking) == F.lower(answer))
-        kept = F.when(same, F.lit("")).otherwise(answer)
+        kept = F.when(same, no).otherwise(answer)
         short = truncate_words(thinking, max_words) if max_words > 0 else thinking
         return _parsed(short, kept, F.when(same | (name == ""), F.lit("unknown")).otherwise(name))
 
-    return let(source, of_raw)
+    return let(strip(F.regexp_replace(text(raw), "</?s>", " ")), of_raw)
 
 
 def native_column(raw: Column, accept_slash: bool = True) -> Column:
@@ -265,9 +265,8 @@ def native_column(raw: Column, accept_slash: bool = True) -> Column:
     ``accept_slash`` also takes ``</answer_end>`` as the closing token of a plain answer.
     """
 
-    def of(r: Column) -> Column:
-        pick = lambda how, name, pattern: F.struct(_candidate(name, _Find(r, pattern).value).alias("pick"), F.lit(how).alias("how"))
-        rest = lines(r)
+    def of(r: Column, rest: Column) -> Column:
+        pick = lambda how, name, pattern: F.struct(_found(r, pattern, lambda m: _candidate(name, m["value"])).alias("pick"), F.lit(how).alias("how"))
         spans = [pick("only", "native_answer_tokens", _NATIVE), pick("only", "plain_answer_tokens", _PLAIN_SLASH if accept_slash else _PLAIN)]
         thoughts = [
             pick("always", "think_tag", _THINK),
@@ -280,7 +279,7 @@ def native_column(raw: Column, accept_slash: bool = True) -> Column:
             pick("first", "answer_tag", _TAG),
             pick("first", "answer_marker", _MARKER),
         ]
-        line = [F.struct(_last_line_candidate(rest, "last_line_fallback").alias("pick"), F.lit("first").alias("how"))]
+        line = [F.struct(_last_line(rest, lambda x, _: _candidate("last_line_fallback", x)).alias("pick"), F.lit("first").alias("how"))]
 
         def step(best: Column, c: Column) -> Column:
             unnamed = F.size(best["names"]) == 0
@@ -291,24 +290,19 @@ def native_column(raw: Column, accept_slash: bool = True) -> Column:
         def fold(candidates: list[Column], value: Column, names: Column) -> Column:
             return F.aggregate(F.array(*candidates), F.struct(value.alias("value"), names.alias("names")), step)
 
-        def done(span: Column, thought: Column, answer: Column, last: Column) -> Column:
+        def done(thought: Column, answer: Column, last: Column) -> Column:
             by_line = (answer["value"] == "") & (F.size(rest) > 0)
-            earlier = F.array_join(F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0))), " ")
-            thinking = F.when(by_line, _or(thought["value"], earlier)).otherwise(thought["value"])
+            thinking = F.when(by_line, _or(thought["value"], _last_line(rest, lambda _, earlier: earlier))).otherwise(thought["value"])
             method = F.when(F.size(last["names"]) == 0, F.lit("none")).otherwise(F.array_join(last["names"], "+"))
-            return _parsed(normalize_field(thinking), normalize_field(last["value"]), method)
+            return let(normalize_field(last["value"]), lambda a: _parsed(normalize_field(thinking), a, method))
 
         def then(start: Column, candidates: list[Column], body, value: Column | None = None) -> Column:
             return let(fold(candidates, start["value"] if value is None else value, start["names"]), body)
 
         empty = F.struct(F.lit("").alias("value"), F.array().cast("array<string>").alias("names"))
-        return then(
-            empty,
-            spans,
-            lambda s: then(s, thoughts, lambda t: then(t, open_, lambda a: then(a, line, lambda z: done(s, t, a, z)), s["value"]), F.lit("")),
-        )
+        return then(empty, spans, lambda s: then(s, thoughts, lambda t: then(t, open_, lambda a: then(a, line, lambda z: done(t, a, z)), s["value"]), F.lit("")))
 
-    return let(text(raw), of)
+    return let(text(raw), lambda r: let(lines(r), lambda rest: of(r, rest)))
 
 
 def json_column(raw: Column) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The white space that Python's str.strip and str.split know, as a regex class body.
-WS = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_SPACE = f"[{WS}]"
+#: The white space that Python's str.strip and str.split know. In Unicode mode ``\\s`` is one test of a character, where a
+#: class of all the ranges would be nine.
+SPACE = "(?U:[\\s\\x1c-\\x1f])"
 #: The same characters as text: trimming looks at the ends only, where a regex would scan the whole text.
 _TRIMMED = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Line ends of str.splitlines.
-_LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+#: Line ends of str.splitlines; the empty line inside "\\r\\n" goes with the other blank ones.
+_LINE_END = "[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 SPECIAL = "<\\|[^>]+?\\|>"
 
 #: An article between word boundaries, which are those of letters, digits and "_", so a combining mark ends a word.
@@ -62,7 +62,7 @@ def strip_chars(c: Column, chars: str) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text(c), f"{_SPACE}+", " "))
+    return F.trim(F.regexp_replace(text(c), f"{SPACE}+", " "))
 
 
 def words(c: Column) -> Column:
@@ -93,7 +93,7 @@ def strip_meta(c: Column) -> Column:
 def clean_content(c: Column, bold: bool = True) -> Column:
     """strip_meta without think/answer tags, a leading "answer:", and (``bold``) double asterisks."""
     s = F.regexp_replace(strip_meta(c), "(?i)</?(think|answer)>", " ")
-    s = F.regexp_replace(s, f"(?i)^{_SPACE}*(answer|final answer){_SPACE}*:{_SPACE}*", "")
+    s = F.regexp_replace(s, f"(?i)^{SPACE}*(answer|final answer){SPACE}*:{SPACE}*", "")
     return collapse(F.replace(s, F.lit("**"), F.lit(" ")) if bold else s)
 
 
@@ -115,10 +115,10 @@ def normalize_answer_text(c: Column) -> Column:
     """The final answer: last bold span, cleaned, without #s, a label and quotes; '' for facts/bridge/check labels."""
     spans = F.regexp_extract_all(text(c), F.lit("(?s)\\*\\*(.+?)\\*\\*"), 1)
     s = clean_content(F.coalesce(F.try_element_at(spans, F.lit(-1)), text(c)))
-    s = F.regexp_replace(s, f"^#+{_SPACE}*", "")
-    s = F.regexp_replace(s, f"(?i)^{_SPACE}*(?:answer|final answer){_SPACE}*[:\\-]{_SPACE}*", "")
+    s = F.regexp_replace(s, f"^#+{SPACE}*", "")
+    s = F.regexp_replace(s, f"(?i)^{SPACE}*(?:answer|final answer){SPACE}*[:\\-]{SPACE}*", "")
     s = strip_chars(strip(s), " \t\n\r\"'`")
-    return F.when(s.rlike(f"(?i)^(facts|bridge|check){_SPACE}*:"), F.lit("")).otherwise(s)
+    return F.when(s.rlike(f"(?i)^(facts|bridge|check){SPACE}*:"), F.lit("")).otherwise(s)
 
 
 def normalize_answer(c: Column) -> Column:
