@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaflow.llm import bpe, langid, media, mixing, paragraphs, pii, quality, sharding, simhash, warc
+from qaflow.llm import bpe, langid, media, mixing, paragraphs, pieces, pii, quality, sharding, simhash, warc
 from qaflow.llm.oracles import ORACLE_SQL  # noqa: F401  registered beside the queries
 
 
@@ -61,6 +61,12 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated(_documents(spark, sf_dir))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digest_documents(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_pii": op2_pii,
@@ -72,4 +78,5 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
     "op10_paragraphs": op10_paragraphs,
+    "op11_pieces": op11_pieces,
 }
