@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
+from qaflow.llm.phrases import PhraseConfig
 from qaflow.llm.quality import QualityRules
 
 _GAP = r"[\x20\x09-\x0D]+"
@@ -85,4 +88,40 @@ SELECT record_id, url_key, ts, response_id, status, CASE WHEN status IN ('resolv
   CASE WHEN status IN ('resolved', 'unverified') THEN 'Cache-Control: max-age=60' || chr(10) || 'Content-Type: text/html' || chr(10) || 'ETag: ' || tag || chr(10) || 'date: ' || ts END AS headers
 FROM matched"""
 
-ORACLE_SQL: dict[str, str] = {"op6_quality": _quality(), "op7_mixing": _MIXING, "op9_warc": _WARC}
+_AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY 1),
+marked AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+masks AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask
+  FROM d JOIN firsts USING (t) LEFT JOIN marked USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM masks GROUP BY ALL),
+letters(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS o FROM letters a JOIN letters b ON b.c <> a.c JOIN letters c ON c.c NOT IN (a.c, b.c)
+  JOIN letters d ON d.c NOT IN (a.c, b.c, c.c) JOIN letters e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+steps AS (SELECT o, s, 1 << (ascii(o[s]) - 65) AS bit, list_sum(list_transform(range(1, s), lambda k: 1 << (ascii(o[k]) - 65))) AS earlier FROM orders, unnest(range(1, 6)) u(s)),
+found AS (SELECT part, o AS filter_order, s::INT AS step, bit, sum(n) FILTER (mask & (bit | coalesce(earlier, 0)::INT) = 0) AS kept,
+  sum(n) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0)::INT = 0) AS removed, sum(n) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0)::INT > 0) AS redundant,
+  sum(n) FILTER (mask = bit) AS unique_fails, sum(g) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0)::INT = 0) AS good_lost,
+  sum(x) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0)::INT = 0) AS toxic_lost FROM counts, steps GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM found"""
+
+
+def _phrases(c: PhraseConfig = PhraseConfig()) -> str:
+    return rf"""WITH stretches AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM stretches GROUP BY 1),
+f AS (SELECT lang, n, array_to_string(w[i:i + n - 1], ' ') AS phrase, count(*) AS a FROM stretches, unnest(range(1, {c.max_n + 1})) k(n), unnest(range(1, len(w) - n + 2)) u(i)
+  GROUP BY ALL HAVING count(*) >= {c.least}),
+cuts AS (SELECT lang, n, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM f, unnest(range(1, n)) u(k) WHERE n > 1),
+scored AS (SELECT c.*, x.a AS l, y.a AS r, ({2 * c.unit}::HUGEINT * c.a) // (x.a + y.a) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (SELECT DISTINCT p.lang, p.phrase FROM best p JOIN best q ON q.lang = p.lang AND q.n > p.n AND 100 * q.a >= {c.absorbed} * p.a AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' ')),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN held USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, sizes.n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= {c.top}"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_quality": _quality(), "op7_mixing": _MIXING, "op9_warc": _WARC, "op12_audit": _AUDIT, "op13_phrases": _phrases()}

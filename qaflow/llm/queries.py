@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaflow.llm import bpe, langid, media, mixing, paragraphs, pieces, pii, quality, sharding, simhash, warc
+from qaflow.llm import audit, bpe, langid, media, mixing, paragraphs, phrases, pieces, pii, quality, sharding, simhash, warc
 from qaflow.llm.oracles import ORACLE_SQL  # noqa: F401  registered beside the queries
 
 
@@ -67,6 +67,14 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_pii": op2_pii,
@@ -79,4 +87,6 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_paragraphs": op10_paragraphs,
     "op11_pieces": op11_pieces,
+    "op12_audit": op12_audit,
+    "op13_phrases": op13_phrases,
 }
