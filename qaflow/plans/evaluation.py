@@ -309,4 +309,4 @@ SELECT p.lane, p.event_id, o.event_id AS partner_id, p.size::INT AS pool_size FR
 def streaming_pool(spark, d):
     events = table(spark, d, "events")
     at = new_path(spark, "pool")
-    return pool.run_pool(spark, f"{d}/events.parquet*", events.schema, f"{at}/out", f"{at}/checkpoint")
+    return pool.run_pool(spark, f"{d}/events.parquet*", events.schema, f"{at}/out", f"{at}/checkpoint", lanes=8)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qaflow.functions.strings import strip, truncate_chars
-from qaflow.operators import mixing, sampling, splits, synth, tasks
+from qaflow.operators import membership, mixing, sampling, splits, synth, tasks
 from qaflow.plans.fixtures import classed_qa, grounded_qa, qa_pairs, table, with_
 from qaflow.registry import query
+from qaflow.shared import write_once
 
 KEYS = ["conv_id", "turn"]
 RATIOS = {"correct": 0.70, "refusal": 0.15, "negative": 0.15}
@@ -318,3 +319,11 @@ def missing_tasks(spark, d):
 @query(_PLANNED + "SELECT i::INT AS worker, count(task_key) AS missing FROM range(8) r(i) LEFT JOIN planned ON worker = i GROUP BY 1")
 def missing_by_worker(spark, d):
     return tasks.by_worker(_planned(spark, d), 8)
+
+
+@query(_TASKS + "SELECT DISTINCT task_key FROM tasks WHERE task_key NOT IN (SELECT task_key FROM done)")
+def missing_tasks_filtered(spark, d):
+    """The missing tasks by a Bloom filter over the finished keys, so that only its hits are shuffled to the exact anti join."""
+    rows = write_once(_tasks(spark, d).select("task_key"), "task-keys")
+    done = write_once(_done(_tasks(spark, d)).select("task_key"), "done-keys")
+    return membership.anti_join(rows, done, "task_key").distinct()

@@ -22,6 +22,6 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
-    from qaflow.plans import contexts, evaluation, functions, selection, storage  # noqa: F401  they register their queries
+    from qaflow.plans import contexts, evaluation, functions, selection, storage, streams  # noqa: F401  they register their queries
 
     return QUERIES, ORACLE_SQL

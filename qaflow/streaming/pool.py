@@ -11,29 +11,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POOL_SCHEMA = "lane int, event_id long, partner_id long, pool_size int"
+DRAW_SCHEMA = "lane int, event_id long, partner_id long, partner_url string, partner_context string, tries int, pool_size int"
 
 
-def _processor(size: int, warm: int, seed: int):
+def _hash(*parts) -> int:
+    """The first 32 bits of the md5 of the parts joined by colons."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def _processor(size: int, warm: int, seed: int, ratio: float, retries: int):
     from pyspark.sql.streaming import StatefulProcessor
 
     class PoolProcessor(StatefulProcessor):
-        """Keeps the last ``size`` ids of a lane; a row after the first ``warm`` is paired with one of them by hash."""
+        """A ring of the last ``size`` rows of a lane: row number n lies in slot n modulo ``size``.
+
+        A row costs one write and as many reads as it takes draws; slots that a batch has read or written are looked up once.
+        """
 
         def init(self, handle) -> None:
-            self.pool = handle.getListState("pool", T.StructType([T.StructField("id", T.LongType())]))
+            self.rows = handle.getValueState("rows", "n long")
+            self.ring = handle.getMapState("ring", "slot int", "event_id long, url string, context string")
 
         def handleInputRows(self, key, rows, timerValues):
-            pool = [r[0] for r in self.pool.get()] if self.pool.exists() else []
+            n = self.rows.get()[0] if self.rows.exists() else 0
+            known: dict[int, tuple] = {}
+            written: set[int] = set()
+            frame = pd.concat(list(rows)).sort_values("event_id", kind="stable")
             out = []
-            for frame in rows:
-                for event in sorted(frame["event_id"].tolist()):
-                    if len(pool) >= warm:
-                        pick = int(hashlib.md5(f"{event}:{seed}".encode()).hexdigest()[:8], 16) % len(pool)
-                        out.append((key[0], event, pool[pick], len(pool)))
-                    pool.append(event)
-                    pool = pool[-size:]
-            self.pool.put([(x,) for x in pool])
-            yield pd.DataFrame(out, columns=["lane", "event_id", "partner_id", "pool_size"])
+            for event, url, context in zip(frame["event_id"].tolist(), frame["url"].tolist(), frame["context"].tolist()):
+                held = min(n, size)
+                if held >= warm and held and _hash(event, seed, "draw") < ratio * 4294967296.0:
+                    tries = 0
+                    while True:
+                        pick = _hash(event, seed, tries) if tries else _hash(event, seed)
+                        slot = (n - held + pick % held) % size
+                        if slot not in known:
+                            known[slot] = self.ring.getValue((slot,))
+                        if tries == retries or known[slot][1] != url:
+                            break
+                        tries += 1
+                    out.append((key[0], event, *known[slot], tries, held))
+                known[n % size] = (event, url, context)
+                written.add(n % size)
+                n += 1
+            for slot in written:
+                self.ring.updateValue((slot,), known[slot])
+            self.rows.update((n,))
+            yield pd.DataFrame(out, columns=["lane", "event_id", "partner_id", "partner_url", "partner_context", "tries", "pool_size"])
 
         def close(self) -> None:
             pass
@@ -41,21 +65,55 @@ def _processor(size: int, warm: int, seed: int):
     return PoolProcessor()
 
 
-def pool_stream(events: DataFrame, lanes: int = 8, size: int = 64, warm: int = 4, seed: int = 3) -> DataFrame:
-    """Pair each event with an earlier one of its lane; lanes bound the state and spread the work."""
-    keyed = events.select(F.pmod("event_id", F.lit(lanes)).cast("int").alias("lane"), "event_id")
+def draw_stream(events: DataFrame, lanes: int = 64, size: int = 4096, warm: int = 256, ratio: float = 0.35, retries: int = 10, seed: int = 3) -> DataFrame:
+    """Rows (event_id, url, context) paired with an earlier one of their lane, for mismatched contexts.
+
+    Once ``warm`` rows of the lane have gone before, a row is drawn for at the rate ``ratio``: it gets one of the last ``size`` rows, and
+    another one up to ``retries`` times while that has the same url (null and empty are the same one); the last draw stands. All
+    draws are hashes of event_id, so a replay gives the same pairs. Within a micro-batch rows go by event_id. A lane's rows of
+    one batch are held in memory, so bound batches by the source (``maxFilesPerTrigger``) and spread hot inputs by more lanes.
+    """
+    url, context = F.coalesce("url", F.lit("")).alias("url"), F.coalesce("context", F.lit("")).alias("context")
+    keyed = events.select(F.pmod("event_id", F.lit(lanes)).cast("int").alias("lane"), F.col("event_id").cast("long").alias("event_id"), url, context)
     return keyed.groupBy("lane").transformWithStateInPandas(
-        statefulProcessor=_processor(size, warm, seed), outputStructType=POOL_SCHEMA, outputMode="Append", timeMode="None"
+        statefulProcessor=_processor(size, warm, seed, ratio, retries), outputStructType=DRAW_SCHEMA, outputMode="Append", timeMode="None"
     )
 
 
-def run_pool(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, **options) -> DataFrame:
-    """Run the pool over what is there now; a restart with the same checkpoint goes on with what is new."""
+def pool_stream(events: DataFrame, lanes: int = 64, size: int = 64, warm: int = 4, seed: int = 3) -> DataFrame:
+    """Pair each event with an earlier one of its lane; lanes bound the state and spread the work."""
+    bare = events.select("event_id", F.lit("").alias("url"), F.lit("").alias("context"))
+    return draw_stream(bare, lanes, size, warm, 1.0, 0, seed).select("lane", "event_id", "partner_id", "pool_size")
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """State with maps and timers needs the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = pool_stream(spark.readStream.schema(schema).parquet(source), **options)
-    query = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_available(rows: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Append what a stream gives for the input that is there now; a restart with the same checkpoint goes on with what is new."""
+    use_state_store(rows.sparkSession)
+    query = rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(POOL_SCHEMA).parquet(target)
+    return rows.sparkSession.read.schema(rows.schema).parquet(target)
+
+
+def run_pool(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, **options) -> DataFrame:
+    """``pool_stream`` over what is there now."""
+    use_state_store(spark)
+    return append_available(pool_stream(spark.readStream.schema(schema).parquet(source), **options), target, checkpoint)
+
+
+def pool_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(lane, slot, event_id, url, context): the rings that a finished run has left in its checkpoint."""
+    ring = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "ring").load()
+    return ring.select(F.col("key.lane").alias("lane"), F.col("user_map_key.slot").alias("slot"), "user_map_value.*")
+
+
+def pool_counters(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(lane, n): the rows that each lane has seen."""
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "rows").load().select("key.lane", "value.n")
 
 
 def process_batches(stream: DataFrame, work, done_path: str, key: str, checkpoint: str):
