@@ -45,7 +45,7 @@ def planted(seed, n):
     return table
 
 
-@pytest.mark.parametrize("config", [phrases.PhraseConfig(least=5), phrases.PhraseConfig(least=3, max_n=3, top=7, absorbed=60), phrases.PhraseConfig(least=5, most_keys=0)])
+@pytest.mark.parametrize("config", [phrases.PhraseConfig(least=5), phrases.PhraseConfig(least=3, max_n=3, top=7, absorbed=60), phrases.PhraseConfig(least=5, max_n=2)])
 def test_equals_brute_force(spark, config):
     table = planted(1, 150)
     docs = spark.createDataFrame(table, SCHEMA).repartition(5)
@@ -68,3 +68,22 @@ def test_scores_beyond_64_bits_and_ties(spark):
     assert found["a b"]["score"] == 2_000_000 * (big - 3) // (2 * big - 1)
     three = found["a b c"]  # both cuts score 0 after flooring: the earliest counts
     assert (three["score"], three["l"], three["r"]) == (0, big, big - 3)
+
+
+def test_words_longer_than_the_tables_and_bytes_alone(spark):
+    """Words of over 48 bytes, characters of several bytes beside separators, and texts of separators alone."""
+    long = "x" * 60
+    table = [(i, f"{long}y {long}z\t{long}y {long}z É日,日É! É日 ... \x0b", "en") for i in range(6)] + [(9, " .\t. ", "de"), (10, "one", "")]
+    config = phrases.PhraseConfig(least=3)
+    docs = spark.createDataFrame(table, SCHEMA)
+    assert sorted(map(tuple, phrases.collocations(docs, config).collect())) == brute([r[1:] for r in table], config)
+
+
+def test_hashes_tell_orders_lengths_and_languages_apart():
+    grams = phrases.Grams([b"a b b a ab a b", b"a b b a ab a b"], ["en", "de"])
+    seen = {}
+    for n in (1, 2, 3):
+        at, k1, k2 = grams.phrases(n)
+        for i, *key in zip(at.tolist(), k1.tolist(), k2.tolist()):
+            seen.setdefault(tuple(key), set()).add((int(grams.text[i]), grams.spelled(i, n)))
+    assert all(len(v) == 1 for v in seen.values()) and len(seen) == 2 * (3 + 5 + 5)
