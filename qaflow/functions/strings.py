@@ -174,6 +174,25 @@ def parse_ratios(spec: str, classes: tuple[str, ...]) -> dict[str, float]:
     return {c: given.get(c, 0.0) / total for c in classes}
 
 
+def ratio_shares(spec: Column, classes: tuple[str, ...]) -> Column:
+    """``parse_ratios`` for a column: map of class to share, null where the weights sum to no more than zero; an unknown class is an error."""
+    weight = "struct<name:string,weight:double>"
+    pairs = F.transform(
+        csv_items(spec), lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("name"), strip(F.regexp_replace(x, "^[^:]*:", "")).cast("double").alias("weight")).cast(weight)
+    )
+    unknown = F.array_except(F.transform(pairs, lambda p: p["name"]), F.array(*map(F.lit, classes)))
+
+    def last(name: str) -> Column:
+        of_name = F.filter(pairs, lambda p: p["name"] == name)
+        return F.coalesce(F.when(F.size(of_name) > 0, F.element_at(of_name, -1)["weight"]), F.lit(0.0))
+
+    given = [last(c) for c in classes]
+    total = sum(given[1:], given[0])
+    shares = F.create_map(*[x for c, g in zip(classes, given) for x in (F.lit(c), g / total)])
+    wrong = F.raise_error(F.concat(F.lit("unknown classes "), F.array_join(unknown, ", "))).cast("map<string,double>")
+    return F.when(F.size(unknown) > 0, wrong).when(total > 0, shares)
+
+
 def run_name_number(c: Column) -> Column:
     """A number for a run name: "." becomes p, "-" becomes m, other signs go."""
     return F.regexp_replace(F.translate(c.cast("string"), ".-", "pm"), "[^A-Za-z0-9]", "")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from qaflow.functions import parsers, scoring
 from qaflow.functions.strings import IDK, canonical_answer, parse_ratios, strip, words
-from qaflow.operators import filters, mixing, rendering, splits, synth, tasks
+from qaflow.operators import filters, mixing, rendering, sampling, splits, synth, tasks
 from qaflow.operators.mixing import CLASSES
 from qaflow.shared import write_once
 from qaflow.sources import readers, sinks
@@ -41,8 +41,10 @@ class GroundedConfig:
 def build_grounded(spark: SparkSession, c: GroundedConfig, provider: Provider = stub_provider) -> DataFrame:
     """(outcome, rows). Answers of the model have to be a JSON object whose quotes are in the context; what fails goes to ``<output>_failed``."""
     corpus = synth.valid_rows(readers.corpus(spark, c.corpus, c.format), c.language, max_context=c.max_context)
-    named = corpus.select(F.xxhash64("synth_id", "query", "query_seed_url").alias("key"), "query", F.col("query_seed_text").alias("context"), "query_seed_url")
-    rows = write_once(named.dropDuplicates(["key"]), "corpus")
+    fields = ["synth_id", "query", "query_seed_url"]
+    # rows that agree in all fields are one, with the least context; numbered, so that keys are unique
+    single = write_once(corpus.groupBy(*fields).agg(F.min("query_seed_text").alias("context")), "corpus-rows")
+    rows = write_once(sampling.shuffle_rank(single, fields, c.seed, name="key").drop("synth_id"), "corpus")
     picked = synth.mismatched(rows, "key", "query_seed_url", "context", p=c.mismatch, seed=c.seed)
     partners = picked.join(rows.select(F.col("key").alias("partner_key"), F.col("context").alias("partner")), "partner_key").select("key", "partner")
     hits = synth.capped_hits(rows.select("key"), "key", c.missing, c.most_missing, c.seed + 1).select("key", F.lit(True).alias("hit"))
@@ -58,9 +60,11 @@ def build_grounded(spark: SparkSession, c: GroundedConfig, provider: Provider =
     reason = reason.when(F.col("needs_infer") & ~synth.grounded(F.col("said"), F.col("quotes"), F.col("context")), "not_grounded")
     good, dead = sinks.routed(parsed.withColumn("reason", reason))
     answer = canonical_answer(F.col("said"), synth.CORPUS_IDK)
-    sinks.write_shards(good.select(F.col("is_negative").alias("negative"), "query", "context", answer.alias("answer")), c.output, c.rows_per_shard)
-    sinks.append_dead_letters(dead.select("reason", "query", "context", "raw_output"), f"{c.output}_failed")
-    return parsed.groupBy(F.coalesce(reason, F.lit("written")).alias("outcome")).agg(F.count("*").alias("rows"))
+    counts = sinks.Outcomes(("unparsed", "empty_answer", "not_grounded"))
+    rows = counts.written(good.select(F.col("is_negative").alias("negative"), "query", "context", answer.alias("answer")))
+    sinks.write_shards(rows, c.output, c.rows_per_shard)
+    sinks.append_dead_letters(counts.failed(dead.select("reason", "query", "context", "raw_output")), f"{c.output}_failed")
+    return counts.table(spark)
 
 
 @dataclass(frozen=True)
@@ -133,9 +137,10 @@ def build_traces(spark: SparkSession, c: TraceConfig, provider: Provider = stub_
         F.col("p.parse_ok").alias("parse_ok"), F.col("policy.parse_method").alias("parse_method"), "task_key", F.col("policy.reason").alias("reason"),
     )
     good, dead = sinks.routed(rows)
-    sinks.write_shards(good, c.output, c.rows_per_shard)
-    sinks.append_dead_letters(dead, f"{c.output}_failed")
-    return rows.groupBy(F.coalesce("reason", F.lit("written")).alias("outcome")).agg(F.count("*").alias("rows"))
+    counts = sinks.Outcomes(("empty_answer", "empty_thinking"))
+    sinks.write_shards(counts.written(good), c.output, c.rows_per_shard)
+    sinks.append_dead_letters(counts.failed(dead), f"{c.output}_failed")
+    return counts.table(spark)
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from qaflow.functions.parsers import ordered_tags
 from qaflow.functions.scoring import exact_match
-from qaflow.operators.sampling import hash_int, seeded, shuffle_rank
+from qaflow.operators.sampling import hash_long, seeded, shuffle_rank
 from qaflow.shared import write_once
 
 
@@ -56,7 +56,7 @@ def sample_eval(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
     ranked = shuffle_rank(rows, keys, seed, name="draw")
     if n <= 0 or n >= size:
         return ranked
-    pick = F.pmod(hash_int(seeded([F.col("draw")], seed)), F.lit(size)) + 1
+    pick = F.pmod(hash_long(seeded([F.col("draw")], seed)), F.lit(size)) + 1
     draws = df.sparkSession.range(1, n + 1).select(F.col("id").alias("draw")).select("draw", pick.alias("__at"))
     return draws.join(ranked.withColumnRenamed("draw", "__at"), "__at").select(*df.columns, "draw")
 

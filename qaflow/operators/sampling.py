@@ -22,6 +22,11 @@ def hash_int(hashed: Column) -> Column:
     return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long")
 
 
+def hash_long(hashed: Column) -> Column:
+    """The first 60 bits of an md5 hex string as a long: a remainder by any number of rows is even to one in millions, and reaches all of them."""
+    return F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")
+
+
 def hash01(keys: list[Column], seed: int | str) -> Column:
     """Uniform in [0, 1)."""
     return hash_int(seeded(keys, seed)).cast("double") / F.lit(4294967296.0)
@@ -126,7 +131,7 @@ def sample_classes(df: DataFrame, keys: list[str], wanted: dict[str, int], seed:
     for c, n in wanted.items():  # a distributed range for each of the few classes
         more = spark.range(1, n + 1).select(F.lit(c).alias(by), F.col("id").alias("draw"))
         draws = more if draws is None else draws.unionByName(more)
-    pick = F.pmod(hash_int(seeded([F.col(by), F.col("draw")], seed)), F.col("size")) + 1
+    pick = F.pmod(hash_long(seeded([F.col(by), F.col("draw")], seed)), F.col("size")) + 1
     return draws.join(sizes, by).select(by, "draw", pick.alias("rnk")).join(ranked, [by, "rnk"]).select(*df.columns, "draw")
 
 

@@ -164,6 +164,14 @@ def grid(spark, axes: dict[str, list], max_runs: int = 0) -> DataFrame:
     return rows.where(F.col("ordinal") < max_runs) if max_runs > 0 else rows
 
 
+def axis(df: DataFrame, column: str, most: int = 1000) -> list:
+    """The distinct values of a column in order, nulls left out, for a grid; more than ``most`` are an error, as every one multiplies the runs."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return found
+
+
 def missing_tokens(vocabulary: DataFrame, expected: dict[str, str], model: str = "model", token: str = "token") -> DataFrame:
     """(model, ok, missing_tokens): which of the expected special tokens a model's vocabulary lacks; a model is read once for all its jobs."""
     wanted = F.array_sort(F.array(*[F.lit(t) for t in set(expected.values())]))

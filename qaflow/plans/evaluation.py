@@ -276,12 +276,14 @@ def latest_checkpoints(spark, d):
 
 
 @query(
-    """SELECT row_number() OVER (ORDER BY i, j, k) - 1 AS ordinal, lr, mix, epochs FROM
-(VALUES (0, 0.00001::DOUBLE), (1, 0.00002::DOUBLE), (2, 0.00005::DOUBLE)) a(i, lr), (VALUES (0, 'natural'), (1, 'balanced'), (2, 'custom')) b(j, mix), (VALUES (0, 1), (1, 2), (2, 3)) c(k, epochs)
-ORDER BY 1 LIMIT 20"""
+    """WITH lr AS (SELECT DISTINCT round(l_discount * 0.001, 5) AS lr FROM lineitem), mix AS (SELECT DISTINCT lang AS mix FROM documents WHERE lang IS NOT NULL), epochs AS (SELECT DISTINCT l_linenumber::INT AS epochs FROM lineitem)
+SELECT row_number() OVER (ORDER BY lr, mix, epochs) - 1 AS ordinal, lr, mix, epochs FROM lr, mix, epochs ORDER BY 1 LIMIT 150"""
 )
 def hyper_grid(spark, d):
-    return validation.grid(spark, {"lr": [1e-5, 2e-5, 5e-5], "mix": ["natural", "balanced", "custom"], "epochs": [1, 2, 3]}, 20)
+    """The first 150 runs of a grid whose axes are the few distinct values of three columns."""
+    lines = table(spark, d, "lineitem")
+    axes = {"lr": lines.select(F.round(F.col("l_discount") * 0.001, 5).alias("v")), "mix": table(spark, d, "documents").select(F.col("lang").alias("v")), "epochs": lines.select(F.col("l_linenumber").cast("int").alias("v"))}
+    return validation.grid(spark, {name: validation.axis(df, "v") for name, df in axes.items()}, 150)
 
 
 @query(

@@ -193,10 +193,11 @@ def run_check_lookup(spark, d):
     return jobs.join(checks, "run", "left").select("run", F.coalesce("n", F.lit(0)).alias("num_jobs"), F.col("n").isNull().alias("pending"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT l_partkey AS job FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
 def pending_jobs(spark, d):
-    jobs = table(spark, d, "customer").select("c_custkey")
-    return validation.pending(jobs, table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Jobs, one for each part, of which those with a line of 49 or more have a done marker."""
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("job"), "l_quantity")
+    return validation.pending(lines.select("job").distinct(), lines.where("l_quantity >= 49"), "job")
 
 
 @query("SELECT event_id, event_type, value FROM events")

@@ -20,9 +20,9 @@ def _rank(seed: int, keys: str = "conv_id, turn", part: str = "") -> str:
     return _RANK.format(seed=seed, keys=keys, part=f"PARTITION BY {part}" if part else "")
 
 
-def _u(expr: str) -> str:
+def _u(expr: str, digits: int = 8) -> str:
     """The hashed integer of an md5 over a text expression."""
-    return f"('0x' || substr(md5({expr}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5({expr}), 1, {digits}))::BIGINT"
 
 
 @query(
@@ -99,7 +99,7 @@ def mix_balanced_target(spark, d):
     _RANKED
     + f""", sizes AS (SELECT example_type, count(*) AS n FROM classed GROUP BY 1), draws AS (SELECT example_type, n, i FROM sizes, unnest(range(1, (SELECT max(n) FROM sizes) + 1)) d(i))
 SELECT r.conv_id, r.turn, r.example_type, i AS draw FROM draws JOIN ranked r ON r.example_type = draws.example_type
-  AND r.draw = {_u("concat_ws(':', draws.example_type, i, '21')")} % n + 1"""
+  AND r.draw = {_u("concat_ws(':', draws.example_type, i, '21')", 15)} % n + 1"""
 )
 def mix_balanced_oversample(spark, d):
     return _mixed(mixing.mix(classed_qa(spark, d), KEYS, "balanced", 21, oversample=True))
@@ -115,7 +115,7 @@ def mix_custom(spark, d):
     + f""", sizes AS (SELECT example_type, count(*) AS n FROM classed GROUP BY 1),
 draws AS (SELECT example_type, n, unnest(range(1, CASE example_type WHEN 'correct' THEN 71 ELSE 16 END)) AS i FROM sizes)
 SELECT r.conv_id, r.turn, r.example_type, i AS draw FROM draws JOIN ranked r ON r.example_type = draws.example_type
-  AND r.draw = {_u("concat_ws(':', draws.example_type, i, '21')")} % n + 1"""
+  AND r.draw = {_u("concat_ws(':', draws.example_type, i, '21')", 15)} % n + 1"""
 )
 def mix_oversample(spark, d):
     return _mixed(mixing.mix(classed_qa(spark, d), KEYS, "custom", 21, ratios=RATIOS, target=100, oversample=True))

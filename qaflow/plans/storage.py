@@ -285,10 +285,14 @@ def replayed_batches(spark, d):
 # --- operators without a query elsewhere ---
 
 
-@query("SELECT unnest([true, false]) AS thinking, unnest([0.6::DOUBLE, 0.7::DOUBLE]) AS temperature, unnest([0.95::DOUBLE, 0.8::DOUBLE]) AS top_p, unnest([20, 20])::INT AS top_k")
+@query(
+    """SELECT conv_id, turn, contains(text, 'th') AS thinking, CASE WHEN contains(text, 'th') THEN 0.6 ELSE 0.7 END::DOUBLE AS temperature,
+  CASE WHEN contains(text, 'th') THEN 0.95 ELSE 0.8 END::DOUBLE AS top_p, 20 AS top_k, CASE WHEN conv_id % 4 = 0 THEN 64 ELSE 512 END AS max_tokens FROM conversations WHERE role = 'user'"""
+)
 def sampling_defaults(spark, d):
-    found = [(mode, p.temperature, p.top_p, p.top_k) for mode in (True, False) for p in [inference.SamplingParams.for_mode(mode)]]
-    return spark.createDataFrame(found, "thinking boolean, temperature double, top_p double, top_k int")
+    """Requests with the sampling parameters of their mode, where they give none themselves."""
+    asked = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.contains("text", F.lit("th")).alias("thinking"), F.when(F.pmod("conv_id", F.lit(4)) == 0, 64).alias("max_tokens"))
+    return asked.select("conv_id", "turn", "thinking", inference.sampling_columns(F.col("thinking"), max_tokens=F.col("max_tokens")).alias("p")).select("conv_id", "turn", "thinking", "p.*")
 
 
 @query(
@@ -368,12 +372,27 @@ def free_text_refusals(spark, d):
     return qa_pairs(spark, d).select("conv_id", "turn", free_text_refusal(said, "IDK").alias("answer"))
 
 
-@query("SELECT unnest(['correct', 'refusal', 'negative']) AS example_type, unnest([0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE]) AS share")
+@query(
+    """WITH p AS (SELECT o_custkey AS run, o_custkey % 5 AS k, o_orderkey AS n FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1),
+w AS (SELECT run, k, CASE k WHEN 0 THEN n % 7 + 1 WHEN 4 THEN 0 ELSE k END::DOUBLE AS correct, CASE WHEN k IN (1, 2) THEN 2 ELSE 0 END::DOUBLE AS refusal, CASE k WHEN 3 THEN 0 WHEN 4 THEN 0 ELSE 1.5 END AS negative FROM p)
+SELECT run, correct / (correct + refusal + negative) AS correct, refusal / (correct + refusal + negative) AS refusal, negative / (correct + refusal + negative) AS negative FROM w WHERE k <> 4"""
+)
 def ratio_spec(spark, d):
-    from qaflow.functions.strings import parse_ratios
+    """Mixture specifications, one text for each run, as shares of the classes; specifications without a positive weight have none."""
+    from qaflow.functions.strings import ratio_shares
     from qaflow.operators.mixing import CLASSES
 
-    return spark.createDataFrame(list(parse_ratios(" correct:2, negative:2", CLASSES).items()), "example_type string, share double")
+    first = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.min("o_orderkey").alias("n")).withColumn("k", F.pmod("run", F.lit(5)))
+    k = F.col("k")
+    spec = (
+        F.when(k == 0, F.concat(F.lit(" correct:"), (F.col("n") % 7 + 1).cast("string"), F.lit(", negative:1.5")))
+        .when(k == 1, "correct:1,refusal:2,negative: 1.5")
+        .when(k == 2, " refusal : 2 ,negative:1.5,,correct:2")
+        .when(k == 3, "correct:3")
+        .otherwise("correct:0,refusal:0")
+    )
+    shares = first.select("run", ratio_shares(spec, CLASSES).alias("s")).where("s IS NOT NULL")
+    return shares.select("run", *[F.element_at("s", F.lit(c)).alias(c) for c in CLASSES])
 
 
 @query(with_("hop") + "SELECT grp, count(*) FILTER (quality = 1) AS n_gold FROM hop GROUP BY 1 HAVING n_gold > 0")
@@ -387,7 +406,7 @@ _EVAL = with_("qa") + ", r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY
 
 @query(
     _EVAL
-    + """SELECT conv_id, turn, i AS draw FROM unnest(range(1, 21)) d(i) JOIN r ON r.n = ('0x' || substr(md5(concat_ws(':', i, '77')), 1, 8))::BIGINT % (SELECT count(*) FROM qa) + 1"""
+    + """SELECT conv_id, turn, i AS draw FROM unnest(range(1, 21)) d(i) JOIN r ON r.n = ('0x' || substr(md5(concat_ws(':', i, '77')), 1, 15))::BIGINT % (SELECT count(*) FROM qa) + 1"""
 )
 def eval_sample(spark, d):
     return rollouts.sample_eval(qa_pairs(spark, d).select("conv_id", "turn"), ["conv_id", "turn"], 20, 77)

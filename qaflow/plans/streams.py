@@ -1,13 +1,15 @@
-"""Queries over streams: every one runs twice on one checkpoint, the second time with more input, and must equal SQL over all of it."""
+"""Queries over streams, logs and sinks that are written in several steps and must equal SQL over all of it; streams run twice on one checkpoint."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qaflow.plans.fixtures import table
+from qaflow.operators import status
+from qaflow.plans.fixtures import qa_pairs, table, with_
 from qaflow.registry import query
 from qaflow.shared import new_path
-from qaflow.streaming import answers, pool, target
+from qaflow.sources import shardlog, sinks
+from qaflow.streaming import answers, inference, pool, target
 
 MARKER = "<|answer_end|>"
 
@@ -113,3 +115,89 @@ def url_pool_state(spark, d):
         rows = spark.read.parquet(path)
         found = rows if found is None else found.unionByName(rows)
     return found
+
+
+_LOGGED = """WITH l AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS n FROM documents),
+s AS (SELECT *, n // 40 AS shard FROM l), r AS (SELECT *, (shard % 3)::INT AS rank, row_number() OVER (PARTITION BY shard % 3 ORDER BY n) AS k FROM s)
+"""
+
+
+def _logged(spark, d):
+    """Documents appended in two transactions, the second of which is replayed: even doc_ids in order, then odd ones."""
+    spark.dataSource.register(shardlog.ShardLog)
+    path = new_path(spark, "log")
+    for odd in (0, 1, 1):
+        part = table(spark, d, "documents").where(F.pmod("doc_id", F.lit(2)) == odd).select("doc_id", "lang").orderBy("doc_id")
+        part.write.format("shardlog").mode("append").options(rowsPerShard=40, transaction=f"part-{odd}").save(path)
+    return path
+
+
+@query(_LOGGED + "SELECT rank, doc_id, lang FROM r WHERE k > 50")
+def logged_ranks_resumed(spark, d):
+    """The shards of three ranks, each from its 51st row on."""
+    path = _logged(spark, d)
+    ranks = [spark.read.format("shardlog").options(world=3, rank=i, after=50).load(path).select(F.lit(i).alias("rank"), "doc_id", "lang") for i in range(3)]
+    return ranks[0].unionByName(ranks[1]).unionByName(ranks[2])
+
+
+@query("SELECT doc_id, lang FROM documents")
+def logged_stream(spark, d):
+    """The log as a stream with row numbers as offsets: a run, an append, and a second run that reads what is new."""
+    spark.dataSource.register(shardlog.ShardLog)
+    path, out, check = (new_path(spark, x) for x in ("log", "log-out", "log-state"))
+    found = None
+    for odd in (0, 1):
+        part = table(spark, d, "documents").where(F.pmod("doc_id", F.lit(2)) == odd).select("doc_id", "lang")
+        part.write.format("shardlog").mode("append").options(rowsPerShard=100, transaction=f"part-{odd}").save(path)
+        found = pool.append_available(spark.readStream.format("shardlog").load(path), out, check)
+    return found
+
+
+_JOBS = """WITH e AS (SELECT 'job' || (user_id % 97) AS job, (event_id // 700)::INT AS attempt, event_id % 3 AS kind, event_id AS seen, event_type AS detail FROM events)
+"""
+
+
+def _status_log(spark, d):
+    """Starts, failures and ends of 97 jobs in four batches, one of them replayed, with a compaction in between."""
+    n = F.col("event_id")
+    events = table(spark, d, "events").select(
+        F.concat(F.lit("job"), F.pmod("user_id", F.lit(97)).cast("string")).alias("job"), F.expr("cast(event_id div 700 as int)").alias("attempt"),
+        F.get(F.array(*map(F.lit, status.KINDS)), F.pmod(n, F.lit(3)).cast("int")).alias("event"), n.alias("at"), F.col("event_type").alias("detail"),
+    )
+    path = new_path(spark, "status")
+    for batch in (0, 1, 1, 2, 3):
+        status.append_events(events.where(F.pmod(F.xxhash64("at"), F.lit(4)) == batch), path, batch)
+        if batch == 2:
+            status.compact(spark, path)
+    return path
+
+
+@query(
+    _JOBS
+    + """SELECT job, attempt, (['running', 'failed', 'finished'])[kind + 1] AS state, seen AS "at", detail FROM e
+QUALIFY row_number() OVER (PARTITION BY job ORDER BY attempt DESC, kind DESC, seen DESC, detail DESC) = 1"""
+)
+def job_status(spark, d):
+    """The last state of every job from an append-only log, across a replayed batch and a compaction."""
+    return status.latest(spark, _status_log(spark, d)).select("job", "attempt", "state", "at", "detail")
+
+
+@query("SELECT CASE WHEN lang = 'en' THEN 'written' WHEN lang = 'fr' THEN 'french' ELSE 'other' END AS outcome, count(*) AS rows FROM documents GROUP BY 1")
+def write_counters(spark, d):
+    """Written and failed rows counted by the jobs that write them."""
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("lang") != "en", F.when(F.col("lang") == "fr", "french").otherwise(F.coalesce("lang", F.lit("none")))).alias("reason"))
+    good, dead = sinks.routed(rows)
+    counts, path = sinks.Outcomes(("french",)), new_path(spark, "counted")
+    sinks.write_shards(counts.written(good), f"{path}/out", 100)
+    sinks.append_dead_letters(counts.failed(dead), f"{path}/failed")
+    return counts.table(spark)
+
+
+@query(
+    with_("qa")
+    + r"""SELECT conv_id, turn, '<think>' || array_to_string(list_filter(regexp_split_to_array(query, '\s+'), lambda x: x <> '')[1:8], ' ') || '</think><answer>' ||
+  list_filter(regexp_split_to_array(query, '\s+'), lambda x: x <> '')[-1] || '</answer>' AS raw_output FROM qa"""
+)
+def slot_inference(spark, d):
+    """The stand-in model on four slots that start together."""
+    return inference.infer_on_slots(qa_pairs(spark, d), "query", 4, batch_size=32).select("conv_id", "turn", "raw_output")

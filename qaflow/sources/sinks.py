@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from qaflow.operators.sampling import shuffle_rank
@@ -94,3 +94,30 @@ def next_shard(files: DataFrame) -> DataFrame:
 def routed(df: DataFrame, reason: str = "reason") -> tuple[DataFrame, DataFrame]:
     """(good rows, dead letters) by whether ``reason`` is null."""
     return df.where(F.col(reason).isNull()).drop(reason), df.where(F.col(reason).isNotNull())
+
+
+class Outcomes:
+    """Counts of written and failed rows, taken while the rows are written instead of by a scan of their own.
+
+    ``reasons`` are the known ones, each counted by itself; any other counts as ``other``. A write has to run on what
+    ``written`` and ``failed`` return, once each, before ``table`` is asked, which waits for it.
+    """
+
+    def __init__(self, reasons: tuple[str, ...]) -> None:
+        self.reasons, self.seen = reasons, []
+
+    def _observed(self, df: DataFrame, **counts) -> DataFrame:
+        self.seen.append(Observation())
+        return df.observe(self.seen[-1], *[c.alias(k) for k, c in counts.items()])
+
+    def written(self, df: DataFrame) -> DataFrame:
+        return self._observed(df, written=F.count(F.lit(1)))
+
+    def failed(self, df: DataFrame, reason: str = "reason") -> DataFrame:
+        counts = {r: F.count_if(F.col(reason) == r) for r in self.reasons}
+        return self._observed(df, **counts, other=F.count_if(~F.coalesce(F.col(reason).isin(*self.reasons), F.lit(False))))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(outcome, rows), outcomes without rows left out."""
+        found = [(k, n) for o in self.seen for k, n in o.get.items() if n]
+        return spark.createDataFrame(found, "outcome string, rows long")

@@ -71,3 +71,22 @@ def test_ratios():
     for bad in ("d:1", "a:0"):
         with pytest.raises(ValueError):
             S.parse_ratios(bad, ("a", "b"))
+
+
+def test_ratio_shares(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from qaflow.functions.strings import parse_ratios, ratio_shares
+
+    classes = ("a", "b", "c")
+    specs = ["a:1,b:3", " a : 2 ,, c:2", "a:1,a:4,b:1", "a:0", "", "b:2.5"]
+    rows = spark.createDataFrame([(s,) for s in specs], "s string").select("s", ratio_shares(F.col("s"), classes).alias("shares")).collect()
+    for r in rows:
+        try:
+            expected = parse_ratios(r["s"], classes)
+        except ValueError:
+            expected = None
+        assert r["shares"] == expected, r["s"]
+    with pytest.raises(Exception, match="unknown classes d"):
+        spark.createDataFrame([("a:1,d:2",)], "s string").select(ratio_shares(F.col("s"), classes)).collect()
