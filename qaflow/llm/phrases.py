@@ -79,7 +79,7 @@ class Grams:
         at = np.flatnonzero(self.stretch[:last] == self.stretch[n - 1 :]) if last > 0 else np.zeros(0, np.int64)
         keys = []
         for h, f in zip(self.hashes, _FACTORS):
-            k = self.lang[self.text[at]] * f[0] + f[1] * np.uint64(n)
+            k = self.lang[self.text[at]] * f[0] + np.uint64(n)
             for j in range(n):
                 k += h[at + j] * f[j + 2]
             k ^= k >> np.uint64(32)
@@ -99,7 +99,7 @@ def numbered_texts(docs: DataFrame) -> DataFrame:
 def _blocks(batches):
     """(batch, Grams) of blocks of rows."""
     for batch in batches:
-        for a, b in text_blocks(batch.column("text"), 1 << 20):
+        for a, b in text_blocks(batch.column("text"), 1 << 19):
             part = batch.slice(a, b - a)
             yield part, Grams(part.column("text").to_pylist(), part.column("lang").to_pylist())
 
