@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaflow.functions.strings import normalize_answer, strip
+from qaflow.functions.unicode import nfd
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
@@ -48,19 +46,9 @@ def token_f1(prediction: Column, gold: Column, normalize=normalize_answer) -> Co
     return F.element_at(F.transform(F.array(F.struct(p.alias("p"), g.alias("g"))), of), 1)
 
 
-def to_nfd(c: Column) -> Column:
-    """Canonical decomposition, which Spark has no function for."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda s: None if s is None else unicodedata.normalize("NFD", s))
-
-    return run(c)
-
-
 def normalize_answer_nfd(c: Column) -> Column:
     """normalize_answer on decomposed text, where the mark of a letter ends a word."""
-    return normalize_answer(to_nfd(F.coalesce(c, F.lit(""))))
+    return normalize_answer(nfd(F.coalesce(c, F.lit(""))))
 
 
 def prediction_rows(df: DataFrame, gold: str, prediction: str, context: str, mode: str) -> DataFrame:

@@ -227,3 +227,43 @@ def group_losses(spark, d):
 def answer_texts(spark, d):
     rows = outputs(spark, d, fixtures.CASCADE_TEMPLATES)
     return rows.select("conv_id", "turn", S.normalize_answer_text(F.col("raw_output")).alias("answer"), S.normalize_field(F.col("raw_output")).alias("field"))
+
+
+_SUMMARIES = """WITH o AS (SELECT o_custkey AS run, count(*) AS n, o_custkey % 7 AS k FROM orders GROUP BY o_custkey),
+j AS (SELECT run, CASE k WHEN 0 THEN '{"train_rows": ' || n || ', "args": {"prompt_versions": "v' || n % 3 || ',", "lr": 0.5}}' WHEN 1 THEN '{"train_rows": "' || n || '", "prompt_versions_filter": [" v1 ", ""]}'
+  WHEN 2 THEN '{"train_rows": ' || n || '.5, "args": [1, 2]}' WHEN 3 THEN '{"train_rows": null, "args": {"lr": "0.5", "prompt_versions": "v1,v2"}}' WHEN 4 THEN '[' || n || ']'
+  WHEN 5 THEN '{"args": {"lr": ' || n || '}, "prompt_versions_filter": "v1"}' ELSE '{"train_rows": ' || n END AS t FROM o)
+"""
+
+
+@query(
+    _SUMMARIES
+    + """, v AS (SELECT run, CASE WHEN json_valid(t) THEN t END AS t FROM j),
+x AS (SELECT run, CASE json_type(t, '$.train_rows') WHEN 'UBIGINT' THEN 'integer' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'number' WHEN 'NULL' THEN 'null' ELSE 'missing' END AS kind,
+  CASE WHEN json_type(t, '$.train_rows') = 'UBIGINT' THEN json_extract_string(t, '$.train_rows')::BIGINT ELSE -1 END AS train_rows,
+  CASE WHEN json_type(t, '$.args.lr') IN ('UBIGINT', 'DOUBLE') THEN json_extract_string(t, '$.args.lr')::DOUBLE ELSE 0.25 END AS lr,
+  list_filter(list_transform(CASE WHEN json_type(t, '$.prompt_versions_filter') = 'ARRAY' THEN json_extract_string(t, '$.prompt_versions_filter[*]') END, lambda s: trim(s)), lambda s: s <> '') AS listed,
+  list_filter(list_transform(string_split(json_extract_string(t, '$.args.prompt_versions'), ','), lambda s: trim(s)), lambda s: s <> '') AS given FROM v)
+SELECT run, kind, train_rows, lr, CASE WHEN len(listed) = 1 THEN listed[1] WHEN len(given) = 1 THEN given[1] END AS "group" FROM x"""
+)
+def summary_lookups(spark, d):
+    """Look-ups with defaults in run summaries of seven shapes, one of them no JSON."""
+    from qaflow.functions import metadata
+
+    runs = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.count("*").alias("n")).withColumn("k", F.pmod("run", F.lit(7)))
+    n = F.col("n").cast("string")
+    shapes = [
+        F.concat(F.lit('{"train_rows": '), n, F.lit(', "args": {"prompt_versions": "v'), (F.col("n") % 3).cast("string"), F.lit(',", "lr": 0.5}}')),
+        F.concat(F.lit('{"train_rows": "'), n, F.lit('", "prompt_versions_filter": [" v1 ", ""]}')),
+        F.concat(F.lit('{"train_rows": '), n, F.lit('.5, "args": [1, 2]}')),
+        F.lit('{"train_rows": null, "args": {"lr": "0.5", "prompt_versions": "v1,v2"}}'),
+        F.concat(F.lit("["), n, F.lit("]")),
+        F.concat(F.lit('{"args": {"lr": '), n, F.lit('}, "prompt_versions_filter": "v1"}')),
+        F.concat(F.lit('{"train_rows": '), n),
+    ]
+    text = runs.select("run", F.get(F.array(*shapes), F.col("k").cast("int")).alias("t"))
+    doc = metadata.document(F.col("t"))
+    return text.select(
+        "run", metadata.kind(doc, "$.train_rows").alias("kind"), metadata.value(doc, "$.train_rows", "integer", -1).alias("train_rows"),
+        metadata.value(doc, "$.args.lr", "number", 0.25).alias("lr"), metadata.group(F.col("t")).alias("group"),
+    )
