@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qaflow.llm.common import materialize
 
@@ -35,7 +36,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def to_png(payload: bytes, n_bytes: int, level: int = 1) -> bytes:
+def to_png(payload: bytes, n_bytes: int, level: int = 6) -> bytes:
     """A greyscale PNG of width UNIT whose samples are the payload; a text chunk keeps the unpadded length."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
     lines = np.zeros((len(rows), UNIT + 1), np.uint8)  # each line begins with its filter type, here none
@@ -159,66 +160,95 @@ def parse(html: str | None) -> list[dict]:
 _ITEM = "struct<position:int,kind:string,text:string,src:string,digest:string,caption:string>"
 
 
-def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, items): one row per page, ``items`` the ordered structs; null or empty HTML gives an empty array.
+def sequences(pages: DataFrame, key: str = "page_id", html: str = "html", kept: tuple[str, ...] = ()) -> DataFrame:
+    """(key, items, and the ``kept`` columns): one row per page, ``items`` the ordered structs; null or empty HTML gives an empty array.
 
     Repeated rows and keys give a row each; a null key stays null; other columns are ignored; an empty table gives an
     empty result. A page is parsed as a whole, however long.
     """
-    keyed = pages.select(F.col(key).cast("long").alias(key), F.col(html).alias("html"))
+    keyed = pages.select(F.col(key).cast("long").alias(key), F.col(html).alias("__html"), *kept)
 
     def run(batches):
         kind = pa.list_(pa.struct([("position", pa.int32()), *[(k, pa.string()) for k in ("kind", "text", "src", "digest", "caption")]]))
         for batch in batches:
             items = pa.array([parse(h) for h in batch.column(1).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), items], [key, "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), items, *batch.columns[2:]], [key, "items", *kept])
 
-    return keyed.mapInArrow(run, f"{key} long, items array<{_ITEM}>")
+    made = T.StructType.fromDDL(f"`{key}` long, items array<{_ITEM}>")
+    return keyed.mapInArrow(run, T.StructType([*made.fields, *[keyed.schema[c] for c in kept]]))
 
 
 def resolve(seqs: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per item, in ``position`` order within a page, with the columns of ``media`` for its digest (null for text and unknown digests).
+    """One row per item with its ``position`` in the page, and the columns of ``media`` for its digest (null for text and unknown digests).
+
+    Further columns of ``seqs`` are repeated on each item.
 
     ``media`` has one row per ``digest``; its other columns may not be named like an item's. Items without a digest get a
     key of their own, so they cannot pile up under a null; a digest that very many pages share is left to adaptive
     execution to split. Pages without items give no rows; rows of repeated pages stay; empty tables give an empty result.
     """
-    items = seqs.select(key, F.explode("items").alias("item")).select(key, "item.*")
+    kept = [c for c in seqs.columns if c not in (key, "items")]
+    items = seqs.select(key, *kept, F.explode("items").alias("item")).select(key, *kept, "item.*")
     spread = F.concat(F.lit("none:"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":"), F.col("position").cast("string"))
     keyed = items.withColumn("join_digest", F.coalesce("digest", spread))
     return keyed.join(media.withColumnRenamed("digest", "join_digest"), "join_digest", "left").drop("join_digest")
 
 
+#: Texts of the media that pages share.
+COVERS = tuple(f"cover {i}" for i in range(5))
+
+
+def digest_of(raw: bytes) -> str:
+    """Digest of a payload and its unpadded length."""
+    return hashlib.sha256(padded(raw) + len(raw).to_bytes(8, "big")).hexdigest()
+
+
+def page_of(doc: int | None, raw: bytes) -> str:
+    """A page about a text: blocks of text between references to its own payload, to a cover shared with many pages, and at times to media that are lost or elsewhere.
+
+    What stands where follows from the text's checksum, so references have various positions and equal texts equal ones.
+    """
+    check = zlib.crc32(raw)
+    cover = COVERS[check % len(COVERS)]
+    parts = [
+        f"<p>Checksum <b>{check:08x}</b> &amp; more</p>",
+        f'<img src="sha256:{digest_of(cover.encode())}" alt="{cover}">',
+        f"<ul><li>{raw.count(10) + 1} lines</li><li>{len(raw)} bytes</li></ul>",
+        f'<figure><img src="sha256:{digest_of(raw)}" alt="text"><figcaption>Text of {len(raw)} bytes</figcaption></figure>',
+        "<p>End of the text.</p>",
+    ]
+    if check % 7 == 0:
+        parts.append(f'<img src="sha256:{hashlib.sha256(b"lost" + raw).hexdigest()}" alt="lost">')
+    if check % 11 == 0:
+        parts.append(f'<video src="https://media.example.org/{check:08x}.mp4"></video>')
+    turn = check // 77 % len(parts)
+    return f'<article><h1>Document {"" if doc is None else doc}</h1>{"".join(parts[turn:] + parts[:turn])}</article>'
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, html, digest, media): each text as a PNG, and a page that refers to it by the digest of its payload."""
+    """(rid, doc_id, html, digest, media): each text as a PNG, and a page that refers to it by the digest of its payload; ``rid`` numbers the rows."""
 
-    def made(ids, html, digests, media):
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, html, digests, media), kinds)], ["doc_id", "html", "digest", "media"])
+    def made(rids, ids, html, digests, media):
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((rids, ids, html, digests, media), kinds)], ["rid", "doc_id", "html", "digest", "media"])
 
     def run(batches):
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             size = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = text.as_py() or b""
-                payload = padded(raw)
-                digest = hashlib.sha256(payload + len(raw).to_bytes(8, "big")).hexdigest()
-                page = (
-                    f'<article><h1>Document {"" if doc is None else doc}</h1><figure><img src="sha256:{digest}" alt="text">'
-                    f"<figcaption>{len(raw)} bytes</figcaption></figure></article>"
-                )
-                for column, value in zip(out, (doc, page, digest, to_png(payload, len(raw)))):
+                for column, value in zip(out, (rid, doc, page_of(doc, raw), digest_of(raw), to_png(padded(raw), len(raw)))):
                     column.append(value)
-                size += len(out[3][-1])
+                size += len(out[4][-1])
                 if size > 2 << 20:  # the output's batches stay small however long the texts
                     yield made(*out)
-                    out, size = ([], [], [], []), 0
+                    out, size = ([], [], [], [], []), 0
             if out[0]:
                 yield made(*out)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, html string, digest string, media binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "rid long, doc_id long, html string, digest string, media binary")
 
 
 _PROBE = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -248,12 +278,23 @@ def probe(stored: DataFrame) -> DataFrame:
 def digest_texts(docs: DataFrame) -> DataFrame:
     """Store every text as media, parse the pages that refer to them, and resolve the references by digest.
 
-    One row per input row: doc_id, the probe's columns, and the reference's position and caption. Null
-    text counts as empty (a payload of one zero unit); equal texts have equal values; repeated rows stay;
-    columns besides doc_id and text are ignored; an empty table gives an empty result. The media table is
-    written once to the shared folder and read back from there.
+    One row per input row: doc_id, the probe's columns of its own payload, the own reference's ``position`` and
+    ``caption`` (of several, as where a text is a cover's, the first), ``n_items`` of the page, and ``references``, all of the page in order as position:caption:status with
+    the status resolved, unresolved (a digest that is not stored) or external (no digest). Null text counts as empty (a payload
+    of one zero unit); equal texts have equal values; repeated rows stay; very long texts are one payload; columns besides doc_id
+    and text are ignored; an empty table gives an empty result. The media table is written once to the shared folder and
+    read back from there.
     """
     stored = materialize(store_texts(docs), "media")
-    probed = materialize(probe(stored), "probes")  # a table of its own, so that adaptive execution can split a hot digest's join
-    found = resolve(sequences(stored, "doc_id"), probed, "doc_id").where("kind = 'media'")
-    return found.select("doc_id", *_PROBE[1:], "position", "caption")
+    covers = store_texts(docs.sparkSession.createDataFrame([(None, c) for c in COVERS], "doc_id long, text string"))
+    every = stored.select("digest", "media").unionByName(covers.select("digest", "media"))
+    probed = materialize(probe(every), "probes")  # a table of its own, so that adaptive execution can split a hot digest's join
+    pages = stored.select("rid", "html", "doc_id", F.col("digest").alias("own"))
+    found = resolve(sequences(pages, "rid", kept=("doc_id", "own")), probed, "rid")
+    status = F.when(F.col("digest").isNull(), "external").when(F.col("media_bytes").isNull(), "unresolved").otherwise("resolved")
+    reference = F.concat_ws(":", F.col("position").cast("string"), F.coalesce("caption", F.lit("")), status)
+    # only the own reference carries its payload's columns into the next exchange
+    mine = F.when(F.col("digest") == F.col("own"), F.struct(*_PROBE[1:], "position", "caption"))
+    slim = found.select("rid", "doc_id", F.when(F.col("kind") == "media", F.struct("position", reference.alias("said"))).alias("reference"), mine.alias("mine"))
+    rows = slim.groupBy("rid", "doc_id").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("reference")).alias("references"), F.min_by("mine", "mine.position").alias("mine"))
+    return rows.select("doc_id", "mine.*", "n_items", F.array_join(F.transform("references", lambda x: x["said"]), ",").alias("references"))

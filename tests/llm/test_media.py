@@ -97,6 +97,29 @@ def described(payload):
     return f"h={n // 64};mean={round(mean * 1000)};sd={round(deviation * 1000)};zero={payload.count(0)};step={round(step * 1000)};hist={'.'.join(map(str, bins))}"
 
 
+def check_page(raw, r):
+    """The row's references against a reading of its page by regular expressions: tags in order, texts between tags, digests that are stored."""
+    page = media.page_of(r["doc_id"], raw)
+    stored = {media.digest_of(x) for x in (raw, *[c.encode() for c in media.COVERS])}
+    items = []
+    for text, tag in re.findall(r"([^<>]+)|<([^>]*)>", re.sub(r"</?b>", "", page)):
+        if tag.startswith(("img", "video")):
+            src, alt = re.search('src="([^"]*)"', tag)[1], re.search('alt="([^"]*)"', tag)
+            digest = src.removeprefix("sha256:") if src.startswith("sha256:") else None
+            items.append([digest, alt[1] if alt else "", "external" if digest is None else "resolved" if digest in stored else "unresolved"])
+        elif tag == "figcaption":
+            items.append("caption")
+        elif text and items and items[-1] == "caption":
+            items.pop()
+            items[-1][1] = html.unescape(text)
+        elif text:
+            items.append(text)
+    references = [(i, x) for i, x in enumerate(items) if not isinstance(x, str)]
+    assert r["n_items"] == len(items) >= 7
+    assert r["references"] == ",".join(f"{i}:{x[1]}:{x[2]}" for i, x in references)
+    assert (r["position"], r["caption"]) == next((i, x[1]) for i, x in references if x[0] == media.digest_of(raw))
+
+
 def check_digests(spark, docs, texts, n_rows):
     stored = {r["digest"]: bytes(r["media"]) for r in media.store_texts(docs).collect()}
     by_hash = {hashlib.sha256(m).hexdigest(): m for m in stored.values()}
@@ -111,7 +134,8 @@ def check_digests(spark, docs, texts, n_rows):
         assert decoded(png) == payload
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r["tail_crc32"], r["media_bytes"]) == (binascii.crc32(payload[-64:]), len(png))
-        assert r["feature"] == described(payload) and r["caption"] == f"{len(raw)} bytes" and r["position"] == 1
+        assert r["feature"] == described(payload)
+        check_page(raw, r)
 
 
 def test_digests(spark):
@@ -152,3 +176,19 @@ def test_sequences_of_pages(spark):
         head = next(i for i, r in enumerate(items) if r["kind"] == "media")
         before = " ".join(r["text"] for r in items[:head]).split()
         assert before == plain_words(h[: h.index("</h1>")])
+
+
+def test_pages_vary(spark):
+    texts = [(i, f"text {i // 2}") for i in range(300)]
+    found = media.digest_texts(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    for r in found:
+        check_page(texts[r["doc_id"]][1].encode(), r)
+    assert len(found) == 300 and len({r["position"] for r in found}) >= 5
+    said = [x.rsplit(":", 1)[1] for r in found for x in r["references"].split(",")]
+    assert all(said.count(k) > 10 for k in ("resolved", "unresolved", "external"))
+
+
+def test_a_text_that_is_a_cover(spark):
+    (r,) = media.digest_texts(spark.createDataFrame([(1, media.COVERS[2])], "doc_id long, text string")).collect()
+    assert r["payload_sha256"] == hashlib.sha256(media.padded(media.COVERS[2].encode())).hexdigest()
+    check_page(media.COVERS[2].encode(), r)
