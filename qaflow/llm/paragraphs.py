@@ -276,22 +276,45 @@ def collisions(rows: DataFrame) -> DataFrame:
     """(key, uid) of the buckets that hold different paragraphs, each pair once, from (key, uid, version, span).
 
     A run is similar to the next ones of its text, which says nothing about other texts. So a bucket is left out if all
-    its paragraphs overlap in one text, or, for copies, in the first and in the last of the texts named.
+    its paragraphs overlap in one text, or, for copies, in the first and in the last of the texts named. Once some do not, more
+    paragraphs cannot change that, so a bucket's rows are passed on from there and never gathered: a task holds the undecided ones,
+    which overlap in one text and are as few as the paragraphs around one word.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        # rows come sorted by (key, uid, version); ``tail`` is the not yet finished last key
-        tail = [np.zeros(0, np.int64)] * 4
+        # rows come sorted by (key, uid, version); ``tail`` is what is undecided of the last key, ``passed`` a decided one and its last uid
+        tail, passed = [np.zeros(0, np.int64)] * 4, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             held = [np.concatenate([t, c.to_numpy()]) for t, c in zip(tail, batch.columns)]
+            if passed:
+                own = int(np.searchsorted(held[0], passed[0], "right"))
+                uids = held[1][:own]
+                new = np.flatnonzero(turns(uids) & (uids != passed[1])) if own else uids
+                yield pairs(np.full(len(new), passed[0]), uids[new])
+                passed = (passed[0], int(uids[-1])) if own else passed
+                held = [x[own:] for x in held]
+                tail = held
+                if not len(held[0]):
+                    continue
+                passed = None
             done = int(np.searchsorted(held[0], held[0][-1]))
             yield busy([x[:done] for x in held])
             tail = outermost([x[done:] for x in held])
+            # the last paragraph may have more versions to come, which can decide no less
+            whole = int(np.searchsorted(tail[1], tail[1][-1]))
+            if busy([x[:whole] for x in tail]).num_rows:
+                uids = tail[1][turns(tail[1])]
+                passed = (int(tail[0][0]), int(uids[-1]))
+                yield pairs(np.full(len(uids), passed[0]), uids)
+                tail = [x[:0] for x in tail]
         yield busy(tail)
 
+    def pairs(key, uid):
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(uid, pa.int64())], ["key", "uid"])
+
     def turns(*columns):
         """Where any of the columns changes, with the start."""
         new = np.ones(len(columns[0]), bool)
@@ -311,7 +334,7 @@ def collisions(rows: DataFrame) -> DataFrame:
         opens = turns(key, uid)
         first = np.flatnonzero(opens)
         if not len(first):
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(uid)], ["key", "uid"])
+            return pairs(key, uid)
         last = np.append(first[1:], len(key)) - 1
         key, uid = key[first], uid[first]
         bucket = np.flatnonzero(turns(key))
@@ -323,7 +346,7 @@ def collisions(rows: DataFrame) -> DataFrame:
             alone &= same & meet
         sizes = np.diff(np.append(bucket, len(key)))
         keep = np.repeat((sizes > 1) & ~alone, sizes)
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(uid[keep])], ["key", "uid"])
+        return pairs(key[keep], uid[keep])
 
     return rows.repartition(n, "key").sortWithinPartitions("key", "uid", "version").mapInArrow(run, "key long, uid long")
 
@@ -597,8 +620,10 @@ def repeated(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> Da
     """One row per passage: paragraphs that repeat, exactly or nearly, across documents, joined where they touch.
 
     Columns: component_id (of its component, a number; the least where several are joined), first_doc_id (the document whose
-    occurrence stays), doc_id, text_key (a hash of the text), start and end (code points), removed. Removed spans reach
-    over the neighbouring words that equal those of the occurrence that stays, so all of a common passage is listed.
+    occurrence stays), doc_id, text_key (a hash of the text), start and end (code points), removed. Removed spans of equal
+    passages reach over the neighbouring words that equal those of the occurrence that stays, so all of such a passage is listed;
+    those of near copies end with their last similar paragraph. Of equal occurrences the one of the least doc_id, then text
+    hash and span stays. Texts of any length are cut whole.
     Repeats within one doc_id alone are left. Rows whose doc_id or text is null are left alone, as nothing could name
     them; texts of fewer words than a shingle have no paragraphs. Repeated rows give their passages once. Other columns are ignored; an empty
     table gives an empty result.

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from qaflow.llm import paragraphs as P
@@ -106,6 +107,65 @@ def test_collisions_leave_out_overlaps_of_one_text(spark):
     assert found == [(k, u) for k in (2, 3, 6) for u in (10, 11)]
 
 
+def whole_buckets(rows):
+    """The definition, bucket by bucket: of each paragraph its first and last version count."""
+    out, by_key = [], {}
+    for key, uid, version, span in sorted(rows):
+        by_key.setdefault(key, {}).setdefault(uid, []).append((version, span))
+    for key, uids in by_key.items():
+        alone = True
+        for at in (0, -1):
+            picked = [v[at] for v in uids.values()]
+            alone &= len({v for v, _ in picked}) == 1 and max(x >> 32 for _, x in picked) < min(x & (1 << 32) - 1 for _, x in picked)
+        if len(uids) > 1 and not alone:
+            out += [(key, u) for u in uids]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_collisions_for_any_batches(spark, size):
+    rng = random.Random(size)
+    rows = []
+    for _ in range(400):
+        start = rng.randrange(60)
+        rows.append((rng.randrange(40), rng.randrange(4), rng.randrange(3), start << 32 | start + rng.choice([20, 45, 80])))
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "key long, uid long, version long, span long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        assert sorted(tuple(r) for r in P.collisions(df).collect()) == whole_buckets(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_hot_bucket_is_not_gathered(spark):
+    """One key of a million different paragraphs: what the task allocates in Python stays within some batches."""
+    import tracemalloc
+
+    rows = spark.range(0, 1_000_000, 1, 4).selectExpr("5L AS key", "id AS uid", "id % 1000 AS version", "shiftleft(id % 77, 32) + id % 77 + 300 AS span")
+    plan = P.collisions(rows)
+    assert plan.count() == 1_000_000 and plan.distinct().count() == 1_000_000
+    # the task's function on the same rows, in this process
+    caught = {}
+    original = type(rows).mapInArrow
+    type(rows).mapInArrow = lambda self, f, *a, **k: caught.update(f=f) or original(self, f, *a, **k)
+    try:
+        P.collisions(rows)
+    finally:
+        type(rows).mapInArrow = original
+
+    def batches():
+        for i in range(100):
+            uid = np.arange(i * 10_000, (i + 1) * 10_000)
+            cells = [np.full(10_000, 5), uid, uid % 1000, (uid % 77 << 32) + uid % 77 + 300]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["key", "uid", "version", "span"])
+
+    tracemalloc.start()
+    assert sum(b.num_rows for b in caught["f"](batches())) == 1_000_000
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
 def test_short_lines_in_a_row_are_one_paragraph():
     rng = random.Random(8)
     long = prose(rng, 40)
