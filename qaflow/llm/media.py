@@ -290,11 +290,15 @@ def digest_texts(docs: DataFrame) -> DataFrame:
     every = stored.select("digest", "media").unionByName(covers.select("digest", "media"))
     probed = materialize(probe(every), "probes")  # a table of its own, so that adaptive execution can split a hot digest's join
     pages = stored.select("rid", "html", "doc_id", F.col("digest").alias("own"))
-    found = resolve(sequences(pages, "rid", kept=("doc_id", "own")), probed, "rid")
+    parsed = sequences(pages, "rid", kept=("doc_id", "own"))
+    # text blocks keep their places in the positions; only references go to the join
+    own_at = F.array_position(F.transform("items", lambda x: F.coalesce(x["digest"], F.lit(""))), F.col("own")) - 1
+    references = F.filter("items", lambda x: x["kind"] == "media")
+    found = resolve(parsed.select("rid", "doc_id", F.size("items").cast("long").alias("n_items"), own_at.alias("own_at"), references.alias("items")), probed, "rid")
     status = F.when(F.col("digest").isNull(), "external").when(F.col("media_bytes").isNull(), "unresolved").otherwise("resolved")
     reference = F.concat_ws(":", F.col("position").cast("string"), F.coalesce("caption", F.lit("")), status)
     # only the own reference carries its payload's columns into the next exchange
-    mine = F.when(F.col("digest") == F.col("own"), F.struct(*_PROBE[1:], "position", "caption"))
-    slim = found.select("rid", "doc_id", F.when(F.col("kind") == "media", F.struct("position", reference.alias("said"))).alias("reference"), mine.alias("mine"))
-    rows = slim.groupBy("rid", "doc_id").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("reference")).alias("references"), F.min_by("mine", "mine.position").alias("mine"))
+    mine = F.when(F.col("position") == F.col("own_at"), F.struct(*_PROBE[1:], "position", "caption"))
+    slim = found.select("rid", "doc_id", "n_items", F.struct("position", reference.alias("said")).alias("reference"), mine.alias("mine"))
+    rows = slim.groupBy("rid", "doc_id", "n_items").agg(F.sort_array(F.collect_list("reference")).alias("references"), F.first("mine", True).alias("mine"))
     return rows.select("doc_id", "mine.*", "n_items", F.array_join(F.transform("references", lambda x: x["said"]), ",").alias("references"))
