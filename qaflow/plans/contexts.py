@@ -58,6 +58,31 @@ def context_supporting(spark, d):
     return _context(spark, d, "supporting")
 
 
+_PICKED = "CASE WHEN quality = 1 THEN list_filter(sentences, lambda s, i: i - 1 IN (doc_id % 3, doc_id % 5)) ELSE [] END"
+
+
+@query(
+    _context_sql(
+        f"SELECT grp, doc_id, title, CASE WHEN max(len({_PICKED})) OVER (PARTITION BY grp) > 0 THEN {_PICKED} ELSE sentences END AS sentences FROM hop "
+        f"QUALIFY max(len({_PICKED})) OVER (PARTITION BY grp) = 0 OR len({_PICKED}) > 0"
+    )
+)
+def supporting_sentences(spark, d):
+    """Contexts cut to supporting sentences whose ids vary, repeat, run past the end, or are no integers."""
+    rows = multihop(spark, d)
+    number = lambda t: F.substring_index(t, "_", -1).cast("long")
+    ids = lambda t: F.array((number(t) % 3).cast("string"), F.lit("x"), F.lit(None).cast("string"), (number(t) % 5).cast("string"), F.lit("1000"), F.lit("1.5"), F.lit("-1"))
+    titles = F.col("supporting_facts.title")
+    facts = F.struct(
+        F.flatten(F.transform(titles, lambda t: F.array_repeat(t, 7))).alias("title"), F.flatten(F.transform(titles, ids)).alias("sent_id")
+    )
+    shaped = rows.select("grp", "context", facts.alias("facts"))
+    docs = nested.context_docs(F.col("context"), shaped.schema["context"].dataType)
+    pairs = nested.supporting_pairs(F.col("facts"), shaped.schema["facts"].dataType)
+    context = nested.assemble(docs, pairs, "supporting")
+    return shaped.select("grp", F.length(context).cast("long").alias("context_chars"), F.md5(context.cast("binary")).alias("context_md5"))
+
+
 _PASSAGE = "title || ' | ' || array_to_string(sentences, ' ')"
 
 

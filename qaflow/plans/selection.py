@@ -286,6 +286,12 @@ def task_keys(spark, d):
     return _tasks(spark, d).select("conv_id", "turn", "prompt_version", "task_key")
 
 
+@query()
+def compat_task_keys(spark, d):
+    """The same tasks under keys of 128-bit BLAKE2, which SQL lacks; tested against Python's."""
+    return _tasks(spark, d).select("conv_id", "turn", "prompt_version", *tasks.KEY_PARTS[:3], tasks.compat_task_key(*[F.col(c) for c in tasks.KEY_PARTS]).alias("task_key"))
+
+
 @query(
     with_("qa", "grounded")
     + f"""SELECT conv_id, turn, 'v' || ({_u("concat_ws(':', conv_id, turn, '5')")} % 3 + 1) AS prompt_version FROM grounded"""

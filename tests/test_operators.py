@@ -218,3 +218,15 @@ def test_ranks_of_keys_over_the_whole_range(spark):
     df = spark.createDataFrame([(k,) for k in sorted(set(keys), key=lambda k: k % 11)], "k long").repartition(3)
     found = [r["k"] for r in synth.ordered(df, "k").orderBy("rn").collect()]
     assert found == sorted(set(keys))
+
+
+def test_compat_keys_equal_python(spark):
+    import hashlib
+
+    from qaflow import registry
+
+    found = registry.load()[0]["compat_task_keys"](spark, "/root/testdata/sf0.001").collect()
+    assert found
+    for r in found:
+        parts = [r[c] or "" for c in ("query", "context", "reference_answer", "prompt_version")]
+        assert r["task_key"] == hashlib.blake2b("".join(p + "\x1f" for p in parts).encode(), digest_size=16).hexdigest()
