@@ -1,4 +1,4 @@
-"""Whole jobs from files to files: grounded rows, splits, mixtures, reasoning traces and scores.
+"""Whole jobs from files to files: grounded rows, splits, mixtures, reasoning traces, native answers, scores, rewards and validations.
 
 Each job is a configuration and a function that returns a small table about what it wrote. ``python -m qaflow``
 runs them from the command line; the flags are the fields of the configurations.
@@ -10,14 +10,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from qaflow.functions import parsers, scoring
+from qaflow import schemas
+from qaflow.functions import metadata, parsers, scoring
 from qaflow.functions.strings import IDK, canonical_answer, parse_ratios, strip, words
-from qaflow.operators import filters, mixing, rendering, sampling, splits, synth, tasks
+from qaflow.operators import filters, membership, mixing, rendering, rollouts, sampling, splits, status, synth, tasks, validation
 from qaflow.operators.mixing import CLASSES
 from qaflow.shared import write_once
 from qaflow.sources import readers, sinks
-from qaflow.streaming.inference import Provider, infer, infer_where_needed, stub_provider
+from qaflow.streaming.inference import Provider, infer, infer_on_slots, infer_where_needed, stub_provider
 
 QA = ["query", "context", "answer"]
 
@@ -120,13 +122,19 @@ class TraceConfig:
     rows_per_shard: int = 50_000
 
 
+def _unfinished(spark: SparkSession, path: str, output: str) -> DataFrame:
+    """The tasks of a file, each once, without those that ``output`` has; a Bloom filter keeps most new ones out of the shuffle to the finished keys."""
+    wanted = write_once(tasks.first_of_key(readers.task_file(spark, path), "prompt_version"), "wanted")
+    done = sinks.existing(spark, output)
+    return wanted if done is None else membership.anti_join(wanted, done.select("task_key"), "task_key")
+
+
 def build_traces(spark: SparkSession, c: TraceConfig, provider: Provider = stub_provider) -> DataFrame:
     """Reasoning traces of the tasks without one, so a run after a failure goes on; returns (outcome, rows) of this run.
 
     Outputs without a usable answer go to ``<output>_failed`` and are tried again by the next run.
     """
-    wanted = tasks.first_of_key(readers.task_file(spark, c.tasks), "prompt_version")
-    todo = tasks.missing(wanted, done) if (done := sinks.existing(spark, c.output)) is not None else wanted
+    todo = _unfinished(spark, c.tasks, c.output)
     system = rendering.system_prompt(F.col("prompt_version"), c.prompts)
     prompt = F.concat_ws("\n\n", system, rendering.user_content(F.col("query"), F.col("context"), False, IDK))
     made = write_once(infer(todo.withColumn("prompt", prompt), "prompt", provider), "traces")  # the model runs once
@@ -160,6 +168,97 @@ def score(spark: SparkSession, c: ScoreConfig) -> DataFrame:
     return spark.read.schema("kind string, name string, num_samples long, exact_match double, f1 double").json(c.output)
 
 
+@dataclass(frozen=True)
+class NativeConfig:
+    """With ``slots`` > 0 the model runs in one stage of so many tasks that start together, on a GPU each where ``gpus`` > 0."""
+
+    tasks: str
+    output: str
+    batch_size: int = 8
+    slots: int = 0
+    gpus: int = 0
+    accept_slash: bool = True
+    rows_per_shard: int = 50_000
+
+
+def infer_native(spark: SparkSession, c: NativeConfig, provider: Provider = stub_provider) -> DataFrame:
+    """Answers of a model with thinking and answer tokens of its own to the tasks without one; returns (outcome, rows) of this run.
+
+    Outputs without an answer go to ``<output>_failed`` and are tried again by the next run.
+    """
+    asked = _unfinished(spark, c.tasks, c.output).withColumn("prompt", rendering.user_content(F.col("query"), F.col("context"), False, IDK))
+    answered = infer_on_slots(asked, "prompt", c.slots, provider, c.batch_size, gpus=c.gpus) if c.slots else infer(asked, "prompt", provider, c.batch_size)
+    parsed = write_once(answered, "native").withColumn("p", parsers.native_column(F.col("raw_output"), c.accept_slash))
+    rows = parsed.select(
+        "query", "context", "reference_answer", "prompt_version", "task_key", "raw_output", F.col("p.thinking").alias("thinking"), F.col("p.answer").alias("answer"),
+        F.col("p.parse_method").alias("parse_method"), F.when(F.col("p.answer") == "", "empty_answer").alias("reason"),
+    )
+    good, dead = sinks.routed(rows)
+    counts = sinks.Outcomes(("empty_answer",))
+    sinks.write_shards(counts.written(good), c.output, c.rows_per_shard)
+    sinks.append_dead_letters(counts.failed(dead), f"{c.output}_failed")
+    return counts.table(spark)
+
+
+@dataclass(frozen=True)
+class RewardConfig:
+    completions: str
+    output: str
+    format_weight: float = 0.2
+    em_weight: float = 0.8
+    eps: float = 1e-6
+
+
+def reward(spark: SparkSession, c: RewardConfig) -> DataFrame:
+    """Rewards of completion lines (group_id, prompt, completion, gold) and their advantages within a group; returns means and rates of all."""
+    rows = spark.read.schema("group_id long, prompt string, completion string, gold string").json(c.completions)
+    sinks.write_new(rollouts.advantages(rollouts.rewards(rows, c.format_weight, c.em_weight), c.eps), c.output)
+    return rollouts.reward_stats(spark.read.parquet(c.output))
+
+
+@dataclass(frozen=True)
+class ValidateConfig:
+    """``runs`` has a folder for each run with a ``*summary.json``; ``predictions`` are lines that name their ``run_name``."""
+
+    runs: str
+    predictions: str
+    output: str
+    log: str
+    expected_rows: int = 0
+    expected_samples: int = 0
+    tokens: dict[str, str] = field(default_factory=dict)
+    markers: dict[str, str] = field(default_factory=lambda: {"thinking_start": "<think>", "thinking_end": "</think>", "answer_start": "<answer>", "answer_end": "</answer>"})
+
+
+def validate(spark: SparkSession, c: ValidateConfig) -> DataFrame:
+    """Checks the runs that the status ``log`` doesn't have as finished: summary, format rates, sample count.
+
+    The result rows are appended to ``output`` as JSON lines and, as events, to the log, so a run that failed is checked again by the next
+    call and one that passed is not. Returns (run_name, group, status, errors) of this call.
+    """
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*summary.json").text(c.runs)
+    summaries = texts.select(F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]*$", 1).alias("job"), "value")
+    due = status.unfinished(summaries, status.latest(spark, c.log), retries=1 << 30)
+    runs = summaries.join(due, "job").select(
+        F.col("job").alias("run_name"), "attempt", F.coalesce(metadata.group(F.col("value")), F.lit("")).alias("group"), metadata.summary(F.col("value")).alias("s")
+    )
+    checked = runs.select("run_name", "attempt", "group", "s.*").withColumn("metadata", validation.metadata_errors(c.expected_rows, c.tokens))
+    predictions = spark.read.schema(T.StructType([*schemas.REASONED_PREDICTION.fields, T.StructField("run_name", T.StringType())])).json(c.predictions)
+    rates = validation.format_rates(predictions, c.markers, by=("run_name",))
+    joined = checked.join(rates.withColumn("gate", validation.gate_failures()), "run_name", "left")
+    has_metrics, nothing = F.col("num_rows").isNotNull(), F.array().cast("array<string>")
+    verdict = validation.run_status(
+        F.lit(0), has_metrics, F.size("metadata") == 0, F.lit(True), F.size(F.coalesce("gate", nothing)) > 0, F.col("num_rows"), c.expected_samples
+    )
+    errors = F.concat(F.col("metadata"), F.coalesce("gate", nothing))
+    made = write_once(joined.select("run_name", "attempt", "group", verdict.alias("status"), errors.alias("errors")), "validated")
+    sinks.write_lines(made.drop("attempt"), c.output, "append")
+    event = F.when(F.col("status") == "ok", "finish").otherwise("fail")
+    events = made.select(F.col("run_name").alias("job"), "attempt", event.alias("event"), F.unix_millis(F.current_timestamp()).alias("at"), F.col("status").alias("detail"))
+    status.append_events(events, c.log, status.next_batch(spark, c.log))
+    return made.drop("attempt")
+
+
 #: name: (configuration, job, whether it asks a model)
 JOBS = {
     "grounded": (GroundedConfig, build_grounded, True),
@@ -167,4 +266,7 @@ JOBS = {
     "mixture": (MixConfig, build_mixture, False),
     "traces": (TraceConfig, build_traces, True),
     "score": (ScoreConfig, score, False),
+    "native": (NativeConfig, infer_native, True),
+    "reward": (RewardConfig, reward, False),
+    "validate": (ValidateConfig, validate, False),
 }

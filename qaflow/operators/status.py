@@ -34,6 +34,11 @@ def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
         return []
 
 
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The number for a writer's next batch."""
+    return max([-1, *_numbers(spark, path, "events"), *_numbers(spark, path, "snapshots")]) + 1
+
+
 def _last(rows: DataFrame) -> DataFrame:
     """One row for each job: of its last attempt the last kind of event, of equals the latest, then the greatest detail (null first)."""
     order = F.struct("attempt", F.array_position(F.array(*map(F.lit, KINDS)), F.col("event")).alias("kind"), "at", "detail", "event")

@@ -83,6 +83,53 @@ def test_score_from_the_command_line(spark, tmp_path, capsys):
     assert "exact_match" in capsys.readouterr().out
 
 
+def native_provider():
+    return lambda prompts: ["<think>t</think><|answer_start|>Oslo<|answer_end|>" if "q1" not in p else "" for p in prompts]
+
+
+@pytest.mark.parametrize("slots", [0, 2])
+def test_native_answers_resume(spark, tmp_path, slots):
+    rows = [(f"q{i}", f"context {i}", "Oslo", "v1") for i in range(6)]
+    sinks.write_lines(spark.createDataFrame(rows, "query string, context string, reference_answer string, prompt_version string"), str(tmp_path / "tasks"))
+    config = jobs.NativeConfig(str(tmp_path / "tasks"), str(tmp_path / "native"), slots=slots)
+    run = lambda: {r["outcome"]: r["rows"] for r in jobs.infer_native(spark, config, native_provider).collect()}
+    assert run() == {"written": 5, "empty_answer": 1} and run() == {"empty_answer": 1}
+    made = spark.read.parquet(config.output)
+    assert made.count() == 5 and {r["answer"] for r in made.collect()} == {"Oslo"}
+
+
+def test_rewards(spark, tmp_path):
+    good, bad = "<think>a</think><answer>Oslo</answer>", "Oslo"
+    rows = [(1, "p", good, "Oslo"), (1, "p", bad, "Oslo"), (2, "p", good, "Rome")]
+    sinks.write_lines(spark.createDataFrame(rows, "group_id long, prompt string, completion string, gold string"), str(tmp_path / "c"))
+    stats = jobs.reward(spark, jobs.RewardConfig(str(tmp_path / "c"), str(tmp_path / "r"))).first()
+    assert round(stats["format_rate"], 6) == 0.666667 and round(stats["em_rate"], 6) == 0.333333
+    made = {(r["group_id"], r["completion"]): (round(r["reward"], 6), round(r["advantage"], 3)) for r in spark.read.parquet(str(tmp_path / "r")).collect()}
+    assert made == {(1, good): (1.0, 1.0), (1, bad): (0.0, -1.0), (2, good): (0.2, 0.0)}
+
+
+def test_validation_goes_on_with_what_failed(spark, tmp_path):
+    def summary(run, train_rows):
+        (tmp_path / "runs" / run).mkdir(parents=True, exist_ok=True)
+        found = {"train_rows": train_rows, "prompt_versions_filter": ["v1"], "train_prompt_version_filter": {"allowed": ["v1"]}, "args": {"require_thinking": True}}
+        (tmp_path / "runs" / run / "sft_summary.json").write_text(json.dumps(found))
+
+    for run, n in (("good", 10), ("short", 9), ("silent", 10), ("loose", 10)):
+        summary(run, n)
+    text = "<think>t</think><answer>a</answer>"
+    lines = [(run, "q", text if run != "loose" or i else "a", "a", "t", 1.0, 1.0) for run in ("good", "short", "loose") for i in range(5)]
+    names = "run_name string, id string, raw_generation string, prediction_answer string, prediction_thinking string, em double, f1 double"
+    sinks.write_lines(spark.createDataFrame(lines, names), str(tmp_path / "p"))
+    config = jobs.ValidateConfig(*[str(tmp_path / x) for x in ("runs", "p", "out", "log")], expected_rows=10)
+    run = lambda: {r["run_name"]: (r["status"], len(r["errors"])) for r in jobs.validate(spark, config).collect()}
+    first = run()
+    assert first == {"good": ("ok", 0), "short": ("validation_failed", 1), "silent": ("eval_failed_missing_metrics", 0), "loose": ("validation_failed", 4)}
+    summary("short", 10)
+    assert run() == {"short": ("ok", 0), "silent": first["silent"], "loose": first["loose"]}
+    assert sorted(run()) == ["loose", "silent"]
+    assert spark.read.json(config.output).count() == 9
+
+
 def test_flags():
     given = vars(parser().parse_args(["mixture", "--correct", "a", "b", "--refusal", "c", "--negative", "d", "--output", "o", "--oversample", "--target", "5"]))
     assert given == {"job": "mixture", "correct": ["a", "b"], "refusal": ["c"], "negative": ["d"], "output": "o", "oversample": True, "target": 5}
