@@ -271,7 +271,8 @@ def identify(docs: DataFrame, config: LangConfig = LangConfig()) -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0, and so is every row when nothing can
     be learned. Rows with a null doc_id, lang or text are not learned from (a null doc_id is never held
-    out). Repeated rows give repeated rows; other columns are ignored.
+    out). Texts of any length are scored whole; of languages with equal scores the first in alphabetical order is predicted.
+    Repeated rows give repeated rows; other columns are ignored; an empty table gives an empty result.
     """
     labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     return predict(docs, fit(labelled, config), config)

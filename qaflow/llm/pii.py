@@ -397,8 +397,8 @@ def _load(model: str) -> dict[str, np.ndarray]:
 def detect(docs: DataFrame, config: CrfConfig = CrfConfig(), model: str | None = None) -> DataFrame:
     """One row per document: doc_id, base counts by kind, base_sha256, spans (base and added), n_added, n_spans (all of them).
 
-    Null and empty texts have no spans. Repeated rows give repeated rows; columns besides doc_id and
-    text are ignored; an empty table gives an empty result (and a model without evidence).
+    Null and empty texts have no spans; texts of any length are searched whole, in time linear in their length but for the field,
+    which links tokens by value. Repeated rows give repeated rows; columns besides doc_id and text are ignored; an empty table gives an empty result (and a model without evidence).
     """
     model = model or fit(docs, config)
 

@@ -229,7 +229,7 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
     A document is kept if it passes the base rules and every metric lies within its group's fences.
     Null text counts as empty (so it fails the base rules); null lang or source forms a group of its
-    own. An empty table gives an empty result; repeated rows are judged one by one; columns besides
+    own. Texts of any length are measured whole. An empty table gives an empty result; repeated rows are judged one by one; columns besides
     doc_id, text, lang and source are ignored.
     """
     return _with_verdict(materialize(measure(docs), "quality"), rules).select(

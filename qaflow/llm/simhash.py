@@ -215,7 +215,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, most: int = 4096, hot: int =
 
     component_id is the least doc_id reachable over links, itself included. Null and empty texts have
     the fingerprint zero and link like any other. A null doc_id is a component's id only if all its
-    members' are null. A fingerprint of more than ``hot`` rows is joined in parts of about that size. Repeated rows stay; columns besides doc_id and text are ignored; an empty table
+    members' are null. Texts of any length are fingerprinted whole. A fingerprint of more than ``hot`` rows is joined in parts of about that size. Repeated rows stay; columns besides doc_id and text are ignored; an empty table
     gives an empty result.
     """
     prints = materialize(fingerprints(docs), "prints")
@@ -230,7 +230,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, most: int = 4096, hot: int =
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint as 16 lowercase hex digits, component_id; see ``classes``."""
+    """doc_id, fingerprint as 16 lowercase hex digits, component_id; see ``classes``, also for nulls, repeats and very long texts."""
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from qaflow.llm import bpe, langid, media, mixing, paragraphs, pii, quality, sharding, simhash, warc
+from qaflow.llm import bpe, langid, media, mixing, paragraphs, pieces, pii, quality, sharding, simhash, warc
 from tests.llm.cases import documents, empty, rows
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+PIECES = P.path("piece_bpe_32k.model")
 
 #: name: (operator, whether it returns one row for each input row)
 OPERATORS = {
@@ -20,6 +21,8 @@ OPERATORS = {
     "redact": (pii.redact, True),
     "bpe": (lambda d: bpe.digest_documents(d, RANKS, P.PATTERN), True),
     "encode": (lambda d: bpe.encode_documents(d, RANKS, P.PATTERN), True),
+    "pieces": (lambda d: pieces.digest_documents(d, PIECES), True),
+    "encode_pieces": (lambda d: pieces.encode_documents(d, PIECES), True),
     "simhash": (simhash.near_duplicates, True),
     "keep_one": (simhash.keep_one, False),
     "media": (media.digest_texts, True),
@@ -38,6 +41,8 @@ DEFINED = {
     "pii": {"n_email": 0, "n_ip": 0, "n_card": 0, "n_phone": 0, "spans": "", "n_added": 0, "n_spans": 0},
     "bpe": {"n_tokens": 0, "ids_sha256": EMPTY, "decoded_sha256": EMPTY},
     "encode": {"token_ids": []},
+    "pieces": {"n_tokens": 0, "ids_sha256": EMPTY, "decoded_sha256": EMPTY},
+    "encode_pieces": {"piece_ids": []},
     "simhash": {"fingerprint": "0" * 16, "component_id": 0},
     "media": {"n_bytes": 0, "payload_bytes": 64, "payload_sha256": hashlib.sha256(bytes(64)).hexdigest()},
     "quality": {"n_words": 0, "base_failed": True, "kept": False},
@@ -97,3 +102,20 @@ def test_all_null_columns(spark):
     for name, (operator, whole) in OPERATORS.items():
         n = operator(docs).count()
         assert n == len(rows()) if whole else n >= 0, name
+
+
+def test_a_text_longer_than_a_block(spark):
+    """A text of five million bytes between short ones: encoders take blocks of rows of up to four, hashes of ranges keep a million powers."""
+    import sentencepiece
+
+    long = ("green water " * 9 + "stone\n") * 45_000
+    docs = spark.createDataFrame([(1, "before"), (2, long), (3, "after it"), (4, long[:300] + " x")], "doc_id long, text string").coalesce(1)
+    for name in ("bpe", "pieces"):
+        found = {r["doc_id"]: r for r in OPERATORS[name][0](docs).collect()}
+        assert found[2]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+        assert found[3]["decoded_sha256"] == hashlib.sha256(b"after it").hexdigest()
+    assert found[2]["n_tokens"] == len(sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(long))
+    cut = paragraphs.Cut(long.encode(), paragraphs.ParagraphConfig())
+    start = paragraphs.Cut(long[: 109 * 40].encode(), paragraphs.ParagraphConfig())
+    same = min(cut.lines, start.lines) - 1
+    assert cut.ids()[:same].tolist() == start.ids()[:same].tolist()
