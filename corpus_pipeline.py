@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the shared
 folder and read again as the next stage's ``docs``. All stages but the last return the columns of
-``documents``.
+``documents``; further columns pass through whatever their names, but for one named ``token_ids``, which the last stage replaces.
 """
 
 from __future__ import annotations
