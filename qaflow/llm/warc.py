@@ -52,7 +52,7 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     - ``mismatch``: it does not; response_id tells which was tried, payload and headers are null.
 
     Earlier means a smaller (ts, record_id), so a revisit never sees a response with its own; a null ts sorts first. Of
-    responses with equal (ts, record_id) the one with the greatest etag, last_modified and payload_digest counts.
+    responses with equal (ts, record_id) the one with the greatest etag, last_modified, payload_digest and headers counts.
     Repeated rows each get a row; null headers count as none. Other columns are ignored; empty tables give an empty result.
     """
     n = ranges or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -72,7 +72,7 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     over = Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("url_key", "range", F.last("end", ignorenulls=True).over(over).alias("carried"))
     # among equals revisits come first, so that none sees a response of its own (ts, record_id)
-    order = ["ts", "record_id", F.col("kind") == "response", "etag", "last_modified", "payload_digest"]
+    order = ["ts", "record_id", F.col("kind") == "response", "etag", "last_modified", "payload_digest", "headers"]
     inside = Window.partitionBy("url_key", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = known.withColumn("near", F.last("full", ignorenulls=True).over(inside)).where("kind = 'revisit'")
     joined = near.join(carried.where("carried IS NOT NULL"), ["url_key", "range"], "left").withColumn("found", F.coalesce("near", "carried"))

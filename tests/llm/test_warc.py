@@ -86,6 +86,17 @@ def test_equal_keys(spark, flip):
     assert found == [("a", 5, "resolved", "old"), ("a", 6, "resolved", "own2"), ("b", 5, "no_response", None), ("b", 5, "no_response", None)]
 
 
+@pytest.mark.parametrize("flip", [False, True])
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_responses_that_differ_in_headers_alone(spark, flip, ranges):
+    """The one with the greatest headers counts, within a range of rows and over several."""
+    same = lambda v: (1, "http://a/", 1, "response", "p", '"a"', None, [("Server", v)], 1)
+    rows = [same("a"), same("c"), same("b"), (2, "http://a/", 2, "revisit", None, '"a"', None, [], 1)]
+    df = spark.createDataFrame(rows[::-1] if flip else rows, SCHEMA).coalesce(1)
+    (found,) = warc.resolve_revisits(df, ranges).collect()
+    assert [(h["name"], h["value"]) for h in found["headers"]] == [("Server", "c")]
+
+
 def test_clashing_columns(spark):
     rows = [(1, "http://a/", 1, "response", "s", '"t"', None, [], 7, 8, "n"), (2, "http://a/", 2, "revisit", None, '"t"', None, [], 7, 8, "n")]
     df = spark.createDataFrame(rows, SCHEMA.replace("extra int", "full int, range int, near string"))
