@@ -286,10 +286,12 @@ def task_keys(spark, d):
     return _tasks(spark, d).select("conv_id", "turn", "prompt_version", "task_key")
 
 
-@query()
+@query(_TASKS + "SELECT conv_id, turn, prompt_version, 32 AS key_chars, min(lpad(conv_id::VARCHAR, 20, '0') || ':' || lpad(turn::VARCHAR, 20, '0')) OVER (PARTITION BY task_key) AS first FROM tasks")
 def compat_task_keys(spark, d):
-    """The same tasks under keys of 128-bit BLAKE2, which SQL lacks; tested against Python's."""
-    return _tasks(spark, d).select("conv_id", "turn", "prompt_version", *tasks.KEY_PARTS[:3], tasks.compat_task_key(*[F.col(c) for c in tasks.KEY_PARTS]).alias("task_key"))
+    """The same tasks under keys of 128-bit BLAKE2, which SQL lacks: what SQL can say is which tasks share one. The values are tested against Python's."""
+    keyed = _tasks(spark, d).select("conv_id", "turn", "prompt_version", "ord", tasks.compat_task_key(*[F.col(c) for c in tasks.KEY_PARTS]).alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min("ord").alias("first"))
+    return keyed.join(firsts, "key").select("conv_id", "turn", "prompt_version", F.length("key").alias("key_chars"), "first")
 
 
 @query(

@@ -223,10 +223,7 @@ def test_ranks_of_keys_over_the_whole_range(spark):
 def test_compat_keys_equal_python(spark):
     import hashlib
 
-    from qaflow import registry
-
-    found = registry.load()[0]["compat_task_keys"](spark, "/root/testdata/sf0.001").collect()
-    assert found
-    for r in found:
-        parts = [r[c] or "" for c in ("query", "context", "reference_answer", "prompt_version")]
-        assert r["task_key"] == hashlib.blake2b("".join(p + "\x1f" for p in parts).encode(), digest_size=16).hexdigest()
+    parts = [("q", "c", None, "v1"), ("", "é\x1f", "日", None), ("a" * 100_000, "", "", "")]
+    rows = spark.createDataFrame(parts, ", ".join(f"{c} string" for c in tasks.KEY_PARTS))
+    for r in rows.withColumn("key", tasks.compat_task_key(*[F.col(c) for c in tasks.KEY_PARTS])).collect():
+        assert r["key"] == hashlib.blake2b("".join((x or "") + "\x1f" for x in r[:4]).encode(), digest_size=16).hexdigest()

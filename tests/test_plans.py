@@ -6,7 +6,7 @@ from qaflow import registry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.load()
-WITH_PYTHON = {"stub_inference", "slot_inference", "logged_ranks_resumed"}  # the model boundary, and Unicode decomposition
+WITH_PYTHON = {"stub_inference", "slot_inference", "compat_task_keys", "logged_ranks_resumed"}  # the model boundary, and Unicode decomposition
 
 
 def plan(df):
