@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,25 @@ def _hash(*parts) -> int:
     return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 
 
+#: Rows that are Python objects at a time, and at most in a frame that is given out.
+_CHUNK = 10_000
+
+
+def _in_order(frames):
+    """(event_id, url, context) of all frames by event_id; they are held as Arrow columns, 32 bytes a row beside the texts."""
+    kinds = {"event_id": pa.int64(), "url": pa.large_string(), "context": pa.large_string()}
+    whole = pa.concat_tables(pa.table({c: pa.array(f[c], kind, from_pandas=True) for c, kind in kinds.items()}) for f in frames).combine_chunks().to_batches()[0]
+    order = np.argsort(whole.column(0).to_numpy(zero_copy_only=False), kind="stable")
+    for at in range(0, len(order), _CHUNK):
+        part = whole.take(pa.array(order[at : at + _CHUNK]))
+        yield from zip(*(c.to_pylist() for c in part.columns))
+
+
 def _processor(size: int, warm: int, seed: int, ratio: float, retries: int):
     from pyspark.sql.streaming import StatefulProcessor
 
+    names = ["lane", "event_id", "partner_id", "partner_url", "partner_context", "tries", "pool_size"]
+
     class PoolProcessor(StatefulProcessor):
         """A ring of the last ``size`` rows of a lane: row number n lies in slot n modulo ``size``.
 
@@ -36,9 +54,8 @@ def _processor(size: int, warm: int, seed: int, ratio: float, retries: int):
             n = self.rows.get()[0] if self.rows.exists() else 0
             known: dict[int, tuple] = {}
             written: set[int] = set()
-            frame = pd.concat(list(rows)).sort_values("event_id", kind="stable")
-            out = []
-            for event, url, context in zip(frame["event_id"].tolist(), frame["url"].tolist(), frame["context"].tolist()):
+            out: list[tuple] = []
+            for event, url, context in _in_order(rows):
                 held = min(n, size)
                 if held >= warm and held and _hash(event, seed, "draw") < ratio * 4294967296.0:
                     tries = 0
@@ -51,13 +68,16 @@ def _processor(size: int, warm: int, seed: int, ratio: float, retries: int):
                             break
                         tries += 1
                     out.append((key[0], event, *known[slot], tries, held))
+                    if len(out) == _CHUNK:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
                 known[n % size] = (event, url, context)
                 written.add(n % size)
                 n += 1
             for slot in written:
                 self.ring.updateValue((slot,), known[slot])
             self.rows.update((n,))
-            yield pd.DataFrame(out, columns=["lane", "event_id", "partner_id", "partner_url", "partner_context", "tries", "pool_size"])
+            yield pd.DataFrame(out, columns=names)
 
         def close(self) -> None:
             pass
@@ -71,7 +91,7 @@ def draw_stream(events: DataFrame, lanes: int = 64, size: int = 4096, warm: int
     Once ``warm`` rows of the lane have gone before, a row is drawn for at the rate ``ratio``: it gets one of the last ``size`` rows, and
     another one up to ``retries`` times while that has the same url (null and empty are the same one); the last draw stands. All
     draws are hashes of event_id, so a replay gives the same pairs. Within a micro-batch rows go by event_id. A lane's rows of
-    one batch are held in memory, so bound batches by the source (``maxFilesPerTrigger``) and spread hot inputs by more lanes.
+    one batch are held as Arrow columns, their texts once, so where texts are long bound batches by the source (``maxFilesPerTrigger``) and spread hot inputs by more lanes.
     """
     url, context = F.coalesce("url", F.lit("")).alias("url"), F.coalesce("context", F.lit("")).alias("context")
     keyed = events.select(F.pmod("event_id", F.lit(lanes)).cast("int").alias("lane"), F.col("event_id").cast("long").alias("event_id"), url, context)

@@ -113,6 +113,35 @@ def test_streaming_pool_equals_batch_and_resumes(spark, tmp_path):
     assert {tuple(r) for r in run().collect()} == expected_pool(range(60))
 
 
+def test_rows_of_a_lane_are_held_as_columns():
+    """A lane of 150,000 rows, out of order: no frame of all of them is made, and their Python objects are few at a time."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    n, ring, count = 150_000, {}, []
+    shuffled = np.random.default_rng(1).permutation(n) * 2
+    states = {
+        "rows": SimpleNamespace(exists=lambda: bool(count), get=lambda: count[-1], update=count.append),
+        "ring": SimpleNamespace(getValue=lambda k: ring[k], updateValue=ring.__setitem__),
+    }
+    processor = pool._processor(5, 2, 3, 1.0, 0)
+    processor.init(SimpleNamespace(getValueState=lambda name, _: states[name], getMapState=lambda name, *_: states[name]))
+    frames = (pd.DataFrame({"event_id": shuffled[i : i + 10_000], "url": "", "context": ""}) for i in range(0, n, 10_000))
+    found, sizes = [], []
+    tracemalloc.start()
+    for frame in processor.handleInputRows((0,), frames, None):
+        sizes.append(len(frame))
+        found.append(frame[["lane", "event_id", "partner_id", "pool_size"]].astype("int64"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(sizes) <= 10_000 and peak < 25 << 20  # what is found takes 5 of these
+    assert set(pd.concat(found).itertuples(index=False, name=None)) == expected_pool(range(0, 2 * n, 2))
+    assert count == [(n,)] and {x[0] for x in ring.values()} == set(range(2 * n - 10, 2 * n, 2))
+
+
 def test_batches_add_nothing_twice(spark, tmp_path):
     source, done = str(tmp_path / "in"), str(tmp_path / "done")
     spark.range(10).write.parquet(source)
