@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 from qaflow.functions.strings import collapse, rstrip, strip, text
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once: what a lambda names but does not bind is evaluated again for each item."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def context_docs(c: Column, kind: T.DataType) -> Column:
     """array<struct<title, sentences>> from a struct of arrays, an array of (title, sentences) or of {title, sentences|sentence}.
 
@@ -19,13 +24,17 @@ def context_docs(c: Column, kind: T.DataType) -> Column:
         return F.coalesce(x, F.array().cast("array<string>")) if isinstance(t, T.ArrayType) else F.array(text(x))
 
     if isinstance(kind, T.StructType):
-        title, body = c["title"], c["sentences"] if "sentences" in kind.names else c["sentence"]
-        inner = kind["sentences" if "sentences" in kind.names else "sentence"].dataType.elementType
-        n = F.least(F.size(title), F.size(body))
-        docs = F.transform(
-            F.slice(title, F.lit(1), n), lambda t, i: F.struct(text(t).alias("title"), sentences(F.get(body, i), inner).alias("sentences"))
-        )
-        return F.coalesce(F.when(n > 0, docs), _none())
+        name = "sentences" if "sentences" in kind.names else "sentence"
+        inner = kind[name].dataType.elementType
+
+        def zipped(title, body):
+            n = F.least(F.size(title), F.size(body))
+            docs = F.transform(
+                F.slice(title, F.lit(1), n), lambda t, i: F.struct(text(t).alias("title"), sentences(F.get(body, i), inner).alias("sentences"))
+            )
+            return F.coalesce(F.when(n > 0, docs), _none())
+
+        return bound(F.struct(c["title"].alias("title"), c[name].alias("body")), lambda x: zipped(x["title"], x["body"]))
     fields = kind.elementType.fields
     title_name, body_name = fields[0].name, fields[1].name
     docs = F.transform(c, lambda x: F.struct(text(x[title_name]).alias("title"), sentences(x[body_name], fields[1].dataType).alias("sentences")))
@@ -39,11 +48,13 @@ def _none() -> Column:
 def supporting_pairs(c: Column, kind: T.DataType) -> Column:
     """array<struct<title, sent_id>> of a struct of arrays or an array of pairs; ids that are no integers are dropped."""
     if isinstance(kind, T.StructType):
-        n = F.least(F.size(c["title"]), F.size(c["sent_id"]))
-        pairs = F.transform(
-            F.slice(c["title"], F.lit(1), n), lambda t, i: F.struct(text(t).alias("title"), F.get(c["sent_id"], i).try_cast("int").alias("sent_id"))
-        )
-        pairs = F.when(n > 0, pairs)
+
+        def zipped(title, ids):
+            n = F.least(F.size(title), F.size(ids))
+            pairs = F.transform(F.slice(title, F.lit(1), n), lambda t, i: F.struct(text(t).alias("title"), F.get(ids, i).try_cast("int").alias("sent_id")))
+            return F.when(n > 0, pairs)
+
+        pairs = bound(F.struct(c["title"].alias("title"), c["sent_id"].alias("ids")), lambda x: zipped(x["title"], x["ids"]))
     else:
         a, b = (f.name for f in kind.elementType.fields[:2])
         pairs = F.transform(c, lambda p: F.struct(text(p[a]).alias("title"), p[b].try_cast("int").alias("sent_id")))
@@ -58,7 +69,7 @@ def format_doc(doc: Column, collapse_ws: bool = True) -> Column:
     """title, newline, the non-blank sentences joined by spaces; '' where no text is left."""
     body = F.array_join(F.filter(F.transform(doc["sentences"], strip), lambda s: s != ""), " ")
     body = collapse(body) if collapse_ws else body
-    return F.when(body == "", F.lit("")).otherwise(F.concat(doc["title"], F.lit("\n"), body))
+    return bound(body, lambda b: F.when(b == "", F.lit("")).otherwise(F.concat(doc["title"], F.lit("\n"), b)))
 
 
 def format_passage(doc: Column) -> Column:
@@ -67,19 +78,27 @@ def format_passage(doc: Column) -> Column:
 
 def gold_docs(docs: Column, titles: Column) -> Column:
     """Documents whose title is named; all of them where none is."""
-    named = F.filter(docs, lambda d: F.array_contains(titles, d["title"]))
-    return F.when(F.size(named) > 0, named).otherwise(docs)
+
+    def chosen(docs, titles):
+        named = F.filter(docs, lambda d: F.array_contains(titles, d["title"]))
+        return bound(named, lambda x: F.when(F.size(x) > 0, x).otherwise(docs))
+
+    return bound(docs, lambda d: bound(titles, lambda t: chosen(d, t)))
 
 
 def supporting_docs(docs: Column, pairs: Column) -> Column:
     """Documents cut to their supporting sentences in sentence order; all documents where nothing is left."""
 
-    def picked(d):
-        wanted = F.transform(F.filter(pairs, lambda p: p["title"] == d["title"]), lambda p: p["sent_id"])
-        return F.struct(d["title"].alias("title"), F.filter(d["sentences"], lambda s, i: F.array_contains(wanted, i)).alias("sentences"))
+    def picked(d, pairs):
+        ids = F.transform(F.filter(pairs, lambda p: p["title"] == d["title"]), lambda p: p["sent_id"])
+        wanted = F.array_sort(F.array_distinct(F.filter(ids, lambda i: (i >= 0) & (i < F.size(d["sentences"])))))
+        return F.struct(d["title"].alias("title"), F.transform(wanted, lambda i: F.get(d["sentences"], i)).alias("sentences"))
+
+    def chosen(docs, pairs):
+        kept = F.filter(F.transform(docs, lambda d: picked(d, pairs)), lambda d: F.size(d["sentences"]) > 0)
+        return bound(kept, lambda x: F.when(F.size(x) > 0, x).otherwise(docs))
 
-    kept = F.filter(F.transform(docs, picked), lambda d: F.size(d["sentences"]) > 0)
-    return F.when(F.size(kept) > 0, kept).otherwise(docs)
+    return bound(docs, lambda d: bound(pairs, lambda p: chosen(d, p)))
 
 
 def assemble(docs: Column, pairs: Column, mode: str = "all", cap: int = 0, collapse_ws: bool = True) -> Column:
@@ -87,7 +106,7 @@ def assemble(docs: Column, pairs: Column, mode: str = "all", cap: int = 0, colla
     chosen = {"all": lambda: docs, "gold_titles": lambda: gold_docs(docs, supporting_titles(pairs)), "supporting": lambda: supporting_docs(docs, pairs)}[mode]()
     blocks = F.filter(F.transform(chosen, lambda d: format_doc(d, collapse_ws)), lambda b: b != "")
     joined = strip(F.array_join(blocks, "\n\n"))
-    return joined if cap <= 0 else F.when(F.length(joined) <= cap, joined).otherwise(rstrip(F.substring(joined, 1, cap)))
+    return joined if cap <= 0 else bound(joined, lambda x: F.when(F.length(x) <= cap, x).otherwise(rstrip(F.substring(x, 1, cap))))
 
 
 def select_passages(docs: Column, titles: Column, n: int, key: Column, seed: int) -> Column:
@@ -98,12 +117,16 @@ def select_passages(docs: Column, titles: Column, n: int, key: Column, seed: int
 
     def order(docs_, step):
         tag = lambda d: F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(step), d["title"]).cast("binary"))
-        tagged = F.transform(docs_, lambda d, i: F.struct(tag(d).alias("o"), i.alias("i")))
-        return F.transform(F.array_sort(tagged), lambda x: F.get(docs_, x["i"]))
+        tagged = lambda x: F.transform(x, lambda d, i: F.struct(tag(d).alias("o"), i.alias("i")))
+        return bound(docs_, lambda held: F.transform(F.array_sort(tagged(held)), lambda x: F.get(held, x["i"])))
 
     if n <= 0:
         return F.transform(order(docs, "mix"), format_passage)
-    gold = F.filter(docs, lambda d: F.array_contains(titles, d["title"]))
-    others = F.filter(docs, lambda d: ~F.array_contains(titles, d["title"]))
-    filled = F.concat(F.slice(order(gold, "gold"), 1, n), F.slice(order(others, "other"), F.lit(1), F.greatest(F.lit(n) - F.size(gold), F.lit(0))))
-    return F.transform(order(filled, "mix"), format_passage)
+
+    def filled(docs, titles):
+        gold = F.filter(docs, lambda d: F.array_contains(titles, d["title"]))
+        others = F.filter(docs, lambda d: ~F.array_contains(titles, d["title"]))
+        rest = lambda g: F.slice(order(others, "other"), F.lit(1), F.greatest(F.lit(n) - F.size(g), F.lit(0)))
+        return bound(gold, lambda g: F.concat(F.slice(order(g, "gold"), 1, n), rest(g)))
+
+    return F.transform(order(bound(docs, lambda d: bound(titles, lambda t: filled(d, t))), "mix"), format_passage)

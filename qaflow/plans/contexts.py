@@ -15,12 +15,16 @@ from qaflow.registry import query
 _BLOCK = r"""trim(regexp_replace(array_to_string(list_filter(list_transform({s}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' '), '\s+', ' ', 'g'))"""
 
 
+def _digests(contexts):
+    """Length and digest of each context, which is made once for both."""
+    return contexts.select("grp", F.length("c").cast("long").alias("context_chars"), F.md5(F.col("c").cast("binary")).alias("context_md5"))
+
+
 def _context(spark, d, mode, cap=0):
     rows = multihop(spark, d)
     docs = nested.context_docs(F.col("context"), rows.schema["context"].dataType)
     pairs = nested.supporting_pairs(F.col("supporting_facts"), rows.schema["supporting_facts"].dataType)
-    context = nested.assemble(docs, pairs, mode, cap)
-    return rows.select("grp", F.length(context).cast("long").alias("context_chars"), F.md5(context.cast("binary")).alias("context_md5"))
+    return _digests(rows.select("grp", nested.assemble(docs, pairs, mode, cap).alias("c")))
 
 
 def _context_sql(chosen: str, cap: int = 0) -> str:
@@ -79,8 +83,7 @@ def supporting_sentences(spark, d):
     shaped = rows.select("grp", "context", facts.alias("facts"))
     docs = nested.context_docs(F.col("context"), shaped.schema["context"].dataType)
     pairs = nested.supporting_pairs(F.col("facts"), shaped.schema["facts"].dataType)
-    context = nested.assemble(docs, pairs, "supporting")
-    return shaped.select("grp", F.length(context).cast("long").alias("context_chars"), F.md5(context.cast("binary")).alias("context_md5"))
+    return _digests(shaped.select("grp", nested.assemble(docs, pairs, "supporting").alias("c")))
 
 
 _PASSAGE = "title || ' | ' || array_to_string(sentences, ' ')"

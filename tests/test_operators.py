@@ -96,6 +96,24 @@ def test_context_modes(spark):
     assert get("p", "all", 9) == "A\na0 a1"
 
 
+def test_contexts_evaluate_their_inputs_once(spark):
+    """An input that a lambda names is evaluated again for each document or sentence, so each is named once, outside of them."""
+    doc = [(("A", "B"), (["a0", None, "a2"], ["b0"])), (["A", "A", "A", "A", "A", "B"], ["2", "0", "2", "7", "-1", "x"])]
+    df = spark.createDataFrame([doc], "held struct<title:array<string>,sentences:array<array<string>>>, facts struct<title:array<string>,sent_id:array<string>>")
+    docs = D.context_docs(F.col("held"), df.schema["held"].dataType)
+    pairs = D.supporting_pairs(F.col("facts"), df.schema["facts"].dataType)
+    wanted = {"gold_titles": "A\na0 a2", "supporting": "A\na0 a2", "all": "A\na0 a2\n\nB\nb0"}
+    for mode, found in wanted.items():
+        made = df.select(D.assemble(docs, pairs, mode, 100))
+        assert made.first()[0] == found
+        shown = made._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+        # title and sentences of a context, title and ids of the facts
+        assert (shown.count("held#"), shown.count("facts#")) == (2, 0 if mode == "all" else 2)
+    made = df.select(D.select_passages(docs, D.supporting_titles(pairs), 1, F.lit(1), 1))
+    shown = made._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    assert (shown.count("held#"), shown.count("facts#")) == (2, 2)
+
+
 def test_passages(spark):
     df = spark.sql("SELECT transform(sequence(0, 9), i -> named_struct('title', concat('t', i), 'sentences', array(concat('s', i)))) AS d, array('t1', 't3', 't5') AS g")
     pick = lambda n: df.select(D.select_passages(F.col("d"), F.col("g"), n, F.lit(7), 1)).first()[0]
