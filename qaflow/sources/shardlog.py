@@ -3,6 +3,9 @@
 Tasks write Parquet files; a commit is one line that names them. A row's number is its place among all committed rows, and a
 shard is ``rowsPerShard`` numbers in a row, so shards have an exact size and the last one is filled up by the next append
 without ranking rows or rewriting files. Reads are planned as shards: of one rank out of several, and from an offset on.
+
+Shards may be small and many: a task that has filled a few files of a shard's rows makes each next one as large as those before
+together, and a partition takes several shards in a row once there are more than ``PARTITIONS`` of them.
 """
 
 from __future__ import annotations
@@ -10,8 +13,11 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate, groupby
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -19,6 +25,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 ROWS_PER_SHARD = 200_000
+#: Files of a shard's rows that a task writes before larger ones, and the rows of these at most.
+SINGLE_FILES, ROWS_PER_FILE = 16, 1_000_000
+#: Partitions of a read that may be single shards; of more shards several in a row share one, ``ROWS_PER_SHARD`` rows at most.
+PARTITIONS = 200
 
 
 class LogConflict(RuntimeError):
@@ -103,26 +113,28 @@ class ShardWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         context, folder = TaskContext.get(), Folder(self.path)
-        partition, done, writer, held = context.partitionId(), [], None, 0
+        partition, done, writer, held, most = context.partitionId(), [], None, 0, self.rows
         folder.system.create_dir(f"{folder.root}/data/{self.job}", recursive=True)
 
         def close() -> None:
-            nonlocal writer, held
+            nonlocal writer, held, most
             if writer is not None:
                 writer.close()
                 done.append((name, held))
                 writer, held = None, 0
+                if len(done) >= SINGLE_FILES:
+                    most = max(self.rows, min(sum(n for _, n in done), ROWS_PER_FILE))
 
         for batch in iterator:
             while len(batch):
                 if writer is None:
                     name = f"{self.job}/part-{partition:05d}-{context.taskAttemptId()}-{len(done):05d}.parquet"
                     writer = pq.ParquetWriter(f"{folder.root}/data/{name}", self.schema, filesystem=folder.system, compression="zstd")
-                part = batch.slice(0, self.rows - held)
+                part = batch.slice(0, most - held)
                 writer.write_batch(part.cast(self.schema))
                 held += len(part)
                 batch = batch.slice(len(part))
-                if held == self.rows:
+                if held == most:
                     close()
         close()
         return Written(partition, done)
@@ -157,36 +169,50 @@ class Slices(InputPartition):
     value: list[tuple[str, int, int]] = field(default_factory=list)
 
 
-def slices_between(files: list[tuple[str, int]], first: int, end: int) -> list[tuple[str, int, int]]:
-    """Where the rows numbered from ``first`` to before ``end`` lie."""
-    out, at = [], 0
-    for name, rows in files:
-        a, b = max(first - at, 0), min(end - at, rows)
+def slices_between(files: list[tuple[str, int]], first: int, end: int, starts: list[int] | None = None) -> list[tuple[str, int, int]]:
+    """Where the rows numbered from ``first`` to before ``end`` lie; ``starts`` are the files' first numbers, for those who ask often."""
+    starts = starts or list(accumulate((n for _, n in files), initial=0))
+    out = []
+    for i in range(max(bisect_right(starts, first) - 1, 0), len(files)):
+        if starts[i] >= end:
+            break
+        name, rows = files[i]
+        a, b = max(first - starts[i], 0), min(end - starts[i], rows)
         if a < b:
             out.append((name, a, b))
-        at += rows
     return out
 
 
 def planned(files: list[tuple[str, int]], size: int, first: int, end: int, world: int = 1, rank: int = 0, after: int = 0) -> list[Slices]:
-    """One partition for each shard of ``rank`` among ``world``, from row ``first`` to ``end`` and without the rank's first ``after`` rows."""
-    out, seen = [], 0
-    for shard in range(first // size, -(-end // size)):
-        if shard % world != rank:
-            continue
+    """Partitions of one shard, or of several in a row if there are many, of ``rank`` among ``world``, from row ``first`` to ``end`` and without the rank's first ``after`` rows."""
+    starts = list(accumulate((n for _, n in files), initial=0))
+    shards = [s for s in range(first // size, -(-end // size)) if s % world == rank]
+    together = max(1, min(-(-len(shards) // PARTITIONS), ROWS_PER_SHARD // size))
+    out, seen, room = [], 0, 0
+    for shard in shards:
         a, b = max(first, shard * size), min(end, (shard + 1) * size)
         skipped = min(max(after - seen, 0), b - a)
         seen += b - a
-        if found := slices_between(files, a + skipped, b):
-            out.append(Slices(found))
+        if not (found := slices_between(files, a + skipped, b, starts)):
+            continue
+        if not room:
+            out.append(Slices())
+            room = together
+        room -= 1
+        value = out[-1].value
+        if value and value[-1][0] == found[0][0] and value[-1][2] == found[0][1]:
+            value[-1] = (found[0][0], value[-1][1], found.pop(0)[2])
+        value.extend(found)
     return out
 
 
 def _read(path: str, schema: pa.Schema, partition: Slices):
     folder = Folder(path)
-    for name, first, end in partition.value:
+    for name, slices in groupby(partition.value, key=lambda x: x[0]):
+        bounds = np.array([x[1:] for x in slices]).ravel()  # first rows and ends, ascending
+        first, end = int(bounds[0]), int(bounds[-1])
         with folder.system.open_input_file(f"{folder.root}/data/{name}") as source:
-            file, at, groups = pq.ParquetFile(source), 0, []
+            file, at, groups, start = pq.ParquetFile(source), 0, [], 0
             for g in range(file.num_row_groups):  # row groups before the first row or after the end are not read
                 n = file.metadata.row_group(g).num_rows
                 if at < end and at + n > first:
@@ -197,7 +223,11 @@ def _read(path: str, schema: pa.Schema, partition: Slices):
             for batch in file.iter_batches(row_groups=groups, columns=schema.names):
                 a, b = max(first - at, 0), min(end - at, len(batch))
                 if a < b:
-                    yield batch.slice(a, b - a).cast(schema)
+                    part = batch.slice(a, b - a)
+                    if len(bounds) > 2:  # a row lies in a slice if an odd number of bounds are not above it
+                        part = part.filter(pa.array(np.searchsorted(bounds, np.arange(at + a, at + b), "right") % 2 == 1))
+                    if len(part):
+                        yield part.cast(schema)
                 at += len(batch)
 
 

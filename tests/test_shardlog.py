@@ -53,6 +53,41 @@ def test_shards_are_exact_and_appends_fill_the_last(log, tmp_path):
         assert read(log, tmp_path, world=3, rank=r, after=13) == own[13:]
 
 
+def test_many_small_shards_share_files_and_partitions(log, tmp_path):
+    n, size = 30_000, 7
+    write(log.range(0, 20_000, 1, 2), tmp_path, size=size)
+    write(log.range(20_000, n, 1, 1), tmp_path, size=size)
+    assert len(files_of(tmp_path)) < 100
+    for rank, after in ((0, 0), (1, 13), (2, 5_000)):
+        options = {"world": 3, "rank": rank, "after": after}
+        found = log.read.format("shardlog").options(**options).load(str(tmp_path))
+        assert found.rdd.getNumPartitions() <= shardlog.PARTITIONS
+        assert [r[0] for r in found.collect()] == [k for k in range(n) if k // size % 3 == rank][after:]
+    assert read(log, tmp_path) == list(range(n))
+
+
+def test_plans_grow_with_the_shards():
+    """Work of a plan: each file is looked at for the few shards in it, not for every shard."""
+    looked = 0
+
+    class Files(list):
+        def __iter__(self):
+            nonlocal looked
+            looked += len(self)
+            return super().__iter__()
+
+        def __getitem__(self, i):
+            nonlocal looked
+            looked += 1
+            return super().__getitem__(i)
+
+    files = Files((f"f{i}", 3) for i in range(2_000))
+    parts = planned(files, 2, 0, 6_000, 1, 0)
+    rows = [(f, i) for p in parts for f, a, b in p.value for i in range(a, b)]
+    assert rows == [(f"f{i}", k) for i in range(2_000) for k in range(3)]
+    assert looked < 20_000 and len(parts) <= shardlog.PARTITIONS
+
+
 def test_resume_opens_no_earlier_file(log, tmp_path):
     for i in range(5):
         write(log.range(10 * i, 10 * i + 10).coalesce(1), tmp_path)
