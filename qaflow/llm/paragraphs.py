@@ -85,10 +85,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _IS_SPACE = np.array([chr(i) in " \t\n\x0b\x0c\r" for i in range(256)])
 
 
+_S30, _S27, _S31, _M1, _M2 = map(np.uint64, (30, 27, 31, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> _S30)
+    x *= _M1
+    x ^= x >> _S27
+    x *= _M2
+    x ^= x >> _S31
+    return x
 
 
 #: Odd multipliers of the MinHash functions; shingle hashes are already mixed.
@@ -97,26 +103,40 @@ _ODD = _mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 def _range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each range of ``values`` that does not depend on where the range lies."""
-    up, down = _powers(len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=sums[1:])
+    sums, down = _sums(values)
     return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def _run_hash(values: np.ndarray, n: int) -> np.ndarray:
+    """``_range_hash`` of every ``n`` values in a row."""
+    sums, down = _sums(values)
+    return _mix((sums[n:] - sums[:-n]) * down[: len(sums) - n] + np.uint64(n))
+
+
+def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _powers(len(values))
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return sums, down
+
+
 class Words:
     """A text's words as byte ranges, and their hashes."""
 
     def __init__(self, text: bytes) -> None:
         raw = np.frombuffer(text.lower(), np.uint8)
         edge = np.ones(len(raw) + 2, bool)
-        np.take(_IS_SPACE, raw, out=edge[1:-1])
+        np.take(_IS_SPACE, raw, out=edge[1:-1], mode="clip")  # nothing is to clip; without a mode numpy copies
         turns = np.flatnonzero(edge[1:] != edge[:-1])
         self.begin, self.end = turns[::2], turns[1::2]
-        self.raw = raw
-        self.words = _range_hash(raw.astype(np.uint64) + np.uint64(1), self.begin, self.end)
+        self.raw, self.ascii = raw, text.isascii()
+        self.words = _range_hash(np.add(raw, np.uint64(1), dtype=np.uint64), self.begin, self.end)
 
     def chars(self) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each word in code points of the text."""
+        if self.ascii:
+            return self.begin, self.end
         points = np.zeros(len(self.raw) + 1, np.int64)
         np.cumsum((self.raw & 0xC0) != 0x80, out=points[1:])
         return points[self.begin], points[self.end]
@@ -133,8 +153,7 @@ class Cut(Words):
         self.shingles = np.zeros(0, np.uint64)
         if n < config.shingle:
             return
-        at = np.arange(n - config.shingle + 1)
-        self.shingles = _range_hash(self.words, at, at + config.shingle)
+        self.shingles = _run_hash(self.words, config.shingle)
         if n < config.block:
             self.lines, self.first, self.last = 1, np.zeros(1, np.int64), np.full(1, n, np.int64)
             return
@@ -147,9 +166,9 @@ class Cut(Words):
 
     def _natural(self, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Word ranges of the lines that have ``least`` words, and of shorter lines in a row that have them together."""
-        breaks = np.zeros(len(self.raw) + 1, np.int64)
-        np.cumsum(self.raw == 10, out=breaks[1:])
-        turn = np.flatnonzero(breaks[self.begin[1:]] > breaks[self.end[:-1]]) + 1
+        turn = np.searchsorted(self.begin, np.flatnonzero(self.raw == 10))  # the word after each line's end
+        turn = turn[(turn > 0) & (turn < n)]
+        turn = turn[np.diff(turn, prepend=0) > 0]
         first, last = np.concatenate([[0], turn]), np.concatenate([turn, [n]])
         long = last - first >= least
         opens = np.ones(len(first), bool)
@@ -163,7 +182,8 @@ class Cut(Words):
         """Positions that hold the least key of some ``winnow`` positions in a row (of all, if there are fewer)."""
         if len(keys) <= winnow:
             return np.array([keys.argmin()])
-        views = np.lib.stride_tricks.sliding_window_view(keys, winnow)
+        keys = np.ascontiguousarray(keys)
+        views = np.ndarray((len(keys) - winnow + 1, winnow), keys.dtype, keys, 0, (keys.itemsize, keys.itemsize))
         at = views.argmin(1) + np.arange(len(views))  # never decreases
         new = np.ones(len(at), bool)
         new[1:] = at[1:] != at[:-1]
@@ -173,14 +193,19 @@ class Cut(Words):
         """One number per paragraph; equal words give equal numbers."""
         return _range_hash(self.words, self.first, self.last).view(np.int64) if len(self.first) else np.zeros(0, np.int64)
 
-    def band_keys(self, config: ParagraphConfig) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the lines and runs, and for each band (row) and each of them (column) a key of its least hashed shingles and its kind."""
-        number = np.concatenate([np.arange(self.lines), np.arange(self.lines + self.blocks, len(self.first))])
+    def banded(self) -> np.ndarray:
+        """Numbers of the lines and runs."""
+        return np.concatenate([np.arange(self.lines), np.arange(self.lines + self.blocks, len(self.first))])
+
+    def band_keys(self, config: ParagraphConfig, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the lines and runs (or those given), and for each band (row) and each of them (column) a key of its least hashed shingles and its kind."""
+        number = self.banded() if number is None else number
         kind = (number >= self.lines).astype(np.uint64)
         keys = np.arange(2, 2 * config.bands + 2, 2, dtype=np.uint64)[:, None] + kind
         if not len(number):
             return number, keys.view(np.int64)
-        bounds = np.stack([self.first[number], self.last[number] - config.shingle + 1], 1).ravel()
+        bounds = np.empty(2 * len(number), np.int64)
+        bounds[::2], bounds[1::2] = self.first[number], self.last[number] - (config.shingle - 1)
         shingles = np.append(self.shingles, np.uint64(0))  # a bound may be the end
         at_once = max(1, (1 << 21) // (len(shingles) * config.rows))
         for i in range(0, config.bands, at_once):
@@ -234,15 +259,16 @@ def cut_texts(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> D
                     continue
                 ids, spans = cut.ids(), cut.spans()
                 occurrences.add(n, ids, doc, version, spans)
-                number, keys = cut.band_keys(config)
-                own = ids[number]
-                new = np.array([i for i, x in enumerate(own.tolist()) if x not in seen], np.int64)
-                if not len(new):
+                number = cut.banded()
+                fresh = [i for i, x in zip(number.tolist(), ids[number].tolist()) if x not in seen]
+                if not fresh:
                     continue
+                new, keys = cut.band_keys(config, np.array(fresh, np.int64))
+                own = ids[new]
                 if len(seen) > 1 << 20:
                     seen.clear()
-                seen.update(own[new].tolist())
-                signatures.add(len(new), own[new], place, spans[number[new]], *keys[:, new])
+                seen.update(own.tolist())
+                signatures.add(len(new), own, place, spans[new], *keys)
                 yield from tables(20_000)
         yield from tables(0)
 
@@ -477,6 +503,13 @@ def verified_links(collided: DataFrame, shingles: DataFrame, config: ParagraphCo
     return rows.repartition(n, "task").sortWithinPartitions("task", "uid").mapInArrow(run, "a long, b long")
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; for the few of a paragraph in less time than ``np.unique``."""
+    values = np.sort(values)
+    new = values[1:] != values[:-1]
+    return values if new.all() else np.concatenate([values[:1], values[1:][new]])
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> DataFrame:
     """(uid, size, shingles) of the ``wanted`` (uid, doc_id, version) paragraphs; shingles are sorted distinct 64-bit hashes as bytes.
 
@@ -492,7 +525,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, config: ParagraphConfig = P
                     if uid in need:
                         need.discard(uid)
                         uids.append(uid)
-                        blobs.append(np.unique(cut.shingles[a : b - config.shingle + 1]).tobytes())
+                        blobs.append(_distinct(cut.shingles[a : b - config.shingle + 1]).tobytes())
             sizes = pa.array([len(b) // 8 for b in blobs], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), sizes, pa.array(blobs, pa.binary())], ["uid", "size", "shingles"])
 
