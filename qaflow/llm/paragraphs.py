@@ -200,7 +200,7 @@ class Cut(Words):
     def band_keys(self, config: ParagraphConfig, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the lines and runs (or those given), and for each band (row) and each of them (column) a key of its least hashed shingles and its kind."""
         number = self.banded() if number is None else number
-        kind = (number >= self.lines).astype(np.uint64)
+        kind = self.is_run(number).astype(np.uint64)
         keys = np.arange(2, 2 * config.bands + 2, 2, dtype=np.uint64)[:, None] + kind
         if not len(number):
             return number, keys.view(np.int64)
@@ -216,12 +216,86 @@ class Cut(Words):
                 keys[i:j] = _mix(keys[i:j] * np.uint64(0xC2B2AE3D27D4EB4F) + least[:, row])
         return number, keys.view(np.int64)
 
+    def is_run(self, number: np.ndarray) -> np.ndarray:
+        """Whether the lines and runs of these numbers are runs."""
+        return number >= self.lines
+
     def spans(self) -> np.ndarray:
         """Start * 2^32 + end of each paragraph in code points of the text."""
         starts, ends = self.chars()
         return (starts[self.first] << 32) | ends[self.last - 1]
 
 
+class Cuts(Cut):
+    """The paragraphs of several texts, each cut as by ``Cut`` and in that order, in one pass over all; ``text`` has each one's text number."""
+
+    def __init__(self, texts: list[bytes], config: ParagraphConfig) -> None:
+        Words.__init__(self, b"\n".join(texts))
+        sizes = np.array([len(t) + 1 for t in texts])
+        self.byte = np.cumsum(sizes) - sizes  # where each text begins
+        word = np.searchsorted(self.begin, self.byte)
+        self.n = len(self.words)
+        count = np.append(word[1:], self.n) - word
+        of = lambda first: np.searchsorted(word, first, "right") - 1
+        self.shingles = _run_hash(self.words, config.shingle) if self.n >= config.shingle else np.zeros(0, np.uint64)
+        few = np.flatnonzero((count >= config.shingle) & (count < config.block))
+        first, last = self._natural_of(word[count > 0], config.line)
+        whole = count[of(first)] >= config.block
+        first, last = first[whole], last[whole]
+        starts = self._anchors_of(word, count - config.block + 1, config.winnow)
+        runs = starts[starts + config.run <= (word + count)[of(starts)]]
+        self.first = np.concatenate([word[few], first, starts, runs])
+        self.last = np.concatenate([(word + count)[few], last, starts + config.block, runs + config.run])
+        kind = np.repeat([0, 0, 1, 2], [len(few), len(first), len(starts), len(runs)])
+        text = of(self.first)
+        order = np.argsort(text, kind="stable")
+        self.first, self.last, self.kind, self.text = self.first[order], self.last[order], kind[order], text[order]
+
+    def _natural_of(self, word: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """``_natural`` of the texts that begin at these words."""
+        turn = np.searchsorted(self.begin, np.flatnonzero(self.raw == 10))
+        first = np.unique(np.concatenate([word, turn[turn < self.n]]))
+        long = np.append(first[1:], self.n) - first >= least
+        opens = np.isin(first, word)
+        opens[1:] |= long[1:] | long[:-1]
+        first = first[opens]
+        last = np.append(first[1:], self.n)
+        whole = last - first >= least
+        return first[whole], last[whole]
+
+    def _anchors_of(self, word: np.ndarray, keys: np.ndarray, winnow: int) -> np.ndarray:
+        """``_anchors`` of the texts that have so many ``keys`` from these words on."""
+        windows = np.maximum(keys - winnow + 1, 0)
+        total = int(windows.sum())
+        short = [w + int(self.shingles[w : w + k].argmin()) for w, k in zip(word.tolist(), keys.tolist()) if 0 < k < winnow]
+        if not total:
+            return np.array(short, np.int64)
+        at = np.repeat(word - (np.cumsum(windows) - windows), windows) + np.arange(total)
+        views = np.ndarray((len(self.shingles) - winnow + 1, winnow), np.uint64, self.shingles, 0, (8, 8))
+        least = (views.argmin(1) + np.arange(len(views)))[at]
+        return np.concatenate([least[np.diff(least, prepend=-1) != 0], np.array(short, np.int64)])
+
+    def banded(self) -> np.ndarray:
+        return np.flatnonzero(self.kind != 1)
+
+    def is_run(self, number: np.ndarray) -> np.ndarray:
+        return self.kind[number] == 2
+
+    def spans(self) -> np.ndarray:
+        starts, ends = self.chars()
+        begin = self.byte
+        if not self.ascii:
+            points = np.zeros(len(self.raw) + 1, np.int64)
+            np.cumsum((self.raw & 0xC0) != 0x80, out=points[1:])
+            begin = points[begin]
+        begin = begin[self.text]
+        return ((starts[self.first] - begin) << 32) | (ends[self.last - 1] - begin)
+
+
+#: Bytes of the texts that are cut together; more would not stay in a core's cache.
+_TOGETHER = 1 << 16
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """(doc_id, version, text): ``version`` is a hash of the text, which tells rows of one doc_id apart."""
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
@@ -251,25 +325,42 @@ def cut_texts(docs: DataFrame, config: ParagraphConfig = ParagraphConfig()) -> D
                 n, (uid, version, span, *keys) = signatures.taken()
                 yield pa.RecordBatch.from_arrays([pa.repeat("signatures", n), uid, pa.nulls(n, pa.int64()), version, span, *keys], names)
 
-        for batch in batches:
-            for doc, version, place, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-                cut = Cut(text.as_py(), config)
-                n = len(cut.first)
-                if not n:
-                    continue
-                ids, spans = cut.ids(), cut.spans()
-                occurrences.add(n, ids, doc, version, spans)
-                number = cut.banded()
-                fresh = [i for i, x in zip(number.tolist(), ids[number].tolist()) if x not in seen]
-                if not fresh:
-                    continue
+        def add(texts, held):
+            if len(seen) > 1 << 20:
+                seen.clear()
+            cut = Cuts(texts, config)
+            n = len(cut.first)
+            if not n:
+                return
+            doc, version, place = np.array(held, np.int64).T
+            ids, spans, text = cut.ids(), cut.spans(), cut.text
+            occurrences.add(n, ids, doc[text], version[text], spans)
+            number = cut.banded()
+            fresh, at, own = [], -1, []
+            for i, x, t in zip(number.tolist(), ids[number].tolist(), text[number].tolist()):
+                if t != at:
+                    seen.update(own)
+                    at, own = t, []
+                if x not in seen:
+                    fresh.append(i)
+                    own.append(x)
+            seen.update(own)
+            if fresh:
                 new, keys = cut.band_keys(config, np.array(fresh, np.int64))
-                own = ids[new]
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                seen.update(own.tolist())
-                signatures.add(len(new), own, place, spans[new], *keys)
-                yield from tables(20_000)
+                signatures.add(len(new), ids[new], place[text[new]], spans[new], *keys)
+
+        for batch in batches:
+            texts, held, size = [], [], 0
+            for *ids, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                texts.append(text)
+                held.append(ids)
+                size += len(text)
+                if size >= _TOGETHER:
+                    add(texts, held)
+                    texts, held, size = [], [], 0
+                    yield from tables(20_000)
+            if texts:
+                add(texts, held)
         yield from tables(0)
 
     placed = _texts(docs).select("doc_id", "version", F.xxhash64("doc_id", "version").alias("place"), "text")
@@ -519,13 +610,25 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, config: ParagraphConfig = P
     def run(batches):
         for batch in batches:
             uids, blobs = [], []
-            for text, want in zip(batch.column(0), batch.column(1).to_pylist()):
-                cut, need = Cut(text.as_py(), config), set(want)
-                for uid, a, b in zip(cut.ids().tolist(), cut.first.tolist(), cut.last.tolist()):
-                    if uid in need:
-                        need.discard(uid)
+
+            def add(texts, needs):
+                cut = Cuts(texts, config)
+                for uid, t, a, b in zip(cut.ids().tolist(), cut.text.tolist(), cut.first.tolist(), cut.last.tolist()):
+                    if uid in needs[t]:
+                        needs[t].discard(uid)
                         uids.append(uid)
                         blobs.append(_distinct(cut.shingles[a : b - config.shingle + 1]).tobytes())
+
+            texts, needs, size = [], [], 0
+            for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                texts.append(text)
+                needs.append(set(want))
+                size += len(text)
+                if size >= _TOGETHER:
+                    add(texts, needs)
+                    texts, needs, size = [], [], 0
+            if texts:
+                add(texts, needs)
             sizes = pa.array([len(b) // 8 for b in blobs], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), sizes, pa.array(blobs, pa.binary())], ["uid", "size", "shingles"])
 

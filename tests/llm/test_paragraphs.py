@@ -345,3 +345,22 @@ def test_the_whole_passage_is_removed(spark):
     cleaned = {r["doc_id"]: r["text"].split() for r in P.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(len(cleaned[i]) == 100 + (60, 150)[i] for i in (0, 1))
     assert all(len(own[i]) - 12 <= len(cleaned[i]) <= len(own[i]) for i in range(2, 12))
+
+
+def test_texts_cut_together_are_cut_as_each():
+    rng = random.Random(8)
+    bits = ["a ", "bé ", "\n", "\r\n", "w x y z v u ", "longer\t", " "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(250))).encode() for _ in range(300)] + [b"", b"\n", b"a", b""]
+    many, at = P.Cuts(texts, CONFIG), 0
+    keys = many.band_keys(CONFIG)[1]
+    for i, text in enumerate(texts):
+        each = P.Cut(text, CONFIG)
+        n = len(each.first)
+        own = many.text == i
+        assert own.sum() == n
+        if n:
+            assert (many.ids()[own] == each.ids()).all() and (many.spans()[own] == each.spans()).all()
+            number, wanted = each.band_keys(CONFIG)
+            assert (keys[:, at : at + len(number)] == wanted).all()
+            at += len(number)
+    assert at == keys.shape[1] and not len(P.Cuts([b"", b""], CONFIG).first)
